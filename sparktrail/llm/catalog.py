@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrail.llm import bytepair, packing
+from sparktrail.llm import bytepair, langid, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
-    "op7_byte_level_bpe": bytepair.op7_byte_level_bpe,
     "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
+    "op3_compression_language": langid.op3_compression_language,
+    "op7_byte_level_bpe": bytepair.op7_byte_level_bpe,
 }
 ORACLES: dict[str, str] = {}
