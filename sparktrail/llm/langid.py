@@ -4,10 +4,11 @@
 snippets of many documents, so that no passage that documents share fills a dictionary. ``identify`` compresses every whole text, window by window, under each dictionary and takes the language whose
 compressed length is smallest. ``score`` turns the differences of the lengths into a share of 0 to 1; ``accepted`` is
 false where the margin between the two smallest lengths is narrower than ``min_margin`` of the smallest, and for
-texts without a letter.
+texts without a letter. Texts of a few words (under ``least`` bytes) are not rejected for a narrow margin, since
+their lengths cannot differ by more than a byte or two.
 
 Null texts, and texts without a letter, get ``und``, score 0 and are not accepted. Equal lengths go to the most
-frequent language and are not accepted. Rows whose language is null are not learned from. With no labelled
+frequent language. Rows whose language is null are not learned from. With no labelled
 row at all, every text is ``und``. Other columns pass through; columns named like the outputs are replaced.
 """
 
@@ -40,6 +41,7 @@ class LanguageModel:
     level: int = 5
     window: int = 4096
     short: int = 512
+    least: int = 64
     min_margin: float = 0.002
     bits_scale: float = 0.25
 
@@ -75,7 +77,7 @@ class Classifier:
             return self.names[0], 1.0, 1.0, True
         second = np.delete(total, best).min()
         margin = float((second - total[best]) / total[best])
-        return self.names[best], float(1 / weights.sum()), margin, margin >= self.model.min_margin
+        return self.names[best], float(1 / weights.sum()), margin, margin >= self.model.min_margin or len(cut) == 1 and len(cut[0]) < self.model.least
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
