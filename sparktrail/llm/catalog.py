@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrail.llm import bytepair, langid, packing, toxicity
+from sparktrail.llm import bytepair, langid, near, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
     "op3_compression_language": langid.op3_compression_language,
     "op10_compression_toxicity": toxicity.op10_compression_toxicity,
+    "op5_fast_similarity_sketching": near.op5_fast_similarity_sketching,
     "op7_byte_level_bpe": bytepair.op7_byte_level_bpe,
 }
 ORACLES: dict[str, str] = {}
