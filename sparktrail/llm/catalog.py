@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrail.llm import bytepair, langid, near, packing, toxicity
+from sparktrail.llm import bytepair, langid, near, packing, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,5 +16,6 @@ QUERIES: dict[str, Query] = {
     "op10_compression_toxicity": toxicity.op10_compression_toxicity,
     "op5_fast_similarity_sketching": near.op5_fast_similarity_sketching,
     "op7_byte_level_bpe": bytepair.op7_byte_level_bpe,
+    "op9_level_wise_doubling": substring.op9_level_wise_doubling,
 }
 ORACLES: dict[str, str] = {}
