@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrail.llm import bytepair, langid, near, packing, substring, toxicity
+from sparktrail.llm import bytepair, langid, near, packing, rangejoin, substring, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ QUERIES: dict[str, Query] = {
     "op3_compression_language": langid.op3_compression_language,
     "op10_compression_toxicity": toxicity.op10_compression_toxicity,
     "op5_fast_similarity_sketching": near.op5_fast_similarity_sketching,
+    "op6_no_random_access_top_k": topk.op6_no_random_access_top_k,
     "op7_byte_level_bpe": bytepair.op7_byte_level_bpe,
+    "op8_metric_range_join": rangejoin.op8_metric_range_join,
     "op9_level_wise_doubling": substring.op9_level_wise_doubling,
 }
 ORACLES: dict[str, str] = {}
