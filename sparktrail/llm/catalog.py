@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrail.llm import bytepair, langid, near, packing, rangejoin, substring, topk, toxicity
+from sparktrail.llm import bytepair, langid, near, packing, rangejoin, shards, substring, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_sum_of_squares_packing": packing.op1_sum_of_squares_packing,
+    "op2_size_tiered_shards": shards.op2_size_tiered_shards,
     "op3_compression_language": langid.op3_compression_language,
     "op10_compression_toxicity": toxicity.op10_compression_toxicity,
     "op5_fast_similarity_sketching": near.op5_fast_similarity_sketching,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Query] = {
     "op8_metric_range_join": rangejoin.op8_metric_range_join,
     "op9_level_wise_doubling": substring.op9_level_wise_doubling,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_size_tiered_shards": shards.OP2_SQL}
