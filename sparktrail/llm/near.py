@@ -9,8 +9,10 @@
 2. Equal sets (by a 128-bit fingerprint) become one class, represented by its smallest id, so thousands of exact copies
    cost as much as one.
 3. In each band bucket of several classes the one with the most company is the centre, and all others are compared to
-   it. Where that leaves a bucket with several components, all pairs across them are compared. So a group of n near
-   copies costs about n comparisons and no link between components is lost.
+   it, so a group of n near copies costs about n comparisons. Where that leaves a bucket with several components, its
+   texts are joined once more, on shingles: two similar sets share one of the rarest shingles of each (the first
+   n - ceil(0.8 n) + 1 in one order for all), so pairs across components that share such a shingle are compared. That
+   loses no link and passes over the many texts that only have a common passage in common.
 4. Comparisons are exact: intersection and union of the full sets of 64-bit shingle hashes.
 
 Words are runs of other bytes than ASCII white space; A-Z are lower-cased. A text with fewer words than a shingle has
@@ -36,6 +38,8 @@ from sparktrail.llm.words import Words, blocks, mix
 _U = np.uint64
 #: Ids up to which a set of candidates is broadcast to pick out their texts; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Shingles that count as common, at most, when the order of shingles is made.
+COMMON = 100_000
 
 
 def shingles(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -128,6 +132,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared.cast("long") * 100 >= together.cast("long") * percent).select("a", "b")
 
 
+def _prefixes(open_sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, component, token): of each set as many of its shingles, in one order for all sets, as a similar set
+    cannot be without all of. The order puts the shingles that most sets have last, so the ones that tell sets apart
+    are left; any order gives every pair, the counts only spare comparisons."""
+    common = open_sets.select(F.explode("set").alias("token")).groupBy("token").count().filter("count >= 8")
+    common = common.orderBy(F.col("count").desc(), "token").limit(COMMON).collect()
+    token = np.array([r["token"] for r in common], np.int64)
+    order = np.argsort(token)
+    token, rank = token[order], (len(token) - np.arange(len(token)))[order]
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens = [], []
+            flat, ends = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            for i, values in enumerate(np.split(flat, ends[1:-1] - ends[0])):
+                place = np.minimum(np.searchsorted(token, values), max(0, len(token) - 1))
+                weight = np.where(token[place] == values, rank[place], 0) if len(token) else np.zeros(len(values), np.int64)
+                k = len(values) - -(-len(values) * percent // 100) + 1
+                tokens.append(values[np.lexsort((values, weight))[:k]])
+                rows.append(np.full(len(tokens[-1]), i))
+            take = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())], ["id", "n", "component", "token"])
+
+    kind = open_sets.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("component", kind), T.StructField("token", T.LongType())])
+    return open_sets.select("id", "set", "n", "component").mapInArrow(prefix, schema)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links) and kept.
 
@@ -157,9 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     label = materialize(components(links), "labels")
     spread = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_bands = spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    left = materialize(spread.join(open_bands, "band").select("band", "id", "n", "component"), "open")
-    one, two = left.alias("x"), left.alias("y")
-    across = one.join(two, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & alike("x.n", "y.n"))
+    left = spread.join(open_bands, "band", "left_semi").select("id", "n", "component").distinct()
+    prefixes = materialize(_prefixes(materialize(sets.join(left, "id"), "open"), percent), "prefixes")
+    mixed = prefixes.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+    rest = prefixes.join(mixed, "token", "left_semi")
+    one, two = rest.alias("x"), rest.alias("y")
+    across = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & alike("x.n", "y.n"))
     across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(_confirmed(materialize(across, "pairs"), sets, percent), "links")
     if not more.isEmpty():
