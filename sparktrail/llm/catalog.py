@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrail.llm import bytepair, langid, near, packing, rangejoin, shards, substring, topk, toxicity
+from sparktrail.llm import bytepair, langid, near, packing, pagetext, rangejoin, shards, substring, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_size_tiered_shards": shards.op2_size_tiered_shards,
     "op3_compression_language": langid.op3_compression_language,
     "op10_compression_toxicity": toxicity.op10_compression_toxicity,
+    "op4_crf_main_text": pagetext.op4_crf_main_text,
     "op5_fast_similarity_sketching": near.op5_fast_similarity_sketching,
     "op6_no_random_access_top_k": topk.op6_no_random_access_top_k,
     "op7_byte_level_bpe": bytepair.op7_byte_level_bpe,
