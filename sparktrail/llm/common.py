@@ -44,6 +44,11 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows (of a few bytes each) and to be shuffled otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def filesystem(spark: SparkSession, path: str):
     """(Hadoop file system, Hadoop path) of ``path``; works for any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import materialize, table
+from sparktrail.llm.common import materialize, small, table
 from sparktrail.llm.components import components
 from sparktrail.llm.words import Words, blocks, mix
 
@@ -51,10 +51,10 @@ def shingles(words: Words, size: int) -> Iterator[np.ndarray]:
         if b - a >= size:
             yield np.unique(runs[a : b - size + 1])
         elif b > a:
-            value = _U(b - a)
+            value = np.array([b - a], _U)
             for h in hashes[a:b]:
-                value = mix(np.array([value * _U(0x9E3779B97F4A7C15) + h], _U))[0]
-            yield np.array([value], _U)
+                value = mix(value * _U(0x9E3779B97F4A7C15) + h)
+            yield value
         else:
             yield np.empty(0, _U)
 
@@ -180,9 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     tried = buckets.join(centre, "band").filter((F.col("id") != F.col("centre")) & alike("n", "of_centre")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     tried = materialize(tried, "pairs")
 
-    wanted = buckets.select("id").distinct()
-    n_wanted = wanted.count()
-    chosen = docs.filter(F.col(id_col).isNotNull()).join((F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted).withColumnRenamed("id", id_col), id_col, "left_semi")
+    wanted = small(buckets.select(F.col("id").alias(id_col)).distinct(), BROADCAST_IDS)
+    chosen = docs.filter(F.col(id_col).isNotNull()).join(wanted, id_col, "left_semi")
     sets = materialize(shingle_sets(chosen, id_col, text, size), "sets")
 
     links = materialize(_confirmed(tried, sets, percent), "links")

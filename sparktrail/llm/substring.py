@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import materialize, table
+from sparktrail.llm.common import materialize, small, table
 from sparktrail.llm.words import Words, blocks
 
 #: Documents up to which a table of positions by document is broadcast to the texts; beyond it the texts are shuffled.
@@ -142,8 +142,7 @@ def _windows_at(docs: DataFrame, window: int) -> DataFrame:
 
 def _by_document(rows: DataFrame, name: str) -> DataFrame:
     """(id, key, positions): broadcast to the texts while there are few, by a count of them."""
-    out = materialize(rows.groupBy("id", "key").agg(F.collect_list("pos").alias(name)), name)
-    return F.broadcast(out) if out.count() <= BROADCAST_DOCS else out
+    return small(materialize(rows.groupBy("id", "key").agg(F.collect_list("pos").alias(name)), name), BROADCAST_DOCS)
 
 
 def _removable(rows: DataFrame) -> DataFrame:
@@ -206,10 +205,8 @@ def _cleaned(window: int, with_text: bool):
 
 def _with_repeats(docs: DataFrame, id_col: str, text: str, window: int, with_text: bool) -> DataFrame:
     found = materialize(repeats(docs, id_col, text, window), "starts").withColumnsRenamed({"id": "_id", "key": "_key", "starts": "_starts"})
-    few = found.count() <= BROADCAST_DOCS
     keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    found = F.broadcast(found) if few else found
-    joined = keyed.join(found, (F.col(id_col) == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    joined = keyed.join(small(found, BROADCAST_DOCS), (F.col(id_col) == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     return joined.withColumn("_cleaned", _cleaned(window, with_text)(F.col(text), F.col("_starts")))
 
 
