@@ -17,6 +17,8 @@ candidates and repeated queries give their result once. Other columns are not lo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,52 +38,62 @@ def finite(vector: str) -> Column:
 
 
 class Lists:
-    """The sorted lists of a block of integer vectors."""
+    """The sorted lists of a block of integer vectors, read for many queries at once.
+
+    A query with a positive component reads that list from its top, one with a negative component from its bottom.
+    At a given depth the bounds of all candidates are then two products: of what every list says of a candidate (its
+    value if it has been reached, else the value at the depth for the upper bound, the list's last value for the
+    lower one), read from either end, and of the positive and negative parts of the queries.
+    """
 
     #: Parts of the lists that have been read when bounds are compared.
-    DEPTHS = (1 / 2, 3 / 4, 7 / 8, 15 / 16)
+    DEPTHS = (3 / 4, 15 / 16)
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")  # ties then go to the smaller id
         self.ids, self.vectors = ids[order], vectors[order]
-        ascending = np.argsort(self.vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, ascending, axis=0)
-        self.rank = np.empty_like(ascending, dtype=np.int32)
-        np.put_along_axis(self.rank, ascending, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
-
-    def top(self, query: np.ndarray, k: int, own) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k candidates of highest score, best first, without the id ``own``."""
-        alive = np.flatnonzero(self.ids != own)
-        n = len(self.ids)
-        falling = query > 0
-        worst = query * np.where(falling, self.sorted[0], self.sorted[-1])
-        for part in self.DEPTHS if len(alive) > 4 * k else ():
+        self.sorted = np.sort(self.vectors, axis=0)
+
+    def bounds(self, depth: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(upper, lower) of each component read to ``depth`` from the top, then from the bottom."""
+        x, n = self.vectors, len(self.vectors)
+        from_top, from_bottom = self.sorted[n - depth], self.sorted[depth - 1]
+        upper = np.hstack((np.maximum(x, from_top), np.minimum(x, from_bottom)))
+        lower = np.hstack((np.where(x >= from_top, x, self.sorted[0]), np.where(x <= from_bottom, x, self.sorted[-1])))
+        return upper.astype(kind), lower.astype(kind)
+
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k candidates of highest score, best first, for each query, without its own id."""
+        n, kind = len(self.ids), _exact(queries, self.vectors)
+        parts = np.hstack((np.maximum(queries, 0), np.minimum(queries, 0)))
+        alive: list[np.ndarray] = [np.flatnonzero(self.ids != o) for o in own]
+        asking = np.arange(len(queries))
+        for part in self.DEPTHS if kind is not None else ():
+            asking = asking[[len(alive[i]) > 4 * k for i in asking]]
             depth = int(n * part)
-            if not 0 < depth < n:
+            if not len(asking) or not 0 < depth < n:
                 continue
-            at_depth = query * np.where(falling, self.sorted[n - depth], self.sorted[depth - 1])
-            rank = self.rank[alive]
-            read = np.where(falling, rank >= n - depth, rank < depth)
-            part_score = np.where(read, self.vectors[alive] * query, 0).sum(1)
-            lower = part_score + np.where(read, 0, worst).sum(1)
-            upper = part_score + np.where(read, 0, at_depth).sum(1)
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            alive = alive[upper >= bar]
-            if len(alive) <= 2 * k:
-                break
-        scores = self.vectors[alive] @ query
-        best = np.argsort(-scores, kind="stable")[:k]
-        return self.ids[alive[best]], scores[best]
+            upper, lower = (m @ parts[asking].T.astype(kind) for m in self.bounds(depth, kind))
+            mine = self.ids[:, None] == own[asking]
+            lower[mine], upper[mine] = -np.inf, -np.inf
+            bar = np.partition(lower, n - k, axis=0)[n - k]
+            reach = upper >= bar
+            for j, i in enumerate(asking):
+                alive[i] = np.intersect1d(alive[i], np.flatnonzero(reach[:, j]), assume_unique=True)
+        for query, left in zip(queries, alive, strict=True):
+            scores = self.vectors[left] @ query
+            best = np.argsort(-scores, kind="stable")[:k]
+            yield self.ids[left[best]], scores[best]
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
     return np.stack(rows.to_numpy()).astype(np.int64)
 
 
-def _narrow(x: np.ndarray, y: np.ndarray) -> type:
-    """Eight bytes only where four could overflow."""
+def _exact(x: np.ndarray, y: np.ndarray) -> type | None:
+    """The floating-point type in which all sums of products are exact integers, if there is one."""
     peak = int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0)) * max(1, x.shape[1])
-    return np.int32 if peak < 1 << 30 else np.int64
+    return np.float32 if peak < 1 << 24 else np.float64 if peak < 1 << 53 else None
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
@@ -101,14 +113,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])
         if len(asked) and len(there):
-            q, x = _matrix(asked["v"]), _matrix(there["v"])
-            kind_of = _narrow(q, x)
-            lists = Lists(there["id"].to_numpy(), x.astype(kind_of))
-            for one, own in zip(q.astype(kind_of), asked["id"].to_numpy(), strict=True):
-                ids, scores = lists.top(one, k, own)
-                out[0].append(np.repeat(own, len(ids)))
+            own = asked["id"].to_numpy()
+            for one, (ids, scores) in zip(own, Lists(there["id"].to_numpy(), _matrix(there["v"])).top(_matrix(asked["v"]), k, own), strict=True):
+                out[0].append(np.repeat(one, len(ids)))
                 out[1].append(ids)
-                out[2].append(scores.astype(np.int64))
+                out[2].append(scores)
         cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
         return pd.DataFrame({"query_id": cols[0], "id": cols[1], "score": cols[2]})
 
