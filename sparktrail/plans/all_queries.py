@@ -1,5 +1,6 @@
 """Imports every module that registers queries."""
 
+from sparktrail.plans import q_rules  # noqa: F401
 from sparktrail.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
