@@ -11,8 +11,9 @@
 3. In each band bucket of several classes the one with the most company is the centre, and all others are compared to
    it, so a group of n near copies costs about n comparisons. Where that leaves a bucket with several components, its
    texts are joined once more, on shingles: two similar sets share one of the rarest shingles of each (the first
-   n - ceil(0.8 n) + 1 in one order for all), so pairs across components that share such a shingle are compared. That
-   loses no link and passes over the many texts that only have a common passage in common.
+   n - ceil(0.8 n) + 1 in one order for all), and the first one they share comes early enough in both for the rest to
+   make up the intersection. Pairs across components for which that holds are compared. That loses no link and passes
+   over the many texts that only have a common passage in common.
 4. Comparisons are exact: intersection and union of the full sets of 64-bit shingle hashes.
 
 Words are runs of other bytes than ASCII white space; A-Z are lower-cased. A text with fewer words than a shingle has
@@ -133,9 +134,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(open_sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, component, token): of each set as many of its shingles, in one order for all sets, as a similar set
-    cannot be without all of. The order puts the shingles that most sets have last, so the ones that tell sets apart
-    are left; any order gives every pair, the counts only spare comparisons."""
+    """(id, n, component, token, place): of each set as many of its shingles, in one order for all sets, as a similar
+    set cannot be without all of, and the place of each in that order. The order puts the shingles that most sets have
+    last, so the ones that tell sets apart are left; any order gives every pair, the counts only spare comparisons."""
     common = open_sets.select(F.explode("set").alias("token")).groupBy("token").count().filter("count >= 8")
     common = common.orderBy(F.col("count").desc(), "token").limit(COMMON).collect()
     token = np.array([r["token"] for r in common], np.int64)
@@ -144,7 +145,7 @@ def _prefixes(open_sets: DataFrame, percent: int) -> DataFrame:
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, tokens = [], []
+            rows, tokens, places = [], [], []
             flat, ends = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
             for i, values in enumerate(np.split(flat, ends[1:-1] - ends[0])):
                 place = np.minimum(np.searchsorted(token, values), max(0, len(token) - 1))
@@ -152,11 +153,12 @@ def _prefixes(open_sets: DataFrame, percent: int) -> DataFrame:
                 k = len(values) - -(-len(values) * percent // 100) + 1
                 tokens.append(values[np.lexsort((values, weight))[:k]])
                 rows.append(np.full(len(tokens[-1]), i))
+                places.append(np.arange(1, len(tokens[-1]) + 1))
             take = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())], ["id", "n", "component", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), pa.array(np.concatenate(places) if places else [], pa.int64())], ["id", "n", "component", "token", "place"])
 
     kind = open_sets.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("component", kind), T.StructField("token", T.LongType())])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("component", kind), T.StructField("token", T.LongType()), T.StructField("place", T.LongType())])
     return open_sets.select("id", "set", "n", "component").mapInArrow(prefix, schema)
 
 
@@ -193,7 +195,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     mixed = prefixes.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     rest = prefixes.join(mixed, "token", "left_semi")
     one, two = rest.alias("x"), rest.alias("y")
-    across = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & alike("x.n", "y.n"))
+    # the first shingle that two sets share leaves room for an intersection that is large enough
+    room = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    across = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & alike("x.n", "y.n") & enough)
     across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(_confirmed(materialize(across, "pairs"), sets, percent), "links")
     if not more.isEmpty():
