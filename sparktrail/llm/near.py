@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = member.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep"))
     classes = materialize(classes, "classes")
 
-    in_buckets = sketched.filter("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.explode("bands").alias("band")).distinct()
+    in_buckets = sketched.filter("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.explode("bands").alias("band"))
     shared = in_buckets.groupBy("band").agg(F.count("*").alias("company")).filter("company > 1")
     buckets = materialize(in_buckets.join(shared, "band"), "buckets")
 

@@ -83,13 +83,17 @@ class Words:
         return self.doc[: n - size + 1] == self.doc[size - 1 :] if n >= size else np.empty(0, bool)
 
 
-def blocks(texts: pa.Array, lower: bool, limit: int = 1 << 20) -> Iterator[tuple[int, Words]]:
-    """(number of the first text, words) for blocks of texts of up to ``limit`` bytes, or of one longer text."""
-    values = [v or b"" for v in texts.cast(pa.binary()).to_pylist()]
-    sizes = np.array([len(v) + 1 for v in values], np.int64)
-    at = 0
-    while at < len(values):
-        ends = np.cumsum(sizes[at : at + limit])
-        stop = at + max(1, int(np.searchsorted(ends, limit, "right")))
-        yield at, Words(np.frombuffer(b" ".join(values[at:stop]) + b" ", np.uint8), ends[: stop - at], lower)
-        at = stop
+def blocks(texts: pa.Array, lower: bool, limit: int = 1 << 18, rows: int = 1024) -> Iterator[tuple[int, Words]]:
+    """(number of the first text, words) for blocks of texts of up to ``limit`` bytes, or of one longer text.
+
+    Texts are taken from the Arrow batch ``rows`` at a time, so a worker holds little more than the batch itself.
+    """
+    for lo in range(0, len(texts), rows):
+        values = [v or b"" for v in texts.slice(lo, rows).cast(pa.binary()).to_pylist()]
+        sizes = np.array([len(v) + 1 for v in values], np.int64)
+        at = 0
+        while at < len(values):
+            ends = np.cumsum(sizes[at:])
+            stop = at + max(1, int(np.searchsorted(ends, limit, "right")))
+            yield lo + at, Words(np.frombuffer(b" ".join(values[at:stop]) + b" ", np.uint8), ends[: stop - at], lower)
+            at = stop
