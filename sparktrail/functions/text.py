@@ -103,3 +103,16 @@ def command_dir(subcommands: Column | str) -> Column:
         return F.when(rest.rlike("^[\"']"), F.coalesce(quoted(rest), F.lit(""))).otherwise(F.regexp_extract(rest, r"^\S*", 0))
 
     return F.aggregate(moves, F.lit(None).cast("string"), lambda wd, s: changed_dir(wd, target(s)))
+
+
+def utc_instant(ts: Column | str) -> Column:
+    """A timestamp without time zone, read as UTC, as an instant; whatever the session's time zone is."""
+    since = as_col(ts) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    days, hours, minutes = (F.extract(F.lit(u), since).cast("long") for u in ("DAY", "HOUR", "MINUTE"))
+    seconds = F.extract(F.lit("SECOND"), since)
+    return F.timestamp_micros(((days * 24 + hours) * 60 + minutes) * 60_000_000 + (seconds * 1_000_000).cast("long"))
+
+
+def utc_clock(ts: Column | str) -> Column:
+    """An instant as the UTC clock shows it, without time zone."""
+    return F.convert_timezone(None, F.lit("UTC"), as_col(ts).cast("timestamp_ntz"))

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparktrail.functions.text import utc_instant
 
 #: The same actions in SQL: a common table expression to put before a query.
 ACTIONS_SQL = """
@@ -42,6 +45,8 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = by_time.rowsBetween(Window.unboundedPreceding, 0)
     named = lambda view, purchase, signup, other: F.when(kind == "view", view).when(kind == "purchase", purchase).when(kind == "signup", signup).otherwise(other)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("sid", F.col("user_id")).withColumn("k", _k())
+    if isinstance(events.schema["ts"].dataType, T.TimestampNTZType):
+        events = events.withColumn("ts", utc_instant("ts"))
     out = events.select(
         "sid",
         (F.row_number().over(by_time) - 1).alias("idx"),
