@@ -12,7 +12,20 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch between the JVM and Python, where the session still has Spark's default of 10,000: texts are
+#: long, and a batch is held several times over on its way.
+BATCH_ROWS = 1024
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session was set up otherwise."""
+    if spark.conf.get(_BATCHES) == "10000":
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +52,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

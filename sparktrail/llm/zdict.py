@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrail.llm.common import hash_share
+from sparktrail.llm.common import bounded_batches, hash_share
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -55,6 +55,7 @@ def labelled_sample(rows: DataFrame, id_col: str, label: str, per_label: int, ma
     Longer texts give a slice that begins at a place chosen by the hash. Labels beyond the ``max_labels`` most
     frequent ones are not learned.
     """
+    bounded_batches(rows.sparkSession)
     counts = rows.groupBy(label).count().orderBy(F.col("count").desc(), label).limit(max_labels).collect()
     picked = []
     for row in counts:
