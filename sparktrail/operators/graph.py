@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktrail.functions.commands import hosts, paths_touched, variables_set, variables_used
 from sparktrail.functions.text import filled
 
 # Actions that write, those that read what they change, and those that imply an earlier state.
@@ -146,3 +147,63 @@ def short_duration(ms: Column | str) -> Column:
     """A duration for people: ``<1s``, ``12s``, ``3m 4s`` or ``1h 23m``."""
     s = F.floor((F.col(ms) if isinstance(ms, str) else ms) / 1000)
     return F.when(s < 1, "<1s").when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+
+
+# ---- what commands touch ---------------------------------------------------------------------------------------
+
+
+def variable_values(commands: DataFrame) -> DataFrame:
+    """(sid, idx, env): the variables that a command uses and their values, as commands before it have set them.
+
+    A variable that was last set to what the text does not tell has no value, whatever it was before.
+    """
+    sets = commands.select("sid", "idx", F.explode(variables_set(F.col("command"))).alias("v")).select("sid", "idx", "v.name", "v.value", F.lit(False).alias("use"))
+    uses = commands.select("sid", "idx", F.explode(variables_used(F.col("command"))).alias("name")).select("sid", "idx", "name", F.lit(None).cast("string").alias("value"), F.lit(True).alias("use"))
+    before = Window.partitionBy("sid", "name").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
+    # only assignments count; their value may be null, which is what makes it forgotten
+    last = F.max_by(F.struct("value"), F.when(~F.col("use"), F.col("idx"))).over(before)
+    known = sets.unionByName(uses).withColumn("last", last).filter("use and last.value is not null")
+    return known.groupBy("sid", "idx").agg(F.map_from_entries(F.collect_list(F.struct("name", "last.value"))).alias("env"))
+
+
+def command_touches(actions: DataFrame) -> DataFrame:
+    """(sid, idx, path, is_write): the files that commands read and write, variables put in."""
+    commands = actions.filter((F.col("action") == "run_command") & filled("command").isNotNull())
+    cwd = F.col("cwd") if "cwd" in actions.columns else F.lit(None).cast("string")
+    own = commands.select("sid", "idx", "command", cwd.alias("cwd")).join(variable_values(commands), ["sid", "idx"], "left")
+    env = F.coalesce("env", F.create_map().cast("map<string,string>"))
+    found = own.select("sid", "idx", F.explode(paths_touched(F.col("command"), F.col("cwd"), env)).alias("t"))
+    return found.select("sid", "idx", "t.path", (F.col("t.direction") == "write").alias("is_write"))
+
+
+def with_commands(touched: DataFrame, by_command: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) of the whole graph: what tools touch, then what commands do.
+
+    Commands go on with the counter of versions that the tools have left, so the number of a version does not follow
+    time; what a command sees is the highest version that was born before it, and version 0 where it reads first.
+    """
+    tools, own = entities(touched), by_command.withColumn("path", F.col("path"))
+    top = tools.groupBy("sid", F.col("key").alias("path")).agg(F.max("version").alias("top"))
+    rank = F.row_number().over(Window.partitionBy("sid", "path").orderBy("idx"))
+    made = own.filter("is_write").select("sid", "idx", "path").distinct().withColumn("n", rank).join(top, ["sid", "path"], "left")
+    made = made.select("sid", F.col("path").alias("key"), (F.coalesce("top", F.lit(0)) + F.col("n")).cast("long").alias("version"), F.col("idx").alias("producer_idx"), F.col("idx").alias("born_idx"))
+    reads = own.filter("not is_write").select("sid", "idx", F.col("path").alias("key")).distinct()
+    born = tools.unionByName(made)
+    seen = reads.join(born, ["sid", "key"], "left").groupBy("sid", "idx", "key").agg(F.max(F.when(F.col("born_idx") < F.col("idx"), F.col("version"))).alias("version"))
+    seen = seen.withColumn("version", F.coalesce("version", F.lit(0)).cast("long"))
+    zero = seen.filter("version = 0").select("sid", "key", "version").distinct().join(tools.filter("version = 0"), ["sid", "key", "version"], "left_anti")
+    zero = zero.select("sid", "key", "version", F.lit(None).cast("int").alias("producer_idx"), F.lit(-1).alias("born_idx"))
+    links = made.select("sid", F.col("producer_idx").alias("idx"), "key", "version", F.lit("generatedBy").alias("kind"), F.lit("likely").alias("confidence"))
+    links = links.unionByName(seen.select("sid", "idx", "key", "version", F.lit("usedBy").alias("kind"), F.lit("likely").alias("confidence")))
+    return born.unionByName(zero), edges(touched).unionByName(links)
+
+
+def host_edges(actions: DataFrame) -> DataFrame:
+    """(sid, idx, key): machines and containers that commands reach."""
+    return actions.filter(filled("command").isNotNull()).select("sid", "idx", F.explode(hosts(F.col("command"))).alias("key"))
+
+
+def pid_mentions(pids: DataFrame, commands: DataFrame) -> DataFrame:
+    """(sid, pid, idx): later commands that name a process (sid, pid, born_idx), as a number of its own."""
+    whole = F.regexp_like("command", F.concat(F.lit(r"(?<!\d)"), F.col("pid").cast("string"), F.lit(r"(?!\d)")))
+    return pids.join(commands.select("sid", "idx", "command"), "sid").filter((F.col("born_idx") < F.col("idx")) & whole).select("sid", "pid", "idx")
