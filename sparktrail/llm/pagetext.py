@@ -196,19 +196,25 @@ def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float
     names = sorted(f for f, n in counts.items() if n >= least)
     number = {f: i for i, f in enumerate(names)}
     longest = max((len(p) for p in named), default=1)
-    x = np.zeros((longest, len(named), len(names) + 1), np.float32)
+    # the features of all blocks in one list (the last one is of every block), with the places of the blocks
     y, there = np.zeros((longest, len(named)), int), np.zeros((longest, len(named)), bool)
+    held, at, sizes = [], [], []
     for j, (page, (found, content)) in enumerate(zip(named, read, strict=True)):
         for t, block in enumerate(page):
-            x[t, j, [number[f] for f in set(block) if f in number]] = 1
-            x[t, j, -1] = 1
+            own = [number[f] for f in set(block) if f in number] + [len(names)]
+            held += own
+            at.append((t, j))
+            sizes.append(len(own))
             y[t, j], there[t, j] = found[t][0] in content, True
+    feature, rows, cols = np.array(held, int), *np.array(at, int).reshape(-1, 2).T
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int)
     w, start, trans = np.zeros(len(names) + 1), 0.0, np.zeros((2, 2))
     mean, square = np.zeros(len(w) + 5), np.zeros(len(w) + 5)
     pages_n = np.arange(len(named))
     for k in range(1, rounds + 1):
         emit = np.zeros((longest, len(named), 2))
-        emit[:, :, 1] = x @ w
+        if len(first):
+            emit[rows, cols, 1] = np.add.reduceat(w[feature], first)
         forward, backward = np.zeros_like(emit), np.zeros_like(emit)
         forward[0] = emit[0] + np.array([0.0, start])
         for t in range(1, longest):
@@ -220,7 +226,7 @@ def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float
             backward[t] = np.where(there[t + 1][:, None], step, 0)
         total = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
         p1 = np.exp(np.minimum(forward[:, :, 1] + backward[:, :, 1] - total, 0)) * there
-        slope_w = np.einsum("tn,tnf->f", (y - p1) * there, x)
+        slope_w = np.bincount(feature, weights=np.repeat((y - p1)[rows, cols], sizes), minlength=len(w))
         slope_start = float((y[0] - p1[0]).sum())
         slope_trans = np.zeros((2, 2))
         for t in range(1, longest):
