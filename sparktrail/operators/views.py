@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrail.functions.text import blank, first_filled
+from sparktrail.functions.text import blank, filled, first_filled
 
 
 # Symbols of actions on a timeline.
@@ -28,12 +28,23 @@ def timeline(actions: DataFrame, symbols: dict[str, str] = SYMBOLS, width: int =
     return placed.groupBy("sid", "cell").agg(F.max_by("symbol", "idx").alias("symbol"))
 
 
-def judge_line(cap: int = 160) -> Column:
-    """One line of an action for a judge."""
-    target = F.regexp_replace(blank(first_filled("command", "path", "pattern", "root")), r"\s+", " ")
-    short = F.when(F.length(target) > cap, F.concat(F.left(target, F.lit(cap - 1)), F.lit("…"))).otherwise(target)
-    mark = F.when(F.coalesce(F.col("error"), F.lit("")) != "", " !").otherwise("")
-    return F.concat(F.lit("#"), F.col("idx").cast("string"), F.lit(" t"), F.col("turn").cast("string"), F.lit(" "), F.col("action"), F.lit(" "), short, mark)
+def _capped(text: Column, n: int) -> Column:
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("…"))).otherwise(text)
+
+
+def judge_line(cap: int = 200) -> Column:
+    """An action for a judge: ``[idx] action(tool) target``, what went wrong, then its purpose and thought."""
+    target = _capped(blank(first_filled("command", "path", "pattern", "root")), cap)
+    state = (
+        F.when(F.coalesce(F.col("blocked"), F.lit(False)), " [BLOCKED]")
+        .when(filled("error").isNotNull(), F.concat(F.lit(" [ERROR:"), _capped(F.col("error"), 40), F.lit("]")))
+        .when(~F.coalesce(F.col("completed"), F.lit(True)), " [incomplete]")
+        .otherwise("")
+    )
+    head = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), F.col("action"), F.lit("("), F.col("tool"), F.lit(") "), target, state)
+    purpose = F.concat(F.lit("    ↳ purpose: "), _capped(filled("purpose"), 300))
+    thought = F.concat(F.lit("    ↳ think: "), filled("reasoning"))
+    return F.concat_ws("\n", head, purpose, thought)
 
 
 def judge_view(actions: DataFrame) -> DataFrame:
@@ -43,10 +54,20 @@ def judge_view(actions: DataFrame) -> DataFrame:
 
 
 def replay(actions: DataFrame) -> DataFrame:
-    """(sid, idx, line): a shell script of what a session did; what a shell can't repeat becomes a comment."""
-    quoted = F.concat(F.lit("'"), F.replace(blank("path"), F.lit("'"), F.lit("'\\''")), F.lit("'"))
-    line = F.when(F.col("action") == "run_command", F.col("command")).when(F.col("action") == "read_file", F.concat(F.lit("cat "), quoted)).when(F.col("action") == "list_dir", F.concat(F.lit("ls "), quoted)).otherwise(F.concat(F.lit("# "), F.col("action"), F.lit(" "), blank("path")))
-    return actions.select("sid", "idx", line.alias("line"))
+    """(sid, idx, line): a script to read of what a session did; what a shell can't repeat becomes a comment."""
+    mark = F.when(F.coalesce(F.col("completed"), F.lit(False)), "").otherwise("   # ✗ incomplete/failed")
+    named = lambda c: F.coalesce(filled(c), F.lit("?"))
+    text = (
+        F.when(F.col("action") == "run_command", F.rtrim(blank("command")))
+        .when(F.col("action") == "read_file", F.concat(F.lit("cat "), named("path")))
+        .when(F.col("action") == "list_dir", F.concat(F.lit("ls "), named("path")))
+        .when(F.col("action").isin("create_file", "modify_file"), F.concat(F.lit("# [side effect: "), F.col("action"), F.lit("] "), named("path")))
+        .when(F.col("action").isin("search_files", "search_content"), F.concat(F.lit("# [search] "), blank("pattern"), F.lit(" @ "), blank("root")))
+        .when(F.col("action") == "spawn_subagent", F.concat(F.lit("# >>> dispatch sub-agent: "), named("pattern"), F.lit(" (stage="), blank("command"), F.lit(")")))
+        .when(F.col("action") == "summarize", F.concat(F.lit("# [report] "), F.left(blank("pattern"), F.lit(70))))
+        .otherwise(F.concat(F.lit("# ["), F.col("action"), F.lit("]")))
+    )
+    return actions.select("sid", "idx", F.concat(text, mark).alias("line"))
 
 
 def turn_spans(actions: DataFrame) -> DataFrame:

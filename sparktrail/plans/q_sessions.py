@@ -496,14 +496,19 @@ def viz_turn_spans(spark, sf_dir):
     return out.withColumns({c: utc_clock(c) for c in ("started", "ended")})
 
 
-@query("viz_replay", f"{A} SELECT sid, idx, CASE action WHEN 'run_command' THEN command WHEN 'read_file' THEN 'cat ''' || path || '''' ELSE '# ' || action || ' ' || coalesce(path, '') END AS line FROM actions")
+@query(
+    "viz_replay",
+    f"""{A} SELECT sid, idx, CASE action WHEN 'run_command' THEN command WHEN 'read_file' THEN 'cat ' || path WHEN 'modify_file' THEN '# [side effect: modify_file] ' || path ELSE '# [' || action || ']' END
+    || CASE WHEN completed THEN '' ELSE '   # ✗ incomplete/failed' END AS line FROM actions""",
+)
 def viz_replay(spark, sf_dir):
     return views.replay(_acts(spark, sf_dir))
 
 
 @query(
     "viz_judge_view",
-    f"""{A} SELECT sid, string_agg('#' || idx || ' t' || turn || ' ' || action || ' ' || coalesce(command, path, '') || CASE WHEN error IS NOT NULL THEN ' !' ELSE '' END, chr(10) ORDER BY idx) AS text FROM actions GROUP BY sid""",
+    f"""{A} SELECT sid, string_agg('[' || idx || '] ' || action || '(' || tool || ') ' || coalesce(command, path, '') || CASE WHEN error IS NOT NULL THEN ' [ERROR:' || error || ']' ELSE '' END
+    || chr(10) || '    ↳ purpose: ' || purpose, chr(10) ORDER BY idx) AS text FROM actions GROUP BY sid""",
 )
 def viz_judge_view(spark, sf_dir):
     return views.judge_view(_acts(spark, sf_dir))
