@@ -29,15 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import materialize, small, table
+from sparktrail.llm.common import materialize, table
 from sparktrail.llm.words import Words, blocks
 
-#: Documents up to which a table of positions by document is broadcast to the texts; beyond it the texts are shuffled.
-BROADCAST_DOCS = 500_000
+#: Positions or spans (of a few bytes each) up to which they are broadcast to the texts; beyond it the texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def _lowest(runs: np.ndarray, half: int) -> np.ndarray:
@@ -140,9 +140,11 @@ def _windows_at(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("id", "key", "text", "at").mapInArrow(windows, schema)
 
 
-def _by_document(rows: DataFrame, name: str) -> DataFrame:
-    """(id, key, positions): broadcast to the texts while there are few, by a count of them."""
-    return small(materialize(rows.groupBy("id", "key").agg(F.collect_list("pos").alias(name)), name), BROADCAST_DOCS)
+def _by_document(rows: DataFrame, value, name: str) -> DataFrame:
+    """(id, key, values): the values of each document, broadcast to the texts while all documents have few in all."""
+    rows = materialize(rows, name)
+    out = rows.groupBy("id", "key").agg(F.collect_list(value).alias(name))
+    return F.broadcast(out) if rows.count() <= BROADCAST_ROWS else out
 
 
 def _removable(rows: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def _removable(rows: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
-    """(id, key, starts): the first words (from 0) of windows that together cover what has to go from a document.
+    """(id, key, start, stop): the spans of words (from 0, the last one excluded) that have to go from each document.
 
     ``key`` is xxhash64 of the text, which tells rows with one id apart.
     """
@@ -168,32 +170,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     of_doc = marked.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "h", "later", F.coalesce("goes", F.lit(False)).alias("goes"))).alias("rows"), F.max("n").alias("n"), F.max("later").alias("any"))
     open_halves = of_doc.filter("any").select("rows", "n").mapInPandas(_undecided(window), "h long").distinct()
     asked = shared.select("h", "id", "key", "pos").join(open_halves, "h", "left_semi")
-    ends = materialize(_windows_at(docs.join(_by_document(asked, "at"), ["id", "key"]), window), "windows")
-    return inside.unionByName(_removable(ends)).groupBy("id", "key").agg(F.collect_set("pos").alias("starts"))
+    ends = materialize(_windows_at(docs.join(_by_document(asked.select("id", "key", "pos"), F.col("pos"), "at"), ["id", "key"]), window), "windows")
+    order = Window.partitionBy("id", "key").orderBy("pos")
+    gap = F.coalesce(F.col("pos") - F.lag("pos").over(order) > window, F.lit(True))
+    spans = inside.unionByName(_removable(ends)).withColumn("_new", gap.cast("int")).withColumn("_span", F.sum("_new").over(order))
+    return spans.groupBy("id", "key", "_span").agg(F.min("pos").alias("start"), (F.max("pos") + window).alias("stop")).drop("_span")
 
 
-def _kept(raw: bytes, starts, window: int) -> tuple[int, list[bytes]]:
+def _kept(raw: bytes, spans) -> tuple[int, list[bytes]]:
     words = raw.split()
-    if starts is None or not len(starts):
-        return len(words), words
-    edge = np.zeros(len(words) + 1, np.int64)
-    at = np.asarray(starts, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
-    return len(words), [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+    kept = np.ones(len(words), bool)
+    for span in spans if spans is not None else ():
+        kept[span["start"] : span["stop"]] = False
+    return len(words), words if kept.all() else [words[i] for i in np.flatnonzero(kept)]
 
 
 _OUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
 
 
-def _cleaned(window: int, with_text: bool):
+def _cleaned(with_text: bool):
     @F.pandas_udf(_OUT)
     def cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts in batches:
+        for texts, spans in batches:
             rows = []
-            for text, at in zip(texts, starts, strict=True):
+            for text, own in zip(texts, spans, strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                n, kept = _kept(raw, at, window)
+                n, kept = _kept(raw, own)
                 joined = b" ".join(kept)
                 # a text that nothing goes from stays as it is
                 new = (text if n == len(kept) else joined.decode("utf-8", "surrogatepass")) if with_text else None
@@ -204,10 +206,10 @@ def _cleaned(window: int, with_text: bool):
 
 
 def _with_repeats(docs: DataFrame, id_col: str, text: str, window: int, with_text: bool) -> DataFrame:
-    found = materialize(repeats(docs, id_col, text, window), "starts").withColumnsRenamed({"id": "_id", "key": "_key", "starts": "_starts"})
+    found = _by_document(repeats(docs, id_col, text, window), F.struct("start", "stop"), "_spans").withColumnsRenamed({"id": "_id", "key": "_key"})
     keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    joined = keyed.join(small(found, BROADCAST_DOCS), (F.col(id_col) == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    return joined.withColumn("_cleaned", _cleaned(window, with_text)(F.col(text), F.col("_starts")))
+    joined = keyed.join(found, (F.col(id_col) == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    return joined.withColumn("_cleaned", _cleaned(with_text)(F.col(text), F.col("_spans")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
