@@ -221,3 +221,12 @@ def attribute_runs(runs: DataFrame, sessions: DataFrame, minutes: int = 5, hours
     chosen = ranked.groupBy("sid").applyInPandas(choose, "sid string, run int, session string")
     return runs.select("sid", "run").join(chosen, ["sid", "run"], "left")
 
+
+
+def side_by_side(hook: DataFrame, official: DataFrame) -> DataFrame:
+    """(sid, idx, hook_tool, official_tool, same) of sessions in which both sources have as many actions."""
+    sizes = hook.groupBy("sid").agg(F.count("*").alias("h")).join(official.groupBy("sid").agg(F.count("*").alias("o")), "sid").filter("h = o").select("sid")
+    h = hook.select("sid", "idx", canonical_tool(F.col("tool")).alias("hook_tool"))
+    o = official.select("sid", "idx", canonical_tool(F.col("tool")).alias("official_tool"))
+    out = h.join(o, ["sid", "idx"]).join(sizes, "sid", "left_semi")
+    return out.withColumn("same", F.col("hook_tool").eqNullSafe(F.col("official_tool")))

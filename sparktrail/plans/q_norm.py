@@ -8,7 +8,7 @@ from sparktrail.functions.shell import split_subcommands
 from sparktrail.functions.text import command_dir, resolved_path
 from sparktrail.operators import normalize
 from sparktrail.plans.catalog import query
-from sparktrail.sources import hooks
+from sparktrail.sources import cache, hooks
 from sparktrail.sources.standin import ACTIONS_SQL, actions, with_matcher_fields
 
 A = ACTIONS_SQL
@@ -111,3 +111,27 @@ def _log(spark, sf_dir):
 @query("norm_pairing")
 def norm_pairing(spark, sf_dir):
     return normalize.pair_calls(_log(spark, sf_dir))
+
+
+@query(
+    "cache_stale_texts",
+    f"""{A}, t AS (SELECT sid, idx, 'command' AS dim, command AS text FROM actions WHERE command IS NOT NULL UNION ALL SELECT sid, idx, 'path', path FROM actions WHERE path IS NOT NULL
+    UNION ALL SELECT sid, idx, 'purpose', purpose FROM actions UNION ALL SELECT sid, idx, 'error', error FROM actions WHERE error IS NOT NULL)
+    SELECT sid, idx, dim, substring(sha1(text), 1, 16) AS sha1 FROM t WHERE NOT (dim = 'purpose' AND idx % 3 > 0) AND NOT (dim = 'path' AND idx % 2 = 0)""",
+)
+def cache_stale_texts(spark, sf_dir):
+    """What has to be encoded when the paths of even actions and two purposes in three are known already."""
+    wanted = cache.texts(with_matcher_fields(actions(spark, sf_dir)))
+    known = wanted.filter("(dim = 'purpose' and idx % 3 > 0) or (dim = 'path' and idx % 2 = 0)")
+    other = wanted.filter("dim = 'command'").withColumn("sha1", F.lit("another text"))
+    return cache.stale(wanted, known.unionByName(other)).select("sid", "idx", "dim", "sha1")
+
+
+@query(
+    "norm_side_by_side",
+    f"""{A}, h AS (SELECT sid, idx, tool FROM actions WHERE sid % 3 = 0 OR idx > 0), s AS (SELECT sid FROM actions GROUP BY sid HAVING sid % 3 = 0)
+    SELECT a.sid, a.idx, a.tool AS hook_tool, a.tool AS official_tool, true AS same FROM actions a JOIN s USING (sid)""",
+)
+def norm_side_by_side(spark, sf_dir):
+    acts = actions(spark, sf_dir)
+    return normalize.side_by_side(acts.filter("sid % 3 = 0 or idx > 0").withColumn("tool", F.col("raw_tool")), acts)
