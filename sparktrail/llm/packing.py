@@ -24,8 +24,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,23 +46,26 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "t
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType(), False))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for batch in batches:
-            rows = []
-            for key, content in zip(batch["id"], batch["text"], strict=True):
-                ids = np.append(token_ids(enc, content), np.uint32(end_id)).astype("<u4")
+            rows, pieces, parts = [], [], []
+            for row, content in enumerate(batch.column(1)):
+                ids = np.append(token_ids(enc, content.as_py()), np.uint32(end_id)).astype("<u4")
                 start, stop = 0, len(ids) % length or min(length, len(ids))
                 piece = 0
                 while start < len(ids):
                     part = ids[start:stop]
-                    rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
+                    rows.append(row)
+                    pieces.append((piece, start, len(part), zlib.crc32(part.tobytes())))
+                    if with_ids:
+                        parts.append(part.astype(np.int32))
                     start, stop, piece = stop, stop + length, piece + 1
-            out = pd.DataFrame(rows, columns=schema.names)
-            out[id_col] = out[id_col].astype(batch["id"].dtype)
-            yield out
+            numbers = np.array(pieces, np.int64).reshape(-1, 4)
+            columns = [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(numbers[:, 0].astype(np.int32)), *(pa.array(numbers[:, i]) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(parts, pa.list_(pa.int32()))] if with_ids else []), schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(cut, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,14 +95,14 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, n
     return where, offset, np.array(free, np.int64)
 
 
-def _packer(level: int, keep: int, capacity: int, names: list[str]):
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "_row"], ascending=[False, True], ignore_index=True)
-        where, offset, free = place(group["length"].to_numpy(), capacity)
-        group["sequence_id"] = (np.int64(level) << 56) | (np.int64(key[0]) << 24) | where
-        group["offset"] = offset
-        group["_open"] = free[where] > keep
-        return group[names]
+def _packer(level: int, keep: int, capacity: int):
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        lengths, rows = group.column("length").to_numpy(), group.column("_row").to_numpy()
+        order = np.lexsort((rows, -lengths))
+        where, offset, free = place(lengths[order], capacity)
+        sequence = (np.int64(level) << 56) | (np.int64(key[0].as_py()) << 24) | where
+        group = group.drop_columns("_block").take(pa.array(order))
+        return group.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("_open", pa.array(free[where] > keep))
 
     return pack
 
@@ -119,7 +122,7 @@ def packed(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK, fan: int
     while True:
         last = blocks == 1
         keep = capacity if last else int(capacity * slack)
-        tried = rest.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks))).groupBy("_block").applyInPandas(_packer(level, keep, capacity, schema.names), schema)
+        tried = rest.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks))).groupBy("_block").applyInArrow(_packer(level, keep, capacity), schema)
         if last:
             done.append(tried.select(*columns, "sequence_id", "offset"))
             break

@@ -112,3 +112,11 @@ def test_placement_is_the_sum_of_squares_rule():
         free[at] = gap - s
         if gap > s:
             count[gap - s] = count.get(gap - s, 0) + 1
+
+
+def test_ids_of_any_kind_pass_through(spark):
+    docs = spark.createDataFrame([(None, "a b"), (2**60 + 1, None), (3, "x " * 3000)], "doc_id long, text string")
+    rows = packing.packed(packing.tokenized(docs, JSON, with_ids=True)).collect()
+    assert {r.doc_id for r in rows} == {None, 2**60 + 1, 3} and all(len(r.ids) == r.length for r in rows)
+    named = spark.createDataFrame([("x", "a b")], "doc_id string, text string")
+    assert packing.packed(packing.tokenized(named, JSON)).first().doc_id == "x"
