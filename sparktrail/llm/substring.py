@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from sparktrail.llm.common import materialize, table
 from sparktrail.llm.words import Words, blocks
 
-#: Positions or spans (of a few bytes each) up to which they are broadcast to the texts; beyond it the texts are shuffled.
+#: Spans (of a few bytes each) up to which they are broadcast to the texts; beyond it the texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -117,7 +117,7 @@ def _undecided(window: int):
 
 
 def _windows_at(docs: DataFrame, window: int) -> DataFrame:
-    """(g1, g2, id, key, pos): the full windows whose chosen half window is at one of the positions in ``at``."""
+    """(g1, g2, id, key, pos): the full windows whose chosen half window begins in one of the spans in ``at``."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +129,8 @@ def _windows_at(docs: DataFrame, window: int) -> DataFrame:
                 _, valid, lowest, full1, full2 = found
                 asked = np.zeros(len(words.start) + 1, bool)
                 for i in range(words.n_docs):
-                    asked[np.array(wanted[at + i], np.int64) + words.first[i]] = True
+                    for span in wanted[at + i]:
+                        asked[words.first[i] + span["start"] : words.first[i] + span["stop"]] = True
                 place = np.flatnonzero(valid & asked[lowest])
                 doc = words.doc[place]
                 rows = pa.array(doc + at)
@@ -140,11 +141,20 @@ def _windows_at(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("id", "key", "text", "at").mapInArrow(windows, schema)
 
 
-def _by_document(rows: DataFrame, value, name: str) -> DataFrame:
-    """(id, key, values): the values of each document, broadcast to the texts while all documents have few in all."""
-    rows = materialize(rows, name)
-    out = rows.groupBy("id", "key").agg(F.collect_list(value).alias(name))
-    return F.broadcast(out) if rows.count() <= BROADCAST_ROWS else out
+def _spans(rows: DataFrame, gap: int, width: int) -> DataFrame:
+    """(id, key, start, stop) of the positions of each document, those no further than ``gap`` apart in one span that
+    ends ``width`` after the last one."""
+    order = Window.partitionBy("id", "key").orderBy("pos")
+    new = F.coalesce(F.col("pos") - F.lag("pos").over(order) > gap, F.lit(True)).cast("int")
+    numbered = rows.withColumn("_new", new).withColumn("_span", F.sum("_new").over(order))
+    return numbered.groupBy("id", "key", "_span").agg(F.min("pos").alias("start"), (F.max("pos") + width).alias("stop")).drop("_span")
+
+
+def _by_document(spans: DataFrame, name: str) -> DataFrame:
+    """(id, key, spans): the spans of each document, broadcast to the texts while all documents have few in all."""
+    spans = materialize(spans, name)
+    out = spans.groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop")).alias(name))
+    return F.broadcast(out) if spans.count() <= BROADCAST_ROWS else out
 
 
 def _removable(rows: DataFrame) -> DataFrame:
@@ -169,12 +179,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     marked = shared.join(inside.withColumn("goes", F.lit(True)), ["id", "key", "pos"], "left")
     of_doc = marked.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "h", "later", F.coalesce("goes", F.lit(False)).alias("goes"))).alias("rows"), F.max("n").alias("n"), F.max("later").alias("any"))
     open_halves = of_doc.filter("any").select("rows", "n").mapInPandas(_undecided(window), "h long").distinct()
-    asked = shared.select("h", "id", "key", "pos").join(open_halves, "h", "left_semi")
-    ends = materialize(_windows_at(docs.join(_by_document(asked.select("id", "key", "pos"), F.col("pos"), "at"), ["id", "key"]), window), "windows")
-    order = Window.partitionBy("id", "key").orderBy("pos")
-    gap = F.coalesce(F.col("pos") - F.lag("pos").over(order) > window, F.lit(True))
-    spans = inside.unionByName(_removable(ends)).withColumn("_new", gap.cast("int")).withColumn("_span", F.sum("_new").over(order))
-    return spans.groupBy("id", "key", "_span").agg(F.min("pos").alias("start"), (F.max("pos") + window).alias("stop")).drop("_span")
+    asked = _spans(shared.select("h", "id", "key", "pos").join(open_halves, "h", "left_semi"), window, 1)
+    ends = materialize(_windows_at(docs.join(_by_document(asked, "at"), ["id", "key"]), window), "windows")
+    return _spans(inside.unionByName(_removable(ends)), window, window)
 
 
 def _kept(raw: bytes, spans) -> tuple[int, list[bytes]]:
@@ -206,7 +213,7 @@ def _cleaned(with_text: bool):
 
 
 def _with_repeats(docs: DataFrame, id_col: str, text: str, window: int, with_text: bool) -> DataFrame:
-    found = _by_document(repeats(docs, id_col, text, window), F.struct("start", "stop"), "_spans").withColumnsRenamed({"id": "_id", "key": "_key"})
+    found = _by_document(repeats(docs, id_col, text, window), "_spans").withColumnsRenamed({"id": "_id", "key": "_key"})
     keyed = docs.withColumn("_text_key", F.xxhash64(text))
     joined = keyed.join(found, (F.col(id_col) == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     return joined.withColumn("_cleaned", _cleaned(with_text)(F.col(text), F.col("_spans")))
