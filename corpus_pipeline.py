@@ -28,13 +28,12 @@ from sparktrail.llm.common import fold, materialize, shared_path, small, table
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    rated = toxicity.rate(docs.withColumn("_toxicity_text", F.col("text")), model, "_toxicity_text")
-    return rated.filter("predicted = 0").select(docs.columns)
+    return docs.withColumn("_toxicity", toxicity.scorer(model)(F.col("text"))).filter("_toxicity.predicted = 0").select(docs.columns)
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(fold("doc_id", 4) != 2))
-    return langid.identify(docs, model).filter("accepted").select(docs.columns)
+    return docs.withColumn("_language", langid.predictor(model)(F.col("text"))).filter("_language.accepted").select(docs.columns)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,8 +80,8 @@ class Classifier:
         return self.names[best], float(1 / weights.sum()), margin, margin >= self.model.min_margin or len(cut) == 1 and len(cut[0]) < self.model.least
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score, margin and accepted added."""
+def predictor(model: LanguageModel):
+    """A function of a text column: a struct of lang_pred, score, margin and accepted."""
 
     @F.pandas_udf(_OUT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -89,8 +89,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch in batches:
             yield pd.DataFrame([classify(t) for t in batch], columns=_OUT.names)
 
+    return predict
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score, margin and accepted added."""
     kept = [c for c in docs.columns if c not in _OUT.names and c != "_lang"]
-    return docs.withColumn("_lang", predict(F.col(text))).select(*kept, "_lang.*")
+    return docs.withColumn("_lang", predictor(model)(F.col(text))).select(*kept, "_lang.*")
 
 
 def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:

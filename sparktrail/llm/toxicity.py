@@ -144,8 +144,8 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text: str = "text", label: str
     return ToxicityModel(model.ordinary, model.toxic, tuple(_logistic(x, y).tolist()))
 
 
-def rate(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """``docs`` with score and predicted added."""
+def scorer(model: ToxicityModel):
+    """A function of a text column: a struct of score and predicted."""
 
     @F.pandas_udf(_OUT)
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -153,8 +153,13 @@ def rate(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame
         for batch in batches:
             yield pd.DataFrame([score(t) for t in batch], columns=_OUT.names)
 
+    return scores
+
+
+def rate(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """``docs`` with score and predicted added."""
     kept = [c for c in docs.columns if c not in _OUT.names and c != "_tox"]
-    return docs.withColumn("_tox", scores(F.col(text))).select(*kept, "_tox.*")
+    return docs.withColumn("_tox", scorer(model)(F.col(text))).select(*kept, "_tox.*")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

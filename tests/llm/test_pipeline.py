@@ -43,7 +43,8 @@ def test_odd_documents(spark, sf_dir, tmp_path):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "x " * 50000, "en", "s", 1), (4, "the same words again and again in a text " * 3, "en", "s", 1), (5, "the same words again and again in a text " * 3, "en", "s", 1), (5, "the same words again and again in a text " * 3, "en", "s", 1)]
     docs = spark.createDataFrame([(*r, "kept", 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, predicted string, score double")
     out = _through(spark, docs, sf_dir, tmp_path)
-    assert {r.doc_id for r in out["near_dedup"][1].collect()} == {3, 4}
+    kept = out["near_dedup"][1].collect()
+    assert {r.doc_id for r in kept} == {3, 4} and {(r.predicted, r.score) for r in kept} == {("kept", 1.0)}
 
 
 def test_empty_documents(spark, sf_dir, tmp_path):
