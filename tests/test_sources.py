@@ -167,3 +167,17 @@ def test_normalized_source(spark, tmp_path):
     config = tmp_path / "c.json"
     config.write_text('{"_doc": 1, "a": {"_x": 2, "b": [3]}}')
     assert normalized.read_config(spark, str(config)) == {"a": {"b": [3]}}
+
+
+def test_command_line(spark, record, log, tmp_path):
+    from sparktrail.__main__ import WHAT, main
+
+    checks = tmp_path / "rules.json"
+    checks.write_text(json.dumps({"checks": [{"id": "made", "runs": "make"}, {"id": "no", "never_dispatches": "r2"}]}))
+    told = main(["rules", "--official", record, "--rules", str(checks), "--scoring", str(tmp_path / "none.json")]).collect()
+    assert [(r.sid, r.verdict, r.health) for r in told] == [("s1aaaaaaa", "FAIL", 0.333)]
+    for what in sorted(set(WHAT) - {"rules"}):
+        for source in (["--official", record], ["--hook", log]):
+            out = str(tmp_path / f"{what}-{source[0][2:]}")
+            main([what, *source, "--out", out])
+            assert spark.read.json(out).count() > 0, what
