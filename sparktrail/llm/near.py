@@ -88,10 +88,6 @@ class Sketcher:
         return mix((mix(sketch).reshape(self.bands, self.rows) * self.factors).sum(1, dtype=_U) ^ self.own)
 
 
-def _ids(batch: pa.RecordBatch, taken: list[int]) -> pa.Array:
-    return batch.column(0).take(pa.array(taken, pa.int32()))
-
-
 def sketches(docs: DataFrame, id_col: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
     """(id, n, fp1, fp2, bands): size and fingerprint of each set, and its band hashes (null for the empty set)."""
 
