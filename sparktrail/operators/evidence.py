@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +135,3 @@ def files_in_window(files: DataFrame, patterns: DataFrame, windows: DataFrame) -
 def words_only(text: Column | str) -> Column:
     """A text without all that are not word characters, to compare quotes by."""
     return F.regexp_replace(blank(text), r"(?U)\W+", "")
-
-
-def is_pattern(text: str) -> bool:
-    return bool(re.search(r"[*?]", text))
