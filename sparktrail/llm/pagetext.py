@@ -183,7 +183,7 @@ class PageModel:
     transitions: tuple[tuple[float, float], tuple[float, float]]
 
 
-def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float = 0.005, least: int = 3) -> PageModel:
+def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float = 0.003, least: int = 3) -> PageModel:
     """Train on pages (HTML, texts of the blocks that are content) by the gradient of the conditional likelihood."""
     read = [(blocks(page), set(content)) for page, content in pages]
     read = [(b, c) for b, c in read if b]
@@ -332,16 +332,24 @@ class _Maker:
         inside = self.r.choice([f"&copy; {self.words(1, 2)} &middot; {self.prose()}", f"<p>&copy; 2020 {self.words(1, 4)}. All rights reserved.</p>", f"<p>{self.prose()}</p>", self.links(), f"<div>{self.words(1, 5)}</div><p>{self.sentence()}</p>"])
         return f"{start}{inside}{end}"
 
+    def heading(self) -> str:
+        tag = self.r.choice(["h2", "h3", "h3", "h4"])
+        return f"<{tag}>{self.words(1, 4)}</{tag}>"
+
     def text_in(self) -> str:
-        return self.r.choice([self.prose(), f"<p>{self.prose()}</p>", f"<h3>{self.words(1, 4)}</h3><p>{self.prose()}</p>", f"<h4>{self.words(1, 3)}</h4>{self.links()}", f"<p>{self.sentence()}</p><p>{self.prose()}</p>"])
+        return self.r.choice([self.prose(), f"<p>{self.prose()}</p>", f"{self.heading()}<p>{self.prose()}</p>", f"{self.heading()}{self.links()}", f"<p>{self.sentence()}</p><p>{self.prose()}</p>"])
+
+    def container(self, *names: str) -> tuple[str, str]:
+        tag = self.r.choice(["div", "div", "div", "section", "aside"])
+        return self.named(tag, *names), f"</{tag}>"
 
     def aside(self) -> str:
-        start, end = self.r.choice([("<aside>", "</aside>"), (self.named("aside", "sidebar", "related"), "</aside>"), (self.named("div", "sidebar", "widget", "related", "recommended", "trending", "popular"), "</div>")])
+        start, end = self.r.choice([("<aside>", "</aside>"), (self.named("aside", "sidebar", "related"), "</aside>"), self.container("sidebar", "widget", "related", "recommended", "trending", "popular")])
         return start + self.text_in() + end
 
     def advert(self) -> str:
-        start = self.named("div", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "sponsor")
-        return f"{start}{self.text_in()}</div>"
+        start, end = self.container("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "sponsor")
+        return f"{start}{self.text_in()}{end}"
 
     def notice(self) -> str:
         start = self.r.choice([self.named("div", "cookie", "cookies", "consent", "notice", "gdpr", "alert", "popup", "modal", "newsletter", "paywall", "disclaimer"), '<div role="dialog">', '<div role="alert">', "<dialog>"])
@@ -358,7 +366,7 @@ class _Maker:
         start = self.named(tag, "comments", "comment", "discussion", "responses", "replies", "disqus")
         inner = self.r.choice(['<div class="comment">', '<div class="reply">', "<div>", '<article class="comment">', "<li>"])
         end = "</article>" if "article" in inner else "</li>" if inner == "<li>" else "</div>"
-        head = f"<h3>{self.words(1, 3)}</h3>" if self.r.random() < 0.6 else ""
+        head = self.heading() if self.r.random() < 0.6 else ""
         return start + head + "".join(f"{inner}{f'<b>{self.words(1, 2)}</b>' if self.r.random() < 0.5 else ''}<p>{self.prose()}</p>{end}" for _ in range(self.r.randint(1, 5))) + f"</{tag}>"
 
     def share(self) -> str:
@@ -393,25 +401,29 @@ class _Maker:
                 inner.append("<table>" + "".join("<tr>" + "".join(keep("<td>", self.words(1, 4), "</td>") for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 3))) + "</table>")
             elif kind < 0.86:
                 inner.append(f"<figure><img src=a.png>{keep('<figcaption>', self.sentence(), '</figcaption>')}</figure>")
-            elif kind < 0.89:
+            elif kind < 0.875:
                 inner.append(keep("<div>", self.prose(), "</div>"))
-            elif kind < 0.91:
+            elif kind < 0.89:
                 inner.append(keep("<pre>", self.words(2, 12), "</pre>"))
             else:
-                inner.append(r.choice([self.advert, self.notice, self.share, self.form, self.aside])())
+                inner.append(r.choice([self.advert, self.advert, self.notice, self.share, self.form, self.aside])())
         start, end = r.choice([("<article>", "</article>")] * 3 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), (self.named("div", "content", "article", "post", "entry", "story", "body", "text", "main"), "</div>"), (self.named("section", "content", "article", "post", "story"), "</section>"), (self.named("article", "post", "entry"), "</article>"), ("<div>", "</div>")])
         article = start + "".join(inner) + end
         before = [f for f in (self.menu, self.header, self.advert, self.notice, self.form, self.aside) if r.random() < 0.45]
         after = [f for f in (self.comments, self.aside, self.advert, self.share, self.footer, self.notice, self.form) if r.random() < 0.45]
         r.shuffle(before)
         body = [*(f() for f in before), article, *(f() for f in after)]
+        if r.random() < 0.06:  # columns by a table
+            side = f"<td class='{r.choice(['sidebar', 'left', 'nav', 'right'])}'>{self.text_in()}</td>"
+            own = f"<td class='{r.choice(['content', 'main', 'text', 'body'])}'>{''.join(inner)}</td>"
+            body = [f"<table><tr>{side}{own}</tr></table>" if r.random() < 0.5 else f"<table><tr>{own}{side}</tr></table>"]
         if r.random() < 0.3:
             body = [f'<div class="{r.choice(["page", "wrapper", "container"])}">', *body, "</div>"]
         extra = r.choice(["", "<script>var t='</p>';</script>", "<!-- ad -->", "<style>p{margin:0}</style>"])
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body>{extra}{''.join(body)}</body></html>", kept
 
 
-def training_pages(n: int = 800, seed: int = 1) -> list[tuple[str, list[str]]]:
+def training_pages(n: int = 1000, seed: int = 1) -> list[tuple[str, list[str]]]:
     """``n`` invented labelled pages."""
     maker = _Maker(seed)
     return [maker.page() for _ in range(n)]
