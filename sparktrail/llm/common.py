@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +19,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 #: Rows of an Arrow batch between the JVM and Python, where the session still has Spark's default of 10,000: texts are
 #: long, and a batch is held several times over on its way.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -24,6 +29,16 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCHES, str(BATCH_ROWS))
 
 
+def handing_back(batches: Iterator, of: Callable[[Iterator], Iterator]) -> Iterator:
+    """What ``of`` makes of ``batches``; at its end the worker, which later stages use again, gives freed memory back
+    to the system, where its allocators can."""
+    yield from of(batches)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

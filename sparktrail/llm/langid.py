@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import fold, table
+from sparktrail.llm.common import fold, handing_back, table
 from sparktrail.llm.zdict import Gauge, labelled_sample, plain, windows
 
 UNKNOWN = "und"
@@ -83,12 +83,15 @@ class Classifier:
 def predictor(model: LanguageModel):
     """A function of a text column: a struct of lang_pred, score, margin and accepted."""
 
-    @F.pandas_udf(_OUT)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classify = Classifier(model)
         for batch in batches:
             yield pd.DataFrame([classify(t) for t in batch], columns=_OUT.names)
 
+    @F.pandas_udf(_OUT)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return handing_back(batches, told)
+
     return predict
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import materialize, small, table
+from sparktrail.llm.common import handing_back, materialize, small, table
 from sparktrail.llm.components import components
 from sparktrail.llm.words import Words, blocks, mix
 
@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, id_col: str, text: str, size: int, bands: int, row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "n", "fp1", "fp2", "bands"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(sketch, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: handing_back(b, sketch), schema)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
@@ -117,7 +117,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array(found, pa.list_(pa.int64()))], ["id", "set"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("set", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(sets, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: handing_back(b, sets), schema)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktrail.llm.bytepair import encoding, token_ids
-from sparktrail.llm.common import materialize, table
+from sparktrail.llm.common import handing_back, materialize, table
 
 #: Pieces of a block, and blocks whose left-overs meet in one block of the next round.
 BLOCK, FAN = 16_384, 16
@@ -65,7 +65,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "t
             columns = [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(numbers[:, 0].astype(np.int32)), *(pa.array(numbers[:, i]) for i in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(parts, pa.list_(pa.int32()))] if with_ids else []), schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: handing_back(b, cut), schema)
 
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

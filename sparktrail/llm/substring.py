@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import materialize, table
+from sparktrail.llm.common import handing_back, materialize, table
 from sparktrail.llm.words import Words, blocks
 
 #: Spans (of a few bytes each) up to which they are broadcast to the texts; beyond it the texts are shuffled.
@@ -91,7 +91,7 @@ def _selected(docs: DataFrame, window: int) -> DataFrame:
 
     kind = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", kind), T.StructField("key", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType())])
-    return docs.select("id", "key", "text").mapInArrow(select, schema)
+    return docs.select("id", "key", "text").mapInArrow(lambda b: handing_back(b, select), schema)
 
 
 def _undecided(window: int):
@@ -138,7 +138,7 @@ def _windows_at(docs: DataFrame, window: int) -> DataFrame:
 
     kind = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType()), T.StructField("id", kind), T.StructField("key", T.LongType()), T.StructField("pos", T.IntegerType())])
-    return docs.select("id", "key", "text", "at").mapInArrow(windows, schema)
+    return docs.select("id", "key", "text", "at").mapInArrow(lambda b: handing_back(b, windows), schema)
 
 
 def _spans(rows: DataFrame, gap: int, width: int) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import fold, table
+from sparktrail.llm.common import fold, handing_back, table
 from sparktrail.llm.zdict import Gauge, labelled_sample, plain, windows
 
 _OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -147,12 +147,15 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text: str = "text", label: str
 def scorer(model: ToxicityModel):
     """A function of a text column: a struct of score and predicted."""
 
-    @F.pandas_udf(_OUT)
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(model)
         for batch in batches:
             yield pd.DataFrame([score(t) for t in batch], columns=_OUT.names)
 
+    @F.pandas_udf(_OUT)
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return handing_back(batches, told)
+
     return scores
 
 
