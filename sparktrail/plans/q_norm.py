@@ -135,3 +135,10 @@ def cache_stale_texts(spark, sf_dir):
 def norm_side_by_side(spark, sf_dir):
     acts = actions(spark, sf_dir)
     return normalize.side_by_side(acts.filter("sid % 3 = 0 or idx > 0").withColumn("tool", F.col("raw_tool")), acts)
+
+
+@query("norm_side_by_side_all", f"{A} SELECT sid, idx, tool AS hook_tool, tool AS official_tool, true AS same FROM actions")
+def norm_side_by_side_all(spark, sf_dir):
+    """Every action of every session in both sources."""
+    acts = actions(spark, sf_dir)
+    return normalize.side_by_side(acts.withColumn("tool", F.col("raw_tool")), acts)

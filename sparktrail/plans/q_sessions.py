@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparktrail.functions.text import utc_clock
@@ -317,6 +317,19 @@ def ev_run_tree(spark, sf_dir):
     return evidence.run_tree(sessions, sid.filter(F.col("sid").between(1, 2)))
 
 
+@query(
+    "ev_run_tree_all",
+    """WITH RECURSIVE s AS (SELECT DISTINCT user_id AS sid FROM events), l AS (SELECT sid, sid // 3 AS parent FROM s WHERE sid // 3 > 0 AND sid // 3 <> sid),
+    t AS (SELECT sid AS root, sid, 0 AS depth FROM s UNION ALL SELECT t.root, l.sid, t.depth + 1 FROM t JOIN l ON l.parent = t.sid WHERE t.depth < 3)
+    SELECT root, sid, min(depth) AS depth FROM t GROUP BY root, sid""",
+)
+def ev_run_tree_all(spark, sf_dir):
+    """Every session as a root."""
+    sid = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("sid")).distinct()
+    parent = F.floor(F.col("sid") / 3).cast("long")
+    return evidence.run_tree(sid.withColumn("parent", F.when((parent > 0) & (parent != F.col("sid")), parent)), sid)
+
+
 #: Texts stand for actions, the longest words of a benchmark item for the anchors of a requirement.
 _ANCHORS_SQL = """a AS (SELECT item_id AS req_id, unnest(list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))), 1, 4)) AS anchor FROM benchmark),
   pool AS (SELECT doc_id AS doc, doc_id AS idx, lower(text) AS text FROM documents)"""
@@ -358,6 +371,13 @@ def ev_window_pm2(spark, sf_dir):
     return evidence.around(acts, acts.filter("error is not null and k < 20"), 2, 2)
 
 
+@query("ev_window_pm2_all", f"{A} SELECT c.sid, c.idx AS centre, a.idx, a.action FROM actions c JOIN actions a ON a.sid = c.sid AND a.idx BETWEEN c.idx - 2 AND c.idx + 2 WHERE c.error IS NOT NULL")
+def ev_window_pm2_all(spark, sf_dir):
+    """Every error as a centre."""
+    acts = _acts(spark, sf_dir)
+    return evidence.around(acts, acts.filter("error is not null"), 2, 2)
+
+
 @query(
     "ev_hard_check_tier",
     f"""{A}, c AS (SELECT * FROM (VALUES (1, '/w/f1', NULL), (2, '/w/f77.py', NULL), (3, NULL, 'run_5')) AS t(req_id, read_path, invoke_agent))
@@ -392,6 +412,16 @@ def goal_quote_filter(spark, sf_dir):
     return goal.quoted(said.select("conv_id", "turn", "at", F.left("text", F.lit(40)).alias("quote")), said.select("at", "text"), "at").select("conv_id", "turn")
 
 
+@query("goal_quote_filter_all")
+def goal_quote_filter_all(spark, sf_dir):
+    """Every turn claims to hold its own opening and that of the turn before; no SQL, since words are told by Unicode."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("at", F.concat_ws("/", "conv_id", "turn"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    quotes = F.array(F.struct(F.lit("own").alias("quoted"), F.col("text").alias("of")), F.struct(F.lit("before").alias("quoted"), before.alias("of")))
+    claims = said.select("conv_id", "turn", "at", quotes.alias("q")).select("conv_id", "turn", "at", F.inline("q")).filter("of is not null")
+    return goal.quoted(claims.withColumn("quote", F.left("of", F.lit(40))), said.select("at", "text"), "at").select("conv_id", "turn", "quoted")
+
+
 _FINDINGS_SQL = f"""{A}, f AS (SELECT sid, seg AS req_id, CASE WHEN bool_or(error IS NOT NULL AND k < 3) THEN 'false' WHEN count(*) < 8 THEN 'unverifiable' ELSE 'true' END AS satisfied,
   bool_or(error IS NOT NULL AND k = 99) AS overclaim, seg = 5 AS synthetic, CASE WHEN seg % 3 = 0 THEN 'weak' ELSE 'strong' END AS strength FROM actions GROUP BY sid, seg)"""
 
@@ -533,3 +563,15 @@ def tune_flag_context(spark, sf_dir):
     acts = _acts(spark, sf_dir).withColumn("ref", F.concat_ws("#", "sid", "idx"))
     flags = acts.filter("error is not null and k < 10").select((F.col("sid") * 1000 + F.col("idx")).alias("flag_id"), F.lit("Mistake").alias("tag"), "sid", F.when(F.col("idx") % 2 == 0, F.col("ref")).otherwise("none").alias("ref"), "idx")
     return views.flag_contexts(flags, acts)
+
+
+@query(
+    "tune_flag_context_all",
+    f"""{A}, f AS (SELECT sid * 1000000 + idx AS flag_id, 'Mistake' AS tag, sid, idx FROM actions WHERE error IS NOT NULL)
+    SELECT f.flag_id, f.tag, f.sid, f.idx AS centre, a.idx, a.action FROM f JOIN actions a ON a.sid = f.sid AND a.idx BETWEEN f.idx - 2 AND f.idx + 2""",
+)
+def tune_flag_context_all(spark, sf_dir):
+    """Every error flagged, half of them by a reference that is not found."""
+    acts = _acts(spark, sf_dir).withColumn("ref", F.concat_ws("#", "sid", "idx"))
+    flags = acts.filter("error is not null").select((F.col("sid") * 1_000_000 + F.col("idx")).alias("flag_id"), F.lit("Mistake").alias("tag"), "sid", F.when(F.col("idx") % 2 == 0, F.col("ref")).otherwise("none").alias("ref"), "idx")
+    return views.flag_contexts(flags, acts)
