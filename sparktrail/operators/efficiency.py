@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.functions.text import basename, blank, filled
 from sparktrail.functions.vocabulary import WRITES_EFFICIENCY
-from sparktrail.operators.links import connected
+from sparktrail.operators.links import _written, connected
 
 # Thresholds of the duplicate vote, wasted reads, stuck turns and failure groups.
 VOTE = {"command_strong": 0.90, "purpose_strong": 0.85, "reasoning_strong": 0.85, "combined_min": 0.80}
@@ -103,8 +103,28 @@ def duplicate_pairs(commands: DataFrame, vectors: DataFrame, sibling_pairs: Data
     return out.withColumn("reason", vote(F.col("command"), F.col("purpose"), F.col("reasoning"), bars)).filter("reason is not null").select("sid", "seg", "idx1", "idx2", "reason")
 
 
+def duplicate_text_pairs(commands: DataFrame, texts: DataFrame, vectors: DataFrame, bars: dict = VOTE) -> DataFrame:
+    """As duplicate_pairs, from texts (sid, idx, dim, sha1) and a vector for each (dim, sha1): two texts are compared once, however many actions have them."""
+    dims = ("command", "purpose", "reasoning")
+    by_dim = texts.groupBy("sid", "idx").pivot("dim", list(dims)).agg(F.first("sha1"))
+    own = commands.select("sid", "seg", "idx").join(by_dim, ["sid", "idx"])
+    one, two = own.alias("x"), own.alias("y")
+    pairs = one.join(two, (F.col("x.sid") == F.col("y.sid")) & (F.col("x.seg") == F.col("y.seg")) & (F.col("x.idx") < F.col("y.idx")))
+    ends = lambda d: (F.least(f"x.{d}", f"y.{d}").alias(f"{d}_a"), F.greatest(f"x.{d}", f"y.{d}").alias(f"{d}_b"), (F.col(f"x.{d}").isNotNull() & F.col(f"y.{d}").isNotNull()).alias(f"{d}_both"))
+    pairs = pairs.select(F.col("x.sid").alias("sid"), F.col("x.seg").alias("seg"), F.col("x.idx").alias("idx1"), F.col("y.idx").alias("idx2"), *(c for d in dims for c in ends(d)))
+    out = pairs
+    for d in dims:
+        text = vectors.filter(F.col("dim") == d)
+        met = pairs.filter(f"{d}_both").select(f"{d}_a", f"{d}_b").distinct()
+        met = met.join(text.select(F.col("sha1").alias(f"{d}_a"), F.col("vector").alias("_u")), f"{d}_a").join(text.select(F.col("sha1").alias(f"{d}_b"), F.col("vector").alias("_v")), f"{d}_b")
+        alike = met.select(F.col(f"{d}_a").alias("_a"), F.col(f"{d}_b").alias("_b"), cosine("_u", "_v").alias(d))
+        out = out.join(alike, (F.col(f"{d}_a") == F.col("_a")) & (F.col(f"{d}_b") == F.col("_b")) & F.col(f"{d}_both"), "left").drop("_a", "_b")
+    return out.withColumn("reason", vote(F.col("command"), F.col("purpose"), F.col("reasoning"), bars)).filter("reason is not null").select("sid", "seg", "idx1", "idx2", "reason")
+
+
 def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     """(sid, seg, members, dominant_reason) of each group of duplicates; the reason seen first wins among equals."""
+    pairs = _written(pairs)  # looked at several times
     node = lambda c: F.struct("sid", "seg", F.col(c).alias("idx"))
     groups = connected(pairs.select(node("idx1").alias("a"), node("idx2").alias("b")))
     members = groups.groupBy("component").agg(F.array_sort(F.collect_list("id.idx")).alias("members"))
@@ -190,11 +210,14 @@ def session_grade(graded: DataFrame) -> DataFrame:
     return graded.groupBy("sid").agg(F.max("grade").alias("grade"))
 
 
-def report(turns: DataFrame, segments: DataFrame, graded: DataFrame, rewrites: DataFrame, failures: DataFrame) -> DataFrame:
-    """(sid, report): one JSON document for each session."""
+def report(turns: DataFrame, segments: DataFrame, graded: DataFrame, rewrites: DataFrame, failures: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(sid, report): one JSON document for each session, with its duplicate work if ``clusters`` are given."""
     cost = segment_cost(turns, segments).join(graded.select("sid", "seg", "grade"), ["sid", "seg"], "left")
     rows = lambda df, name, *fields: df.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
     out = rows(cost, "segments", "seg", "grade", "n_turns", "dur_s", "credits", "cycles", "llm_reqs")
     out = out.join(rows(rewrites, "multi_write", "seg", "path", "n", "density"), "sid", "left").join(rows(failures, "failures", "seg", "first_idx", "n"), "sid", "left")
     out = out.join(worst_turn(turns).select("sid", F.struct("turn", "credits", "share_pct").alias("worst_turn")), "sid", "left").join(session_grade(graded), "sid", "left")
-    return out.select("sid", F.to_json(F.struct("grade", "segments", "multi_write", "failures", "worst_turn")).alias("report"))
+    fields = ["grade", "segments", "multi_write", "failures", "worst_turn"]
+    if clusters is not None:
+        out, fields = out.join(rows(clusters, "duplicates", "seg", "members", "dominant_reason"), "sid", "left"), [*fields, "duplicates"]
+    return out.select("sid", F.to_json(F.struct(*fields)).alias("report"))

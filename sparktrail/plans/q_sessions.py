@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparktrail.functions.text import utc_clock
 from sparktrail.operators import efficiency, evidence, goal, graph, spans, stats, views
 from sparktrail.plans.catalog import query
+from sparktrail.sources import cache
 from sparktrail.sources.standin import ACTIONS_SQL, actions, with_matcher_fields
 
 A = ACTIONS_SQL
@@ -160,14 +161,28 @@ def eff_grade(spark, sf_dir):
     return efficiency.grades(segments, turns, none, efficiency.multi_writes(acts), efficiency.stuck_turns(turns, segments, 12), efficiency.failure_groups(acts)).select("sid", "seg", "grade")
 
 
+def _clusters(acts: DataFrame) -> DataFrame:
+    """Commands of a segment that do the same, by the hashed counts of their texts; the stand-in has no thoughts, so no siblings."""
+    commands = acts.filter("action = 'run_command'")
+    said = cache.texts(commands).filter(F.col("dim").isin("command", "purpose", "reasoning"))
+    return efficiency.duplicate_clusters(efficiency.duplicate_text_pairs(commands, said, cache.encoded(said.select("dim", "sha1", "text").dropDuplicates(["dim", "sha1"]))))
+
+
+@query("eff_grade_clusters")
+def eff_grade_clusters(spark, sf_dir):
+    """Grades with all their inputs; the SQL of eff_grade knows no duplicate work."""
+    acts = _acts(spark, sf_dir)
+    turns, segments = _turns(acts), _segments(acts)
+    return efficiency.grades(segments, turns, _clusters(acts), efficiency.multi_writes(acts), efficiency.stuck_turns(turns, segments, 12), efficiency.failure_groups(acts)).select("sid", "seg", "clusters", "grade")
+
+
 @query("eff_report")
 def eff_report(spark, sf_dir):
     acts = _acts(spark, sf_dir)
     turns, segments = _turns(acts), _segments(acts)
-    rewrites, failures = efficiency.multi_writes(acts), efficiency.failure_groups(acts)
-    none = segments.select("sid", "seg", F.array().cast("array<int>").alias("members")).limit(0)
-    graded = efficiency.grades(segments, turns, none, rewrites, efficiency.stuck_turns(turns, segments), failures)
-    return efficiency.report(turns, segments, graded, rewrites, failures)
+    clusters, rewrites, failures = _clusters(acts), efficiency.multi_writes(acts), efficiency.failure_groups(acts)
+    graded = efficiency.grades(segments, turns, clusters, rewrites, efficiency.stuck_turns(turns, segments), failures)
+    return efficiency.report(turns, segments, graded, rewrites, failures, clusters)
 
 
 # ---- provenance ------------------------------------------------------------------------------------------------
