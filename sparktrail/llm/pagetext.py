@@ -1,8 +1,9 @@
 """Operator 4: main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is read into its leaf blocks: the runs of text between the starts and ends of block-level elements, each with
-the elements around it. Markup, comments, scripts, styles, templates and the page's head never become blocks. Each
-block has features of its ancestors (tags, words of their classes and ids, roles, hidden ones) and of its text (length,
+the elements around it. Markup, comments, scripts, styles, templates and the page's head never become blocks; a head
+without end tag ends at the first text or element that cannot be in it. The text of formulas (annotations included)
+stays where it is. Each block has features of its ancestors (tags, words of their classes and ids, roles, hidden ones) and of its text (length,
 share of link text, end, signs, a few words that notices use). ``fit`` trains the weights of the features and of the
 transitions on labelled pages by conditional likelihood; ``extract`` decodes every page by Viterbi and joins the
 blocks that are content.
@@ -34,13 +35,15 @@ from pyspark.sql import types as T
 
 from sparktrail.llm.common import table
 
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|video|audio|textarea|select|title"
+_RAW = "script|style|noscript|template|svg|iframe|object|canvas|video|audio|textarea|select|title"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>|<({_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that leave a head open whose end tag is left out.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag closes the innermost of these elements, if none of the second kind is in between.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
@@ -107,8 +110,15 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 return -1
         return -1
 
+    def leave_head() -> None:
+        if (i := innermost(("head",), ())) >= 0:
+            close(i)
+
     at = 0
     for m in _TOKEN.finditer(page):
+        if in_head and (page[at : m.start()].strip() or (m.group(1) or "html").lower() not in _HEAD or m.group(3) and not m.group(2) and m.group(3).lower() not in _HEAD):
+            in_head = False
+            leave_head()
         if m.start() > at and not in_head:
             text = page[at : m.start()]
             pieces.append(text)
@@ -145,7 +155,9 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             stack.append((tag, _around(tag, m.group(4)) if len(m.group(4)) < 400 else _attribute_features(tag, m.group(4))))
             if tag == "a":
                 state[0] += 1
-    if at < len(page) and not in_head:
+    if at < len(page) and (not in_head or page[at:].strip()):
+        if in_head:
+            leave_head()
         pieces.append(page[at:])
     flush()
     return out

@@ -102,3 +102,28 @@ def test_blocks():
     html = "<head><title>no</title></head><body><p>a &amp; b<br>c&nbsp; d<p><b>e<div>f</div>g<script>var x='</p>'</script><ul><li>h<li>i</ul><!-- <p>no</p> --><style>p{}</style> j</body>"
     assert [b[0] for b in pagetext.blocks(html)] == ["a & b c d", "e", "f", "g", "h", "i", "j"]
     assert pagetext.blocks("<nav class='Top Menu'><a href=x>l k</a> m</nav>")[0][1:] == (("in:nav", "of:top", "of:menu", "is:nav"), 3)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>one</p><video-js></video-js><p>two</p>", ["one", "two"]),
+        ("<p>one<svg-icon></svg-icon><audio-player>x</audio-player></p><title-bar>two</title-bar>", ["onex", "two"]),
+        ("<p>one</p><VIDEO controls>no</VIDEO><p>two</p>", ["one", "two"]),
+        ("<p>one <svg width='1'/>two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <svg/>two</p><svg><text>no</text></svg><p>three</p>", ["one two", "three"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>two<math/> three</p>", ["so x=2 holds", "two three"]),
+        ("<html><head><meta charset=a><title>no</title><link rel=x><p>one</p><p>two</p></html>", ["one", "two"]),
+        ("<head><title>no</title><style>p{}</style> one <p>two", ["one", "two"]),
+        ("<head><title>no</title><video>no</video>one", ["one"]),
+        ("<head><title>no</title>one", ["one"]),
+        ("<head><title>no</title> <script>x</script> </head> <body><p>one", ["one"]),
+    ],
+)
+def test_article_text_is_kept(html, want):
+    assert [b[0] for b in pagetext.blocks(html)] == want
+
+
+def test_head_that_is_left_open():
+    assert pagetext.blocks("<head><title>no</title><p>one</p>") == pagetext.blocks("<p>one</p>")
+    assert pagetext.blocks("<head><title>no</title>one") == pagetext.blocks("one")
