@@ -2,22 +2,31 @@
 
 Vectors are quantised to integers, floor(``scale`` * x). Candidates are dealt by a hash into blocks of about ``BLOCK``
 rows, queries into blocks of about ``QUERIES``, and each pair of blocks is one group of one task, so no task holds more
-than two blocks. Within a candidate block there is a sorted list for each dimension. For a query every list is read
-from its good end, all to the same depth. A candidate's lower bound is the sum of what has been read of it plus the
-worst value of every list in which it has not been reached; its upper bound takes the value at the reading depth
-instead. Candidates whose upper bound is below the k-th best lower bound are dropped; reading stops when no more than k
-are left or the lists end, and the scores of those left are then resolved in full. Every step is exact, so the k best
-of all blocks are the k best of all candidates.
-
-Vectors that are null or hold a null or non-finite component take no part; neither do rows with a null id, and vectors
-of which a component is 2^31 or more after scaling. Vectors are only compared to vectors of the same number of
-components. Ties go to the smaller id. Rows with the query's own id are not its candidates. Repeated rows are repeated
-candidates and repeated queries give their result once. Other columns are not looked at.
+than two blocks. Within a candidate block there is a sorted list for each dimension. A query reads all lists from their
+good ends (from the top where its component is positive, from the bottom where it is negative, not at all where it is
+0), one after another position, in rounds that grow. Of every candidate met so far it keeps the sum of what has been read
+of it and in which lists that was. Its lower bound adds the worst value of each list in which it has not been met, its
+upper bound the value at the reading depth, which also bounds the candidates that no list has shown. Reading stops when,
+besides the k of the best lower bounds, neither a candidate that was met nor one that was not can reach the k-th best
+lower bound, or when the lists end. Then, and only then, the scores of those k (and of any that are level with them) are
+resolved from their vectors. Every step is exact, so the k best of all blocks are the k best of all candidates.
+
+Every candidate is sent to each block of queries, and each pair of blocks gives k rows for a query: with N candidates and
+Q queries that is N * Q / QUERIES vectors and Q * k * N / BLOCK rows of three numbers, of which Spark keeps k by query
+before they are shuffled. Both grow with the product, as an exact search over data without structure must.
+
+Vectors that are null or hold a null or non-finite component take no part; neither do rows with a null id. Vectors are
+only compared to vectors of the same number of components. Integers of any size are exact: rows with components too large
+for sums in double precision are compared by Python's integers, a block of them at a time. A score beyond the range of a
+64-bit integer is ranked by its true value and returned as the nearest end of that range. Ties go to the smaller id.
+Rows with the query's own id are not its candidates. Repeated rows are repeated candidates and repeated queries give
+their result once. An empty table, or one without queries, gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -25,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import materialize, table
+from sparktrail.llm.common import materialize, small, table
 
 #: Candidates and queries of a block.
 BLOCK, QUERIES = 4096, 1024
@@ -38,94 +47,123 @@ def finite(vector: str) -> Column:
 
 
 class Lists:
-    """The sorted lists of a block of integer vectors, read for many queries at once.
+    """The sorted lists of a block of integer vectors; ``read`` counts the positions that queries have read."""
 
-    A query with a positive component reads that list from its top, one with a negative component from its bottom.
-    At a given depth the bounds of all candidates are then two products: of what every list says of a candidate (its
-    value if it has been reached, else the value at the depth for the upper bound, the list's last value for the
-    lower one), read from either end, and of the positive and negative parts of the queries.
-    """
-
-    #: Parts of the lists that have been read when bounds are compared.
-    DEPTHS = (3 / 4, 15 / 16)
+    #: The part of the lists that the first round reads; each round reads twice as deep as the one before.
+    FIRST = 1 / 32
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")  # ties then go to the smaller id
         self.ids, self.vectors = ids[order], vectors[order]
-        self.sorted = np.sort(self.vectors, axis=0)
-
-    def bounds(self, depth: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        """(upper, lower) of each component read to ``depth`` from the top, then from the bottom."""
-        x, n = self.vectors, len(self.vectors)
-        from_top, from_bottom = self.sorted[n - depth], self.sorted[depth - 1]
-        upper = np.hstack((np.maximum(x, from_top), np.minimum(x, from_bottom)))
-        lower = np.hstack((np.where(x >= from_top, x, self.sorted[0]), np.where(x <= from_bottom, x, self.sorted[-1])))
-        return upper.astype(kind), lower.astype(kind)
-
-    def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) of the k candidates of highest score, best first, for each query, without its own id."""
-        n, kind = len(self.ids), _exact(queries, self.vectors)
-        parts = np.hstack((np.maximum(queries, 0), np.minimum(queries, 0)))
-        alive: list[np.ndarray] = [np.flatnonzero(self.ids != o) for o in own]
-        asking = np.arange(len(queries))
-        for part in self.DEPTHS if kind is not None else ():
-            asking = asking[[len(alive[i]) > 4 * k for i in asking]]
-            depth = int(n * part)
-            if not len(asking) or not 0 < depth < n:
-                continue
-            upper, lower = (m @ parts[asking].T.astype(kind) for m in self.bounds(depth, kind))
-            mine = self.ids[:, None] == own[asking]
-            lower[mine], upper[mine] = -np.inf, -np.inf
-            bar = np.partition(lower, n - k, axis=0)[n - k]
-            reach = upper >= bar
-            for j, i in enumerate(asking):
-                alive[i] = np.intersect1d(alive[i], np.flatnonzero(reach[:, j]), assume_unique=True)
-        for query, left in zip(queries, alive, strict=True):
-            scores = self.vectors[left] @ query
-            best = np.argsort(-scores, kind="stable")[:k]
-            yield self.ids[left[best]], scores[best]
-
-
-def _matrix(rows: pd.Series) -> np.ndarray:
-    return np.stack(rows.to_numpy()).astype(np.int64)
-
-
-def _exact(x: np.ndarray, y: np.ndarray) -> type | None:
-    """The floating-point type in which all sums of products are exact integers, if there is one."""
-    peak = int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0)) * max(1, x.shape[1])
-    return np.float32 if peak < 1 << 24 else np.float64 if peak < 1 << 53 else None
+        up = np.argsort(self.vectors, axis=0, kind="stable").T
+        self.order = np.concatenate((up[:, ::-1], up)).astype(np.int32)  # of each dimension the list from its top, then from its bottom
+        dims = np.arange(vectors.shape[1], dtype=np.int32)
+        both = np.concatenate((dims, dims))[:, None]
+        self.values, self.cell = self.vectors[self.order, both], self.order * np.int32(len(dims)) + both
+        self.read = 0
+
+    def top(self, query: np.ndarray, k: int, own: object) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k candidates of highest score, best first, without those of the query's own id."""
+        n = len(self.ids)
+        used = np.flatnonzero(query)
+        weight = query[used]
+        lists = np.where(weight > 0, used, used + len(query))
+        worst = self.values[lists, -1] * weight
+        lower, seen = np.full(n, worst.sum(), self.vectors.dtype), np.zeros(self.vectors.shape, bool)
+        left, depth = np.flatnonzero(self.ids != own), 0
+        while depth < n and len(left) > k and len(used):
+            until = min(n, max(depth * 2, int(n * self.FIRST), 1))
+            self.read += (until - depth) * len(used)
+            if until == n:  # the lists end: what has been read of each candidate that is left is its score
+                break
+            values = self.values[lists, depth:until] * weight[:, None]
+            _add(lower, self.order[lists, depth:until], values - worst[:, None])
+            seen.reshape(-1)[self.cell[lists, depth:until]] = True
+            depth = until
+            # what has not been read of a candidate is at most the value at the depth; of one that no list has shown, all
+            open_ = np.zeros(len(query), self.vectors.dtype)
+            open_[used] = values[:, -1] - worst
+            upper = lower[left] + open_.sum() - seen[left] @ open_
+            left = left[upper >= _nth(lower[left], k)]
+        scores = self.vectors[left] @ query
+        best = np.argsort(-scores, kind="stable")[:k]
+        return self.ids[left[best]], scores[best]
+
+
+def _add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    if total.dtype == object:
+        np.add.at(total, at.ravel(), values.ravel())
+    else:
+        total += np.bincount(at.ravel(), values.ravel(), len(total))
+
+
+def _nth(values: np.ndarray, k: int) -> object:
+    """The k-th largest value."""
+    return sorted(values)[-k] if values.dtype == object else np.partition(values, len(values) - k)[len(values) - k]
+
+
+def _quantised(rows: pd.Series, scale: float) -> np.ndarray:
+    """floor(scale * x): doubles where all are exact, or else Python's integers."""
+    x = np.stack(rows.to_numpy()).astype(np.float64)
+    with np.errstate(over="ignore"):
+        scaled = np.floor(x * scale)
+    if np.isfinite(scaled).all() and np.abs(scaled).max(initial=0) < 1 << 53:
+        return scaled
+    return np.array([[math.floor(Fraction(v) * Fraction(scale)) for v in row] for row in x.tolist()], object)
+
+
+def _small(vectors: np.ndarray) -> np.ndarray:
+    """The rows whose inner products with each other are exact in double precision."""
+    bar = math.isqrt((1 << 53) // max(1, vectors.shape[1]))
+    return np.abs(vectors).max(axis=1, initial=0) < bar
+
+
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _searched(k: int, scale: float):
+    def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        if len(asked) and len(there):
+            queries, vectors = _quantised(asked["v"], scale), _quantised(there["v"], scale)
+            ids, own = there["id"].to_numpy(), asked["id"].to_numpy()
+            plain, easy = _small(vectors), _small(queries)
+            whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+            parts = [(plain, easy, lambda x: x.astype(np.float64)), (~plain, easy, whole), (np.ones(len(ids), bool), ~easy, whole)]
+            for rows, asking, exact in parts:  # plain with plain; large candidates; large queries with all
+                if not rows.any() or not asking.any():
+                    continue
+                lists = Lists(ids[rows], exact(vectors[rows]))
+                for one, query in zip(own[asking], exact(queries[asking]), strict=True):
+                    found, scores = lists.top(query, k, one)
+                    values = [int(s) for s in scores]
+                    out[0].extend([one] * len(found))
+                    out[1].extend(found.tolist())
+                    out[2].extend(min(max(v, _LEAST), _MOST) for v in values)
+                    # beyond the range, text that sorts like the number
+                    out[3].extend(None if _LEAST < v < _MOST else str(10**700 + v) for v in values)
+        return pd.DataFrame({"query_id": out[0], "id": out[1], "score": out[2], "beyond": out[3]})
+
+    return search
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, id, score): for each row for which ``is_query`` holds its ``k`` best other rows."""
-    scaled = vectors.withColumn("_query", F.coalesce(is_query, F.lit(False))).filter(F.col(id_col).isNotNull() & finite(vector))
-    scaled = scaled.select(F.col(id_col).alias("id"), "_query", F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
-    scaled = scaled.filter(F.forall("v", lambda x: F.abs(x) < 1 << 31))
-    rows = materialize(scaled.select("id", "_query", F.size("v").alias("dim"), F.transform("v", lambda x: x.cast("int")).alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"), F.ceil(F.count_if("_query") / query_block).alias("query_blocks"))
-    rows = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "dim").filter("query_blocks > 0")
+    asking = vectors.select(F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & finite("v"))
+    rows = materialize(asking.select("id", "query", F.size("v").alias("dim"), F.transform("v", lambda x: x.cast("double")).alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
+    sizes = materialize(rows.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"), F.ceil(F.count_if("query") / query_block).alias("query_blocks")), "sizes")
+    rows = rows.join(small(sizes), "dim").filter("query_blocks > 0")
     kind = vectors.schema[id_col].dataType
 
     own_block, own_query_block = F.pmod(F.xxhash64("row"), F.col("blocks")), F.pmod(F.xxhash64("id"), F.col("query_blocks"))
     candidates = rows.withColumn("cb", own_block).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-    queries = rows.filter("_query").dropDuplicates(["id", "v"]).withColumn("qb", own_query_block).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    queries = rows.filter("query").dropDuplicates(["id", "v"]).withColumn("qb", own_query_block).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
-    def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list, list] = ([], [], [])
-        if len(asked) and len(there):
-            own = asked["id"].to_numpy()
-            for one, (ids, scores) in zip(own, Lists(there["id"].to_numpy(), _matrix(there["v"])).top(_matrix(asked["v"]), k, own), strict=True):
-                out[0].append(np.repeat(one, len(ids)))
-                out[1].append(ids)
-                out[2].append(scores)
-        cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-        return pd.DataFrame({"query_id": cols[0], "id": cols[1], "score": cols[2]})
-
-    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.LongType())])
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.LongType()), T.StructField("beyond", T.StringType())])
     key = ["dim", "cb", "qb"]
     asked = queries.select(*key, "id", "v").toDF("q_dim", "q_cb", "q_qb", "id", "v").groupBy("q_dim", "q_cb", "q_qb")
-    found = asked.cogroup(candidates.select(*key, "id", "v").groupBy(*key)).applyInPandas(search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    found = asked.cogroup(candidates.select(*key, "id", "v").groupBy(*key)).applyInPandas(_searched(k, scale), schema)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
