@@ -1,21 +1,25 @@
 """Operator 8: embedding near-duplicates by an exact metric range join.
 
 On unit vectors a cosine of at least c is a distance of at most r = sqrt(2 - 2c). Equal vectors of one label become a
-class first, however many copies there are. Each label gets up to ``MAX_PIVOTS`` pivots, one for every ``CELL`` classes,
-chosen by a hash; a vector's home is the cell of its nearest pivot. By the triangle inequality a vector x of cell i can
-only be within r of a vector of cell j if it is within r of the plane between the two pivots, so
+class first, however many copies there are. The classes of a label begin as one cell. A cell with more than ``CELL``
+vectors at home gets a pivot for every ``CELL`` of them, ``PIVOTS`` at most, chosen by a hash, and is parted: a vector's
+home is the part of its nearest pivot. By the triangle inequality a vector x of part i can only be within r of a vector of
+part j if it is within r of the plane between the two pivots, so
 
     d(x, p_j)^2 - d(x, p_i)^2 <= 2 r d(p_i, p_j)
 
-and x visits the cells j > i for which that holds. Cells are joined independently, home against home and visitors
-against home, in chunks of at most about ``CHUNK`` rows a side, so that neither a frequent label nor a crowded cell
-meets in one task. A task gives for each vector the number of vectors linked and one edge to the first vector of its
-group of linked ones, so a dense cell gives no more rows than it has vectors.
+and x visits the parts j > i for which that holds. Parts that are still too large are parted again, level after level, so
+the number of cells grows with the number of vectors and none with it. At the end cells are joined independently. Two
+vectors of a cell meet unless both were visitors at one level (they meet elsewhere then), in chunks of at most about
+``CHUNK`` rows a side, so that neither a frequent label nor a crowded cell meets in one task. A task gives for each
+vector the number of vectors linked and one edge to the first vector of its group of linked ones, so a dense cell gives no
+more rows than it has vectors.
 
 Cosines are computed in double precision from the vectors as they are; those within 1e-9 of the threshold again, with
 exactly rounded sums. Vectors that are null, zero or hold null or non-finite components, and those with a null label or
 id, link with nothing (a null id gives a null component, and is kept). Vectors of different lengths are not compared.
-Rows of one id and vector count as one vector. Other columns are not looked at.
+Rows of one id and vector count as one vector; rows of one id with several vectors (or labels) are several vectors, each
+with its own links, and each a way to its id. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,14 +30,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparktrail.llm.common import materialize, table
+from sparktrail.llm.common import materialize, small, table
 from sparktrail.llm.components import components
 from sparktrail.llm.topk import finite
 
-CELL, MAX_PIVOTS, CHUNK = 4096, 64, 4096
-_KEY = ["label", "dim"]
+CELL, PIVOTS, CHUNK = 4096, 64, 4096
+#: Levels of parts, at most: cells of 64^8 * 4096 vectors are enough.
+LEVELS = 8
+_CELL = ["label", "dim", "cell"]
 
 
 def _stack(rows: pd.Series) -> np.ndarray:
@@ -45,11 +50,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _cells(radius: float):
-    """Home and visited cells of a chunk of one label's vectors, given the label's pivots."""
+def _parted(radius: float, level: int):
+    """Homes and visits of a chunk of one cell's vectors, given the cell's pivots."""
 
-    def cells(vectors: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        columns = ["label", "dim", "rep", "copies", "v", "cell", "home"]
+    def parted(vectors: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        columns = [*_CELL, "rep", "copies", "v", "visits"]
         if not len(vectors) or not len(pivots):
             return pd.DataFrame({c: [] for c in columns})
         pivots = pivots.sort_values("number")
@@ -59,14 +64,14 @@ def _cells(radius: float):
         between = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))
         near = d2 - d2[np.arange(len(x)), home][:, None] <= 2 * radius * between[home] + 1e-9
         near &= np.arange(len(p))[None, :] > home[:, None]
-        row, cell = np.nonzero(near)
-        row, cell = np.concatenate((np.arange(len(x)), row)), np.concatenate((home, cell))
-        out = vectors.iloc[row][[*_KEY, "rep", "copies", "v"]].reset_index(drop=True)
-        out["cell"] = cell.astype(np.int32)
-        out["home"] = np.arange(len(row)) < len(x)
+        row, part = np.nonzero(near)
+        row, part = np.concatenate((np.arange(len(x)), row)), np.concatenate((home, part))
+        out = vectors.iloc[row].reset_index(drop=True)
+        out["cell"] = out["cell"] * (PIVOTS + 1) + part + 1
+        out["visits"] = out["visits"] | np.where(np.arange(len(row)) < len(x), 0, 1 << level)
         return out[columns]
 
-    return cells
+    return parted
 
 
 def _linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
@@ -122,52 +127,65 @@ def _joined(cosine: float):
     return joined
 
 
-def range_join(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cell: int = CELL, max_pivots: int = MAX_PIVOTS, chunk: int = CHUNK) -> DataFrame:
+def _part(cells: DataFrame, sizes: DataFrame, radius: float, level: int, chunk: int) -> DataFrame:
+    """The vectors of too large cells (``sizes``: homes, pivots, chunks of each) in their parts."""
+    # enough rows for the pivots of a cell by a hash, then exactly as many
+    dealt = cells.join(sizes, _CELL)
+    some = F.least(F.lit(1.0), F.col("pivots") * 4.0 / F.col("homes") + 64.0 / F.col("homes"))
+    few = dealt.filter((F.col("visits") == 0) & (F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 30)) < some * (1 << 30)))
+    chosen = few.groupBy(*_CELL).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("rep").alias("o"), "rep", "v"))), 1, PIVOTS).alias("p"), F.max("pivots").alias("pivots"), F.max("chunks").alias("chunks"))
+    chosen = chosen.select(*_CELL, "pivots", "chunks", F.posexplode("p").alias("number", "one")).filter("number < pivots")
+    chosen = chosen.select(*_CELL, "number", "one.v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part")).toDF("p_label", "p_dim", "p_cell", "number", "v", "p_part")
+    parts = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks"))).select(*_CELL, "part", "rep", "copies", "v", "visits")
+    return parts.groupBy(*_CELL, "part").cogroup(chosen.groupBy("p_label", "p_dim", "p_cell", "p_part")).applyInPandas(_parted(radius, level), cells.schema)
+
+
+def range_join(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cell: int = CELL, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id (smallest id reachable by links) and kept."""
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be over 0 and at most 1")
+    if not 2 <= pivots <= PIVOTS:
+        raise ValueError(f"pivots must be from 2 to {PIVOTS}")
     own = vectors.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     valid = F.col("id").isNotNull() & F.col("label").isNotNull() & finite("v") & F.exists("v", lambda x: x != 0)
     key = F.when(valid, F.struct(F.col("label"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), F.col("v")).alias("h2")))
     own = own.withColumn("key", key)
-    kind = vectors.schema[id_col].dataType
-    classes = own.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("v").alias("v"))
-    classes = materialize(classes.select("key", "key.label", F.size("v").alias("dim"), "rep", "copies", F.transform("v", lambda x: x.cast("double")).alias("v")), "classes")
-
-    sizes = classes.groupBy(*_KEY).agg(F.count("*").alias("n")).withColumn("pivots", F.least(F.ceil(F.col("n") / cell), F.lit(max_pivots)))
-    sizes = sizes.withColumn("chunks", F.ceil(F.col("n") / chunk))
-    dealt = classes.join(sizes, _KEY)
-    # enough rows for the pivots of a label by a hash, then exactly as many
-    few = dealt.filter(F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(1 << 30)) < F.least(F.lit(1.0), F.col("pivots") * 4.0 / F.col("n") + 64.0 / F.col("n")) * (1 << 30))
-    pivots = few.groupBy(*_KEY).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("rep").alias("o"), F.col("rep"), F.col("v")))), 1, max_pivots).alias("p"), F.max("pivots").alias("pivots"), F.max("chunks").alias("chunks"))
-    pivots = pivots.select(*_KEY, "pivots", "chunks", F.posexplode("p").alias("number", "one")).filter("number < pivots").select(*_KEY, "number", "one.v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"))
-    pivots = pivots.toDF("p_label", "p_dim", "number", "v", "p_part")
-
-    of_label = classes.schema["label"].dataType
-    double = T.ArrayType(T.DoubleType())
-    schema = T.StructType([T.StructField("label", of_label), T.StructField("dim", T.IntegerType()), T.StructField("rep", kind), T.StructField("copies", T.LongType()), T.StructField("v", double), T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())])
-    parts = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks"))).select(*_KEY, "part", "rep", "copies", "v")
+    # a class is known by a number from here on, since several classes may have rows of one id
+    classes = own.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("v").alias("v"))
+    double = F.transform("v", lambda x: x.cast("double"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "key", "key.label", F.size("v").alias("dim"), "id", "copies", double.alias("v")), "classes")
+
     radius = math.sqrt(2 - 2 * cosine)
-    placed = materialize(parts.groupBy(*_KEY, "part").cogroup(pivots.groupBy("p_label", "p_dim", "p_part")).applyInPandas(_cells(radius), schema), "cells")
-
-    crowd = placed.groupBy(*_KEY, "cell").agg(F.ceil(F.count_if("home") / chunk).alias("homes"), F.ceil(F.count_if(~F.col("home")) / chunk).alias("visits"))
-    placed = placed.join(crowd, [*_KEY, "cell"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits"))))
-    seq = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    # home chunk a meets home chunk b >= a, and each chunk of visitors
-    as_left = F.transform(seq(F.col("own"), F.col("homes") - one), lambda b: F.struct(F.col("own").alias("a"), b.alias("b"), F.lit(False).alias("visit"), F.lit(True).alias("left"), (b == F.col("own")).alias("right")))
-    as_right = F.transform(seq(zero, F.col("own") - one), lambda a: F.struct(a.alias("a"), F.col("own").alias("b"), F.lit(False).alias("visit"), F.lit(False).alias("left"), F.lit(True).alias("right")))
-    at_home = F.transform(seq(zero, F.col("visits") - one), lambda b: F.struct(F.col("own").alias("a"), b.alias("b"), F.lit(True).alias("visit"), F.lit(True).alias("left"), F.lit(False).alias("right")))
-    visiting = F.transform(seq(zero, F.col("homes") - one), lambda a: F.struct(a.alias("a"), F.col("own").alias("b"), F.lit(True).alias("visit"), F.lit(False).alias("left"), F.lit(True).alias("right")))
-    meets = F.when(F.col("home"), F.concat(as_left, as_right, at_home)).otherwise(visiting)
-    tasks = placed.select(*_KEY, "cell", "rep", "copies", "v", F.explode(meets).alias("m")).select(*_KEY, "cell", "rep", "copies", "v", "m.*")
-    edge = T.StructType([T.StructField("rep", kind), T.StructField("links", T.LongType()), T.StructField("to", kind)])
-    found = materialize(tasks.groupBy(*_KEY, "cell", "a", "b", "visit").applyInPandas(_joined(cosine), edge), "links")
-
-    label_of = components(found.select("rep", "to"))
+    cells = classes.select("label", "dim", F.lit(0).cast("long").alias("cell"), "rep", "copies", "v", F.lit(0).cast("long").alias("visits"))
+    done = []
+    for level in range(LEVELS):
+        sizes = cells.groupBy(*_CELL).agg(F.count_if(F.col("visits") == 0).alias("homes"), F.ceil(F.count("*") / chunk).alias("chunks")).filter(F.col("homes") > cell)
+        sizes = small(materialize(sizes.withColumn("pivots", F.least(F.ceil(F.col("homes") / cell), F.lit(pivots))), "sizes"))
+        if sizes.isEmpty():
+            break
+        done.append(cells.join(sizes, _CELL, "left_anti"))
+        cells = materialize(_part(cells, sizes, radius, level, chunk), "cells")
+    for part in done:
+        cells = cells.unionByName(part)
+
+    crowd = cells.groupBy(*_CELL, "visits").agg(F.ceil(F.count("*") / chunk).alias("chunks")).groupBy(*_CELL).agg(F.map_from_entries(F.collect_list(F.struct("visits", "chunks"))).alias("crowd"))
+    cells = cells.join(crowd.repartition(*_CELL), _CELL)
+    zero = F.lit(0).cast("long")
+    me = F.struct(F.col("visits").alias("visits"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("crowd")[F.col("visits")]).alias("chunk"))
+    chunks = lambda e: F.transform(F.sequence(zero, e["value"] - 1), lambda c: F.struct(e["key"].alias("visits"), c.alias("chunk")))
+    # those that were no visitors at a level where this one was
+    met = F.flatten(F.transform(F.filter(F.map_entries("crowd"), lambda e: e["key"].bitwiseAND(F.col("visits")) == 0), chunks))
+    tasks = cells.withColumn("me", me).select(*_CELL, "rep", "copies", "v", "me", F.explode(met).alias("other"))
+    tasks = tasks.select(*_CELL, "rep", "copies", "v", F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"), (F.col("me") <= F.col("other")).alias("left"), (F.col("me") >= F.col("other")).alias("right"))
+    found = tasks.groupBy(*_CELL, "a", "b").applyInPandas(_joined(cosine), "rep long, links long, to long")
+    found = materialize(found, "links")
+
+    group = components(found.select("rep", "to"))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.select("key", "rep", "copies").join(linked, "rep", "left").join(label_of.withColumnRenamed("id", "rep"), "rep", "left")
-    of_class = of_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.select("key", "rep", "id", "copies").join(linked, "rep", "left").join(group.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    of_class = of_class.withColumn("component", F.coalesce("component", "rep"))
+    least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_class = of_class.join(least.repartition("component"), "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = own.select("id", "key").join(of_class, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

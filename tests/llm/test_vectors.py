@@ -59,13 +59,40 @@ def test_large_integers_stay_exact(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i, -s) for s, i in best]
 
 
+def test_any_finite_vector_takes_part(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(20, [1e9, 1.0], 0), (1, [1e9, -3.0], 0), (2, [1.0, 2.0], 0), (3, [-1e300, 5.0], 0), (40, [2.0, 2.0], 0), (60, [2.0**40, 0.5], 0), (5, [1e308, 1.0], 0), (80, [0.0, 0.0], 0)]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0, k=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: [math.floor(64 * x) if abs(x) < 2**40 else int(x) * 64 for x in v] for i, v, _ in rows}
+    for q in (20, 40, 60, 80):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:4]
+        assert sorted(got[q]) == [(n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(best)]
+
+
+def test_lists_are_read_no_further_than_needed():
+    rng = np.random.default_rng(5)
+    skewed = np.floor(rng.exponential(size=(2000, 16)) ** 3 * 20)
+    skewed[:30] *= 8
+    lists = topk.Lists(np.arange(2000), skewed)
+    for q in range(40, 60):
+        ids, scores = lists.top(skewed[q], 10, q)
+        want = np.lexsort((np.arange(2000), -np.where(np.arange(2000) == q, -1, skewed @ skewed[q])))[:10]
+        assert ids.tolist() == want.tolist() and scores.tolist() == (skewed[want] @ skewed[q]).tolist()
+    assert lists.read < 0.3 * 20 * skewed.size
+    flat = topk.Lists(np.arange(50), np.ones((50, 4)))
+    assert flat.top(np.ones(4), 50, -1)[0].tolist() == list(range(50)) and flat.read == 0, "with no more candidates than k nothing is read"
+
+
 def test_top_k_of_nothing(spark):
     from pyspark.sql import functions as F
 
     assert topk.top_k(_frame(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize(("cell", "chunk"), [(4096, 4096), (20, 15)])
+@pytest.mark.parametrize(("cell", "chunk"), [(4096, 4096), (20, 15), (7, 40)])
 def test_range_join_equals_brute_force(spark, cell, chunk):
     rows = _vectors(2)
     ids = {i: (v, c) for i, v, c in rows if i is not None}
@@ -79,11 +106,17 @@ def test_range_join_equals_brute_force(spark, cell, chunk):
                 links[i], links[j] = links[i] + 1, links[j] + 1
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
-    got = rangejoin.range_join(_frame(spark, rows), cell=cell, chunk=chunk, max_pivots=5).collect()
+    got = rangejoin.range_join(_frame(spark, rows), cell=cell, chunk=chunk, pivots=3).collect()
     assert len(got) == len(rows)
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, links[i], find(i), find(i) == i) for i in ids} | {(None, 0, None, True)}
 
 
+def test_several_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [-1.0, 0.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rangejoin.range_join(_frame(spark, rows)).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def test_range_join_of_nothing(spark):
     assert rangejoin.range_join(_frame(spark, [])).count() == 0
 
@@ -111,6 +144,34 @@ def test_shards(spark, tmp_path):
     assert store.versions() == [store.manifest()["version"]] and store.read().count() == 400
 
 
+def test_shards_of_an_empty_table(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "store"))
+    assert store.read().count() == 0 and store.read().columns == []
+    df = spark.createDataFrame([], "doc_id long, text string, part int")
+    assert len(store.append_all(df, "part")) == 1
+    assert store.read().count() == 0 and store.read().columns == ["doc_id", "text"] and store.compact() == []
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert [tuple(r) for r in store.read().collect()] == [(1, "a")]
+
+
+def test_shards_keep_every_column(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "store"), fanout=2)
+    store.append(spark.createDataFrame([(1, "x", "a" * 300000)], "id long, extra string, text string"))
+    store.append(spark.createDataFrame([(2,), (2,), (None,)], "id long"))
+    old = store.manifest()["version"]
+    before = sorted(map(str, store.read().collect()))
+    assert len(store.compact()) == 1
+    store.append(spark.createDataFrame([(3, 7)], "id long, more int"))
+    store.compact()
+    store.vacuum()
+    rows = store.read()
+    assert rows.columns == ["id", "extra", "text", "more"] and sorted(map(str, rows.filter("more is null").drop("more").collect())) == before
+    assert rows.filter("extra = 'x'").first().text == "a" * 300000 and old not in store.versions()
+    for other in ("id string", "ID long"):
+        with pytest.raises(ValueError, match="does not go with"):
+            store.append(spark.createDataFrame([], other))
+
+
 def test_concurrent_commits_do_not_lose_runs(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
