@@ -7,8 +7,12 @@ splitting pattern matches across such a place (white space only ever leads a mat
 pattern inspects the end of a run of white space, which never ends a part; so the matches of the parts are the
 matches of the whole text, and memory stays near one part's size. A text without such a place is encoded whole.
 
-Null texts count as empty: no ids, empty bytes. Repeated rows are encoded once each. Other columns pass through; a
-column named like the output is replaced.
+A ``tokenizer.json`` is read as the tokenizers library reads it, its added tokens included: their strings in a text are
+those tokens, and the texts between them are encoded on their own. Only byte-level files with the usual splitting pattern
+are taken, others are refused. A rank file has no added tokens.
+
+Null texts count as empty: no ids, empty bytes. Repeated rows are encoded once each; an empty table gives an empty
+result. Other columns pass through; a column named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ import base64
 import hashlib
 import json
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import table
+from sparktrail.llm.common import per_text, table
 
 #: Characters of a part of a long text, at least.
 PART_CHARS = 100_000
@@ -42,10 +46,21 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def ranks_of_json(path: str) -> dict[bytes, int]:
-    """Ranks of a byte-level ``tokenizer.json`` whose merges are listed in the order of their ids."""
+def _spec(path: str) -> dict:
+    """A byte-level ``tokenizer.json``; refused where it says more than vocabulary, merges and plain added tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    odd = spec.get("normalizer") or spec.get("post_processor") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or odd or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", ())):
+        raise ValueError(f"{path}: not a plain byte-level vocabulary")
+    return spec
+
+
+def ranks_of_json(path: str) -> dict[bytes, int]:
+    """Ranks of a byte-level ``tokenizer.json`` whose merges are listed in the order of their ids."""
+    spec = _spec(path)
     model, chars = spec["model"], _byte_of_char()
     special = {t["content"] for t in spec.get("added_tokens", ())}
     ranks = {bytes(chars[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
@@ -93,14 +108,35 @@ def token_ids(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
     return found[0] if len(found) == 1 else np.concatenate(found)
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Callable[[str | None], np.ndarray]:
+    """A function that gives the ids of a whole text; one for each Python worker."""
+    enc = encoding(path)
+    added = {t["content"]: t["id"] for t in _spec(path).get("added_tokens", ())} if path.endswith(".json") else {}
+    if not added:
+        return lambda text: token_ids(enc, text)
+    cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+
+    def ids(text: str | None) -> np.ndarray:
+        if not text or not cut.search(text):
+            return token_ids(enc, text)
+        found, at = [], 0
+        for m in cut.finditer(text):
+            found += [token_ids(enc, text[at : m.start()]), np.array([added[m.group()]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*found, token_ids(enc, text[at:])])
+
+    return ids
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the array of token ids of ``text`` (empty for null)."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType(), False))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(path)
+        of = encoder(path)
         for batch in batches:
-            yield pd.Series([token_ids(enc, t).astype(np.int32) for t in batch], dtype=object)
+            yield pd.Series([of(t).astype(np.int32) for t in batch], dtype=object)
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -138,12 +174,7 @@ def digest(enc: tiktoken.Encoding, text: str | None) -> tuple[int, str, str]:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded, then digested."""
 
-    @F.pandas_udf(_DIGEST)
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
-        for batch in batches:
-            yield pd.DataFrame([digest(enc, t) for t in batch], columns=_DIGEST.names)
-
+    digests = per_text(_DIGEST, lambda: partial(digest, encoding(path)))
     return docs.select(F.col(id_col), digests(F.col(text)).alias("d")).select(id_col, "d.*")
 
 

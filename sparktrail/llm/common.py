@@ -13,20 +13,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-#: Rows of an Arrow batch between the JVM and Python, where the session still has Spark's default of 10,000: texts are
-#: long, and a batch is held several times over on its way.
+#: Rows of a block of texts that a Python worker holds several times over while it works on them.
 BATCH_ROWS = 512
-_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, unless the session was set up otherwise."""
-    if spark.conf.get(_BATCHES) == "10000":
-        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+#: Bytes up to which a table is broadcast, as counted from its rows.
+BROADCAST_BYTES = 16 << 20
 
 
 def handing_back(batches: Iterator, of: Callable[[Iterator], Iterator]) -> Iterator:
@@ -39,19 +35,56 @@ def handing_back(batches: Iterator, of: Callable[[Iterator], Iterator]) -> Itera
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows for what is run inside; afterwards the session is as it was."""
+    before = spark.conf.get(_BATCHES)
+    spark.conf.set(_BATCHES, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCHES, before)
+
+
+def per_text(out: T.StructType, make: Callable[[], Callable[[str | None], tuple]]) -> Callable[[Column], Column]:
+    """An Arrow function of a text column that gives the struct ``out``; ``make`` prepares what tells it for one text.
+
+    A batch is read BATCH_ROWS texts at a time, so that a worker holds few texts besides the batch itself.
+    """
+    kind = to_arrow_type(out)
+
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tell = make()
+        for batch in batches:
+            rows = []
+            for at in range(0, len(batch), BATCH_ROWS):
+                rows += [tell(t) for t in batch.slice(at, BATCH_ROWS).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], fields=list(kind))
+
+    @F.arrow_udf(out)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return handing_back(batches, told)
+
+    return apply
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; where none is configured, a temporary one in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="sparktrail-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -67,15 +100,29 @@ def shared_path(spark: SparkSession, what: str) -> str:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
     spark = df.sparkSession
-    bounded_batches(spark)
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``rows`` rows (of a few bytes each) and to be shuffled otherwise."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _row_bytes(schema: T.StructType) -> Column:
+    """About the bytes of a row: those of strings, binaries and arrays as they are, 16 for any other field."""
+    total = F.lit(16)
+    for field in schema.fields:
+        kind, column = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(kind, T.ArrayType):
+            total = total + F.greatest(F.size(column), F.lit(0)) * 24
+        total = total + 16
+    return total
+
+
+def small(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table), to be broadcast if its rows take at most ``bound`` bytes and to be shuffled otherwise."""
+    taken = df.agg(F.sum(_row_bytes(df.schema).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= bound else df
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -103,6 +150,9 @@ def fold(column: str, k: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(k)
 
 
-def hash_share(column: str, share: float) -> Column:
-    """True for about ``share`` of all ids, chosen by a hash, the same ones in every run."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit("share")), F.lit(1 << 30)) < F.lit(min(int(share * (1 << 30)), 1 << 30))
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

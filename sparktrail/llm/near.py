@@ -14,12 +14,13 @@
    n - ceil(0.8 n) + 1 in one order for all), and the first one they share comes early enough in both for the rest to
    make up the intersection. Pairs across components for which that holds are compared. That loses no link and passes
    over the many texts that only have a common passage in common.
-4. Comparisons are exact: intersection and union of the full sets of 64-bit shingle hashes.
+4. Comparisons are exact: intersection and union of the full sets of shingles, as words. Hashes only choose candidates
+   (and count shingles, and tell equal sets, to within a chance of 2^-64 for a pair of shingles).
 
 Words are runs of other bytes than ASCII white space; A-Z are lower-cased. A text with fewer words than a shingle has
-its whole word sequence as only element. Null, empty and blank texts have an empty set and link with nothing. Rows of
-one id, if an id repeats, belong together. A row with a null id links with nothing and is kept. Other columns are not
-looked at.
+its whole word sequence as only element. Null, empty and blank texts have an empty set and link with nothing; an empty
+table gives an empty result. Very long texts are hashed whole, one at a time. Rows of one id, if an id repeats, belong
+together. A row with a null id links with nothing and is kept. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,10 +38,8 @@ from sparktrail.llm.components import components
 from sparktrail.llm.words import Words, blocks, mix
 
 _U = np.uint64
-#: Ids up to which a set of candidates is broadcast to pick out their texts; beyond it the texts are shuffled.
-BROADCAST_IDS = 1_000_000
-#: Shingles that count as common, at most, when the order of shingles is made.
-COMMON = 100_000
+#: Counters of shingles from which their order is made: what the driver gets is bounded by them.
+COUNTERS = 1 << 20
 
 
 def shingles(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -120,32 +119,45 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFram
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: handing_back(b, sets), schema)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    together = F.size("set_a") + F.size("set_b") - shared
-    return both.filter(shared.cast("long") * 100 >= together.cast("long") * percent).select("a", "b")
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets of shingles, as words and not as hashes, are similar enough."""
+
+    def of(text: str | None) -> set:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return set(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else {tuple(words)} - {()}
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i in range(batch.num_rows):
+                one, two = of(batch.column(2)[i].as_py()), of(batch.column(3)[i].as_py())
+                shared = len(one & two)
+                if shared * 100 >= (len(one) + len(two) - shared) * percent:
+                    kept.append(i)
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
+
+    named = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(lambda b: handing_back(b, confirm), pairs.select("a", "b").schema).distinct()
 
 
 def _prefixes(open_sets: DataFrame, percent: int) -> DataFrame:
     """(id, n, component, token, place): of each set as many of its shingles, in one order for all sets, as a similar
     set cannot be without all of, and the place of each in that order. The order puts the shingles that most sets have
-    last, so the ones that tell sets apart are left; any order gives every pair, the counts only spare comparisons."""
-    common = open_sets.select(F.explode("set").alias("token")).groupBy("token").count().filter("count >= 8")
-    common = common.orderBy(F.col("count").desc(), "token").limit(COMMON).collect()
-    token = np.array([r["token"] for r in common], np.int64)
-    order = np.argsort(token)
-    token, rank = token[order], (len(token) - np.arange(len(token)))[order]
+    last, so the ones that tell sets apart are left; any order gives every pair, the counts only spare comparisons, so
+    shingles may share one of ``COUNTERS`` counters, and a counter is kept as its logarithm."""
+    counter = F.pmod("token", F.lit(COUNTERS))
+    counted = open_sets.select(F.explode("set").alias("token")).groupBy(counter.cast("int").alias("c")).agg(F.log2(F.count("*")).alias("l")).toArrow()
+    often = np.zeros(COUNTERS, np.uint8)
+    often[counted.column("c").to_numpy()] = np.minimum(4 * counted.column("l").to_numpy(), 255)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, tokens, places = [], [], []
             flat, ends = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
             for i, values in enumerate(np.split(flat, ends[1:-1] - ends[0])):
-                place = np.minimum(np.searchsorted(token, values), max(0, len(token) - 1))
-                weight = np.where(token[place] == values, rank[place], 0) if len(token) else np.zeros(len(values), np.int64)
+                weight = often[values % COUNTERS]
                 k = len(values) - -(-len(values) * percent // 100) + 1
                 tokens.append(values[np.lexsort((values, weight))[:k]])
                 rows.append(np.full(len(tokens[-1]), i))
@@ -178,16 +190,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     tried = buckets.join(centre, "band").filter((F.col("id") != F.col("centre")) & alike("n", "of_centre")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     tried = materialize(tried, "pairs")
 
-    wanted = small(buckets.select(F.col("id").alias(id_col)).distinct(), BROADCAST_IDS)
-    chosen = docs.filter(F.col(id_col).isNotNull()).join(wanted, id_col, "left_semi")
-    sets = materialize(shingle_sets(chosen, id_col, text, size), "sets")
+    wanted = small(materialize(buckets.select("id").distinct(), "ids")).withColumnRenamed("id", "_wanted")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("id is not null")
+    texts = materialize(texts.join(wanted, F.col("id") == F.col("_wanted"), "left_semi"), "texts")
 
-    links = materialize(_confirmed(tried, sets, percent), "links")
+    links = materialize(_confirmed(tried, texts, size, percent), "links")
     label = materialize(components(links), "labels")
     spread = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_bands = spread.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
     left = spread.join(open_bands, "band", "left_semi").select("id", "n", "component").distinct()
-    prefixes = materialize(_prefixes(materialize(sets.join(left, "id"), "open"), percent), "prefixes")
+    open_sets = materialize(shingle_sets(texts.join(left.select("id").distinct(), "id", "left_semi"), "id", "text", size), "sets").join(left, "id")
+    prefixes = materialize(_prefixes(materialize(open_sets, "open"), percent), "prefixes")
     mixed = prefixes.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     rest = prefixes.join(mixed, "token", "left_semi")
     one, two = rest.alias("x"), rest.alias("y")
@@ -196,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     enough = room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     across = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & alike("x.n", "y.n") & enough)
     across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(materialize(across, "pairs"), sets, percent), "links")
+    more = materialize(_confirmed(materialize(across, "pairs"), texts, size, percent), "links")
     if not more.isEmpty():
         label = materialize(components(links.unionByName(more)), "labels")
 

@@ -8,14 +8,16 @@ no gap frequent, so few sequences stay open. A new sequence is opened only where
 with that, and the largest pieces first, the number of sequences meets its lower bound on the test documents (with
 the plain rule, in which a new sequence competes as one more gap, it was 0.5 % above).
 
-At scale only (id, piece, length) take part in the placement. Pieces are numbered once and written; blocks of about
+At scale only the numbers and lengths of pieces take part in the placement, and what was decided is joined to the pieces,
+their ids included, at the end. Pieces are numbered once and written; blocks of about
 ``BLOCK`` pieces are packed independently, largest pieces first. Sequences that a block leaves with over ``SLACK`` free
 places are opened again, and their pieces packed anew in blocks FAN times as wide, until one block is left. The number
 of pieces a block hands on depends on the length of a sequence, not on the number of rows, so the last block stays
 small. Nothing depends on one key, so a hot source or repeated documents skew nothing.
 
 Null texts count as empty and give a piece of the end id alone. An empty table gives an empty result. Repeated rows
-are packed once each. Other columns are not looked at.
+are packed once each. Very long texts are encoded in parts (see ``bytepair``). Of documents, other columns are not looked
+at; of pieces, they pass through ``packed``, and columns named like its outputs are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.bytepair import encoding, token_ids
-from sparktrail.llm.common import handing_back, materialize, table
+from sparktrail.llm.bytepair import encoder
+from sparktrail.llm.common import free_name, handing_back, materialize, table
 
 #: Pieces of a block, and blocks whose left-overs meet in one block of the next round.
 BLOCK, FAN = 16_384, 16
@@ -47,11 +49,11 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "t
         schema = schema.add("ids", T.ArrayType(T.IntegerType(), False))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        of = encoder(path)
         for batch in batches:
             rows, pieces, parts = [], [], []
             for row, content in enumerate(batch.column(1)):
-                ids = np.append(token_ids(enc, content.as_py()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(of(content.as_py()), np.uint32(end_id)).astype("<u4")
                 start, stop = 0, len(ids) % length or min(length, len(ids))
                 piece = 0
                 while start < len(ids):
@@ -95,14 +97,16 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, n
     return where, offset, np.array(free, np.int64)
 
 
+_PLACED = "row long, length long, sequence_id long, offset long, is_open boolean"
+
+
 def _packer(level: int, keep: int, capacity: int):
     def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        lengths, rows = group.column("length").to_numpy(), group.column("_row").to_numpy()
+        lengths, rows = group.column("length").to_numpy(), group.column("row").to_numpy()
         order = np.lexsort((rows, -lengths))
         where, offset, free = place(lengths[order], capacity)
         sequence = (np.int64(level) << 56) | (np.int64(key[0].as_py()) << 24) | where
-        group = group.drop_columns("_block").take(pa.array(order))
-        return group.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("_open", pa.array(free[where] > keep))
+        return pa.table({"row": rows[order], "length": lengths[order], "sequence_id": sequence, "offset": offset, "is_open": free[where] > keep})
 
     return pack
 
@@ -111,29 +115,29 @@ def packed(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK, fan: int
     """``pieces`` (with a ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset`` added."""
     if not 1 <= capacity < 1 << 20:
         raise ValueError("capacity must be from 1 to 2^20")
-    columns = pieces.columns
-    numbered = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    full = numbered.filter(F.col("length") == capacity)
-    rest = numbered.filter(F.col("length") < capacity)
+    row = free_name(pieces, "row")
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    numbered = materialize(pieces.select(*columns).withColumn(row, F.monotonically_increasing_id()), "pieces")
+    lengths = numbered.select(F.col(row).alias("row"), F.col("length").cast("long").alias("length"))
+    rest = lengths.filter(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block))
-    schema = T.StructType([*numbered.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("_open", T.BooleanType())])
-    done = [full.select(*columns, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [lengths.filter(F.col("length") == capacity).select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     level = 0
     while True:
         last = blocks == 1
         keep = capacity if last else int(capacity * slack)
-        tried = rest.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks))).groupBy("_block").applyInArrow(_packer(level, keep, capacity), schema)
+        tried = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").applyInArrow(_packer(level, keep, capacity), _PLACED)
+        tried = materialize(tried, "packed")
+        done.append(tried.filter("not is_open").select("row", "sequence_id", "offset"))
         if last:
-            done.append(tried.select(*columns, "sequence_id", "offset"))
             break
-        tried = materialize(tried, "packed")
-        done.append(tried.filter(~F.col("_open")).select(*columns, "sequence_id", "offset"))
-        rest = tried.filter("_open").select(*numbered.columns)
+        rest = tried.filter("is_open").select("row", "length")
         blocks, level = -(-blocks // fan), level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out
+    placed = out.withColumnRenamed("row", free_name(numbered, "placed"))
+    return numbered.join(placed, F.col(row) == F.col(placed.columns[0])).select(*(F.col(f"`{c}`") for c in columns), "sequence_id", "offset")
 
 
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

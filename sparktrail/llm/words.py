@@ -1,9 +1,10 @@
 """Words of whole texts and 64-bit hashes of runs of words, by array operations over the bytes of many texts.
 
 A word is a run of bytes other than the six ASCII white-space bytes (0x20 and 0x09 to 0x0D), in UTF-8 as well as in
-code points. Its hash is a polynomial over its bytes with a random odd multiplier and a random value for each byte,
-modulo 2^64, then mixed; runs of words are hashed alike over the hashes of their words. Two seeds give independent
-hashes, 128 bits together.
+code points. Its hash is the sum of a random value for each byte times a random odd factor for each place, modulo 2^64,
+then mixed with its length. A run of words is hashed by doubling: the hash of a run of n words and that of the n words
+after it give that of 2n words, mixed again each time (the second run may overlap the first, for lengths that are no
+power of two). Two seeds share no value, so they give independent hashes, 128 bits together.
 """
 
 from __future__ import annotations
@@ -29,21 +30,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _values(seed: int) -> tuple[np.ndarray, np.uint64, np.uint64]:
-    random = np.random.default_rng(seed)
-    of_byte = random.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U)
-    by = int(random.integers(1 << 40, 1 << 62)) * 8 + 3
-    return of_byte, _U(by % (1 << 64)), _U(pow(by, -1, 1 << 64))
+class _Seed:
+    """Random values of bytes, factors of places and of the two halves of a run."""
 
+    def __init__(self, seed: int):
+        random = np.random.default_rng(seed)
+        self.of_byte = random.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U)
+        self.start, self.first, self.second, self.length = random.integers(1 << 40, 1 << 62, 4, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+        self._of_place = np.empty(0, _U)
 
-_SEEDS = [_values(11), _values(23)]
+    def of_place(self, n: int) -> np.ndarray:
+        if len(self._of_place) < n:
+            places = np.arange(max(n, 2 * len(self._of_place), 1024), dtype=_U)
+            self._of_place = mix(places * _U(0x9E3779B97F4A7C15) + self.start) | _U(1)
+        return self._of_place
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=_U)
+_SEEDS = [_Seed(11), _Seed(23)]
 
 
 class Words:
@@ -56,26 +59,33 @@ class Words:
         edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
         self.start = np.flatnonzero(edge == -1)
         self.end = np.flatnonzero(edge == 1)
-        self.raw = _LOWER[raw] if lower else raw
+        self.raw, self.space = (_LOWER[raw] if lower else raw), space
         self.first = np.concatenate(([0], np.searchsorted(self.start, ends, "left"))).astype(np.int64)
         self.n_docs = len(ends)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A hash of each word."""
-        of_byte, base, inverse = _SEEDS[seed]
-        n = len(self.raw)
-        total = np.concatenate((np.zeros(1, _U), np.cumsum(of_byte[self.raw] * _powers(base, n), dtype=_U)))
-        return mix((total[self.end] - total[self.start]) * _powers(inverse, n + 1)[self.start] + (self.end - self.start).astype(_U))
-
-    def runs(self, hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+        own = _SEEDS[seed]
+        lengths = self.end - self.start
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(begins, lengths)
+        factors = own.of_place(int(lengths.max(initial=0)))
+        total = np.concatenate((np.zeros(1, _U), np.cumsum(own.of_byte[self.raw[~self.space]] * factors[place], dtype=_U)))
+        return mix(total[ends] - total[begins] + lengths.astype(_U) * own.length)
+
+    @staticmethod
+    def runs(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
         """A hash of the ``size`` words from each word on; meaningless where the text ends before (see ``whole``)."""
-        _, base, inverse = _SEEDS[1 - seed]
-        n = len(hashes)
-        if n < size:
+        if len(hashes) < size:
             return np.empty(0, _U)
-        total = np.concatenate((np.zeros(1, _U), np.cumsum(hashes * _powers(base, n), dtype=_U)))
-        return mix((total[size:] - total[:-size]) * _powers(inverse, n)[: n - size + 1] + _U(size))
+        run, length, own = hashes, 1, _SEEDS[seed]
+        while length < size:
+            step = min(length, size - length)
+            run = mix(run[:-step] * own.first + run[step:] * own.second)
+            length += step
+        return run
 
     def whole(self, size: int) -> np.ndarray:
         """For each run that ``runs`` gives: does it lie in one text?"""

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrail.llm.common import bounded_batches, hash_share
-
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -48,22 +47,20 @@ def windows(text: str, size: int) -> list[bytes]:
     return found
 
 
-def labelled_sample(rows: DataFrame, id_col: str, label: str, per_label: int, max_labels: int, max_chars: int) -> list:
-    """At most ``per_label`` rows of each label as (id, label, text of up to ``max_chars`` characters), chosen by a
-    hash of the id and so the same in every run: what the driver gets is bounded by the three parameters.
+def labelled_sample(docs: DataFrame, keys: DataFrame, per_label: int, max_labels: int, max_chars: int) -> list:
+    """At most ``per_label`` rows of each label as (id, label, text of up to ``max_chars`` characters), those of the
+    ``max_labels`` most frequent labels: what the driver gets is bounded by the three parameters.
 
-    Longer texts give a slice that begins at a place chosen by the hash. Labels beyond the ``max_labels`` most
-    frequent ones are not learned.
+    ``docs`` has (id, text), ``keys`` (id, label). Ids are chosen by a hash, the same ones in every run; only narrow
+    rows are sorted, each task hands on ``per_label`` ids of a label at most, and texts are then picked out by the chosen
+    ids. Longer texts give a slice that begins at a place chosen by the hash. An id that occurs with several texts gives
+    one of them.
     """
-    bounded_batches(rows.sparkSession)
-    counts = rows.groupBy(label).count().orderBy(F.col("count").desc(), label).limit(max_labels).collect()
-    picked = []
-    for row in counts:
-        own = rows.filter(F.col(label) == F.lit(row[label])).filter(hash_share(id_col, 2.0 * per_label / row["count"]))
-        start = F.pmod(F.xxhash64(id_col, F.lit("slice")), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1
-        own = own.withColumn("text", F.substring(F.col("text"), start.cast("int"), F.lit(max_chars)))
-        picked.append(own.select(id_col, label, "text").orderBy(F.xxhash64(id_col, F.lit("share")), id_col, "text").limit(per_label))
-    out = picked[0] if picked else None
-    for part in picked[1:]:
-        out = out.unionAll(part)
-    return [] if out is None else out.collect()
+    frequent = keys.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(max_labels)
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit("share")), "id")
+    chosen = keys.join(F.broadcast(frequent), "label").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_label)
+    start = F.pmod(F.xxhash64("id", F.lit("slice")), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1
+    # at most per_label * max_labels ids
+    picked = docs.join(F.broadcast(chosen.select("id", "label", "n")), "id").withColumn("text", F.substring("text", start.cast("int"), F.lit(max_chars)))
+    rows = picked.groupBy("id", "label", "n").agg(F.min("text").alias("text")).collect()
+    return sorted(rows, key=lambda r: (-r["n"], str(r["label"]), zlib.crc32(str(r["id"]).encode()), str(r["id"])))

@@ -4,8 +4,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sparktrail.llm import langid, pagetext, toxicity
+from sparktrail.llm import langid, pagetext, toxicity, zdict
 from sparktrail.llm.common import fold, table
 
 SF = "/root/testdata/sf0.01"
@@ -24,37 +25,56 @@ def test_fold_is_crc32_of_the_id_as_text(spark):
 def test_language_held_out(spark, docs):
     model = langid.fit(docs.filter(fold("doc_id", 4) != 2))
     held = langid.identify(docs.filter(fold("doc_id", 4) == 2), model).collect()
-    long = [r for r in held if len(r.text or "") > 40]
-    assert np.mean([r.lang_pred == r.lang for r in long]) > 0.98
-    assert all(0 <= r.score <= 1 for r in held) and np.mean([r.accepted for r in long]) > 0.98
-    odd = spark.createDataFrame([(None, "a"), ("", "b"), (" 12 !", "c"), ("é" * 200000, "d"), (held[0].text, "e")], "text string, score string")
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.98
+    assert all(0 <= r.score <= 1 and r.accepted == (r.margin >= model.min_margin) for r in held if r.lang_pred != "und")
+    assert np.mean([r.accepted for r in held]) > 0.97
+    odd = spark.createDataFrame([(None, "a"), ("", "b"), (" 12 !", "c"), ("é" * 200000, "d"), (held[0].text, "e")], "text string, told string")
     got = langid.identify(odd, model).collect()
     assert [(r.lang_pred, r.score, r.accepted) for r in got[:3]] == [("und", 0.0, False)] * 3
-    assert got[3].lang_pred in model.dictionaries and got[4].lang_pred == held[0].lang_pred
+    assert got[3].lang_pred in model.dictionaries and got[4].lang_pred == held[0].lang_pred and [r.told for r in got] == list("abcde")
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_is_that_of_the_smallest_length(spark, docs):
+    """The prediction against every text compressed whole under every dictionary, one after another."""
+    import zstandard
+
+    model = langid.fit(docs.filter(fold("doc_id", 4) != 2))
+    how = {k: zstandard.ZstdCompressionParameters.from_level(model.level, dict_size=len(v), source_size=model.window, write_content_size=False, write_checksum=False, write_dict_id=False, **langid._SEARCH) for k, v in model.dictionaries.items()}
+    for r in langid.identify(docs.filter(F.length("text") < 3000).limit(100), model).collect():
+        raw = langid.plain(r.text).encode()
+        sizes = {k: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how[k]).compress(raw)) for k, v in model.dictionaries.items()}
+        assert sizes[r.lang_pred] <= min(sizes.values()) + 1
+
+
 def test_language_without_labels(spark, docs):
     model = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs.limit(5), model).collect()} == {"und"}
 
 
-def test_toxicity_held_out(spark, docs):
-    labels = table(spark, SF, "labels")
-    model = toxicity.fit(toxicity.labelled(docs, labels))
-    rated = toxicity.rate(docs, model).join(labels, "doc_id").collect()
-    words = ("idiot", "scum", "loser", "moron", "clown", "trash")
-    plain = [r for r in rated if not r.toxic]
-    told = [r for r in rated if r.toxic and sum(w in r.text.lower() for w in words) >= 2]
-    assert np.mean([r.predicted for r in plain]) < 0.02
-    assert np.mean([r.predicted for r in told]) > 0.8
-    odd = spark.createDataFrame([(None, 1), ("", 2), ("x " * 100000, 3)], "text string, predicted int")
+def test_sample_is_bounded_and_by_label(spark):
+    rows = spark.range(3000).select(F.col("id"), F.concat(F.lit("text "), "id").alias("text"))
+    keys = rows.select("id", F.when(F.col("id") % 100 == 0, "rare").when(F.col("id") % 3 == 0, "some").otherwise("most").alias("label"))
+    got = zdict.labelled_sample(rows.unionAll(rows.filter("id < 300")), keys, 40, 2, 6)
+    assert [r["label"] for r in got] == ["most"] * 40 + ["some"] * 40 and all(len(r["text"]) <= 6 for r in got) and len({r["id"] for r in got}) == 80
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = table(spark, "/root/testdata/check_s", "documents"), table(spark, "/root/testdata/check_s", "labels")
+    model = toxicity.fit(toxicity.learnable(docs), labels)
+    held = docs.filter(fold("doc_id", 3) == 1).join(labels.filter("toxic is not null").select("doc_id", "toxic"), "doc_id").filter(F.col("doc_id") % 4 == 0)
+    rated = toxicity.rate(held, model).select("toxic", "score", "predicted").collect()
+    assert np.mean([r.predicted for r in rated if not r.toxic]) < 0.01
+    assert np.mean([r.predicted for r in rated if r.toxic]) > 0.92
+    for ordinary, toxic in model.pairs:
+        assert len(ordinary) == len(toxic), "both dictionaries have one size"
+    odd = spark.createDataFrame([(None, 1), ("", 2), ("x " * 100000, 3)], "text string, told int")
     got = toxicity.rate(odd, model).collect()
-    assert all(0 <= r.score < 0.5 and r.predicted == 0 for r in got)
+    assert all(0 <= r.score < 0.5 and r.predicted == 0 for r in got) and [r.told for r in got] == [1, 2, 3]
 
 
 def test_toxicity_without_labels(spark, docs):
-    model = toxicity.fit(toxicity.labelled(docs, table(spark, SF, "labels").limit(0)))
+    model = toxicity.fit(toxicity.learnable(docs), table(spark, SF, "labels").limit(0))
     assert {r.predicted for r in toxicity.rate(docs.limit(5), model).collect()} == {0}
 
 

@@ -112,10 +112,10 @@ def _removed(texts, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_substrings_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "window"), [(1, 10), (2, 10), (3, 9), (4, 50), (5, 41)])
+def test_substrings_equal_brute_force(spark, seed, window):
     rng = random.Random(seed)
-    passages = [_words(rng, n, 10**6) for n in (9, 10, 11, 12, 25, 60, 200)] + [["a"] * 30, ["a", "b"] * 20]
+    passages = [_words(rng, n, 10**6) for n in (window - 1, window, window + 1, window + 2, 2 * window + 5, 6 * window, 20 * window)] + [["a"] * (3 * window), ["a", "b"] * (2 * window)]
     texts = []
     for i in range(120):
         parts = []
@@ -126,14 +126,47 @@ def test_substrings_equal_brute_force(spark, seed):
         texts.append((i, rng.choice([" ", "\t", " \n"]).join(parts)))
     texts += [(i + 200, t) for i, t in texts[:30]] + [(3, texts[3][1]), (3, texts[4][1]), (None, texts[5][1]), (500, None), (501, ""), (502, "  ")]
     docs = _frame(spark, texts)
-    rows = substring._with_repeats(docs, "doc_id", "text", 10, False).select("doc_id", "_cleaned.*").collect()
-    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows], key=str) == _removed(texts, 10)
-    cleaned = substring.without_repeats(docs, window=10)
+    out, cleaned = substring._with_repeats(docs, "doc_id", "text", window, False)
+    rows = out.select("doc_id", f"{cleaned}.*").collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows], key=str) == _removed(texts, window)
+    cleaned = substring.without_repeats(docs, window=window)
     assert cleaned.columns == docs.columns and cleaned.count() == len(texts)
     changed = {r.doc_id: r.text for r in cleaned.collect()}
     assert changed[500] is None and changed[502] == "  ", "what nothing goes from stays as it is"
 
 
+def test_levels_double_up_to_the_window():
+    assert substring.lengths(50) == [13, 25, 50] and substring.lengths(10) == [5, 10] and substring.lengths(2) == [1, 2]
+
+
+def test_columns_of_any_name_pass(spark):
+    names = "id key text_key spans cleaned of_id of_key at n left h0 _id _cleaned said gone told"
+    passage = " ".join(map(str, range(60)))
+    docs = spark.createDataFrame([(i, passage, *names.split()) for i in (1, 2)], ["doc_id", "text", *names.split()])
+    out = {r.doc_id: r for r in substring.without_repeats(docs).collect()}
+    assert out[1].text == passage and out[2].text == "" and all(tuple(r)[2:] == tuple(names.split()) for r in out.values())
+
+
+def test_words_that_only_differ_in_order_are_told_apart(spark):
+    # a word and its complement, on which polynomial hashes modulo a power of two agree
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = near.near_duplicates(_frame(spark, [(1, word), (2, other), (3, word)]), size=2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2), (3, 1)}
+    line = " ".join(f"w{i}" for i in range(49))
+    left = {r.doc_id: r.text for r in substring.without_repeats(_frame(spark, [(1, f"{word} {line}"), (2, f"{other} {line}")])).collect()}
+    assert left[2] == f"{other} {line}"
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    monkeypatch.setattr(near, "shingles", lambda words, size: iter([np.arange(1, 9, dtype=np.uint64)] * words.n_docs))
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "b a d c f e")], "id long, text string")
+    assert [tuple(r) for r in near._confirmed(pairs, texts, 2, 80).collect()] == [(1, 2)]
+
+
 def test_substrings_of_nothing(spark):
     docs = _frame(spark, [])
     assert substring.without_repeats(docs).count() == 0

@@ -2,9 +2,11 @@
 
 import json
 
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from sparktrail.llm import bytepair
 from sparktrail.llm.catalog import ORACLES, QUERIES
 
 
@@ -37,14 +39,19 @@ def test_stages(spark, sf_dir, tmp_path):
             words.add(key)
     packed = out["packing"][1].collect()
     assert {r.doc_id for r in packed} == set(after)
+    encode, ids = bytepair.encoder(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for r in sorted(packed, key=lambda r: (r.doc_id, r.piece)):
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    assert all(ids[i] == [*encode(text).tolist(), 0] for i, text in after.items())
 
 
 def test_odd_documents(spark, sf_dir, tmp_path):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "x " * 50000, "en", "s", 1), (4, "the same words again and again in a text " * 3, "en", "s", 1), (5, "the same words again and again in a text " * 3, "en", "s", 1), (5, "the same words again and again in a text " * 3, "en", "s", 1)]
-    docs = spark.createDataFrame([(*r, "kept", 1.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, predicted string, score double")
+    extra = "predicted score said gone _id _cleaned _toxicity _language _text_key _spans _key row piece length ids told id label".split()
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{e} string" for e in extra))
     out = _through(spark, docs, sf_dir, tmp_path)
     kept = out["near_dedup"][1].collect()
-    assert {r.doc_id for r in kept} == {3, 4} and {(r.predicted, r.score) for r in kept} == {("kept", 1.0)}
+    assert {r.doc_id for r in kept} == {3, 4} and {tuple(r)[5:] for r in kept} == {tuple(extra)}
 
 
 def test_empty_documents(spark, sf_dir, tmp_path):

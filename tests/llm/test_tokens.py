@@ -12,7 +12,7 @@ import pytest
 from sparktrail.llm import bytepair, packing
 
 JSON, MULTI = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ODD = [None, "", " ", "\n\n a", "x" * 3000, "naïve café — 日本語 🙂", "it's we'll", "a b c", "<|endoftext|> is text here", " ".join("word%d" % i for i in range(60000)), "tab\t\tend ", "\x00\x01"]
+ODD = [None, "", " ", "\n\n a", "x" * 3000, "naïve café — 日本語 🙂", "it's we'll", "a b c", "<|endoftext|> is an added token", "a  <|endoftext|> \n<|endoftext|><|endoftext|>b <|endoftext| <|ENDOFTEXT|>", "x" * 99_990 + " <|endoftext|> y" * 9, " ".join("word%d" % i for i in range(60000)), "tab\t\tend ", "\x00\x01"]
 
 
 def _reference(texts):
@@ -20,15 +20,19 @@ def _reference(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_ids_equal_those_of_tokenizers(spark, sf_dir):
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    enc = bytepair.encoding(JSON)
+    ids = bytepair.encoder(JSON)
     for text, want in zip(texts, _reference(texts), strict=True):
-        assert bytepair.token_ids(enc, text).tolist() == want
+        assert ids(text).tolist() == want
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="not a plain byte-level vocabulary"):
+        bytepair.encoding(public_tokenizers.path("word_bpe_49k.json"))
 
 
 @pytest.mark.parametrize("size", [1, 7, 50])
@@ -75,12 +79,12 @@ def test_packing_whole(spark, sf_dir):
     rows = packing.packed(packing.tokenized(docs, JSON)).collect()
     n = _check_packed(rows, 2048)
     assert n <= -(-sum(r.length for r in rows) // 2048) + 2
-    enc, seen = bytepair.encoding(JSON), {}
+    encode, seen = bytepair.encoder(JSON), {}
     for r in rows:
         seen.setdefault(r.doc_id, []).append(r)
     assert seen.keys() == texts.keys()
     for key, own in seen.items():
-        ids = np.append(bytepair.token_ids(enc, texts[key]), 0).astype("<u4")
+        ids = np.append(encode(texts[key]), 0).astype("<u4")
         own.sort(key=lambda r: r.piece)
         assert [r.piece for r in own] == list(range(len(own))) and [r.start for r in own] == [sum(p.length for p in own[:i]) for i in range(len(own))]
         assert all(r.length == 2048 for r in own[1:]) and sum(r.length for r in own) == len(ids)
@@ -89,9 +93,10 @@ def test_packing_whole(spark, sf_dir):
 
 def test_packing_in_rounds(spark):
     rng = random.Random(3)
-    pieces = spark.createDataFrame([(i % 7, rng.choice([1, 5, 30, 49, 50, 64, 99, 100]), "x") for i in range(5000)], "doc_id long, length long, offset2 string")
+    pieces = spark.createDataFrame([(i % 7, rng.choice([1, 5, 30, 49, 50, 64, 99, 100]), "x", "y") for i in range(5000)], "doc_id long, length long, row string, placed string")
     rows = packing.packed(pieces, capacity=100, block=64, fan=4).collect()
     assert len(rows) == 5000 and _check_packed(rows, 100) <= sum(r.length for r in rows) / 100 * 1.05
+    assert {(r.row, r.placed) for r in rows} == {("x", "y")}
     assert packing.packed(pieces.limit(0), capacity=100).count() == 0
 
 
