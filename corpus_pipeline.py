@@ -4,13 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's ``docs``. All but the last return the columns of ``documents``:
 
 1. ``toxicity``: documents rated toxic (score 0.7 or more) go.
-2. ``language``: documents whose language cannot be told go: no letters, or a narrow margin in a text that is long
-   enough to have a wide one.
+2. ``language``: documents whose language cannot be told go: no letters, or a narrow margin.
 3. ``near_dedup``: of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest
    id stays.
 4. ``substring_dedup``: passages of 50 words that an earlier document has are cut; a document of which no word is left
    goes.
-5. ``packing``: what is left is encoded and packed into sequences of 2048 ids.
+5. ``packing``: what is left is encoded and packed into sequences of 2048 ids; the result has one row for each piece of a
+   document, with its ids, its sequence and its place there.
 
 Null texts are not toxic; they and texts without letters go in stage 2, so stages 3 to 5 see texts. Empty tables pass
 through as empty tables. Extra columns of ``documents`` pass through the first four stages.
@@ -19,26 +19,33 @@ through as empty tables. Extra columns of ``documents`` pass through the first f
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrail.llm import langid, near, packing, substring, toxicity
-from sparktrail.llm.common import fold, materialize, shared_path, small, table
+from sparktrail.llm.common import fold, free_name, materialize, shared_path, small, table
+
+
+def _having(docs: DataFrame, said: Column, condition: str) -> DataFrame:
+    """The rows of ``docs`` of whose struct ``said`` the condition (on ``said``) holds, with the columns of ``docs``."""
+    name = free_name(docs, "said")
+    return docs.withColumn(name, said).filter(condition.replace("said", name)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    return docs.withColumn("_toxicity", toxicity.scorer(model)(F.col("text"))).filter("_toxicity.predicted = 0").select(docs.columns)
+    model = toxicity.fit(toxicity.learnable(docs), table(spark, sf_dir, "labels"))
+    return _having(docs, toxicity.scorer(model)(F.col("text")), "said.predicted = 0")
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(fold("doc_id", 4) != 2))
-    return docs.withColumn("_language", langid.predictor(model)(F.col("text"))).filter("_language.accepted").select(docs.columns)
+    return _having(docs, langid.predictor(model)(F.col("text")), "said.accepted")
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = materialize(near.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    return docs.join(small(dropped, near.BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
+    gone = free_name(docs, "gone")
+    dropped = materialize(near.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct(), "dropped")
+    return docs.join(small(dropped), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def _substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +54,7 @@ def _substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.tokenized(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.packed(packing.tokenized(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True))
 
 
 STAGES = [("toxicity", _toxicity), ("language", _language), ("near_dedup", _near_dedup), ("substring_dedup", _substring_dedup), ("packing", _packing)]
