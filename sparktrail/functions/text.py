@@ -50,6 +50,11 @@ def glob_regex(glob: str) -> str:
     return "".join({"*": ".*", "?": "."}.get(ch) or re.escape(ch) for ch in glob)
 
 
+def glob_expression(glob: Column | str) -> Column:
+    """A column of shell globs as patterns for one path segment: a star stops at slashes."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(as_col(glob), r"([^\w*?])", r"\\$1"), r"\*", "[^/]*"), r"\?", ".")
+
+
 def basename(path: Column | str) -> Column:
     return F.element_at(F.split(as_col(path), "/"), -1)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.functions.text import basename, blank, filled
 from sparktrail.functions.vocabulary import WRITES_EFFICIENCY
-from sparktrail.operators.links import _written, connected
+from sparktrail.operators.links import connected, written
 
 # Thresholds of the duplicate vote, wasted reads, stuck turns and failure groups.
 VOTE = {"command_strong": 0.90, "purpose_strong": 0.85, "reasoning_strong": 0.85, "combined_min": 0.80}
@@ -124,7 +124,7 @@ def duplicate_text_pairs(commands: DataFrame, texts: DataFrame, vectors: DataFra
 
 def duplicate_clusters(pairs: DataFrame) -> DataFrame:
     """(sid, seg, members, dominant_reason) of each group of duplicates; the reason seen first wins among equals."""
-    pairs = _written(pairs)  # looked at several times
+    pairs = written(pairs)  # looked at several times
     node = lambda c: F.struct("sid", "seg", F.col(c).alias("idx"))
     groups = connected(pairs.select(node("idx1").alias("a"), node("idx2").alias("b")))
     members = groups.groupBy("component").agg(F.array_sort(F.collect_list("id.idx")).alias("members"))

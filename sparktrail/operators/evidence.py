@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparktrail.functions.text import blank, dirname, filled, first_filled, glob_regex, regex
+from sparktrail.functions.text import blank, dirname, filled, first_filled, glob_expression
 from sparktrail.functions.vocabulary import WRITES_EVIDENCE
+from sparktrail.operators.links import written
 from sparktrail.operators.predicates import serialised
 
 # Actions that read, for hard checks.
@@ -58,15 +63,62 @@ def turn_ranges(actions: DataFrame) -> DataFrame:
     return actions.groupBy("sid", "turn").agg(F.count("*").alias("actions"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
-def _found(pool: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
-    """Pool rows with each anchor they hold. The anchors are broadcast: callers state them, a few for a requirement."""
-    own = anchors.filter(F.trim("anchor") != "").select(F.col(key).alias("_key"), "anchor", F.monotonically_increasing_id().alias("_nth"))
-    return pool.join(F.broadcast(own), F.contains(F.col("text"), F.lower("anchor")))
+#: Anchors that one pass over the texts looks for.
+PASS_ANCHORS = 200_000
+
+
+def _holding(pool: DataFrame, anchors: list[str]) -> DataFrame:
+    """(doc, idx, anchor) of the pool rows for each of some anchors that their text holds, in one pass over the texts."""
+    kind = T.StructType([pool.schema["doc"], pool.schema["idx"], T.StructField("anchor", T.StringType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for anchor in anchors:
+            finder.add_word(anchor, anchor)
+        finder.make_automaton()
+        for batch in batches:
+            rows, held = [], []
+            for i, text in enumerate(batch.column(2)):
+                own = {anchor for _, anchor in finder.iter(text.as_py() or "")}
+                rows += [i] * len(own)
+                held += own
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(held, pa.string())], kind.names)
+
+    return pool.select("doc", "idx", "text").mapInArrow(find, kind)
+
+
+def _found(pool: DataFrame, anchors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Written down: what is held of distinct anchors (doc, idx, _low), and the anchors (_key, anchor,
+    _low, _nth), _low being an anchor in lower case.
+
+    The anchors are what callers state, a few for a requirement, so the driver holds them; texts are read once for
+    ``PASS_ANCHORS`` of them by one automaton, however many requirements share an anchor.
+    """
+    own = anchors.filter(F.trim("anchor") != "").select(F.col(key).alias("_key"), "anchor", F.lower("anchor").alias("_low"), F.monotonically_increasing_id().alias("_nth"))
+    own = written(own)
+    wanted = sorted(r[0] for r in own.select("_low").distinct().toLocalIterator())
+    parts = [_holding(pool, wanted[at : at + PASS_ANCHORS]) for at in range(0, max(len(wanted), 1), PASS_ANCHORS)]
+    held = parts[0]
+    for part in parts[1:]:
+        held = held.unionByName(part)
+    return written(held.withColumnRenamed("anchor", "_low")), own
+
+
+def _frequencies(held: DataFrame) -> DataFrame:
+    """(_low, df): how many rows of the pool hold each anchor."""
+    return held.groupBy("_low").agg(F.count_distinct("doc").alias("df"))
 
 
 def anchor_frequencies(pool: DataFrame, anchors: DataFrame, key: str = "req_id") -> DataFrame:
     """(req_id, anchor, df): how many rows of the pool hold each anchor; 0 for those that none does."""
-    counted = _found(pool, anchors, key).groupBy(F.col("_key").alias(key), "anchor").agg(F.count_distinct("doc").alias("df"))
+    return _anchor_frequencies(*_found(pool, anchors, key), anchors, key)
+
+
+def _anchor_frequencies(held: DataFrame, own: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
+    counted = own.select(F.col("_key").alias(key), "anchor", "_low").distinct().join(_frequencies(held), "_low").drop("_low")
     return anchors.select(key, "anchor").distinct().join(counted, [key, "anchor"], "left").fillna(0, subset=["df"])
 
 
@@ -76,11 +128,14 @@ def retrieve(pool: DataFrame, anchors: DataFrame, k: int = 8, mode: str = "idf",
     By ``idf`` an anchor counts ln(1 + n / (1 + df)), n rows being in the pool; by ``count`` one. An anchor that is
     given twice counts twice.
     """
-    found = _found(pool, anchors, key)
-    n = pool.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    df = found.groupBy("_key", "anchor").agg(F.count_distinct("doc").alias("df")).join(F.broadcast(n))
-    weighed = df.withColumn("w", F.log(1 + F.col("n") / (1 + F.col("df"))) if mode == "idf" else F.lit(1.0)).select("_key", "anchor", "w")
-    scored = found.join(F.broadcast(weighed), ["_key", "anchor"]).groupBy("_key", "doc", "idx").agg(F.sum("w").alias("score"), F.count("*").alias("hits"))
+    return _ranked(*_found(pool, anchors, key), pool, k, mode, key)
+
+
+def _ranked(held: DataFrame, own: DataFrame, pool: DataFrame, k: int, mode: str, key: str) -> DataFrame:
+    n = max(pool.count(), 1) if mode == "idf" else 1
+    weight = F.log(1 + F.lit(n) / (1 + F.col("df"))) if mode == "idf" else F.lit(1.0)
+    weighed = own.join(_frequencies(held), "_low").select("_low", "_key", weight.alias("w"))
+    scored = held.join(weighed, "_low").groupBy("_key", "doc", "idx").agg(F.sum("w").alias("score"), F.count("*").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.round("score", 9).desc(), F.col("hits").desc(), "idx", "doc"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("_key").alias(key), "rank", "doc", F.round("score", 3).alias("score"), "hits")
 
@@ -104,18 +159,23 @@ def hard_hits(actions: DataFrame, criteria: DataFrame, agents: DataFrame | None
     Reading the path or dispatching the agent is ``direct``; an agent that a command names by a flag is ``derived`` in
     the root session and ``cross_session`` in others, as is a child session of that agent (``agents``: sid, agent_name).
     """
-    some = F.broadcast(criteria.select("req_id", "read_path", "invoke_agent"))
-    reads = F.col("action").isin(*READS) & F.contains(blank("path"), F.col("read_path"))
-    spawned = (F.col("action") == "spawn_subagent") & (F.col("pattern") == F.col("invoke_agent"))
-    flag = F.concat(F.lit(r"(?i)(?:--agent|--target|--developer[_-]agent)[=\s]+['\"]?\Q"), F.col("invoke_agent"), F.lit(r"\E"))
-    flagged = (F.col("action") == "run_command") & F.regexp_like(blank("command"), flag)
+    read = criteria.filter("read_path is not null").select("req_id", "read_path")
+    called = criteria.filter("invoke_agent is not null").select("req_id", "invoke_agent")
+    # criteria are what callers state, a few for a run; only reads of a path and commands with an agent's flag meet them all
+    reads = actions.filter(F.col("action").isin(*READS) & filled("path").isNotNull()).join(F.broadcast(read), F.contains("path", F.col("read_path")))
+    spawned = actions.filter("action = 'spawn_subagent'").join(called, F.col("pattern") == F.col("invoke_agent"))
+    flags = r"(?i)(?:--agent|--target|--developer[_-]agent)[=\s]+['\"]?"
+    flagged = actions.filter((F.col("action") == "run_command") & F.col("command").rlike(flags))
+    flagged = flagged.join(F.broadcast(called), F.regexp_like("command", F.concat(F.lit(flags + r"\Q"), F.col("invoke_agent"), F.lit(r"\E"))))
     is_root = F.coalesce(F.col("is_root"), F.lit(True)) if "is_root" in actions.columns else F.lit(True)
-    tier = F.when(reads | spawned, F.struct(F.lit(3).alias("o"), F.lit("direct").alias("tier"))).when(flagged & is_root, F.struct(F.lit(2).alias("o"), F.lit("derived").alias("tier"))).when(flagged, F.struct(F.lit(1).alias("o"), F.lit("cross_session").alias("tier")))
-    hits = actions.join(some, F.coalesce(reads | spawned | flagged, F.lit(False))).withColumn("t", tier)
+    direct = F.struct(F.lit(3).alias("o"), F.lit("direct").alias("tier"))
+    by_flag = F.when(is_root, F.struct(F.lit(2).alias("o"), F.lit("derived").alias("tier"))).otherwise(F.struct(F.lit(1).alias("o"), F.lit("cross_session").alias("tier")))
+    some = reads.select("req_id", "sid", "idx", direct.alias("t")).unionByName(spawned.select("req_id", "sid", "idx", direct.alias("t"))).unionByName(flagged.select("req_id", "sid", "idx", by_flag.alias("t")))
+    hits = some.groupBy("req_id", "sid", "idx").agg(F.max("t").alias("t"))
     out = hits.groupBy("req_id", "sid").agg(F.max("t").alias("t"), F.count("*").alias("hits")).select("req_id", "sid", "t.tier", "hits")
     if agents is None:
         return out
-    kids = agents.join(some, F.col("agent_name") == F.col("invoke_agent")).select("req_id", "sid", F.lit("cross_session").alias("tier"), F.lit(1).cast("long").alias("hits"))
+    kids = agents.join(called, F.col("agent_name") == F.col("invoke_agent")).select("req_id", "sid", F.lit("cross_session").alias("tier"), F.lit(1).cast("long").alias("hits"))
     return out.unionByName(kids.join(out.select("req_id", "sid"), ["req_id", "sid"], "left_anti"))
 
 
@@ -124,9 +184,7 @@ def files_in_window(files: DataFrame, patterns: DataFrame, windows: DataFrame) -
 
     A file changed within the run's time window is strong evidence (``artifact``), another only ``derived``.
     """
-    globs = [r["glob"] for r in patterns.select("glob").distinct().collect()]  # what a user states, a few
-    as_regex = F.create_map(*[x for g in globs for x in (F.lit(g), F.lit(regex("(?:^|/)" + glob_regex(g).replace(".*", "[^/]*") + "$")))]) if globs else F.create_map()
-    named = files.join(F.broadcast(patterns), "root").filter(F.regexp_like("path", as_regex[F.col("glob")])).join(windows, "root", "left")
+    named = files.join(patterns, "root").filter(F.regexp_like("path", F.concat(F.lit("(?dU)(?:^|/)"), glob_expression("glob"), F.lit("$")))).join(windows, "root", "left")
     strong = F.coalesce(F.col("modified_at").between(F.col("lower"), F.col("upper")), F.lit(False))
     out = named.groupBy("req_id", "root").agg(F.count("*").alias("found"), F.count_if(strong).alias("strong"))
     return out.withColumn("tier", F.when(F.col("strong") > 0, "artifact").otherwise("derived"))

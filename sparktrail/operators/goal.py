@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktrail.functions.text import basename, filled
-from sparktrail.operators.evidence import anchor_frequencies, retrieve, words_only
+from sparktrail.functions.vocabulary import WRITES_EVIDENCE
+from sparktrail.operators.evidence import _anchor_frequencies, _found, _ranked, anchor_frequencies, words_only
 
 # The confidence that each tier of evidence allows at most.
 TIERS = {"direct": 1.00, "artifact": 0.95, "derived": 0.85, "retrieved": 0.75, "cross_session": 0.70, "testimonial": 0.30, "none": 0.00}
@@ -22,18 +23,36 @@ def capped_confidence(tier: Column, base: Column, residual: Column) -> Column:
     return F.round(F.when(F.coalesce(residual, F.lit(False)), value * 0.9).otherwise(value), 3)
 
 
+def candidates(anchors: DataFrame, scoped: DataFrame, pool: DataFrame, k: int = 8, mode: str = "idf") -> DataFrame:
+    """(req_id, place, doc, idx, in_scope, before): what a requirement looks at, in order, ``2 k`` at most: the ``k`` best of
+    its scope, then those of the whole pool that are not among them.
+
+    Without a column ``before`` (true for rows from before the request) in the pool, none is marked.
+    """
+    return _candidates(scoped, pool, *_found(pool, anchors, "req_id"), k, mode)
+
+
+def _candidates(scoped: DataFrame, pool: DataFrame, held: DataFrame, own: DataFrame, k: int, mode: str) -> DataFrame:
+    here = held.join(scoped.select("doc"), "doc", "left_semi")  # texts are read once, for both
+    near = _ranked(here, own, scoped, k, mode, "req_id").select("req_id", "rank", "doc", F.lit(True).alias("in_scope"))
+    far = _ranked(held, own, pool, k, mode, "req_id").select("req_id", "rank", "doc", F.lit(False).alias("in_scope"))
+    both = near.unionByName(far.join(near.select("req_id", "doc"), ["req_id", "doc"], "left_anti"))
+    place = F.row_number().over(Window.partitionBy("req_id").orderBy(F.col("in_scope").desc(), "rank"))
+    marks = pool.select("doc", "idx", (F.coalesce("before", F.lit(False)) if "before" in pool.columns else F.lit(False)).alias("before"))
+    return both.withColumn("place", place).filter(F.col("place") <= 2 * k).join(marks, "doc").select("req_id", "place", "doc", "idx", "in_scope", "before")
+
+
 def search_states(requirements: DataFrame, anchors: DataFrame, scoped: DataFrame, pool: DataFrame, hard: DataFrame, k: int = 8, mode: str = "idf") -> DataFrame:
     """(req_id, status, tier, candidates, absent_reason) of each requirement.
 
     ``scoped`` is the part of the ``pool`` a requirement looks at first; what only the whole pool holds counts as well,
     after it. Hard hits (req_id, tier) decide alone.
     """
-    here = retrieve(scoped, anchors, k, mode).select("req_id", "doc")
-    there = retrieve(pool, anchors, k, mode).select("req_id", "doc")
-    candidates = here.unionByName(there.join(here, ["req_id", "doc"], "left_anti")).groupBy("req_id").agg(F.least(F.count("*"), F.lit(2 * k)).alias("candidates"))
-    heard = anchor_frequencies(pool, anchors).groupBy("req_id").agg(F.max("df").alias("top_df"))
+    held, own = _found(pool, anchors, "req_id")
+    counted = _candidates(scoped, pool, held, own, k, mode).groupBy("req_id").agg(F.count("*").alias("candidates"))
+    heard = _anchor_frequencies(held, own, anchors, "req_id").groupBy("req_id").agg(F.max("df").alias("top_df"))
     best = hard.groupBy("req_id").agg(F.first("tier").alias("hard_tier"))
-    out = requirements.select("req_id").join(candidates, "req_id", "left").join(heard, "req_id", "left").join(best, "req_id", "left").fillna(0, subset=["candidates", "top_df"])
+    out = requirements.select("req_id").join(counted, "req_id", "left").join(heard, "req_id", "left").join(best, "req_id", "left").fillna(0, subset=["candidates", "top_df"])
     status = F.when(F.col("hard_tier").isNotNull(), "hard").when(F.col("candidates") > 0, "candidates").otherwise("absent")
     tier = F.when(status == "hard", F.col("hard_tier")).when(status == "candidates", "retrieved").otherwise("none")
     reason = F.when(status == "absent", F.when(F.col("top_df") == 0, "suspect_anchors").otherwise("no_scoring_action"))
@@ -66,6 +85,14 @@ def command_heads(actions: DataFrame, n: int = 20) -> DataFrame:
     return actions.filter(filled(F.trim("command")).isNotNull()).groupBy(F.left(basename(first), F.lit(24)).alias("head")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "head").limit(n)
 
 
+def written_names(actions: DataFrame, n: int = 30) -> DataFrame:
+    """(sid, names): the base names of the first ``n`` paths that a session writes, in the order of their first write."""
+    wrote = actions.filter(F.col("action").isin(*WRITES_EVIDENCE) & filled("path").isNotNull()).groupBy("sid", "path").agg(F.min("idx").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("first", "path"))
+    few = wrote.withColumn("r", rank).filter(F.col("r") <= n).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("r", basename("path").alias("name")))).alias("w"))
+    return few.select("sid", F.col("w.name").alias("names"))
+
+
 def uncited(findings: DataFrame, packs: DataFrame) -> DataFrame:
     """Evidence (req_id, ref) that findings cite and their pack does not have: there must be none."""
     return findings.select("req_id", F.explode("evidence_actions").alias("ref")).join(packs.select("req_id", "ref"), ["req_id", "ref"], "left_anti")

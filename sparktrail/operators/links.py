@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: through the session's shared folder where one is set, else by checkpoint in a temporary one."""
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage: through the session's shared folder where one is set, else, in local mode, a temporary one."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -19,6 +19,8 @@ def _written(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="links-"))
     return df.checkpoint()
 
@@ -28,13 +30,13 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Every round a vertex takes the smallest label around it and then the label of that label, so paths halve.
     """
-    both = _written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
         around = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         nearer = labels.join(around, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = nearer.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = _written(nearer.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "was"))
+        new = written(nearer.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "was"))
         labels = new.select("id", "component")
         if new.filter("component <> was").isEmpty():
             return labels

@@ -127,18 +127,12 @@ def cache_stale_texts(spark, sf_dir):
     return cache.stale(wanted, known.unionByName(other)).select("sid", "idx", "dim", "sha1")
 
 
-@query(
-    "norm_side_by_side",
-    f"""{A}, h AS (SELECT sid, idx, tool FROM actions WHERE sid % 3 = 0 OR idx > 0), s AS (SELECT sid FROM actions GROUP BY sid HAVING sid % 3 = 0)
-    SELECT a.sid, a.idx, a.tool AS hook_tool, a.tool AS official_tool, true AS same FROM actions a JOIN s USING (sid)""",
-)
-def norm_side_by_side(spark, sf_dir):
-    acts = actions(spark, sf_dir)
-    return normalize.side_by_side(acts.filter("sid % 3 = 0 or idx > 0").withColumn("tool", F.col("raw_tool")), acts)
+_SIDES_SQL = f"{A} SELECT sid, idx, tool AS hook_tool, tool AS official_tool, true AS same FROM actions"
 
 
-@query("norm_side_by_side_all", f"{A} SELECT sid, idx, tool AS hook_tool, tool AS official_tool, true AS same FROM actions")
-def norm_side_by_side_all(spark, sf_dir):
+@query("norm_side_by_side_all", _SIDES_SQL)
+@query("norm_side_by_side", _SIDES_SQL)
+def norm_side_by_side(spark, sf_dir):
     """Every action of every session in both sources."""
     acts = actions(spark, sf_dir)
     return normalize.side_by_side(acts.withColumn("tool", F.col("raw_tool")), acts)

@@ -319,39 +319,27 @@ def ev_turn_ranges(spark, sf_dir):
     return evidence.turn_ranges(_acts(spark, sf_dir))
 
 
-@query(
-    "ev_run_tree",
-    """WITH RECURSIVE s AS (SELECT DISTINCT user_id AS sid FROM events), l AS (SELECT sid, sid // 3 AS parent FROM s WHERE sid // 3 > 0 AND sid // 3 <> sid),
-    t AS (SELECT sid AS root, sid, 0 AS depth FROM s WHERE sid BETWEEN 1 AND 2 UNION ALL SELECT t.root, l.sid, t.depth + 1 FROM t JOIN l ON l.parent = t.sid WHERE t.depth < 3)
-    SELECT root, sid, min(depth) AS depth FROM t GROUP BY root, sid""",
-)
-def ev_run_tree(spark, sf_dir):
-    sid = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("sid")).distinct()
-    parent = F.floor(F.col("sid") / 3).cast("long")
-    sessions = sid.withColumn("parent", F.when((parent > 0) & (parent != F.col("sid")), parent))
-    return evidence.run_tree(sessions, sid.filter(F.col("sid").between(1, 2)))
+_TREE_SQL = """WITH RECURSIVE s AS (SELECT DISTINCT user_id AS sid FROM events), l AS (SELECT sid, sid // 3 AS parent FROM s WHERE sid // 3 > 0 AND sid // 3 <> sid),
+    t AS (SELECT sid AS root, sid, 0 AS depth FROM s UNION ALL SELECT t.root, l.sid, t.depth + 1 FROM t JOIN l ON l.parent = t.sid WHERE t.depth < 3)
+    SELECT root, sid, min(depth) AS depth FROM t GROUP BY root, sid"""
 
 
-@query(
-    "ev_run_tree_all",
-    """WITH RECURSIVE s AS (SELECT DISTINCT user_id AS sid FROM events), l AS (SELECT sid, sid // 3 AS parent FROM s WHERE sid // 3 > 0 AND sid // 3 <> sid),
-    t AS (SELECT sid AS root, sid, 0 AS depth FROM s UNION ALL SELECT t.root, l.sid, t.depth + 1 FROM t JOIN l ON l.parent = t.sid WHERE t.depth < 3)
-    SELECT root, sid, min(depth) AS depth FROM t GROUP BY root, sid""",
-)
-def ev_run_tree_all(spark, sf_dir):
+@query("ev_run_tree_all", _TREE_SQL)
+@query("ev_run_tree", _TREE_SQL)
+def ev_run_tree(spark, sf_dir):
     """Every session as a root."""
     sid = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("sid")).distinct()
     parent = F.floor(F.col("sid") / 3).cast("long")
     return evidence.run_tree(sid.withColumn("parent", F.when((parent > 0) & (parent != F.col("sid")), parent)), sid)
 
 
-#: Texts stand for actions, the longest words of a benchmark item for the anchors of a requirement.
-_ANCHORS_SQL = """a AS (SELECT item_id AS req_id, unnest(list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))), 1, 4)) AS anchor FROM benchmark),
+#: Texts stand for actions, the words of six letters and more of a benchmark item for the anchors of a requirement.
+_ANCHORS_SQL = """a AS (SELECT item_id AS req_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS anchor FROM benchmark),
   pool AS (SELECT doc_id AS doc, doc_id AS idx, lower(text) AS text FROM documents)"""
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0))), 1, 4)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0))
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("req_id"), F.explode(words).alias("anchor"))
 
 
@@ -380,14 +368,12 @@ def ev_retrieve_idf_topk(spark, sf_dir):
     return evidence.retrieve(_pool(spark, sf_dir), _anchors(spark, sf_dir))
 
 
-@query("ev_window_pm2", f"{A} SELECT c.sid, c.idx AS centre, a.idx, a.action FROM actions c JOIN actions a ON a.sid = c.sid AND a.idx BETWEEN c.idx - 2 AND c.idx + 2 WHERE c.error IS NOT NULL AND c.k < 20")
-def ev_window_pm2(spark, sf_dir):
-    acts = _acts(spark, sf_dir)
-    return evidence.around(acts, acts.filter("error is not null and k < 20"), 2, 2)
+_AROUND_SQL = f"{A} SELECT c.sid, c.idx AS centre, a.idx, a.action FROM actions c JOIN actions a ON a.sid = c.sid AND a.idx BETWEEN c.idx - 2 AND c.idx + 2 WHERE c.error IS NOT NULL"
 
 
-@query("ev_window_pm2_all", f"{A} SELECT c.sid, c.idx AS centre, a.idx, a.action FROM actions c JOIN actions a ON a.sid = c.sid AND a.idx BETWEEN c.idx - 2 AND c.idx + 2 WHERE c.error IS NOT NULL")
-def ev_window_pm2_all(spark, sf_dir):
+@query("ev_window_pm2_all", _AROUND_SQL)
+@query("ev_window_pm2", _AROUND_SQL)
+def ev_window_pm2(spark, sf_dir):
     """Every error as a centre."""
     acts = _acts(spark, sf_dir)
     return evidence.around(acts, acts.filter("error is not null"), 2, 2)
@@ -418,18 +404,16 @@ def goal_tri_state(spark, sf_dir):
     return goal.search_states(items, _anchors(spark, sf_dir), pool.filter(F.col("doc") % 2 == 0), pool, hard).select("req_id", "status", "tier")
 
 
-@query(
-    "goal_quote_filter",
-    "SELECT conv_id, turn FROM conversations WHERE contains(regexp_replace(text, '[^a-zA-Z0-9_]+', '', 'g'), regexp_replace(left(text, 40), '[^a-zA-Z0-9_]+', '', 'g')) AND NOT regexp_matches(text, '[^\\x00-\\x7F]')",
-)
-def goal_quote_filter(spark, sf_dir):
-    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter(~F.col("text").rlike("[^\\x00-\\x7F]")).withColumn("at", F.concat_ws("/", "conv_id", "turn"))
-    return goal.quoted(said.select("conv_id", "turn", "at", F.left("text", F.lit(40)).alias("quote")), said.select("at", "text"), "at").select("conv_id", "turn")
+_WORDS_SQL = "regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+', '', 'g')"
+_QUOTES_SQL = f"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM conversations),
+  q AS (SELECT conv_id, turn, text, 'own' AS quoted, text AS said FROM c UNION ALL SELECT conv_id, turn, text, 'before', prior FROM c WHERE prior IS NOT NULL)
+  SELECT conv_id, turn, quoted FROM q WHERE contains({_WORDS_SQL.format("text")}, {_WORDS_SQL.format("left(said, 40)")})"""
 
 
-@query("goal_quote_filter_all")
-def goal_quote_filter_all(spark, sf_dir):
-    """Every turn claims to hold its own opening and that of the turn before; no SQL, since words are told by Unicode."""
+@query("goal_quote_filter", _QUOTES_SQL)
+@query("goal_quote_filter_all", _QUOTES_SQL)
+def goal_quote_filter(spark, sf_dir):
+    """Every turn claims to hold its own opening and that of the turn before."""
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("at", F.concat_ws("/", "conv_id", "turn"))
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     quotes = F.array(F.struct(F.lit("own").alias("quoted"), F.col("text").alias("of")), F.struct(F.lit("before").alias("quoted"), before.alias("of")))
@@ -441,6 +425,29 @@ _FINDINGS_SQL = f"""{A}, f AS (SELECT sid, seg AS req_id, CASE WHEN bool_or(erro
   bool_or(error IS NOT NULL AND k = 99) AS overclaim, seg = 5 AS synthetic, CASE WHEN seg % 3 = 0 THEN 'weak' ELSE 'strong' END AS strength FROM actions GROUP BY sid, seg)"""
 
 
+@query(
+    "goal_candidates",
+    f"""WITH {_ANCHORS_SQL}, m AS (SELECT req_id, anchor, doc FROM a JOIN pool ON contains(pool.text, a.anchor)),
+    s AS (SELECT req_id, doc, count(*) AS hits FROM m GROUP BY req_id, doc), far AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY hits DESC, doc) AS r FROM s) WHERE r <= 8),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY hits DESC, doc) AS r FROM s WHERE doc % 2 = 0) WHERE r <= 8),
+    b AS (SELECT req_id, doc, true AS in_scope, r FROM near UNION ALL SELECT req_id, doc, false, r FROM far WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.req_id = far.req_id AND n.doc = far.doc))
+    SELECT req_id, CAST(row_number() OVER (PARTITION BY req_id ORDER BY in_scope DESC, r) AS INTEGER) AS place, doc, in_scope, doc < 100 AS before FROM b""",
+)
+def goal_candidates(spark, sf_dir):
+    """What each requirement looks at: the best of its scope, then of the whole pool, early rows marked."""
+    pool = _pool(spark, sf_dir).withColumn("before", F.col("doc") < 100)
+    return goal.candidates(_anchors(spark, sf_dir), pool.filter(F.col("doc") % 2 == 0), pool, mode="count").select("req_id", "place", "doc", "in_scope", "before")
+
+
+@query(
+    "goal_written_names",
+    f"""{A}, w AS (SELECT sid, path, min(idx) AS f FROM actions WHERE action = 'modify_file' GROUP BY sid, path)
+    SELECT sid, string_agg(replace(path, '/w/', ''), ',' ORDER BY f, path) AS names FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY f, path) AS r FROM w) WHERE r <= 30 GROUP BY sid""",
+)
+def goal_written_names(spark, sf_dir):
+    return goal.written_names(_acts(spark, sf_dir)).withColumn("names", F.array_join("names", ","))
+
+
 @query(
     "goal_aggregate",
     f"""{_FINDINGS_SQL}, g AS (SELECT sid, count(*) FILTER (WHERE s) AS strong_active, count(*) FILTER (WHERE s AND satisfied = 'true') AS satisfied, count(*) FILTER (WHERE s AND satisfied = 'unverifiable') AS unverifiable,
@@ -569,23 +576,13 @@ def viz_flow(spark, sf_dir):
     return views.flow(_graph(spark, sf_dir)[3])
 
 
-@query(
-    "tune_flag_context",
-    f"""{A}, f AS (SELECT sid * 1000 + idx AS flag_id, 'Mistake' AS tag, sid, CASE WHEN idx % 2 = 0 THEN sid || '#' || idx ELSE 'none' END AS ref, idx FROM actions WHERE error IS NOT NULL AND k < 10)
-    SELECT f.flag_id, f.tag, f.sid, f.idx AS centre, a.idx, a.action FROM f JOIN actions a ON a.sid = f.sid AND a.idx BETWEEN f.idx - 2 AND f.idx + 2""",
-)
-def tune_flag_context(spark, sf_dir):
-    acts = _acts(spark, sf_dir).withColumn("ref", F.concat_ws("#", "sid", "idx"))
-    flags = acts.filter("error is not null and k < 10").select((F.col("sid") * 1000 + F.col("idx")).alias("flag_id"), F.lit("Mistake").alias("tag"), "sid", F.when(F.col("idx") % 2 == 0, F.col("ref")).otherwise("none").alias("ref"), "idx")
-    return views.flag_contexts(flags, acts)
+_FLAGS_SQL = f"""{A}, f AS (SELECT sid * 1000000 + idx AS flag_id, 'Mistake' AS tag, sid, idx FROM actions WHERE error IS NOT NULL)
+    SELECT f.flag_id, f.tag, f.sid, f.idx AS centre, a.idx, a.action FROM f JOIN actions a ON a.sid = f.sid AND a.idx BETWEEN f.idx - 2 AND f.idx + 2"""
 
 
-@query(
-    "tune_flag_context_all",
-    f"""{A}, f AS (SELECT sid * 1000000 + idx AS flag_id, 'Mistake' AS tag, sid, idx FROM actions WHERE error IS NOT NULL)
-    SELECT f.flag_id, f.tag, f.sid, f.idx AS centre, a.idx, a.action FROM f JOIN actions a ON a.sid = f.sid AND a.idx BETWEEN f.idx - 2 AND f.idx + 2""",
-)
-def tune_flag_context_all(spark, sf_dir):
+@query("tune_flag_context_all", _FLAGS_SQL)
+@query("tune_flag_context", _FLAGS_SQL)
+def tune_flag_context(spark, sf_dir):
     """Every error flagged, half of them by a reference that is not found."""
     acts = _acts(spark, sf_dir).withColumn("ref", F.concat_ws("#", "sid", "idx"))
     flags = acts.filter("error is not null").select((F.col("sid") * 1_000_000 + F.col("idx")).alias("flag_id"), F.lit("Mistake").alias("tag"), "sid", F.when(F.col("idx") % 2 == 0, F.col("ref")).otherwise("none").alias("ref"), "idx")
