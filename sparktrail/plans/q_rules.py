@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrail.operators import rules
-from sparktrail.operators.predicates import matches, program_pattern, reads_pattern, serialised, writes_pattern
+from sparktrail.operators.predicates import matches, reading, running, serialised, writing
 from sparktrail.plans.catalog import query
 from sparktrail.sources.standin import ACTIONS_SQL, actions, with_matcher_fields
 
@@ -40,17 +40,17 @@ _VERBS = "cat|bat|sed|awk|grep|egrep|rg|head|tail|less|more|nl|wc|xxd|od|jq|yq"
 
 @query("pred_reads", f"{ACTIONS_SQL} SELECT sid, idx FROM actions WHERE regexp_matches({TEXT_SQL}, '(?s)^(read_file|list_dir|read_image|search_content|search_files)\\b.*f1.\\.py') OR regexp_matches({TEXT_SQL}, '\\b({_VERBS})\\b[^\\n]*f1.\\.py')")
 def pred_reads(spark, sf_dir):
-    return _sessions(spark, sf_dir).filter(matches({"regex": reads_pattern("f1?.py")})).select("sid", "idx")
+    return _sessions(spark, sf_dir).filter(matches(reading("f1?.py"))).select("sid", "idx")
 
 
 @query("pred_runs", f"{ACTIONS_SQL} SELECT sid, idx FROM actions WHERE action = 'run_command' AND regexp_matches(trim(split_part(command, '&&', 2)), '^(timeout\\s+[0-9]+\\s+|sudo\\s+)*python3 run_2')")
 def pred_runs(spark, sf_dir):
-    return _sessions(spark, sf_dir).filter(matches({"action": "run_command", "program": program_pattern("python3 run_2*")})).select("sid", "idx")
+    return _sessions(spark, sf_dir).filter(matches(running("python3 run_2*"))).select("sid", "idx")
 
 
 @query("pred_never_writes", f"{ACTIONS_SQL} SELECT sid, idx FROM actions WHERE regexp_matches({TEXT_SQL}, '(?s)^(create_file|modify_file|append_file)\\b.*f3') OR regexp_matches({TEXT_SQL}, '(>>|>|\\btee\\b|\\bdd\\b)[^\\n]*f3')")
 def pred_never_writes(spark, sf_dir):
-    return _sessions(spark, sf_dir).filter(matches({"regex": writes_pattern("f3")})).select("sid", "idx")
+    return _sessions(spark, sf_dir).filter(matches(writing("f3"))).select("sid", "idx")
 
 
 @query("pred_serialised", f"{ACTIONS_SQL} SELECT sid, idx, md5({TEXT_SQL}) AS text_md5 FROM actions")
@@ -173,3 +173,23 @@ def policy_filter(spark, sf_dir):
     from sparktrail.operators.policy import denied_by
 
     return _sessions(spark, sf_dir).select("sid", "idx", denied_by(POLICY).alias("denied_by")).filter("denied_by is not null")
+
+
+@query(
+    "rule_policies",
+    f"""{ACTIONS_SQL}, p AS (SELECT sid * 1000 + idx AS ord, 'S' || sid AS scope_id, 'policy ' || idx AS policy, CASE WHEN k % 10 = 0 THEN 'judge_only' WHEN k % 10 = 1 THEN 'unobservable' ELSE 'deterministic' END AS seen,
+      CASE WHEN k % 4 = 0 THEN 'write' WHEN k % 4 = 1 THEN 'never_runs' ELSE 'reads' END AS intent, CASE WHEN k % 4 = 0 THEN 'out/*_' || k || '.log' ELSE 't' || k END AS target, k % 3 = 0 AS hard FROM actions),
+    o AS (SELECT intent, CASE WHEN intent = 'write' THEN replace(target, 'out/*', '') ELSE target END AS target, ord, scope_id, hard FROM p WHERE seen = 'deterministic'),
+    f AS (SELECT intent, target, min(ord) AS place, arg_min(scope_id, ord) AS scope, arg_min(hard, ord) AS h, count(*) FILTER (WHERE hard) AS hards, count(*) AS n FROM o GROUP BY intent, target)
+    SELECT scope || '_' || intent || '_' || trim(regexp_replace(target, '[^a-z0-9]+', '_', 'g'), '_') AS id, target, CASE WHEN hards > h::INT THEN 'required' WHEN intent = 'never_runs' THEN 'forbidden' WHEN h THEN 'required' ELSE 'recommended' END AS importance, n FROM f
+    UNION ALL SELECT 'judge_reasoning_quality', 'reasoning_quality', 'recommended', count(*) FROM p WHERE seen = 'judge_only'""",
+)
+def rule_policies(spark, sf_dir):
+    """Policies of all sessions, one for each action, as rules."""
+    k, write = F.col("k"), F.col("k") % 4 == 0
+    seen = F.when(k % 10 == 0, "judge_only").when(k % 10 == 1, "unobservable").otherwise("deterministic")
+    intent = F.when(write, "write").when(k % 4 == 1, "never_runs").otherwise("reads")
+    target = F.when(write, F.concat(F.lit("out/*_"), k, F.lit(".log"))).otherwise(F.concat(F.lit("t"), k))
+    policies = _sessions(spark, sf_dir).select((F.col("sid") * 1000 + F.col("idx")).alias("ord"), F.concat(F.lit("S"), "sid").alias("scope_id"), F.concat(F.lit("policy "), "idx").alias("policy"), seen.alias("observability"), intent.alias("intent"), target.alias("target"), F.when(k % 3 == 0, "required").otherwise("recommended").alias("severity_hint"))
+    made, _, _ = rules.policy_rules(policies, spark.createDataFrame([], "name string"))
+    return made.select("id", "target", "importance", F.size("policies").cast("long").alias("n"))
