@@ -51,14 +51,17 @@ def labelled_sample(docs: DataFrame, keys: DataFrame, per_label: int, max_labels
     """At most ``per_label`` rows of each label as (id, label, text of up to ``max_chars`` characters), those of the
     ``max_labels`` most frequent labels: what the driver gets is bounded by the three parameters.
 
-    ``docs`` has (id, text), ``keys`` (id, label). Ids are chosen by a hash, the same ones in every run; only narrow
-    rows are sorted, each task hands on ``per_label`` ids of a label at most, and texts are then picked out by the chosen
-    ids. Longer texts give a slice that begins at a place chosen by the hash. An id that occurs with several texts gives
+    ``docs`` has (id, text), ``keys`` (id, label). Ids are chosen by a hash, the same ones in every run, in
+    two scans of narrow columns, one for the number of rows of each label and one for the ids; texts are then picked out by
+    the chosen ids. Longer texts give a slice that begins at a place chosen by the hash. An id that occurs with several texts gives
     one of them.
     """
     frequent = keys.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(max_labels)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit("share")), "id")
-    chosen = keys.join(F.broadcast(frequent), "label").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_label)
+    # a share of the ids in which about twice as many as are wanted lie, then exactly as many
+    share = F.least(F.lit(1.0), (2.0 * per_label + 64) / F.col("n")) * (1 << 30)
+    some = keys.join(F.broadcast(frequent), "label").filter(F.pmod(F.xxhash64("id", F.lit("share")), F.lit(1 << 30)) < share)
+    order = Window.partitionBy("label").orderBy(F.pmod(F.xxhash64("id", F.lit("share")), F.lit(1 << 30)), "id")
+    chosen = some.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_label)
     start = F.pmod(F.xxhash64("id", F.lit("slice")), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1
     # at most per_label * max_labels ids
     picked = docs.join(F.broadcast(chosen.select("id", "label", "n")), "id").withColumn("text", F.substring("text", start.cast("int"), F.lit(max_chars)))
