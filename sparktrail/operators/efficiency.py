@@ -7,8 +7,13 @@ vectors (sid, idx, dim, vector). Windows and groups are all by session, so one s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktrail.functions.text import basename, blank, filled
 from sparktrail.functions.vocabulary import WRITES_EFFICIENCY
@@ -86,21 +91,52 @@ def siblings(thinkings: DataFrame) -> DataFrame:
     return some.select("sid", F.col("a").alias("idx1"), F.explode("action_idx").alias("idx2")).filter("idx1 < idx2").distinct()
 
 
-def duplicate_pairs(commands: DataFrame, vectors: DataFrame, sibling_pairs: DataFrame | None = None, bars: dict = VOTE) -> DataFrame:
+#: Commands of a segment that one side of a task holds.
+CHUNK = 1024
+_DIMS = ("command", "purpose", "reasoning")
+
+
+def _similar(bars: dict) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Pairs of two chunks of a segment's commands with the reason why they count as duplicates; the vote in arrays."""
+
+    def similar(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["left"]], rows[rows["right"]]
+        sims = {}
+        for dim in _DIMS:
+            sims[dim] = np.zeros((len(left), len(right)))
+            one, two = left[dim].notna().to_numpy(), right[dim].notna().to_numpy()
+            if one.any() and two.any():
+                x, y = (np.stack(side[dim][has].to_numpy()).astype(np.float64) for side, has in ((left, one), (right, two)))
+                x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
+                sims[dim][np.ix_(one, two)] = x @ y.T
+        c, p, r = (sims[d] for d in _DIMS)
+        both = bars["combined_min"]
+        ways = [c > bars["command_strong"], p > bars["purpose_strong"], r > bars["reasoning_strong"], (p > both) & (r > both), (c > both) & (p > both)]
+        why = np.select(ways, range(1, 6))
+        first, second = left["idx"].to_numpy(), right["idx"].to_numpy()
+        i, j = np.nonzero(why * (first[:, None] < second[None, :] if key[2] == key[3] else first[:, None] != second[None, :]))
+        a, b = first[i], second[j]
+        names = np.array(["", "command_strong", "purpose_strong", "reasoning_strong", "combined_pr", "combined_cp"], object)
+        return pd.DataFrame({"sid": [key[0]] * len(i), "seg": [key[1]] * len(i), "idx1": np.minimum(a, b), "idx2": np.maximum(a, b), "reason": names[why[i, j]]})
+
+    return similar
+
+
+def duplicate_pairs(commands: DataFrame, vectors: DataFrame, sibling_pairs: DataFrame | None = None, bars: dict = VOTE, chunk: int = CHUNK) -> DataFrame:
     """(sid, seg, idx1, idx2, reason): pairs of commands of one segment that do the same.
 
-    ``commands`` has (sid, seg, idx). Pairs within a segment are all compared, as the feature asks for; the vectors of
-    a command are gathered once before, so the pair join is the only one.
+    ``commands`` has (sid, seg, idx). The vectors of a command are gathered once; then chunks of a segment meet as matrix
+    products, so that no task holds more than two of them, however long a segment is.
     """
-    by_dim = vectors.groupBy("sid", "idx").pivot("dim", ["command", "purpose", "reasoning"]).agg(F.first("vector"))
+    by_dim = vectors.groupBy("sid", "idx").pivot("dim", list(_DIMS)).agg(F.first("vector"))
     own = commands.select("sid", "seg", "idx").join(by_dim, ["sid", "idx"])
-    one, two = own.alias("x"), own.alias("y")
-    pairs = one.join(two, (F.col("x.sid") == F.col("y.sid")) & (F.col("x.seg") == F.col("y.seg")) & (F.col("x.idx") < F.col("y.idx")))
-    alike = {d: F.when(F.col(f"x.{d}").isNotNull() & F.col(f"y.{d}").isNotNull(), cosine(f"x.{d}", f"y.{d}")) for d in ("command", "purpose", "reasoning")}
-    out = pairs.select(F.col("x.sid").alias("sid"), F.col("x.seg").alias("seg"), F.col("x.idx").alias("idx1"), F.col("y.idx").alias("idx2"), *(c.alias(d) for d, c in alike.items()))
-    if sibling_pairs is not None:
-        out = out.join(sibling_pairs, ["sid", "idx1", "idx2"], "left_anti")
-    return out.withColumn("reason", vote(F.col("command"), F.col("purpose"), F.col("reasoning"), bars)).filter("reason is not null").select("sid", "seg", "idx1", "idx2", "reason")
+    sizes = commands.groupBy("sid", "seg").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    own = own.join(sizes, ["sid", "seg"]).withColumn("me", F.pmod(F.xxhash64("idx"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    tasks = own.select("sid", "seg", "idx", *_DIMS, F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"), (F.col("me") <= F.col("other")).alias("left"), (F.col("me") >= F.col("other")).alias("right"))
+    kinds = {f.name: f.dataType for f in commands.schema.fields}
+    schema = T.StructType([T.StructField(n, kinds[k]) for n, k in (("sid", "sid"), ("seg", "seg"), ("idx1", "idx"), ("idx2", "idx"))] + [T.StructField("reason", T.StringType())])
+    out = tasks.groupBy("sid", "seg", "a", "b").applyInPandas(_similar(bars), schema)
+    return out if sibling_pairs is None else out.join(sibling_pairs, ["sid", "idx1", "idx2"], "left_anti").select(*schema.names)
 
 
 def duplicate_text_pairs(commands: DataFrame, texts: DataFrame, vectors: DataFrame, bars: dict = VOTE) -> DataFrame:

@@ -57,6 +57,11 @@ def at_least(confidence: str) -> Column:
     return F.col("confidence").isin(*CONFIDENCE[CONFIDENCE.index(confidence) :])
 
 
+def confidence_counts(all_edges: DataFrame) -> DataFrame:
+    """(sid, kind, confidence, n): edges by kind and confidence."""
+    return all_edges.groupBy("sid", "kind", "confidence").agg(F.count("*").alias("n"))
+
+
 def isolated(actions: DataFrame, all_edges: DataFrame) -> DataFrame:
     """Actions without an edge."""
     return actions.join(all_edges.select("sid", "idx").distinct(), ["sid", "idx"], "left_anti")

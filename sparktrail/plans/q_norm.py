@@ -8,7 +8,7 @@ from sparktrail.functions.shell import split_subcommands
 from sparktrail.functions.text import command_dir, resolved_path
 from sparktrail.operators import normalize
 from sparktrail.plans.catalog import query
-from sparktrail.sources import cache, hooks
+from sparktrail.sources import cache, hooks, official
 from sparktrail.sources.standin import ACTIONS_SQL, actions, with_matcher_fields
 
 A = ACTIONS_SQL
@@ -108,6 +108,69 @@ def _log(spark, sf_dir):
     return acts.select(F.col("sid").cast("string").alias("sid"), F.col("idx").alias("line_no"), event.alias("event"), F.concat(F.lit("tool"), F.col("k") % 3).alias("tool"), F.to_json(F.struct((F.col("k") % 10).alias("n"))).alias("tool_input"))
 
 
+def _as_log(acts):
+    """Actions as a hook log in which every call starts and never ends; prompts are prompts."""
+    event = F.when(F.col("action") == "user_prompt", "user_prompt").otherwise("pre_tool_use")
+    given = F.to_json(F.struct(F.coalesce("command", F.lit("")).alias("command"), F.coalesce("path", F.lit("")).alias("path")))
+    lacks = {c: F.lit(None).cast("string") for c in ("cwd", "prompt", "agent_name", "tool_response")} | {"response_size": F.lit(None).cast("long")}
+    return acts.select(F.col("sid").cast("string").alias("sid"), F.col("idx").alias("line_no"), event.alias("event"), F.col("raw_tool").alias("tool"), given.alias("tool_input"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts")).withColumns(lacks)
+
+
+@query(
+    "norm_dense_order",
+    f"""{A} SELECT CAST(sid AS VARCHAR) AS sid, CAST(row_number() OVER (PARTITION BY sid ORDER BY idx) - 1 AS INTEGER) AS idx, turn, tool, CASE tool WHEN 'read' THEN 'read_file' WHEN 'write' THEN 'modify_file' ELSE 'run_command' END AS action
+    FROM actions WHERE NOT is_prompt""",
+)
+def norm_dense_order(spark, sf_dir):
+    """Calls of hook logs numbered without gaps, by turns that prompts begin."""
+    return hooks.actions(_as_log(actions(spark, sf_dir))).select("sid", "idx", "turn", "tool", "action")
+
+
+@query("norm_run_prompts", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def norm_run_prompts(spark, sf_dir):
+    """The first prompt of a run, conversations read as hook logs of one run."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    event = F.when(F.col("role") == "user", "user_prompt").otherwise("stop")
+    lacks = {c: F.lit(None).cast("string") for c in ("ts", "cwd", "agent_name")}
+    log = said.select(F.col("conv_id").cast("string").alias("sid"), F.col("turn").alias("line_no"), event.alias("event"), F.col("text").alias("prompt")).withColumns(lacks)
+    return hooks.runs(log).filter("prompt is not null").select(F.col("sid").alias("conv_id"), "prompt")
+
+
+@query(
+    "norm_official_results",
+    f"""{A}, r AS (SELECT sid, k, arg_max(error, idx) AS error, arg_max(error IS NULL, idx) AS ok FROM actions WHERE action = 'run_command' GROUP BY sid, k)
+    SELECT CAST(a.sid AS VARCHAR) AS sid, CAST(row_number() OVER (PARTITION BY a.sid ORDER BY a.idx) - 1 AS INTEGER) AS idx, a.path, r.error, coalesce(r.ok, true) AS completed
+    FROM actions a LEFT JOIN r ON r.sid = a.sid AND r.k = a.k WHERE a.action = 'read_file'""",
+)
+def norm_official_results(spark, sf_dir):
+    """Reads as calls and commands as results of official records: the last result counts, an error once said stays."""
+    acts = actions(spark, sf_dir).filter("action in ('read_file', 'run_command')")
+    use = F.struct(F.lit("toolUse").alias("kind"), F.struct(F.lit("fs_read").alias("name"), F.col("k").cast("string").alias("toolUseId"), F.struct("path").alias("input")).alias("data"))
+    said = F.to_json(F.struct(F.array(use).alias("content")))
+    result = F.when(F.col("error").isNull(), F.to_json(F.struct(F.lit("done").alias("Success")))).otherwise(F.to_json(F.struct(F.col("error").alias("Error"))))
+    results = F.concat(F.lit('{"results": {"'), "k", F.lit('": {"result": '), result, F.lit("}}}"))
+    reads = F.col("action") == "read_file"
+    events = acts.select(F.col("sid").cast("string").alias("sid"), F.col("idx").alias("line_no"), "turn", F.when(reads, "AssistantMessage").otherwise("ToolResults").alias("kind"), F.parse_json(F.when(reads, said).otherwise(results)).alias("data"))
+    return official.actions(events).select("sid", "idx", "path", "error", "completed")
+
+
+@query(
+    "norm_pairing_exact",
+    f"""{A}, s AS (SELECT CAST(sid AS VARCHAR) AS sid, idx, idx // 6 AS grp, 'tool' || k % 2 AS tool, k % 3 AS n, (idx // 6) * 12 + idx % 6 AS line_no, k % 7 > 0 AS ends FROM actions),
+    b AS (SELECT *, row_number() OVER (PARTITION BY sid, grp, tool, n ORDER BY line_no DESC) AS r, row_number() OVER (PARTITION BY sid ORDER BY line_no) - 1 AS call FROM s),
+    e AS (SELECT sid, grp, tool, n, line_no + 6 AS end_no, row_number() OVER (PARTITION BY sid, grp, tool, n ORDER BY line_no) AS r FROM s WHERE ends)
+    SELECT b.sid, CAST(b.call AS INTEGER) AS call, CAST(b.line_no AS INTEGER) AS line_no, CAST(e.end_no AS INTEGER) AS end_no, false AS blocked FROM b LEFT JOIN e USING (sid, grp, tool, n, r)""",
+)
+def norm_pairing_exact(spark, sf_dir):
+    """Six calls start, then some of them end by tool and input: the last one open ends first, others stay open for good."""
+    acts = actions(spark, sf_dir)
+    begin = F.floor(F.col("idx") / 6) * 12 + F.col("idx") % 6
+    events = F.array(F.struct(begin.alias("line_no"), F.lit("pre_tool_use").alias("event")), F.struct((begin + 6).alias("line_no"), F.lit("post_tool_use").alias("event")))
+    log = acts.select("sid", "k", F.inline(events)).filter("event = 'pre_tool_use' or k % 7 > 0")
+    log = log.select(F.col("sid").cast("string").alias("sid"), F.col("line_no").cast("int").alias("line_no"), "event", F.concat(F.lit("tool"), F.col("k") % 2).alias("tool"), F.to_json(F.struct((F.col("k") % 3).alias("n"))).alias("tool_input"))
+    return normalize.pair_calls(log)
+
+
 @query("norm_pairing")
 def norm_pairing(spark, sf_dir):
     return normalize.pair_calls(_log(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrail.operators import rules
-from sparktrail.operators.predicates import matches, reading, running, serialised, writing
+from sparktrail.operators.predicates import find, matches, reading, running, serialised, writing
 from sparktrail.plans.catalog import query
 from sparktrail.sources.standin import ACTIONS_SQL, actions, with_matcher_fields
 
@@ -175,6 +175,17 @@ def policy_filter(spark, sf_dir):
     return _sessions(spark, sf_dir).select("sid", "idx", denied_by(POLICY).alias("denied_by")).filter("denied_by is not null")
 
 
+@query(
+    "pred_find",
+    f"""{ACTIONS_SQL}, h AS (SELECT sid, idx, count(*) OVER (PARTITION BY sid) AS total, row_number() OVER (PARTITION BY sid ORDER BY idx) AS r FROM actions WHERE action = 'run_command' AND contains(command, 'run_1') AND idx >= 5 AND turn <= 9)
+    SELECT sid, idx, total, total > 5 AS has_more FROM h WHERE r BETWEEN 3 AND 5""",
+)
+def pred_find(spark, sf_dir):
+    """The third to fifth hit of each session within a scope."""
+    out = find(_sessions(spark, sf_dir), {"action": "run_command", "command": "run_1"}, {"idx_gte": 5, "turn_lte": 9}, limit=3, offset=2)
+    return out.select("sid", "idx", "total", "has_more")
+
+
 @query(
     "rule_policies",
     f"""{ACTIONS_SQL}, p AS (SELECT sid * 1000 + idx AS ord, 'S' || sid AS scope_id, 'policy ' || idx AS policy, CASE WHEN k % 10 = 0 THEN 'judge_only' WHEN k % 10 = 1 THEN 'unobservable' ELSE 'deterministic' END AS seen,

@@ -95,6 +95,25 @@ def eff_similar_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("seg", "idx1", "idx2", "reason")
 
 
+_BRANCHES = {"command_strong": 0.3, "purpose_strong": 0.3, "reasoning_strong": 0.3, "combined_min": 0.12}
+
+
+@query(
+    "eff_vote_branches",
+    """WITH v AS (SELECT vec_id // 3 AS idx, vec_id % 3 AS dim, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    o AS (SELECT idx, idx % 7 AS seg, max(e) FILTER (WHERE dim = 0) AS c, max(e) FILTER (WHERE dim = 1) AS p, max(e) FILTER (WHERE dim = 2) AS r FROM v GROUP BY idx),
+    s AS (SELECT x.seg, x.idx AS idx1, y.idx AS idx2, coalesce(list_cosine_similarity(x.c, y.c), 0) AS c, coalesce(list_cosine_similarity(x.p, y.p), 0) AS p, coalesce(list_cosine_similarity(x.r, y.r), 0) AS r FROM o x JOIN o y ON x.seg = y.seg AND x.idx < y.idx)
+    SELECT * FROM (SELECT seg, idx1, idx2, CASE WHEN c > 0.3 THEN 'command_strong' WHEN p > 0.3 THEN 'purpose_strong' WHEN r > 0.3 THEN 'reasoning_strong' WHEN p > 0.12 AND r > 0.12 THEN 'combined_pr' WHEN c > 0.12 AND p > 0.12 THEN 'combined_cp' END AS reason FROM s) WHERE reason IS NOT NULL""",
+)
+def eff_vote_branches(spark, sf_dir):
+    """Three vectors in a row stand for command, purpose and reasoning of one action."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    dim = F.element_at(F.array(*(F.lit(d) for d in ("command", "purpose", "reasoning"))), (F.col("vec_id") % 3 + 1).cast("int"))
+    vectors = rows.select(F.lit(0).alias("sid"), F.floor(F.col("vec_id") / 3).alias("idx"), dim.alias("dim"), F.col("embedding").alias("vector"))
+    commands = vectors.select("sid", (F.col("idx") % 7).alias("seg"), "idx").distinct()
+    return efficiency.duplicate_pairs(commands, vectors, bars=_BRANCHES, chunk=50).select("seg", "idx1", "idx2", "reason")
+
+
 @query("eff_sibling_anti", f"{_VEC} SELECT seg, idx1, idx2 FROM p WHERE sim > 0.35 AND idx1 // 50 <> idx2 // 50")
 def eff_sibling_anti(spark, sf_dir):
     own = _vectors(spark, sf_dir)
@@ -292,6 +311,55 @@ def graph_violations(spark, sf_dir):
     return graph.violations(ents, edges)
 
 
+@query(
+    "graph_violations_planted",
+    f"""{_G}, e2 AS (SELECT sid, CASE WHEN kind = 'generatedBy' AND idx % 7 = 0 THEN idx + 1 WHEN kind = 'usedBy' AND idx % 5 = 0 THEN 0 ELSE idx END AS idx, key, CASE WHEN kind = 'usedBy' AND idx % 11 = 0 THEN version + 1000 ELSE version END AS version, kind FROM edges)
+    SELECT * FROM (SELECT e2.sid, e2.idx, e2.key, e2.version, CASE WHEN n.born_idx IS NULL THEN 'no entity' WHEN kind = 'usedBy' AND born_idx >= e2.idx THEN 'used before it was made' WHEN kind = 'generatedBy' AND producer_idx IS DISTINCT FROM e2.idx THEN 'made by another' END AS why
+      FROM e2 LEFT JOIN ents n ON n.sid = e2.sid AND n.key = e2.key AND n.version = e2.version) WHERE why IS NOT NULL
+    UNION ALL SELECT sid, idx, key, version, 'made and used' FROM e2 GROUP BY sid, idx, key, version HAVING count(DISTINCT kind) > 1""",
+)
+def graph_violations_planted(spark, sf_dir):
+    """Edges of which some are moved to another action, to the first one, or to a version that does not exist."""
+    _, _, ents, edges = _graph(spark, sf_dir)
+    at, made = F.col("idx"), F.col("kind") == "generatedBy"
+    moved = F.when(made & (at % 7 == 0), at + 1).when(~made & (at % 5 == 0), F.lit(0)).otherwise(at)
+    bad = edges.withColumns({"version": F.when(~made & (at % 11 == 0), F.col("version") + 1000).otherwise(F.col("version")), "idx": moved})
+    return graph.violations(ents, bad)
+
+
+@query("graph_confidence", f"{_G} SELECT sid, kind, CASE WHEN idx % 3 = 0 THEN 'likely' ELSE 'certain' END AS confidence, count(*) AS n FROM edges GROUP BY ALL")
+def graph_confidence(spark, sf_dir):
+    edges = _graph(spark, sf_dir)[3].withColumn("confidence", F.when(F.col("idx") % 3 == 0, "likely").otherwise("certain"))
+    return graph.confidence_counts(edges)
+
+
+@query("graph_at_least", f"{_G} SELECT sid, idx, key, version, kind FROM edges WHERE idx % 3 > 0")
+def graph_at_least(spark, sf_dir):
+    edges = _graph(spark, sf_dir)[3].withColumn("confidence", F.when(F.col("idx") % 3 == 0, "likely").otherwise("certain"))
+    return edges.filter(graph.at_least("certain")).select("sid", "idx", "key", "version", "kind")
+
+
+@query("graph_in_turns", f"{_G} SELECT a.sid, a.idx, count(e.kind) AS n FROM actions a JOIN edges e ON e.sid = a.sid AND e.idx = a.idx WHERE a.turn BETWEEN 2 AND 3 GROUP BY a.sid, a.idx")
+def graph_in_turns(spark, sf_dir):
+    acts, _, _, edges = _graph(spark, sf_dir)
+    chosen, touching = graph.in_turns(acts, edges, 2, 3)
+    return chosen.select("sid", "idx").join(touching.groupBy("sid", "idx").agg(F.count("*").alias("n")), ["sid", "idx"])
+
+
+@query(
+    "graph_command_edges",
+    f"""{A}, c AS (SELECT sid, idx, '/w/in' || k % 5 || '.txt' AS r, '/w/out' || k % 3 || '.txt' AS w FROM actions WHERE command IS NOT NULL),
+    m AS (SELECT sid, idx, w AS key, row_number() OVER (PARTITION BY sid, w ORDER BY idx) AS version FROM c)
+    SELECT sid, idx, key, version, 'generatedBy' AS kind FROM m UNION ALL SELECT DISTINCT sid, idx, r, CAST(0 AS BIGINT), 'usedBy' FROM c""",
+)
+def graph_command_edges(spark, sf_dir):
+    """Edges of commands that copy files: what they read was there before, what they write gets versions."""
+    acts = _acts(spark, sf_dir)
+    copies = acts.withColumn("command", F.when(F.col("command").isNotNull(), F.concat(F.lit("D=/w; cat $D/in"), F.col("k") % 5, F.lit(".txt > ${D}/out"), F.col("k") % 3, F.lit(".txt"))))
+    edges = graph.with_commands(graph.touches(acts.filter("false")), graph.command_touches(copies))[1]
+    return edges.select("sid", "idx", "key", "version", "kind")
+
+
 @query(
     "graph_unlinked_mentions",
     f"""{_G} SELECT DISTINCT a.sid, a.idx, n.key FROM actions a JOIN (SELECT DISTINCT sid, key FROM ents) n USING (sid) WHERE a.command IS NOT NULL
@@ -391,6 +459,33 @@ def ev_hard_check_tier(spark, sf_dir):
     return evidence.hard_hits(acts, criteria)
 
 
+@query(
+    "ev_files_in_window",
+    f"""{A}, f AS (SELECT sid AS root, path, max(ts) AS modified_at FROM actions WHERE action = 'modify_file' GROUP BY sid, path), w AS (SELECT sid AS root, min(ts) AS lower, min(ts) + INTERVAL 90 DAY AS upper FROM actions GROUP BY sid)
+    SELECT 1 AS req_id, root, count(*) AS found, count(*) FILTER (WHERE modified_at BETWEEN lower AND upper) AS strong, CASE WHEN count(*) FILTER (WHERE modified_at BETWEEN lower AND upper) > 0 THEN 'artifact' ELSE 'derived' END AS tier
+    FROM f JOIN w USING (root) WHERE regexp_matches(path, '(^|/)f1[^/]*[.]p.$') GROUP BY root""",
+)
+def ev_files_in_window(spark, sf_dir):
+    """Files named by a glob, strong where they were last written in the first three months of their run."""
+    acts = _acts(spark, sf_dir).drop("root").withColumnRenamed("sid", "root")
+    files = acts.filter("action = 'modify_file'").groupBy("root", "path").agg(F.max("ts").alias("modified_at"))
+    windows = acts.groupBy("root").agg(F.min("ts").alias("lower"), (F.min("ts") + F.expr("interval 90 days")).alias("upper"))
+    patterns = windows.select(F.lit(1).alias("req_id"), "root", F.lit("f1*.p?").alias("glob"))
+    return evidence.files_in_window(files, patterns, windows)
+
+
+@query("ev_summaries", f"{A} SELECT sid, idx, turn, action, left(coalesce(command, path, ''), 220) AS target, purpose FROM actions")
+def ev_summaries(spark, sf_dir):
+    return evidence.summaries(_acts(spark, sf_dir))
+
+
+@query("ev_time_windows", f"{A}, s AS (SELECT sid, min(ts) AS lo, max(ts) AS hi FROM actions GROUP BY sid) SELECT sid // 10 AS root, CAST(epoch_us(min(lo)) AS BIGINT) AS lower, CAST(epoch_us(max(hi)) AS BIGINT) AS upper FROM s GROUP BY sid // 10")
+def ev_time_windows(spark, sf_dir):
+    sessions = _acts(spark, sf_dir).groupBy("sid").agg(F.min("ts").alias("created_at"), F.max("ts").alias("modified_at"))
+    tree = sessions.select(F.floor(F.col("sid") / 10).alias("root"), "sid")
+    return evidence.time_windows(tree, sessions).select("root", F.unix_micros("lower").alias("lower"), F.unix_micros("upper").alias("upper"))
+
+
 @query(
     "goal_tri_state",
     f"""WITH {_ANCHORS_SQL}, h AS (SELECT item_id AS req_id FROM benchmark WHERE item_id % 7 = 0), m AS (SELECT req_id, count(DISTINCT doc) AS n FROM a JOIN pool ON contains(pool.text, a.anchor) GROUP BY req_id)
