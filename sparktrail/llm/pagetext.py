@@ -4,7 +4,8 @@ A page is read into its leaf blocks: the runs of text between the starts and end
 the elements around it. Markup, comments, scripts, styles, templates and the page's head never become blocks; a head
 without end tag ends at the first text or element that cannot be in it. The text of formulas (annotations included)
 stays where it is. Each block has features of its ancestors (tags, words of their classes and ids, roles, hidden ones) and of its text (length,
-share of link text, end, signs, a few words that notices use). ``fit`` trains the weights of the features and of the
+share of link text, end, signs, and its words, each by its share of the block's, so that a word weighs much in a short
+notice and little in a long paragraph). ``fit`` trains the weights of the features and of the
 transitions on labelled pages by conditional likelihood; ``extract`` decodes every page by Viterbi and joins the
 blocks that are content.
 
@@ -50,8 +51,6 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 _SCOPE = frozenset({"button", "table", "td", "th", "caption", "html"})
 _KEEPS_P = frozenset({"button", "label", "option", "legend", "summary", "body", "html", "head", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"})
 _WORD = re.compile(r"[a-z]+")
-#: Words of notices and controls that count as features where they occur in a block of up to 40 words.
-CUES = frozenset("cookie cookies privacy copyright rights reserved subscribe newsletter share follow login register comment comments reply advertisement sponsored related menu home search".split())
 
 
 def _attribute_features(tag: str, attributes: str) -> tuple[str, ...]:
@@ -59,7 +58,7 @@ def _attribute_features(tag: str, attributes: str) -> tuple[str, ...]:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            found += [f"of:{w}" for w in _WORD.findall(value) if len(w) < 20]
+            found += [f"of:{w}" for w in _WORD.findall(value)]
         elif name == "role":
             found.append(f"role:{value}")
         elif name == "hidden" or name == "aria-hidden" and value == "true" or "display:none" in value.replace(" ", ""):
@@ -163,8 +162,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     return out
 
 
-def features(page: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
-    """Names of the features of each block."""
+def features(page: list[tuple[str, tuple[str, ...], int]]) -> list[dict[str, float]]:
+    """The features of each block and their values."""
     found = []
     for i, (text, around, linked) in enumerate(page):
         n = text.count(" ") + 1
@@ -180,9 +179,11 @@ def features(page: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
             own.append("first")
         if i == len(page) - 1:
             own.append("last")
-        if n <= 40:
-            own += [f"cue:{w}" for w in CUES.intersection(_WORD.findall(text.lower()))]
-        found.append(own)
+        values = dict.fromkeys(own, 1.0)
+        words = _WORD.findall(text.lower())
+        for word in words:
+            values[f"word:{word}"] = values.get(f"word:{word}", 0.0) + 1 / len(words)
+        found.append(values)
     return found
 
 
@@ -195,30 +196,34 @@ class PageModel:
     transitions: tuple[tuple[float, float], tuple[float, float]]
 
 
-def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float = 0.003, least: int = 3) -> PageModel:
-    """Train on pages (HTML, texts of the blocks that are content) by the gradient of the conditional likelihood."""
+def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float = 0.003, least: int = 3, least_word: int = 40) -> PageModel:
+    """Train on pages (HTML, texts of the blocks that are content) by the gradient of the conditional likelihood.
+
+    Features in fewer than ``least`` blocks, and words in fewer than ``least_word``, are not learned.
+    """
     read = [(blocks(page), set(content)) for page, content in pages]
     read = [(b, c) for b, c in read if b]
     named = [features(b) for b, _ in read]
     counts: dict[str, int] = {}
     for page in named:
         for block in page:
-            for f in set(block):
+            for f in block:
                 counts[f] = counts.get(f, 0) + 1
-    names = sorted(f for f, n in counts.items() if n >= least)
+    names = sorted(f for f, n in counts.items() if n >= (least_word if f.startswith("word:") else least))
     number = {f: i for i, f in enumerate(names)}
     longest = max((len(p) for p in named), default=1)
     # the features of all blocks in one list (the last one is of every block), with the places of the blocks
     y, there = np.zeros((longest, len(named)), int), np.zeros((longest, len(named)), bool)
-    held, at, sizes = [], [], []
+    held, values, at, sizes = [], [], [], []
     for j, (page, (found, content)) in enumerate(zip(named, read, strict=True)):
         for t, block in enumerate(page):
-            own = [number[f] for f in set(block) if f in number] + [len(names)]
+            own = [number[f] for f in block if f in number] + [len(names)]
             held += own
+            values += [v for f, v in block.items() if f in number] + [1.0]
             at.append((t, j))
             sizes.append(len(own))
             y[t, j], there[t, j] = found[t][0] in content, True
-    feature, rows, cols = np.array(held, int), *np.array(at, int).reshape(-1, 2).T
+    feature, value, rows, cols = np.array(held, int), np.array(values), *np.array(at, int).reshape(-1, 2).T
     first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int)
     w, start, trans = np.zeros(len(names) + 1), 0.0, np.zeros((2, 2))
     mean, square = np.zeros(len(w) + 5), np.zeros(len(w) + 5)
@@ -226,7 +231,7 @@ def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float
     for k in range(1, rounds + 1):
         emit = np.zeros((longest, len(named), 2))
         if len(first):
-            emit[rows, cols, 1] = np.add.reduceat(w[feature], first)
+            emit[rows, cols, 1] = np.add.reduceat(w[feature] * value, first)
         forward, backward = np.zeros_like(emit), np.zeros_like(emit)
         forward[0] = emit[0] + np.array([0.0, start])
         for t in range(1, longest):
@@ -238,7 +243,7 @@ def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float
             backward[t] = np.where(there[t + 1][:, None], step, 0)
         total = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
         p1 = np.exp(np.minimum(forward[:, :, 1] + backward[:, :, 1] - total, 0)) * there
-        slope_w = np.bincount(feature, weights=np.repeat((y - p1)[rows, cols], sizes), minlength=len(w))
+        slope_w = np.bincount(feature, weights=np.repeat((y - p1)[rows, cols], sizes) * value, minlength=len(w))
         slope_start = float((y[0] - p1[0]).sum())
         slope_trans = np.zeros((2, 2))
         for t in range(1, longest):
@@ -254,7 +259,7 @@ def fit(pages: Iterable[tuple[str, list[str]]], rounds: int = 200, ridge: float
     return PageModel(weights, start, ((float(trans[0, 0]), float(trans[0, 1])), (float(trans[1, 0]), float(trans[1, 1]))))
 
 
-def labels(model: PageModel, named: list[list[str]]) -> list[int]:
+def labels(model: PageModel, named: list[dict[str, float]]) -> list[int]:
     """The most likely labels of a page's blocks, by Viterbi."""
     if not named:
         return []
@@ -262,7 +267,7 @@ def labels(model: PageModel, named: list[list[str]]) -> list[int]:
     get, base = model.weights.get, model.weights.get("", 0.0)
     zero, one, back = 0.0, 0.0, []
     for i, block in enumerate(named):
-        emit = base + sum(get(f, 0.0) for f in set(block))
+        emit = base + sum(get(f, 0.0) * v for f, v in block.items())
         if i == 0:
             one = emit + model.start
             continue
@@ -296,6 +301,10 @@ def extract(pages: DataFrame, model: PageModel, page: str = "html") -> DataFrame
     return pages.withColumn("_page", texts(F.col(page))).select(*kept, "_page.*")
 
 
+#: Words that notices and controls of the invented pages use, and articles now and then.
+_NOTICE_WORDS = "cookie cookies privacy copyright rights reserved subscribe newsletter share follow login register comment comments reply advertisement sponsored related menu home search".split()
+
+
 class _Maker:
     """Invented labelled pages."""
 
@@ -313,7 +322,7 @@ class _Maker:
     def prose(self) -> str:
         said = [self.sentence() for _ in range(self.r.choice([1, 1, 2, 3, 5, 9]))]
         if self.r.random() < 0.2:  # articles speak of such things too, and hold signs
-            odd = ["All rights reserved.", "Share this.", f"Read the {self.r.choice(sorted(CUES))} {self.r.choice(sorted(CUES))}.", f"{self.words(1, 2)} | {self.words(1, 2)} | {self.words(1, 2)}", "© 2020.", f"{self.words(1, 1)} · {self.words(1, 3)}"]
+            odd = ["All rights reserved.", "Share this.", f"Read the {self.r.choice(_NOTICE_WORDS)} {self.r.choice(_NOTICE_WORDS)}.", f"{self.words(1, 2)} | {self.words(1, 2)} | {self.words(1, 2)}", "© 2020.", f"{self.words(1, 1)} · {self.words(1, 3)}"]
             said.insert(self.r.randint(0, len(said)), self.r.choice(odd))
         return " ".join(said)
 

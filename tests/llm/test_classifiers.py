@@ -99,7 +99,7 @@ def test_pages_of_the_table(spark, page_model):
 
 def test_decoding_is_viterbi(page_model):
     named = pagetext.features(pagetext.blocks(pagetext.training_pages(1, seed=5)[0][0]))[:9]
-    weight = lambda b: page_model.weights.get("", 0.0) + sum(page_model.weights.get(f, 0.0) for f in set(b))
+    weight = lambda b: page_model.weights.get("", 0.0) + sum(page_model.weights.get(f, 0.0) * v for f, v in b.items())
 
     def score(path):
         total = page_model.start * path[0]
