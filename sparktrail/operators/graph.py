@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrail.functions.commands import hosts, paths_touched, variables_set, variables_used
+from sparktrail.functions.commands import hosts, paths_said, paths_touched, pids_said, said_by_tool, variables_set, variables_used, words_left_open
 from sparktrail.functions.text import filled
 
 # Actions that write, those that read what they change, and those that imply an earlier state.
@@ -181,6 +181,40 @@ def command_touches(actions: DataFrame) -> DataFrame:
     return found.select("sid", "idx", "t.path", (F.col("t.direction") == "write").alias("is_write"))
 
 
+def _open_words(actions: DataFrame) -> DataFrame:
+    """(sid, idx, word, direction, head, ending) of what commands leave open, known variables put in."""
+    commands = actions.filter((F.col("action") == "run_command") & filled("command").isNotNull())
+    own = commands.select("sid", "idx", "command").join(variable_values(commands), ["sid", "idx"], "left")
+    env = F.coalesce("env", F.create_map().cast("map<string,string>"))
+    return own.select("sid", "idx", F.inline(words_left_open(F.col("command"), env)))
+
+
+def resolved_touches(actions: DataFrame) -> DataFrame:
+    """(sid, idx, path, is_write): files that a command leaves open and its own output (``response``) tells.
+
+    Of the paths that an output states those count that begin and end like the word; a word is resolved if that is one
+    path. The direction is that of the word in the command.
+    """
+    said = actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(paths_said(said_by_tool(F.col("response")))).alias("path"))
+    met = _open_words(actions).filter("direction is not null").join(said, ["sid", "idx"]).filter(F.startswith("path", F.col("head")) & F.endswith("path", F.col("ending")))
+    sole = met.groupBy("sid", "idx", "word", "direction").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n")).filter("n = 1")
+    return sole.select("sid", "idx", "path", (F.col("direction") == "write").alias("is_write")).distinct()
+
+
+def unresolved_words(actions: DataFrame) -> DataFrame:
+    """(sid, idx, word): words that name a file and that neither the command nor its output resolves."""
+    left = _open_words(actions).filter(F.col("word").rlike(r"\.\w+[\"'`,()]*$"))
+    said = actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(paths_said(said_by_tool(F.col("response")))).alias("path"))
+    met = left.join(said, ["sid", "idx"], "left").withColumn("path", F.when(F.col("direction").isNotNull() & F.startswith("path", F.col("head")) & F.endswith("path", F.col("ending")), F.col("path")))
+    return met.groupBy("sid", "idx", "word").agg(F.count_distinct("path").alias("n")).filter("n <> 1").select("sid", "idx", "word")
+
+
+def pids(actions: DataFrame) -> DataFrame:
+    """(sid, pid, born_idx): processes by the output that first states them."""
+    said = actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(pids_said(said_by_tool(F.col("response")))).alias("pid"))
+    return said.groupBy("sid", "pid").agg(F.min("idx").alias("born_idx"))
+
+
 def with_commands(touched: DataFrame, by_command: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, edges) of the whole graph: what tools touch, then what commands do.
 

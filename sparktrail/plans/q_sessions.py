@@ -360,6 +360,29 @@ def graph_command_edges(spark, sf_dir):
     return edges.select("sid", "idx", "key", "version", "kind")
 
 
+def _with_output(acts: DataFrame) -> DataFrame:
+    """Commands that write a log named by the time, and an output that tells its name, or two names for every fifth."""
+    log = F.concat(F.lit("/w/log/run_"), F.col("k"), F.lit(".log"))
+    two = F.when(F.col("idx") % 5 == 0, F.concat(F.lit("\n"), F.lit("/w/log/run_x.log"))).otherwise("")
+    is_command = F.col("command").isNotNull()
+    said = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("LOG="), log, two, F.lit("\n  at /w/src.py line 1")).alias("stdout")).alias("Json"))).alias("items")).alias("Success")))
+    return acts.withColumns({"command": F.when(is_command, F.lit("python3 a.py > /w/log/run_$(date +%s).log")), "response": F.when(is_command, said)})
+
+
+@query(
+    "graph_command_paths",
+    f"""{A} SELECT sid, idx, '/w/log/run_' || k || '.log' AS path, true AS is_write FROM actions WHERE command IS NOT NULL AND idx % 5 > 0""",
+)
+def graph_command_paths(spark, sf_dir):
+    """Files that a command leaves open, by what its output tells; two candidates tell nothing."""
+    return graph.resolved_touches(_with_output(_acts(spark, sf_dir)))
+
+
+@query("graph_unresolved", f"{A} SELECT sid, idx, '/w/log/run_$(date +%s).log' AS word FROM actions WHERE command IS NOT NULL AND idx % 5 = 0")
+def graph_unresolved(spark, sf_dir):
+    return graph.unresolved_words(_with_output(_acts(spark, sf_dir)))
+
+
 @query(
     "graph_unlinked_mentions",
     f"""{_G} SELECT DISTINCT a.sid, a.idx, n.key FROM actions a JOIN (SELECT DISTINCT sid, key FROM ents) n USING (sid) WHERE a.command IS NOT NULL

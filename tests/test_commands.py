@@ -81,3 +81,52 @@ def test_variables_and_versions(spark):
     assert [r.idx for r in graph.pid_mentions(pids, talk).collect()] == [3]
     reach = spark.createDataFrame([("s", 1, "ssh -p 22 me@box ls; docker exec -it web sh"), ("s", 2, "ssh $HOST")], "sid string, idx int, command string")
     assert {(r.idx, r.key) for r in graph.host_edges(reach).collect()} == {(1, "ssh://me@box"), (1, "docker://web")}
+
+
+RUN = "/w/out/run_20260811_101500.log"
+
+
+def _told(output):
+    import json
+
+    return json.dumps({"Success": {"items": [{"Json": {"exit_status": "0", "stdout": output, "stderr": ""}}]}})
+
+
+CASES = [
+    # command, output, files touched by what the output tells, words left
+    ("nohup python3 run.py > /w/out/run_$(date +%Y%m%d_%H%M%S).log 2>&1 &", f"PID=3301766\nLOG={RUN}\n", [(RUN, True)], []),
+    ('tail -50 "$LOGFILE"', f"LOG={RUN}\n", [(RUN, False)], []),
+    ("tail -50 /w/out/run_*.log", f"{RUN}\n", [(RUN, False)], []),
+    ('echo x > "$LOGFILE"', f"LOG={RUN}\n", [(RUN, True)], []),
+    ('tail -50 "$LOGFILE"', f"{RUN}\n/w/out/run_20260811_162941.log\n", [], []),
+    ("tail -5 /w/other/run_*.log", f"{RUN}\n", [], ["/w/other/run_*.log"]),
+    ("cat /w/a.log", f"{RUN}\n", [], []),
+    ("ls -t /w/out/run_*.log", "", [], ["/w/out/run_*.log"]),
+    ("D=/w/out; tail $D/run_*.log", f"LOG={RUN}\nTraceback (most recent call last):\n  File \"/w/src/run.py\", line 9, in <module>\n", [(RUN, False)], []),
+    ("cat $X.txt", "made /w/b.txt here", [], ["$X.txt"]),
+]
+
+
+def test_what_outputs_tell(spark):
+    rows = [("s", i, "run_command", c, _told(o)) for i, (c, o, _, _) in enumerate(CASES)]
+    acts = spark.createDataFrame(rows, "sid string, idx int, action string, command string, response string")
+    got, left = {}, {}
+    for r in graph.resolved_touches(acts).collect():
+        got.setdefault(r.idx, []).append((r.path, r.is_write))
+    for r in graph.unresolved_words(acts).collect():
+        left.setdefault(r.idx, []).append(r.word)
+    for i, (_, _, want, open_) in enumerate(CASES):
+        assert got.get(i, []) == want and sorted(left.get(i, [])) == open_, CASES[i]
+    pids = graph.pids(acts)
+    assert [tuple(r) for r in pids.collect()] == [("s", "3301766", 0)]
+    later = spark.createDataFrame([("s", 20, "kill 3301766"), ("s", 21, "kill 33017660")], "sid string, idx int, command string")
+    assert [r.idx for r in graph.pid_mentions(pids, later).collect()] == [20]
+
+
+def test_outputs_of_other_forms(spark):
+    df = spark.createDataFrame([("/a/b.c\n",), ("Successfully created /tmp/out.sh (10 lines).",), ("Successfully replaced 3 occurrence(s) in /tmp/x.py.",), ("{not json",), (None,), ('{"Success": {"items": [{"Text": "A=/q"}]}}',), ("  PID STAT ELAPSED",)], "response string")
+    from pyspark.sql import functions as F
+
+    from sparktrail.functions.commands import paths_said, said_by_tool
+
+    assert [r[0] for r in df.select(paths_said(said_by_tool(F.col("response")))).collect()] == [["/a/b.c"], ["/tmp/out.sh"], ["/tmp/x.py"], [], [], ["/q"], []]
