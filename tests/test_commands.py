@@ -130,3 +130,25 @@ def test_outputs_of_other_forms(spark):
     from sparktrail.functions.commands import paths_said, said_by_tool
 
     assert [r[0] for r in df.select(paths_said(said_by_tool(F.col("response")))).collect()] == [["/a/b.c"], ["/tmp/out.sh"], ["/tmp/x.py"], [], [], ["/q"], []]
+
+
+@pytest.mark.parametrize(
+    ("command", "want"),
+    [
+        ("for f in a.yaml b.yaml; do grep -q x \"$f\"; done", {("/w/a.yaml", "read"), ("/w/b.yaml", "read")}),
+        ("for s in A B; do for t in 1 2; do cat /d/${s}$t.txt; done; done", {(f"/d/{s}{t}.txt", "read") for s in "AB" for t in "12"}),
+        ("for f in $(ls); do cat $f.txt; done; cat z.txt", {("/w/z.txt", "read")}),
+        ("for f in one; do echo x > $f.log; done && cat two.log", {("/w/one.log", "write"), ("/w/two.log", "read")}),
+        ("timeout 240 python3 /w/run.py", {("/w/run.py", "read")}),
+        ("sudo nohup env A=b timeout 1.5s python3 -u run.py > out.log", {("/w/run.py", "read"), ("/w/out.log", "write")}),
+        ("git diff --stat /w/d.md", {("/w/d.md", "read")}),
+        ("git add d.md e.md && git commit -m x", {("/w/d.md", "write"), ("/w/e.md", "write")}),
+        ("git show HEAD > s.txt", {("/w/s.txt", "write")}),
+        ("git push origin x.md", set()),
+        ("diff <(sed s/a/b/ /w/one.sh) /w/two.sh", {("/w/one.sh", "read"), ("/w/two.sh", "read")}),
+        ("rm a.txt; ls b.txt; touch c.txt", set()),
+        ("ls > names.txt", {("/w/names.txt", "write")}),
+    ],
+)
+def test_wrappers_loops_and_version_control(command, want):
+    assert want <= set(commands.touched(command, "/w")) and {p for p, _ in commands.touched(command, "/w")} == {p for p, _ in want}
