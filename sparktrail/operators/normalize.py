@@ -102,20 +102,35 @@ class Pairing:
     """Calls of one session that wait for their end: the latest of the same tool and input, else of the same tool."""
 
     def __init__(self, waiting: list[tuple[int, str, str]] | None = None):
-        self.waiting = list(waiting or [])
+        self._open: dict[int, tuple[str, str]] = {}
+        self._latest: dict[tuple[str, ...], list[int]] = {}
+        for call, tool, given in waiting or []:
+            self._wait(call, tool, given)
+
+    @property
+    def waiting(self) -> list[tuple[int, str, str]]:
+        return [(call, tool, given) for call, (tool, given) in self._open.items()]
+
+    def _wait(self, call: int, tool: str, given: str) -> None:
+        self._open[call] = tool, given
+        for key in ((tool, given), (tool,)):
+            self._latest.setdefault(key, []).append(call)
+
+    def _last(self, *key: str) -> int | None:
+        calls = self._latest.get(key, [])
+        while calls and calls[-1] not in self._open:  # ended by way of the other key
+            calls.pop()
+        return calls[-1] if calls else None
 
     def start(self, call: int, tool: str | None, given: str | None) -> None:
-        self.waiting.append((call, tool or "", canonical_input(given, True)))
+        self._wait(call, tool or "", canonical_input(given, True))
 
     def end(self, tool: str | None, given: str | None, compare: bool = True) -> int | None:
         """The call that ends, if any; it waits no longer."""
-        same = [w for w in self.waiting if w[1] == (tool or "")]
-        exact = [w for w in same if w[2] == canonical_input(given, False)] if compare else []
-        if not same:
-            return None
-        found = (exact or same)[-1]
-        self.waiting.remove(found)
-        return found[0]
+        exact = self._last(tool or "", canonical_input(given, False)) if compare else None
+        found = self._last(tool or "") if exact is None else exact
+        self._open.pop(found, None)
+        return found
 
 
 def pair_calls(events: DataFrame) -> DataFrame:
