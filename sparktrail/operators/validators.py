@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,34 +29,48 @@ def _unique(*keys: str) -> Column:
     return F.count("*").over(Window.partitionBy(*keys)) == 1
 
 
-def requirements(rows: DataFrame, turns: int, intents: DataFrame | None = None) -> DataFrame:
-    """(id, text, origin_turn, verifiable_by, status, strength, expect); turns that ask for nothing must yield none."""
+def _bounded(rows: DataFrame, turns: int | DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the last turn of their run: a number, or the highest of a table of turns (``by``, turn)."""
+    if isinstance(turns, int):
+        return rows.withColumn("_last", F.lit(turns))
+    last = turns.groupBy(*by).agg(F.max("turn").alias("_last"))
+    return rows.join(last, list(by), "left") if by else rows.crossJoin(F.broadcast(last))  # a single row
+
+
+def requirements(rows: DataFrame, turns: int | DataFrame, intents: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(id, text, origin_turn, verifiable_by, status, strength, expect); turns that ask for nothing must yield none.
+
+    A table of many runs is told apart by the columns ``by``.
+    """
+    rows = _bounded(rows, turns, by)
     if intents is not None:
-        asks = intents.select(F.col("turn").alias("origin_turn"), F.col("intent").isin("request", "clarification", "cancellation").alias("_asks"))
-        rows = rows.join(asks, "origin_turn", "left")
+        asks = intents.select(*by, F.col("turn").alias("origin_turn"), F.col("intent").isin("request", "clarification", "cancellation").alias("_asks"))
+        rows = rows.join(asks, [*by, "origin_turn"], "left")
     return _wrong(
         rows,
-        id=filled("id").isNotNull() & _unique("id"),
+        id=filled("id").isNotNull() & _unique(*by, "id"),
         text=filled(F.trim("text")).isNotNull(),
-        origin_turn=F.col("origin_turn").between(1, turns),
+        origin_turn=F.col("origin_turn").between(F.lit(1), F.col("_last")),
         verifiable_by=F.col("verifiable_by").isin(*VERIFIABLE),
         status=F.col("status").isin(*STATUSES),
         strength=F.col("strength").isin(*STRENGTHS),
         expect=filled(F.trim("expect")).isNotNull(),
         **({"intent": F.coalesce(F.col("_asks"), F.lit(True))} if intents is not None else {}),
-    )
+    ).drop("_last", "_asks")
 
 
-def claims(rows: DataFrame, turns: int) -> DataFrame:
+def claims(rows: DataFrame, turns: int | DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(id, turn, kind, text, quote); a quote needs four word characters at least."""
-    return _wrong(rows, id=filled("id").isNotNull() & _unique("id"), turn=F.col("turn").between(1, turns), kind=F.col("kind").isin(*CLAIMS), quote=F.length(words_only("quote")) >= 4)
+    rows = _bounded(rows, turns, by)
+    return _wrong(rows, id=filled("id").isNotNull() & _unique(*by, "id"), turn=F.col("turn").between(F.lit(1), F.col("_last")), kind=F.col("kind").isin(*CLAIMS), quote=F.length(words_only("quote")) >= 4).drop("_last")
 
 
-def criteria(rows: DataFrame, required: DataFrame) -> DataFrame:
+def criteria(rows: DataFrame, required: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(req_id, anchors, artifact_glob): every requirement has one, with short anchors and globs without braces."""
-    missing = required.select(F.col("id").alias("req_id")).join(rows.select("req_id"), "req_id", "left_anti").withColumn("problems", F.array(F.lit("missing")))
-    bad = _wrong(rows, anchors=(F.size("anchors") > 0) & F.forall("anchors", lambda a: (F.length(F.trim(a)) > 0) & (F.length(a) <= 60)), artifact_glob=~blank("artifact_glob").rlike("[{}]"), req_id=_unique("req_id"))
-    return bad.select("req_id", "problems").unionByName(missing)
+    key = [*by, "req_id"]
+    missing = required.select(*by, F.col("id").alias("req_id")).join(rows.select(*key), key, "left_anti").withColumn("problems", F.array(F.lit("missing")))
+    bad = _wrong(rows, anchors=(F.size("anchors") > 0) & F.forall("anchors", lambda a: (F.length(F.trim(a)) > 0) & (F.length(a) <= 60)), artifact_glob=~blank("artifact_glob").rlike("[{}]"), req_id=_unique(*key))
+    return bad.select(*key, "problems").unionByName(missing)
 
 
 def segments(rows: DataFrame, turns: DataFrame) -> DataFrame:

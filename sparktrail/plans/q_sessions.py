@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparktrail.functions.text import utc_clock
-from sparktrail.operators import efficiency, evidence, goal, graph, spans, stats, views
+from sparktrail.operators import efficiency, evidence, goal, graph, spans, stats, validators, views
 from sparktrail.plans.catalog import query
 from sparktrail.sources import cache
 from sparktrail.sources.standin import ACTIONS_SQL, actions, with_matcher_fields
@@ -705,3 +705,50 @@ def tune_flag_context(spark, sf_dir):
     acts = _acts(spark, sf_dir).withColumn("ref", F.concat_ws("#", "sid", "idx"))
     flags = acts.filter("error is not null").select((F.col("sid") * 1_000_000 + F.col("idx")).alias("flag_id"), F.lit("Mistake").alias("tag"), "sid", F.when(F.col("idx") % 2 == 0, F.col("ref")).otherwise("none").alias("ref"), "idx")
     return views.flag_contexts(flags, acts)
+
+
+# ---- checks of tables that come from outside -------------------------------------------------------------------
+
+
+@query(
+    "val_requirements",
+    f"""{A}, t AS (SELECT sid, max(turn) AS last FROM actions GROUP BY sid), r AS (SELECT sid, 'r' || (idx // 2) AS id, CASE WHEN k % 9 = 0 THEN ' ' ELSE purpose END AS text, turn + CASE WHEN k % 7 = 0 THEN 1000 ELSE 0 END AS origin_turn, CASE WHEN k % 5 = 0 THEN 'odd' ELSE 'action' END AS v FROM actions WHERE idx % 2 = 0 OR k % 11 = 0),
+    w AS (SELECT r.*, count(*) OVER (PARTITION BY r.sid, id) = 1 AS alone, origin_turn BETWEEN 1 AND last AS within FROM r JOIN t USING (sid))
+    SELECT sid, id, origin_turn, concat_ws(',', CASE WHEN NOT alone THEN 'id' END, CASE WHEN trim(text) = '' THEN 'text' END, CASE WHEN NOT within THEN 'origin_turn' END, CASE WHEN v = 'odd' THEN 'verifiable_by' END) AS problems
+    FROM w WHERE NOT alone OR trim(text) = '' OR NOT within OR v = 'odd'""",
+)
+def val_requirements(spark, sf_dir):
+    """Requirements of all sessions, some with a repeated id, no text, a turn that is none or an unknown kind."""
+    acts, k = _acts(spark, sf_dir), F.col("k")
+    made = acts.filter("idx % 2 = 0 or k % 11 = 0").select(
+        "sid", F.concat(F.lit("r"), F.floor(F.col("idx") / 2)).alias("id"), F.when(k % 9 == 0, " ").otherwise(F.col("purpose")).alias("text"), (F.col("turn") + F.when(k % 7 == 0, 1000).otherwise(0)).alias("origin_turn"),
+        F.when(k % 5 == 0, "odd").otherwise("action").alias("verifiable_by"), F.lit("active").alias("status"), F.lit("strong").alias("strength"), F.lit("something").alias("expect"),
+    )
+    out = validators.requirements(made, acts.select("sid", "turn"), by=["sid"])
+    return out.select("sid", "id", "origin_turn", F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    "val_segments",
+    f"""{A}, s AS (SELECT sid, seg, min(turn) + CASE WHEN seg % 5 = 0 THEN 1 ELSE 0 END AS start, max(turn) AS stop FROM actions GROUP BY sid, seg), l AS (SELECT sid, max(turn) AS last FROM actions GROUP BY sid),
+    w AS (SELECT *, start = coalesce(lag(stop) OVER o, 0) + 1 AS follows, lead(start) OVER o IS NULL AS final FROM s JOIN l USING (sid) WINDOW o AS (PARTITION BY sid ORDER BY start, stop))
+    SELECT sid, seg, concat_ws(',', CASE WHEN NOT follows THEN 'start' END, CASE WHEN stop < start OR final AND stop <> last THEN 'stop' END) AS problems FROM w WHERE NOT follows OR stop < start OR final AND stop <> last""",
+)
+def val_segments(spark, sf_dir):
+    """Segments of all sessions, every fifth of which begins a turn too late."""
+    acts = _acts(spark, sf_dir)
+    rows = _segments(acts).withColumns({"start": F.col("start") + F.when(F.col("seg") % 5 == 0, 1).otherwise(0), "theme": F.lit("a theme")})
+    return validators.segments(rows, acts.select("sid", "turn")).select("sid", "seg", F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    "val_claims",
+    """WITH c AS (SELECT conv_id, turn, lag(text, 1, '!?') OVER (PARTITION BY conv_id ORDER BY turn) AS quote, turn % 3 = 2 AS odd FROM conversations), m AS (SELECT *, length(regexp_replace(coalesce(quote, ''), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+', '', 'g')) >= 4 AS said FROM c)
+    SELECT conv_id, turn, concat_ws(',', CASE WHEN turn < 1 THEN 'turn' END, CASE WHEN odd THEN 'kind' END, CASE WHEN NOT said THEN 'quote' END) AS problems FROM m WHERE turn < 1 OR odd OR NOT said""",
+)
+def val_claims(spark, sf_dir):
+    """Claims of all conversations, quoting the turn before: the first ones quote no word, every third is of no known kind."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    quote = F.lag("text", 1, "!?").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = said.select("conv_id", F.col("turn").cast("string").alias("id"), "turn", F.when(F.col("turn") % 3 == 2, "odd").otherwise("did").alias("kind"), quote.alias("quote"))
+    return validators.claims(rows, said.select("conv_id", "turn"), ["conv_id"]).select("conv_id", "turn", F.array_join("problems", ",").alias("problems"))
