@@ -10,10 +10,10 @@ words for 50), and only what several documents have at one length is extended to
 2. Each further level extends an anchor to its length within the windows that chose it: to the right, or to the left for
    windows that end too early for that. Kept: extensions that two documents have. This goes on until nothing is left (then
    no word goes) or the next length is the window's.
-3. At the window's length, first the windows that begin with their anchor are compared. Those that repeat cover the
-   inside of a repeated passage, since they follow each other closely. Then all windows of those extensions around which
-   words are left that the first ones did not decide: the two ends of a passage, and passages of little more than a
-   window. They are compared in every document that has them.
+3. At the window's length, first one window of each extension is compared, the last that chose it. Inside a repeated
+   passage documents agree on it, and the next one is less than a window away, so those that repeat cover the inside.
+   Then all windows of those extensions around which words are left that the first ones did not decide: the two ends of
+   a passage, and passages of little more than a window. They are compared in every document that has them.
 
 No window of twice the length is looked at: it would remove no word that windows of this length do not. Anchors and
 extensions are compared by 64-bit hashes, which only choose candidates, full windows by 128 bits. All comparisons are
@@ -72,8 +72,8 @@ def _full(words: Words, hashes: np.ndarray, window: int, place: np.ndarray) -> t
 
 
 def _selected(docs: DataFrame, window: int) -> DataFrame:
-    """(id, key, pos, n, left, h0, h1, .., g1, g2): anchors and their extensions by level; n words has the text; ``left``
-    tells extensions to the left; g1 and g2 hash the window where it begins with its anchor."""
+    """(id, key, pos, at, n, left, h0, h1, .., g1, g2): anchors and their extensions by level; n words has the text;
+    ``left`` tells extensions to the left; g1 and g2 hash the last window that chose the extension, which begins ``at``."""
     short = lengths(window)[:-1]
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,52 +86,53 @@ def _selected(docs: DataFrame, window: int) -> DataFrame:
                 begin = np.flatnonzero(valid)
                 # a window whose anchor leaves no room for the half to its right extends it to the left
                 left = anchor[begin] - begin + short[-1] > window
-                chosen = np.unique(anchor[begin] * 2 + left)
-                left, chosen = chosen % 2 == 1, chosen // 2
-                starts = np.zeros(len(words.start), bool)
-                starts[begin[anchor[begin] == begin]] = True
-                opens = starts[chosen] & ~left
+                chosen, last = np.unique((anchor[begin] * 2 + left)[::-1], return_index=True)
+                left, chosen, last = chosen % 2 == 1, chosen // 2, begin[::-1][last]
                 doc = words.doc[chosen]
                 level = []
                 for size in short:
                     runs = words.runs(hashes, size)
                     level.append(pa.array(runs[np.where(left, chosen + short[0] - size, chosen)].view(np.int64)))
-                g1, g2 = _full(words, hashes, window, np.where(opens, chosen, 0))
+                g1, g2 = _full(words, hashes, window, last)
                 rows = pa.array(doc + at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(rows),
                         batch.column(1).take(rows),
                         pa.array((chosen - words.first[doc]).astype(np.int32)),
+                        pa.array((last - words.first[doc]).astype(np.int32)),
                         pa.array((words.first[doc + 1] - words.first[doc]).astype(np.int32)),
                         pa.array(left),
                         *level,
-                        pa.array(g1, mask=~opens),
-                        pa.array(g2, mask=~opens),
+                        pa.array(g1),
+                        pa.array(g2),
                     ],
                     schema.names,
                 )
 
     long = T.LongType()
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("key", long), T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("left", T.BooleanType()), *(T.StructField(f"h{i}", long) for i in range(len(short))), T.StructField("g1", long), T.StructField("g2", long)])
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("key", long), T.StructField("pos", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("left", T.BooleanType()), *(T.StructField(f"h{i}", long) for i in range(len(short))), T.StructField("g1", long), T.StructField("g2", long)])
     return docs.select("id", "key", "text").mapInArrow(lambda b: handing_back(b, select), schema)
 
 
 def _undecided(window: int, level: str):
     """(left, hash) of the extensions of a document around which words are left that removable windows do not cover."""
-    before = window - lengths(window)[0]
+    first, half = lengths(window)[0], lengths(window)[-2]
 
     def undecided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [np.empty((0, 2), np.int64)]
             for rows, n in zip(batch["rows"], batch["n"], strict=True):
-                at, hashes = (np.array([r[c] for r in rows], np.int64) for c in ("pos", level))
+                pos, at, hashes = (np.array([r[c] for r in rows], np.int64) for c in ("pos", "at", level))
                 goes, later, left = (np.array([r[c] for r in rows], bool) for c in ("goes", "later", "left"))
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, at[goes], 1)
                 np.add.at(edge, at[goes] + window, -1)
                 over = np.concatenate(([0], np.cumsum(np.cumsum(edge)[:-1] == 0)))
-                wanted = later & (over[np.minimum(at + window, n)] > over[np.maximum(at - before, 0)])
+                # where the windows that chose an extension begin and end
+                begin = np.where(left, pos - (window - first), pos - (window - half))
+                end = np.where(left, pos + half - 1, pos + window)
+                wanted = later & (over[np.minimum(end, n)] > over[np.maximum(begin, 0)])
                 out.append(np.stack((left[wanted].astype(np.int64), hashes[wanted]), 1))
             found = np.unique(np.concatenate(out), axis=0)
             yield pd.DataFrame({"left": found[:, 0] == 1, level: found[:, 1]})
@@ -195,18 +196,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text")).filter("id is not null and text is not null")
     rows = materialize(_selected(docs, window), "anchors")
     for level in [c for c in rows.columns if c.startswith("h")]:
-        rows = materialize(_repeated(rows.drop("later"), ["left", level]), level)
+        before = [c for c in rows.columns if c.startswith("h") and c < level]
+        rows = materialize(_repeated(rows.drop("later", *before), ["left", level]), level)
         if rows.isEmpty():
             break
 
-    at_start = _repeated(rows.filter("g1 is not null").select("g1", "g2", "id", "key", "pos"), ["g1", "g2"])
-    inside = materialize(at_start.filter("later").select("id", "key", "pos").distinct(), "inside")
-    marked = rows.join(inside.withColumn("goes", F.lit(True)), ["id", "key", "pos"], "left").withColumn("goes", F.coalesce("goes", F.lit(False)) & ~F.col("left"))
-    of_doc = marked.groupBy("id", "key").agg(F.collect_list(F.struct("pos", level, "left", "later", "goes")).alias("rows"), F.max("n").alias("n"), F.max("later").alias("any"))
+    last = _repeated(rows.select("g1", "g2", "id", "key", "at"), ["g1", "g2"])
+    inside = materialize(last.filter("later").select("id", "key", "at").distinct(), "inside")
+    marked = rows.drop("g1", "g2").join(inside.withColumn("goes", F.lit(True)), ["id", "key", "at"], "left").withColumn("goes", F.coalesce("goes", F.lit(False)))
+    of_doc = marked.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "at", level, "left", "later", "goes")).alias("rows"), F.max("n").alias("n"), F.max("later").alias("any"))
     open_ones = materialize(of_doc.filter("any").select("rows", "n").mapInPandas(_undecided(window, level), f"left boolean, {level} long").distinct(), "open")
     asked = _spans(rows.join(open_ones, ["left", level], "left_semi").select("id", "key", "pos").distinct(), window, 1)
     ends = materialize(_windows_at(docs.join(_by_document(asked, "at"), ["id", "key"]), window), "windows")
-    return _spans(inside.unionByName(_repeated(ends, ["g1", "g2"]).filter("later").select("id", "key", "pos")), window, window)
+    return _spans(inside.withColumnRenamed("at", "pos").unionByName(_repeated(ends, ["g1", "g2"]).filter("later").select("id", "key", "pos")), window, window)
 
 
 def _kept(raw: bytes, spans) -> tuple[int, list[bytes]]:
