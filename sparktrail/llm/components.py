@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is one aggregation and one join over the edges. The aggregate, one row for each vertex, is dealt out anew
-before the join, so that both sides of it are plain shuffles and Spark's skew handling splits stars of any size. The
-steps halve paths, so their number grows with the logarithm of the longest one.
+Each step is one aggregation and one join over the edges. In large-star steps, where a vertex may have any number of
+neighbours, the aggregate is written first, so that both sides of the join are plain shuffles and Spark's skew handling
+splits stars of any size. The steps halve paths, so their number grows with the logarithm of the longest one.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from sparktrail.llm.common import materialize
 def _star(edges: DataFrame, both: bool) -> DataFrame:
     """Move every vertex's larger (``both``: all larger of all) neighbours to its smallest one."""
     around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else edges
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition("a")
+    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialize(least, "least") if both else least
     moved = around.join(least, "a")
     if both:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

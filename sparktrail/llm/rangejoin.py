@@ -169,7 +169,7 @@ def range_join(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
         cells = cells.unionByName(part)
 
     crowd = cells.groupBy(*_CELL, "visits").agg(F.ceil(F.count("*") / chunk).alias("chunks")).groupBy(*_CELL).agg(F.map_from_entries(F.collect_list(F.struct("visits", "chunks"))).alias("crowd"))
-    cells = cells.join(crowd.repartition(*_CELL), _CELL)
+    cells = cells.join(materialize(crowd, "crowd"), _CELL)  # written, so that a crowded cell can be split
     zero = F.lit(0).cast("long")
     me = F.struct(F.col("visits").alias("visits"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("crowd")[F.col("visits")]).alias("chunk"))
     chunks = lambda e: F.transform(F.sequence(zero, e["value"] - 1), lambda c: F.struct(e["key"].alias("visits"), c.alias("chunk")))
@@ -185,7 +185,7 @@ def range_join(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     of_class = classes.select("key", "rep", "id", "copies").join(linked, "rep", "left").join(group.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_class = of_class.withColumn("component", F.coalesce("component", "rep"))
     least = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = of_class.join(least.repartition("component"), "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    of_class = of_class.join(materialize(least, "least"), "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = own.select("id", "key").join(of_class, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

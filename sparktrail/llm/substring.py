@@ -18,8 +18,8 @@ words for 50), and only what several documents have at one length is extended to
 No window of twice the length is looked at: it would remove no word that windows of this length do not. Anchors and
 extensions are compared by 64-bit hashes, which only choose candidates, full windows by 128 bits. All comparisons are
 aggregations to the smallest id for a hash and joins with one row for each hash, so a passage that a third of all
-documents share costs no more than its length, and no pairs are formed; both sides of such a join are plain shuffles,
-so that Spark splits a hot hash.
+documents share costs no more than its length, and no pairs are formed; the aggregates are written, so both sides
+of such a join are plain shuffles and Spark splits a hot hash.
 
 Words are runs of other bytes than ASCII white space, unchanged. Null, empty and blank texts have no words. An empty
 table gives an empty result. Very long texts are hashed and cleaned whole, one at a time. Of rows with one id each is
@@ -183,7 +183,8 @@ def _by_document(spans: DataFrame, name: str) -> DataFrame:
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose ``keys`` two documents have, and in ``later`` whether one of them has a smaller id."""
     first = rows.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
-    return rows.join(first.repartition(*keys), keys).withColumn("later", F.col("id") > F.col("lo")).drop("lo")
+    # written, so that the join shuffles both sides anew and a hot key can be split
+    return rows.join(materialize(first, "first"), keys).withColumn("later", F.col("id") > F.col("lo")).drop("lo")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
