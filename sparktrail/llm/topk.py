@@ -4,7 +4,7 @@ Vectors are quantised to integers, floor(``scale`` * x). Candidates are dealt by
 rows, queries into blocks of about ``QUERIES``, and each pair of blocks is one group of one task, so no task holds more
 than two blocks. Within a candidate block there is a sorted list for each dimension. A query reads all lists from their
 good ends (from the top where its component is positive, from the bottom where it is negative, not at all where it is
-0), one after another position, in rounds that grow. Of every candidate met so far it keeps the sum of what has been read
+0), one after another position, in rounds that grow (to the ends at once where one rules out too few). Of every candidate met so far it keeps the sum of what has been read
 of it and in which lists that was. Its lower bound adds the worst value of each list in which it has not been met, its
 upper bound the value at the reading depth, which also bounds the candidates that no list has shown. Reading stops when,
 besides the k of the best lower bounds, neither a candidate that was met nor one that was not can reach the k-th best
@@ -26,6 +26,7 @@ their result once. An empty table, or one without queries, gives an empty result
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -49,45 +50,56 @@ def finite(vector: str) -> Column:
 class Lists:
     """The sorted lists of a block of integer vectors; ``read`` counts the positions that queries have read."""
 
-    #: The part of the lists that the first round reads; each round reads twice as deep as the one before.
-    FIRST = 1 / 32
+    #: The part of the lists that the first round reads; later ones read twice as deep as the one before. Where a round leaves
+    #: more than half of the candidates in reach, the lists are read to their ends at once.
+    FIRST = (1 / 16,)
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")  # ties then go to the smaller id
         self.ids, self.vectors = ids[order], vectors[order]
         up = np.argsort(self.vectors, axis=0, kind="stable").T
         self.order = np.concatenate((up[:, ::-1], up)).astype(np.int32)  # of each dimension the list from its top, then from its bottom
-        dims = np.arange(vectors.shape[1], dtype=np.int32)
-        both = np.concatenate((dims, dims))[:, None]
-        self.values, self.cell = self.vectors[self.order, both], self.order * np.int32(len(dims)) + both
+        dims = np.arange(vectors.shape[1])
+        self.values = self.vectors[self.order, np.concatenate((dims, dims))[:, None]]
         self.read = 0
 
-    def top(self, query: np.ndarray, k: int, own: object) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k candidates of highest score, best first, without those of the query's own id."""
+    def top(self, queries: np.ndarray, k: int, own: Sequence) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k candidates of highest score, best first, for each query, without those of its own id."""
+        left = [self._read(query, k, one) for query, one in zip(queries, own, strict=True)]
+        # where lists were read to their ends, what has been read of a candidate is its score: those of all at once
+        ended = np.array([len(of) > max(k, len(self.ids) // 8) for of in left], bool)
+        whole = iter((self.vectors @ queries[ended].T).T)
+        for query, of, end in zip(queries, left, ended, strict=True):
+            scores = next(whole)[of] if end else self.vectors[of] @ query
+            best = np.argsort(-scores, kind="stable")[:k]
+            yield self.ids[of[best]], scores[best]
+
+    def _read(self, query: np.ndarray, k: int, own: object) -> np.ndarray:
+        """The candidates that can still be among the k best when reading stops."""
         n = len(self.ids)
         used = np.flatnonzero(query)
         weight = query[used]
         lists = np.where(weight > 0, used, used + len(query))
         worst = self.values[lists, -1] * weight
-        lower, seen = np.full(n, worst.sum(), self.vectors.dtype), np.zeros(self.vectors.shape, bool)
+        lower = np.full(n, worst.sum(), self.vectors.dtype)
         left, depth = np.flatnonzero(self.ids != own), 0
+        rounds = iter([int(n * part) for part in self.FIRST])
         while depth < n and len(left) > k and len(used):
-            until = min(n, max(depth * 2, int(n * self.FIRST), 1))
+            until = next(rounds, 2 * depth if 2 * len(left) < n else n)
+            until = min(n, max(until, depth + 1))
             self.read += (until - depth) * len(used)
-            if until == n:  # the lists end: what has been read of each candidate that is left is its score
+            if until == n:
                 break
             values = self.values[lists, depth:until] * weight[:, None]
             _add(lower, self.order[lists, depth:until], values - worst[:, None])
-            seen.reshape(-1)[self.cell[lists, depth:until]] = True
             depth = until
             # what has not been read of a candidate is at most the value at the depth; of one that no list has shown, all
-            open_ = np.zeros(len(query), self.vectors.dtype)
-            open_[used] = values[:, -1] - worst
-            upper = lower[left] + open_.sum() - seen[left] @ open_
-            left = left[upper >= _nth(lower[left], k)]
-        scores = self.vectors[left] @ query
-        best = np.argsort(-scores, kind="stable")[:k]
-        return self.ids[left[best]], scores[best]
+            more = values[:, -1] - worst
+            upper = lower + more.sum()
+            met = self.order[lists, :depth]
+            _add(upper, met, np.broadcast_to(-more[:, None], met.shape))
+            left = left[upper[left] >= _nth(lower[left], k)]
+        return left
 
 
 def _add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
@@ -134,8 +146,7 @@ def _searched(k: int, scale: float):
                 if not rows.any() or not asking.any():
                     continue
                 lists = Lists(ids[rows], exact(vectors[rows]))
-                for one, query in zip(own[asking], exact(queries[asking]), strict=True):
-                    found, scores = lists.top(query, k, one)
+                for one, (found, scores) in zip(own[asking], lists.top(exact(queries[asking]), k, own[asking]), strict=True):
                     values = [int(s) for s in scores]
                     out[0].extend([one] * len(found))
                     out[1].extend(found.tolist())

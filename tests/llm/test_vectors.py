@@ -77,13 +77,13 @@ def test_lists_are_read_no_further_than_needed():
     skewed = np.floor(rng.exponential(size=(2000, 16)) ** 3 * 20)
     skewed[:30] *= 8
     lists = topk.Lists(np.arange(2000), skewed)
-    for q in range(40, 60):
-        ids, scores = lists.top(skewed[q], 10, q)
+    asked = np.arange(40, 60)
+    for q, (ids, scores) in zip(asked, lists.top(skewed[asked], 10, asked), strict=True):
         want = np.lexsort((np.arange(2000), -np.where(np.arange(2000) == q, -1, skewed @ skewed[q])))[:10]
         assert ids.tolist() == want.tolist() and scores.tolist() == (skewed[want] @ skewed[q]).tolist()
     assert lists.read < 0.3 * 20 * skewed.size
     flat = topk.Lists(np.arange(50), np.ones((50, 4)))
-    assert flat.top(np.ones(4), 50, -1)[0].tolist() == list(range(50)) and flat.read == 0, "with no more candidates than k nothing is read"
+    assert next(flat.top(np.ones((1, 4)), 50, [-1]))[0].tolist() == list(range(50)) and flat.read == 0, "with no more candidates than k nothing is read"
 
 
 def test_top_k_of_nothing(spark):
