@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ def written(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="links-"))
     return df.checkpoint()
