@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrail.functions.text import first_filled
@@ -60,14 +60,30 @@ def renewed(wanted: DataFrame, cached: DataFrame, encoder: Callable[[list[str]],
     return kept.select(fresh.columns).unionByName(fresh)
 
 
-def kept_path(root: str, name: str, schema_of: DataFrame) -> str:
-    """Where a table is kept: another schema is another folder, so a changed one is never read by mistake."""
-    return f"{root.rstrip('/')}/{hashlib.sha256(schema_of.schema.json().encode()).hexdigest()[:12]}/{name}"
+def stamp(spark: SparkSession, sources: Sequence[str]) -> str:
+    """What the files below some paths are known by: their names, sizes and times of change."""
+    found = []
+    for source in sources:
+        at = spark._jvm.org.apache.hadoop.fs.Path(source)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = fs.listFiles(at, True) if fs.exists(at) else None
+        while files is not None and files.hasNext():
+            one = files.next()
+            found.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+    return "\n".join(sorted(found))
 
 
-def kept(df: DataFrame, root: str, name: str, fresh: bool = False) -> DataFrame:
-    """``df`` as kept under ``root``, written there first if it is not, or if it has to be made anew."""
-    path, spark = kept_path(root, name, df), df.sparkSession
+def kept_path(root: str, name: str, schema_of: DataFrame, told: str = "") -> str:
+    """Where a table is kept: another schema, or other sources (``told``), is another folder, so a stale one is never read
+    by mistake and none is written over while it may be read."""
+    return f"{root.rstrip('/')}/{hashlib.sha256((schema_of.schema.json() + told).encode()).hexdigest()[:12]}/{name}"
+
+
+def kept(df: DataFrame, root: str, name: str, fresh: bool = False, sources: Sequence[str] = ()) -> DataFrame:
+    """``df`` as kept under ``root``, written there first if it is not, if a file below ``sources`` has changed since, or
+    if it has to be made anew (``fresh``: no other job may read it then)."""
+    spark = df.sparkSession
+    path = kept_path(root, name, df, stamp(spark, sources))
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if fresh or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         df.write.mode("overwrite").parquet(path)

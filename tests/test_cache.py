@@ -23,3 +23,17 @@ def test_vectors_are_renewed(spark, tmp_path):
     assert got == {"command": 2, "purpose": 384} and calls.value == 1
     assert cache.kept(first.limit(0), str(tmp_path), "vectors").count() == 2, "what is kept is not made again"
     assert cache.kept_path("r", "n", first) != cache.kept_path("r", "n", changed)
+
+
+def test_tables_are_renewed_when_sources_change(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "kept")
+    source.mkdir()
+    (source / "a.jsonl").write_text("1\n")
+    read = lambda: cache.kept(spark.read.text(str(source)), root, "lines", sources=[str(source)])
+    first = read()
+    assert first.count() == 1
+    (source / "b.jsonl").write_text("2\n3\n")
+    assert read().count() == 3 and first.count() == 1, "the table that is being read stays"
+    (source / "b.jsonl").write_text("22\n3\n")
+    assert {r.value for r in read().collect()} == {"1", "22", "3"}
+    assert cache.stamp(spark, [str(tmp_path / "none")]) == ""
