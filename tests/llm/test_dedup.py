@@ -112,7 +112,7 @@ def _removed(texts, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("seed", "window"), [(1, 10), (2, 10), (3, 9), (4, 50), (5, 41)])
+@pytest.mark.parametrize(("seed", "window"), [(1, 10), (3, 9), (4, 50), (5, 41)])
 def test_substrings_equal_brute_force(spark, seed, window):
     rng = random.Random(seed)
     passages = [_words(rng, n, 10**6) for n in (window - 1, window, window + 1, window + 2, 2 * window + 5, 6 * window, 20 * window)] + [["a"] * (3 * window), ["a", "b"] * (2 * window)]
