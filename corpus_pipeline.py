@@ -27,9 +27,13 @@ from sparktrail.llm.common import fold, free_name, materialize, shared_path, sma
 
 
 def _having(docs: DataFrame, said: Column, condition: str) -> DataFrame:
-    """The rows of ``docs`` of whose struct ``said`` the condition (on ``said``) holds, with the columns of ``docs``."""
+    """The rows of ``docs`` of whose struct ``said`` the condition (on ``said``) holds, with the columns of ``docs``.
+
+    They are written here, so that texts go to Python in small batches whatever the session is set to.
+    """
     name = free_name(docs, "said")
-    return docs.withColumn(name, said).filter(condition.replace("said", name)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = docs.withColumn(name, said).filter(condition.replace("said", name)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return materialize(kept, "kept")
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = substring.without_repeats(docs)
+    left = materialize(substring.without_repeats(docs), "left")  # in small batches, too
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).filter(F.length("text") > 0)
 
 
