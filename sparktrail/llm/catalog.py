@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrail.llm import bytepair, langid, near, packing, pagetext, rangejoin, shards, substring, topk, toxicity
+from sparktrail.llm import bytepair, langid, near, packing, pagetext, rangejoin, resample, shards, substring, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +21,6 @@ QUERIES: dict[str, Query] = {
     "op7_byte_level_bpe": bytepair.op7_byte_level_bpe,
     "op8_metric_range_join": rangejoin.op8_metric_range_join,
     "op9_level_wise_doubling": substring.op9_level_wise_doubling,
+    "op11_importance_resampling": resample.op11_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op2_size_tiered_shards": shards.OP2_SQL}
+ORACLES: dict[str, str] = {"op2_size_tiered_shards": shards.OP2_SQL, "op11_importance_resampling": resample.OP11_SQL}

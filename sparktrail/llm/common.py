@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -107,6 +107,43 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` (a written table) with ``name``, the number of each row from 0 on in a total order.
+
+    Rows are dealt out by ranges of the order, so rows that share a key do not share a task, and numbered task by task;
+    the driver gets one count for each task. The result is written.
+    """
+    at = free_name(rows, "at")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    written, task = materialize(dealt, "ordered"), F.shiftright(F.col(f"`{at}`"), 33)
+    before, starts = 0, []
+    for number, n in sorted(tuple(r) for r in written.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect()):
+        starts.append((number, before))
+        before += n
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "`_task` long, `_start` long"))
+    numbered = written.join(start, task == F.col("_task"))
+    return numbered.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_start") + F.col(f"`{at}`").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def running_sums(rows: DataFrame, key: str, place: str, columns: list[str], block: int = 4096) -> DataFrame:
+    """``rows`` with each of ``columns`` (long) replaced by its sum over the rows of the key up to this one.
+
+    ``place`` counts the rows of a key (0 or 1, 2, ...). Sums are taken by blocks of places, then over the blocks of a
+    key, so a key of any number of rows is spread over tasks.
+    """
+    number = F.floor(F.col(place) / block).cast("long")
+    within = Window.partitionBy(key, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("_block", number)
+    if not (rows.agg(F.max(place)).first()[0] or 0) >= block:  # one block each: nothing comes before it
+        return inner.withColumns({c: F.sum(c).over(within) for c in columns}).drop("_block")
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = inner.groupBy(key, "_block").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    sums = sums.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    summed = inner.withColumns({c: F.sum(c).over(within) for c in columns})
+    both = summed.join(sums, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_of")))
+    return both.withColumns({c: F.col(c) + F.col(f"_{c}") for c in columns}).drop("_block", "_key", "_of", *(f"_{c}" for c in columns))
+
+
 def _row_bytes(schema: T.StructType) -> Column:
     """About the bytes of a row: those of strings, binaries and arrays as they are, 16 for any other field."""
     total = F.lit(16)
