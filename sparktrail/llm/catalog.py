@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparktrail.llm import bytepair, langid, near, packing, pagetext, rangejoin, resample, shards, substring, topk, toxicity, trie
+from sparktrail.llm import archives, bytepair, langid, near, packing, pagetext, rangejoin, resample, shards, substring, topk, toxicity, trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,5 +23,6 @@ QUERIES: dict[str, Query] = {
     "op9_level_wise_doubling": substring.op9_level_wise_doubling,
     "op11_importance_resampling": resample.op11_importance_resampling,
     "op12_conversation_prefix_trie": trie.op12_conversation_prefix_trie,
+    "op13_arc_to_warc": archives.op13_arc_to_warc,
 }
-ORACLES: dict[str, str] = {"op2_size_tiered_shards": shards.OP2_SQL, "op11_importance_resampling": resample.OP11_SQL, "op12_conversation_prefix_trie": trie.OP12_SQL}
+ORACLES: dict[str, str] = {"op2_size_tiered_shards": shards.OP2_SQL, "op11_importance_resampling": resample.OP11_SQL, "op12_conversation_prefix_trie": trie.OP12_SQL, "op13_arc_to_warc": archives.OP13_SQL}
