@@ -6,6 +6,9 @@ Long texts are cut before a white-space character that follows another kind of c
 splitting pattern matches across such a place (white space only ever leads a match) and the only look-ahead of the
 pattern inspects the end of a run of white space, which never ends a part; so the matches of the parts are the
 matches of the whole text, and memory stays near one part's size. A text without such a place is encoded whole.
+The regular expressions of the library give up on about a million white-space characters in a row. The pattern takes such
+a run, or all of it but its last character where something follows, as one match, so runs of ``LONG_RUN`` characters are
+found by a linear scan and encoded as one piece, without the pattern; that is the result the library would give.
 
 A ``tokenizer.json`` is read as the tokenizers library reads it, its added tokens included: their strings in a text are
 those tokens, and the texts between them are encoded on their own. Only byte-level files with the usual splitting pattern
@@ -36,7 +39,12 @@ from sparktrail.llm.common import per_text, table
 
 #: Characters of a part of a long text, at least.
 PART_CHARS = 100_000
-_CUT = re.compile(r"(?<=\S)\s")
+#: White-space characters from which on a run of them is taken out before the pattern sees it.
+LONG_RUN = 10_000
+# White space as the splitting pattern knows it (Unicode's property, which is not Python's).
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
+_RUN = re.compile(rf"(?<![{_SPACE}])[{_SPACE}]{{{LONG_RUN},}}")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -88,8 +96,7 @@ def encoding(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.En
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """Cut a text at safe boundaries into parts of ``size`` characters or, up to the next boundary, more."""
+def _cut(text: str, size: int) -> Iterator[str]:
     at = 0
     while len(text) - at > size:
         found = _CUT.search(text, at + size)
@@ -100,11 +107,31 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def parts(text: str, size: int = PART_CHARS) -> Iterator[str | bytes]:
+    """Cut a text at safe boundaries into parts of ``size`` characters or, up to the next boundary, more; a long run of
+    white space is a part in bytes, one match of the pattern."""
+    at = 0
+    for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+        if run.start() > at:
+            yield from _cut(text[at : run.start()], size)
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[run.start() : at].encode()
+    if at < len(text):
+        yield from _cut(text[at:] if at else text, size)
+
+
+def part_ids(enc: tiktoken.Encoding, part: str | bytes) -> np.ndarray:
+    """The ids of one part."""
+    if isinstance(part, bytes):
+        return np.array(enc._encode_single_piece(part), np.uint32)
+    return enc.encode_to_numpy(part, disallowed_special=())
+
+
 def token_ids(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
     """The ids of a whole text as unsigned 32-bit integers."""
     if not text:
         return np.empty(0, np.uint32)
-    found = [enc.encode_to_numpy(p, disallowed_special=()) for p in parts(text)]
+    found = [part_ids(enc, p) for p in parts(text)]
     return found[0] if len(found) == 1 else np.concatenate(found)
 
 
@@ -163,7 +190,7 @@ def digest(enc: tiktoken.Encoding, text: str | None) -> tuple[int, str, str]:
     """
     n, of_ids, of_bytes, first = 0, hashlib.sha256(), hashlib.sha256(), True
     for part in parts(text or ""):
-        found = enc.encode_to_numpy(part, disallowed_special=()).tolist() if part else []
+        found = part_ids(enc, part).tolist()
         if found:
             of_ids.update(("" if first else ",").encode() + ",".join(map(str, found)).encode())
             of_bytes.update(enc.decode_bytes(found))
