@@ -11,9 +11,12 @@ the plain rule, in which a new sequence competes as one more gap, it was 0.5 % a
 At scale only the numbers and lengths of pieces take part in the placement, and what was decided is joined to the pieces,
 their ids included, at the end. Pieces are numbered once and written; blocks of about
 ``BLOCK`` pieces are packed independently, largest pieces first. Sequences that a block leaves with over ``SLACK`` free
-places are opened again, and their pieces packed anew in blocks FAN times as wide, until one block is left. The number
-of pieces a block hands on depends on the length of a sequence, not on the number of rows, so the last block stays
-small. Nothing depends on one key, so a hot source or repeated documents skew nothing.
+places, and with room for the smallest piece of all such, are opened again, and their pieces packed anew, again in blocks
+of about ``BLOCK`` pieces, until one block is left. No block is ever larger. Where a round leaves more than half of its
+pieces open (as it does with many documents of over half a sequence and a few small ones), blocks are alike, another round
+would find as little, and their sequences are taken as they are: that costs at most one sequence that is less than half
+full for each block, since within a block no two such sequences are left. Nothing depends on one key, so a hot source or
+repeated documents skew nothing.
 
 Null texts count as empty and give a piece of the end id alone. An empty table gives an empty result. Repeated rows
 are packed once each. Very long texts are encoded in parts (see ``bytepair``). Of documents, other columns are not looked
@@ -35,8 +38,8 @@ from pyspark.sql import types as T
 from sparktrail.llm.bytepair import encoder
 from sparktrail.llm.common import free_name, handing_back, materialize, table
 
-#: Pieces of a block, and blocks whose left-overs meet in one block of the next round.
-BLOCK, FAN = 16_384, 16
+#: Pieces of a block.
+BLOCK = 16_384
 #: Free places up to which a sequence is final before the last round, as a share of its length.
 SLACK = 1 / 256
 
@@ -97,21 +100,21 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, n
     return where, offset, np.array(free, np.int64)
 
 
-_PLACED = "row long, length long, sequence_id long, offset long, is_open boolean"
+_PLACED = "row long, length long, sequence_id long, offset long, free long"
 
 
-def _packer(level: int, keep: int, capacity: int):
+def _packer(level: int, capacity: int):
     def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         lengths, rows = group.column("length").to_numpy(), group.column("row").to_numpy()
         order = np.lexsort((rows, -lengths))
         where, offset, free = place(lengths[order], capacity)
         sequence = (np.int64(level) << 56) | (np.int64(key[0].as_py()) << 24) | where
-        return pa.table({"row": rows[order], "length": lengths[order], "sequence_id": sequence, "offset": offset, "is_open": free[where] > keep})
+        return pa.table({"row": rows[order], "length": lengths[order], "sequence_id": sequence, "offset": offset, "free": free[where]})
 
     return pack
 
 
-def packed(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK, fan: int = FAN, slack: float = SLACK) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK, slack: float = SLACK) -> DataFrame:
     """``pieces`` (with a ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset`` added."""
     if not 1 <= capacity < 1 << 20:
         raise ValueError("capacity must be from 1 to 2^20")
@@ -120,19 +123,20 @@ def packed(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK, fan: int
     numbered = materialize(pieces.select(*columns).withColumn(row, F.monotonically_increasing_id()), "pieces")
     lengths = numbered.select(F.col(row).alias("row"), F.col("length").cast("long").alias("length"))
     rest = lengths.filter(F.col("length") < capacity)
-    blocks = max(1, -(-rest.count() // block))
     done = [lengths.filter(F.col("length") == capacity).select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    level = 0
-    while True:
-        last = blocks == 1
-        keep = capacity if last else int(capacity * slack)
-        tried = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").applyInArrow(_packer(level, keep, capacity), _PLACED)
+    left, level = rest.count(), 0
+    while left:
+        blocks = -(-left // block)
+        tried = rest.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks))).groupBy("block").applyInArrow(_packer(level, capacity), _PLACED)
         tried = materialize(tried, "packed")
-        done.append(tried.filter("not is_open").select("row", "sequence_id", "offset"))
-        if last:
-            break
-        rest = tried.filter("is_open").select("row", "length")
-        blocks, level = -(-blocks // fan), level + 1
+        is_open = F.col("free") > int(capacity * slack)
+        smallest = tried.filter(is_open).agg(F.min("length")).first()[0] or capacity
+        is_open = is_open & (F.col("free") >= smallest)
+        before, left = left, tried.filter(is_open).count()
+        if blocks == 1 or 2 * left > before:
+            left, is_open = 0, F.lit(False)
+        done.append(tried.filter(~is_open).select("row", "sequence_id", "offset"))
+        rest, level = tried.filter(is_open).select("row", "length"), level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -35,6 +35,24 @@ def test_other_vocabularies_are_refused():
         bytepair.encoding(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, " \n\t\u3000" * 500_000, " " * 12_000, "\x1c" * 12_000 + "\x85" * 12_000])
+@pytest.mark.parametrize("around", [("a", "b"), ("a", ""), ("", "1"), ("", ""), ("!", "\x1c!"), ("x <|endoftext|>", "<|endoftext|> y")])
+def test_long_white_space(run, around):
+    text = around[0] + run + around[1]
+    want = _reference([text])[0]
+    assert bytepair.encoder(JSON)(text).tolist() == want
+    enc = bytepair.encoding(MULTI)
+    n, _, back = bytepair.digest(enc, text)
+    assert n == len(bytepair.token_ids(enc, text)) and back == hashlib.sha256(text.encode()).hexdigest()
+    if len(run) < 100_000:
+        assert bytepair.token_ids(enc, text).tolist() == enc.encode_ordinary(text)
+
+
+def test_control_characters_are_no_place_to_cut():
+    text = "!" * 100_000 + "\x1c" * 100_000 + "!" * 50
+    assert bytepair.token_ids(bytepair.encoding(MULTI), text).tolist() == bytepair.encoding(MULTI).encode_ordinary(text)
+
+
 @pytest.mark.parametrize("size", [1, 7, 50])
 def test_parts_are_safe(size):
     enc = bytepair.encoding(MULTI)
@@ -94,12 +112,31 @@ def test_packing_whole(spark, sf_dir):
 def test_packing_in_rounds(spark):
     rng = random.Random(3)
     pieces = spark.createDataFrame([(i % 7, rng.choice([1, 5, 30, 49, 50, 64, 99, 100]), "x", "y") for i in range(5000)], "doc_id long, length long, row string, placed string")
-    rows = packing.packed(pieces, capacity=100, block=64, fan=4).collect()
+    rows = packing.packed(pieces, capacity=100, block=64).collect()
     assert len(rows) == 5000 and _check_packed(rows, 100) <= sum(r.length for r in rows) / 100 * 1.05
     assert {(r.row, r.placed) for r in rows} == {("x", "y")}
     assert packing.packed(pieces.limit(0), capacity=100).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 40])
+def test_no_block_grows_where_pieces_do_not_combine(spark, monkeypatch, small):
+    """Pieces of over half a sequence, without and with a few that could join any of them."""
+    seen = spark.sparkContext.accumulator(0)
+    place = packing.place
+
+    def counted(lengths, capacity):
+        if len(lengths) > 1500:
+            seen.add(1)
+        return place(lengths, capacity)
+
+    monkeypatch.setattr(packing, "place", counted)
+    rng = random.Random(5)
+    lengths = [rng.randint(1100, 1999) for _ in range(8000)] + [rng.randint(1, 9) for _ in range(small)]
+    rows = packing.packed(spark.createDataFrame([(x,) for x in lengths], "length long"), block=1000).collect()
+    assert len(rows) == len(lengths) and _check_packed(rows, 2048) <= 8000 + (small > 0)
+    assert seen.value == 0
+
+
 def test_placement_is_the_sum_of_squares_rule():
     rng = np.random.default_rng(0)
     lengths = np.sort(rng.integers(1, 21, 300))[::-1]
