@@ -15,8 +15,10 @@ is known what is the article. ``fit`` takes any other labelled pages as well. Th
 Character references are decoded, white space (as str.split sees it, <br> included) inside a block becomes one space,
 blocks are trimmed and joined in page order by one line feed; a block without characters is none. A null or empty page,
 and one without content, gives the empty text. Unclosed and wrongly nested tags are read as browsers do in the common
-cases; what follows an unclosed comment or script is part of it. Repeated rows are extracted each. Other columns pass
-through; columns named like the outputs are replaced.
+cases; what follows an unclosed comment, script or tag is part of it. Repeated rows are extracted each. Other columns pass
+through; columns named like the outputs are replaced. An empty table gives an empty result. Pages of any length are read
+whole, forward and once, so time grows with their length. Of two labellings of a page that are as likely, the one with
+fewer blocks of content is taken.
 """
 
 from __future__ import annotations
@@ -34,13 +36,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktrail.llm.common import table
+from sparktrail.llm.common import free_name, table
+
+#: Elements whose content is no text of the page.
+_RAW = frozenset("script style noscript template svg iframe object canvas video audio textarea select title".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_VALUE_OR_END = re.compile(r"=\s*+([\"'])|>")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.IGNORECASE) for tag in _RAW}
+#: Elements that may stand in one another, as in browsers; deeper ones count as siblings.
+_DEPTH = 512
+
+
+@dataclass(frozen=True)
+class _Token:
+    """A piece of markup from ``start`` to ``end``: a tag, or (without ``tag``) what is passed over, such as a comment."""
+
+    start: int
+    end: int
+    tag: str = ""
+    closing: bool = False
+    attributes: str = ""
+    raw: str = ""
+
+
+def _tokens(page: str) -> Iterator[_Token]:
+    """The markup of a page, read forward once.
+
+    A quote opens a value after an equals sign only; a value whose quote is never closed ends with its tag. A tag that is
+    never closed reaches to the end of the page, and so does a comment.
+    """
+    at, n = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'>"}
+    while (i := page.find("<", at)) >= 0:
+        at = i + 1
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = n if end < 0 else end + 3
+            yield _Token(i, at)
+            continue
+        if page.startswith(("<!", "<?"), i):
+            if last[">"] > i:
+                at = page.find(">", i) + 1
+                yield _Token(i, at)
+            continue
+        closing = page.startswith("</", i)
+        name = _NAME.match(page, i + 1 + closing)
+        if not name:
+            continue
+        pos = name.end()
+        while (m := _VALUE_OR_END.search(page, pos)) and m.group() != ">":
+            quote = m.group(1)
+            pos = page.find(quote, m.end()) + 1 if last[quote] >= m.end() else m.end()
+        at = end = m.end() if m else n
+        if not m:
+            yield _Token(i, n)
+            continue
+        tag, attributes = name.group().lower(), page[name.end() : end - 1]
+        if tag in _RAW and not closing:
+            if not (tag == "svg" and attributes.endswith("/")):
+                ends = _RAW_END[tag].search(page, end)
+                at = ends.end() if ends else n
+            yield _Token(i, at, raw=tag)
+        else:
+            yield _Token(i, end, tag, closing, attributes)
+
 
-_RAW = "script|style|noscript|template|svg|iframe|object|canvas|video|audio|textarea|select|title"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>|<({_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>",
-    re.DOTALL | re.IGNORECASE,
-)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that leave a head open whose end tag is left out.
@@ -114,21 +174,20 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             close(i)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if in_head and (page[at : m.start()].strip() or (m.group(1) or "html").lower() not in _HEAD or m.group(3) and not m.group(2) and m.group(3).lower() not in _HEAD):
+    for m in _tokens(page):
+        if in_head and (page[at : m.start].strip() or (m.raw or "html") not in _HEAD or m.tag and not m.closing and m.tag not in _HEAD):
             in_head = False
             leave_head()
-        if m.start() > at and not in_head:
-            text = page[at : m.start()]
+        if m.start > at and not in_head:
+            text = page[at : m.start]
             pieces.append(text)
             if state[0] > 0:
                 state[1] += len(text)
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
+        at = m.end
+        tag = m.tag
+        if not tag:
             continue
-        tag = tag.lower()
-        if m.group(2):
+        if m.closing:
             if tag in _BLOCK:
                 flush()
             if tag == "head":
@@ -150,8 +209,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 close(i)
             if tag in _CLOSES and (i := innermost(*_CLOSES[tag])) >= 0:
                 close(i)
-        if tag not in _VOID and not m.group(4).endswith("/"):
-            stack.append((tag, _around(tag, m.group(4)) if len(m.group(4)) < 400 else _attribute_features(tag, m.group(4))))
+        if tag not in _VOID and not m.attributes.endswith("/") and len(stack) < _DEPTH:
+            stack.append((tag, _around(tag, m.attributes) if len(m.attributes) < 400 else _attribute_features(tag, m.attributes)))
             if tag == "a":
                 state[0] += 1
     if at < len(page) and (not in_head or page[at:].strip()):
@@ -297,8 +356,9 @@ def extract(pages: DataFrame, model: PageModel, page: str = "html") -> DataFrame
             found = [main_text(model, p) for p in batch]
             yield pd.DataFrame({"text": found, "n_chars": [len(t) for t in found]})
 
-    kept = [c for c in pages.columns if c not in _OUT.names and c != "_page"]
-    return pages.withColumn("_page", texts(F.col(page))).select(*kept, "_page.*")
+    told = free_name(pages, "told")
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in _OUT.names]
+    return pages.withColumn(told, texts(F.col(f"`{page}`"))).select(*kept, f"{told}.*")
 
 
 #: Words that notices and controls of the invented pages use, and articles now and then.

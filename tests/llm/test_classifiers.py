@@ -1,6 +1,7 @@
 """Language, toxicity and page text: held-out accuracy, odd inputs, and structure."""
 
 import os
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +148,27 @@ def test_article_text_is_kept(html, want):
     assert [b[0] for b in pagetext.blocks(html)] == want
 
 
+@pytest.mark.parametrize("piece", ["<svg ", '<a "', "<a ", "<!--", "<script>", '<p a="', "<div>", "<p>", "<b>x", "</", "<![", "</script ", "&#", "<a b='>", "= "])
+def test_time_grows_with_the_page(page_model, piece):
+    """Broken markup of half a megabyte and more takes seconds."""
+    began = time.perf_counter()
+    pagetext.main_text(page_model, piece * (600_000 // len(piece)))
+    assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize(("html", "want"), [('<p title="unclosed>two</p><p>three</p>', ["two", "three"]), ("<p data=it's>one</p><p>don't</p>", ["one", "don't"]), ("<p>one</p><p class=", ["one"]), ("<p>1 < 2 and <3</p>", ["1 < 2 and <3"]), ("<p>one</p><a href='x", ["one"])])
+def test_markup_does_not_come_out(html, want):
+    assert [b[0] for b in pagetext.blocks(html)] == want
+
+
+def test_pages_with_columns_of_any_name(spark, page_model):
+    pages = spark.createDataFrame([(1, "<p>Some words that make a sentence, and some more of them.</p>" * 3, "a", "b", "c", "d")] * 2 + [(2, None, "a", "b", "c", "d")], "page_id long, html string, _page string, told string, `a.b` string, text string")
+    rows = pagetext.extract(pages, page_model).collect()
+    assert rows[0]["_page"] == "a" and rows[0]["told"] == "b" and rows[0]["a.b"] == "c" and rows[0].text == rows[1].text
+    assert [r.n_chars for r in rows if r.page_id == 2] == [0]
+    assert pagetext.extract(pages.limit(0), page_model).collect() == []
+
+
 def test_head_that_is_left_open():
     assert pagetext.blocks("<head><title>no</title><p>one</p>") == pagetext.blocks("<p>one</p>")
     assert pagetext.blocks("<head><title>no</title>one") == pagetext.blocks("one")
