@@ -74,9 +74,15 @@ def _parted(radius: float, level: int):
     return parted
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, which rounds nothing, so that squares of its largest component stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
     """Which rows of ``a`` and ``b`` have at least that cosine."""
     ua, ub = _unit(a), _unit(b)
+    a, b = _scaled(a), _scaled(b)
     out = np.empty((len(a), len(b)), bool)
     for at in range(0, len(a), 1024):
         c = ua[at : at + 1024] @ ub.T

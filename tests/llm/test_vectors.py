@@ -117,6 +117,14 @@ def test_several_vectors_of_one_id(spark):
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
 
 
+def test_cosines_of_tiny_and_huge_vectors(spark):
+    """Squares of such components leave the range of doubles; cosines near the bar are still told exactly."""
+    base = [(1.0, 0.0), (0.93, math.sqrt(1 - 0.93**2)), (0.9300000001, math.sqrt(1 - 0.9300000001**2)), (0.5, -0.5)]
+    rows = [(i + 10 * j, 1 + j, [x * s for x in v]) for j, s in enumerate((1.0, 2.0**-600, 2.0**-1000, 2.0**600)) for i, v in enumerate(base)]
+    got = {r.vec_id: r.n_links for r in rangejoin.range_join(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert len({tuple(got[i + 10 * j] for i in range(4)) for j in range(4)}) == 1 and got[2] >= 2
+
+
 def test_range_join_of_nothing(spark):
     assert rangejoin.range_join(_frame(spark, [])).count() == 0
 
