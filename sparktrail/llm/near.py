@@ -15,7 +15,8 @@
    make up the intersection. Pairs across components for which that holds are compared. That loses no link and passes
    over the many texts that only have a common passage in common.
 4. Comparisons are exact: intersection and union of the full sets of shingles, as words. Hashes only choose candidates
-   (and count shingles, and tell equal sets, to within a chance of 2^-64 for a pair of shingles).
+   (and count shingles, to within a chance of 2^-64 for a pair of shingles, and tell equal sets by two independent hashes
+   of each shingle, 128 bits together).
 
 Words are runs of other bytes than ASCII white space; A-Z are lower-cased. A text with fewer words than a shingle has
 its whole word sequence as only element. Null, empty and blank texts have an empty set and link with nothing; an empty
@@ -42,21 +43,36 @@ _U = np.uint64
 COUNTERS = 1 << 20
 
 
+def _whole(hashes: np.ndarray) -> np.ndarray:
+    """One hash of a text with fewer words than a shingle."""
+    value = np.array([len(hashes)], _U)
+    for h in hashes:
+        value = mix(value * _U(0x9E3779B97F4A7C15) + h)
+    return value
+
+
 def shingles(words: Words, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
     hashes = words.hashes()
     runs = words.runs(hashes, size)
+    for i in range(words.n_docs):
+        a, b = int(words.first[i]), int(words.first[i + 1])
+        yield np.unique(runs[a : b - size + 1]) if b - a >= size else _whole(hashes[a:b]) if b > a else np.empty(0, _U)
+
+
+def shingles_twice(words: Words, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``shingles``, each with the second, independent hash of the same shingles."""
+    one, two = words.hashes(0), words.hashes(1)
+    runs, others = words.runs(one, size, 0), words.runs(two, size, 1)
     for i in range(words.n_docs):
         a, b = int(words.first[i]), int(words.first[i + 1])
         if b - a >= size:
-            yield np.unique(runs[a : b - size + 1])
+            values, at = np.unique(runs[a : b - size + 1], return_index=True)
+            yield values, others[a : b - size + 1][at]
         elif b > a:
-            value = np.array([b - a], _U)
-            for h in hashes[a:b]:
-                value = mix(value * _U(0x9E3779B97F4A7C15) + h)
-            yield value
+            yield _whole(one[a:b]), _whole(two[a:b])
         else:
-            yield np.empty(0, _U)
+            yield np.empty(0, _U), np.empty(0, _U)
 
 
 class Sketcher:
@@ -95,10 +111,10 @@ def sketches(docs: DataFrame, id_col: str, text: str, size: int, bands: int, row
         for batch in batches:
             n, fp1, fp2, found = [], [], [], []
             for _, words in blocks(batch.column(1), lower=True):
-                for values in shingles(words, size):
+                for values, others in shingles_twice(words, size):
                     n.append(len(values))
-                    fp1.append(int(mix(values).sum(dtype=_U).astype(np.int64)) if len(values) else 0)
-                    fp2.append(int(mix(values ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64)) if len(values) else 0)
+                    fp1.append(int(mix(values).sum(dtype=_U).astype(np.int64)))
+                    fp2.append(int(mix(others).sum(dtype=_U).astype(np.int64)))
                     found.append(sketcher.band_hashes(sketcher(values)).astype(np.int64) if len(values) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "n", "fp1", "fp2", "bands"])
 
