@@ -29,7 +29,7 @@ def load(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def _graph(acts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return graph.with_commands(graph.touches(acts), graph.command_touches(acts))
+    return graph.provenance(acts)
 
 
 def _scoring(spark: SparkSession, path: str | None) -> dict:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrail.functions.commands import hosts, paths_said, paths_touched, pids_said, said_by_tool, variables_set, variables_used, words_left_open
-from sparktrail.functions.text import filled
+from sparktrail.functions.commands import ENDINGS, hosts, paths_by_variables, paths_said, paths_touched, pids_said, said_by_tool, variables_set, variables_used, words_left_open
+from sparktrail.functions.text import filled, normal_path
+from sparktrail.operators.links import written
 
 # Actions that write, those that read what they change, and those that imply an earlier state.
 WRITES = ("write_file", "modify_file", "create_file", "edit_file")
@@ -19,6 +20,8 @@ IMPLIES_EARLIER = ("modify_file", "edit_file", "write_file")
 READS = ("read_file",)
 # Confidences, from the weakest on.
 CONFIDENCE = ("weak", "likely", "certain")
+# Actions that look for something without touching it.
+PROBES = ("search_content", "search_files", "list_dir", "code_search_symbols")
 
 
 def touches(actions: DataFrame) -> DataFrame:
@@ -171,22 +174,56 @@ def variable_values(commands: DataFrame) -> DataFrame:
     return known.groupBy("sid", "idx").agg(F.map_from_entries(F.collect_list(F.struct("name", "last.value"))).alias("env"))
 
 
+def _commands(actions: DataFrame) -> DataFrame:
+    """(sid, idx, command, cwd, response, env) of shell commands: where each starts, and the values of the variables it uses."""
+    if "env" in actions.columns:  # told before
+        return actions
+    commands = actions.filter((F.col("action") == "run_command") & filled("command").isNotNull())
+    start = [filled(c) for c in ("root", "cwd") if c in actions.columns]  # ``cwd`` is where a command ends up
+    response = F.col("response") if "response" in actions.columns else F.lit(None).cast("string")
+    own = commands.select("sid", "idx", "command", F.coalesce(*start, F.lit(None).cast("string")).alias("cwd"), response.alias("response"))
+    return own.join(variable_values(commands), ["sid", "idx"], "left").withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>")))
+
+
 def command_touches(actions: DataFrame) -> DataFrame:
     """(sid, idx, path, is_write): the files that commands read and write, variables put in."""
-    commands = actions.filter((F.col("action") == "run_command") & filled("command").isNotNull())
-    cwd = F.col("cwd") if "cwd" in actions.columns else F.lit(None).cast("string")
-    own = commands.select("sid", "idx", "command", cwd.alias("cwd")).join(variable_values(commands), ["sid", "idx"], "left")
-    env = F.coalesce("env", F.create_map().cast("map<string,string>"))
-    found = own.select("sid", "idx", F.explode(paths_touched(F.col("command"), F.col("cwd"), env)).alias("t"))
+    found = _commands(actions).select("sid", "idx", F.explode(paths_touched(F.col("command"), F.col("cwd"), F.col("env"))).alias("t"))
     return found.select("sid", "idx", "t.path", (F.col("t.direction") == "write").alias("is_write"))
 
 
+def weak_touches(actions: DataFrame) -> DataFrame:
+    """(sid, idx, path, is_write): files that commands name by variables that no command of the session ever sets.
+
+    The path is the one in the text (``$HOME_DIR/x.sh``): such a variable has one value all along, so the same words mean
+    the same file. Words with a variable that is set somewhere are left out, before and after that.
+    """
+    commands = _commands(actions)
+    named = commands.select("sid", "idx", F.inline(paths_by_variables(F.col("command"), F.col("env"))))
+    named = named.select("sid", "idx", "path", (F.col("direction") == "write").alias("is_write"), F.explode("names").alias("name"))
+    own = commands.select("sid", F.explode(variables_set(F.col("command"))).alias("v")).select("sid", F.col("v.name").alias("name")).distinct()
+    told = named.join(own.withColumn("own", F.lit(True)), ["sid", "name"], "left")
+    return told.groupBy("sid", "idx", "path", "is_write").agg(F.max("own").alias("own")).filter("own is null").drop("own")
+
+
+def all_touches(actions: DataFrame) -> DataFrame:
+    """(sid, idx, path, is_write, confidence): what commands touch by their text, by their own output, and (weak) by
+    variables that nothing sets; each once, with its highest confidence."""
+    sure = command_touches(actions)
+    if "response" in actions.columns:
+        sure = sure.unionByName(resolved_touches(actions))
+    both = sure.withColumn("confidence", F.lit("likely")).unionByName(weak_touches(actions).withColumn("confidence", F.lit("weak")))
+    return both.groupBy("sid", "idx", "path", "is_write").agg(F.min("confidence").alias("confidence"))  # likely before weak
+
+
 def _open_words(actions: DataFrame) -> DataFrame:
     """(sid, idx, word, direction, head, ending) of what commands leave open, known variables put in."""
-    commands = actions.filter((F.col("action") == "run_command") & filled("command").isNotNull())
-    own = commands.select("sid", "idx", "command").join(variable_values(commands), ["sid", "idx"], "left")
-    env = F.coalesce("env", F.create_map().cast("map<string,string>"))
-    return own.select("sid", "idx", F.inline(words_left_open(F.col("command"), env)))
+    return _commands(actions).select("sid", "idx", F.inline(words_left_open(F.col("command"), F.col("env"))))
+
+
+def _paths_of_outputs(actions: DataFrame) -> DataFrame:
+    """(sid, idx, path): the files (by their ending) that the outputs of commands state, in normal form."""
+    said = actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(paths_said(said_by_tool(F.col("response")))).alias("path"))
+    return said.filter(F.col("path").rlike(rf"(?i)\.(?:{'|'.join(ENDINGS)})$")).select("sid", "idx", normal_path("path").alias("path")).distinct()
 
 
 def resolved_touches(actions: DataFrame) -> DataFrame:
@@ -195,7 +232,7 @@ def resolved_touches(actions: DataFrame) -> DataFrame:
     Of the paths that an output states those count that begin and end like the word; a word is resolved if that is one
     path. The direction is that of the word in the command.
     """
-    said = actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(paths_said(said_by_tool(F.col("response")))).alias("path"))
+    said = _paths_of_outputs(actions)
     met = _open_words(actions).filter("direction is not null").join(said, ["sid", "idx"]).filter(F.startswith("path", F.col("head")) & F.endswith("path", F.col("ending")))
     sole = met.groupBy("sid", "idx", "word", "direction").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n")).filter("n = 1")
     return sole.select("sid", "idx", "path", (F.col("direction") == "write").alias("is_write")).distinct()
@@ -204,36 +241,50 @@ def resolved_touches(actions: DataFrame) -> DataFrame:
 def unresolved_words(actions: DataFrame) -> DataFrame:
     """(sid, idx, word): words that name a file and that neither the command nor its output resolves."""
     left = _open_words(actions).filter(F.col("word").rlike(r"\.\w+[\"'`,()]*$"))
-    said = actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(paths_said(said_by_tool(F.col("response")))).alias("path"))
-    met = left.join(said, ["sid", "idx"], "left").withColumn("path", F.when(F.col("direction").isNotNull() & F.startswith("path", F.col("head")) & F.endswith("path", F.col("ending")), F.col("path")))
+    met = left.join(_paths_of_outputs(actions), ["sid", "idx"], "left").withColumn("path", F.when(F.col("direction").isNotNull() & F.startswith("path", F.col("head")) & F.endswith("path", F.col("ending")), F.col("path")))
     return met.groupBy("sid", "idx", "word").agg(F.count_distinct("path").alias("n")).filter("n <> 1").select("sid", "idx", "word")
 
 
+def pid_statements(actions: DataFrame) -> DataFrame:
+    """(sid, idx, pid): outputs that state the id of a process."""
+    return actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(pids_said(said_by_tool(F.col("response")))).alias("pid"))
+
+
 def pids(actions: DataFrame) -> DataFrame:
     """(sid, pid, born_idx): processes by the output that first states them."""
-    said = actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(pids_said(said_by_tool(F.col("response")))).alias("pid"))
-    return said.groupBy("sid", "pid").agg(F.min("idx").alias("born_idx"))
+    return pid_statements(actions).groupBy("sid", "pid").agg(F.min("idx").alias("born_idx"))
 
 
 def with_commands(touched: DataFrame, by_command: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, edges) of the whole graph: what tools touch, then what commands do.
 
-    Commands go on with the counter of versions that the tools have left, so the number of a version does not follow
-    time; what a command sees is the highest version that was born before it, and version 0 where it reads first.
+    ``by_command`` has (sid, idx, path, is_write) and maybe confidence. Commands go on with the counter of versions that
+    the tools have left, so the number of a version does not follow time. What a command sees is the highest version that
+    was born before it: one running maximum over births and reads of a key in their order, so a file that is read very
+    often takes time in proportion. A command that reads what no tool ever makes, before any command makes it, sees
+    version 0; one that reads before a tool makes the file sees nothing.
     """
-    tools, own = entities(touched), by_command.withColumn("path", F.col("path"))
-    top = tools.groupBy("sid", F.col("key").alias("path")).agg(F.max("version").alias("top"))
-    rank = F.row_number().over(Window.partitionBy("sid", "path").orderBy("idx"))
-    made = own.filter("is_write").select("sid", "idx", "path").distinct().withColumn("n", rank).join(top, ["sid", "path"], "left")
-    made = made.select("sid", F.col("path").alias("key"), (F.coalesce("top", F.lit(0)) + F.col("n")).cast("long").alias("version"), F.col("idx").alias("producer_idx"), F.col("idx").alias("born_idx"))
-    reads = own.filter("not is_write").select("sid", "idx", F.col("path").alias("key")).distinct()
-    born = tools.unionByName(made)
-    seen = reads.join(born, ["sid", "key"], "left").groupBy("sid", "idx", "key").agg(F.max(F.when(F.col("born_idx") < F.col("idx"), F.col("version"))).alias("version"))
-    seen = seen.withColumn("version", F.coalesce("version", F.lit(0)).cast("long"))
+    tools = entities(touched)
+    own = by_command if "confidence" in by_command.columns else by_command.withColumn("confidence", F.lit("likely"))
+    own = own.groupBy("sid", "idx", F.col("path").alias("key"), "is_write").agg(F.min("confidence").alias("confidence"))
+    top = tools.groupBy("sid", "key").agg(F.max("version").alias("top"))
+    rank = F.row_number().over(Window.partitionBy("sid", "key").orderBy("idx"))
+    made = own.filter("is_write").withColumn("n", rank).join(top, ["sid", "key"], "left")
+    made = made.select("sid", "key", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("long").alias("version"), F.col("idx").alias("producer_idx"), F.col("idx").alias("born_idx"), "confidence")
+    born = tools.unionByName(made.drop("confidence"))
+
+    nothing = F.lit(None)
+    births = tools.withColumn("by_tool", F.lit(True)).unionByName(made.drop("confidence").withColumn("by_tool", F.lit(False)))
+    births = births.select("sid", "key", F.col("born_idx").alias("idx"), "version", "by_tool", nothing.cast("string").alias("confidence"))
+    reads = own.filter("not is_write").select("sid", "key", "idx", nothing.cast("long").alias("version"), F.lit(False).alias("by_tool"), "confidence")
+    of_key = Window.partitionBy("sid", "key")
+    before = of_key.orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
+    seen = births.unionByName(reads).withColumns({"seen": F.max("version").over(before), "known": F.max("by_tool").over(of_key)}).filter("confidence is not null")
+    seen = seen.filter("seen is not null or not known").select("sid", "idx", "key", F.coalesce("seen", F.lit(0)).cast("long").alias("version"), "confidence")
     zero = seen.filter("version = 0").select("sid", "key", "version").distinct().join(tools.filter("version = 0"), ["sid", "key", "version"], "left_anti")
     zero = zero.select("sid", "key", "version", F.lit(None).cast("int").alias("producer_idx"), F.lit(-1).alias("born_idx"))
-    links = made.select("sid", F.col("producer_idx").alias("idx"), "key", "version", F.lit("generatedBy").alias("kind"), F.lit("likely").alias("confidence"))
-    links = links.unionByName(seen.select("sid", "idx", "key", "version", F.lit("usedBy").alias("kind"), F.lit("likely").alias("confidence")))
+    links = made.select("sid", F.col("producer_idx").alias("idx"), "key", "version", F.lit("generatedBy").alias("kind"), "confidence")
+    links = links.unionByName(seen.select("sid", "idx", "key", "version", F.lit("usedBy").alias("kind"), "confidence"))
     return born.unionByName(zero), edges(touched).unionByName(links)
 
 
@@ -244,5 +295,56 @@ def host_edges(actions: DataFrame) -> DataFrame:
 
 def pid_mentions(pids: DataFrame, commands: DataFrame) -> DataFrame:
     """(sid, pid, idx): later commands that name a process (sid, pid, born_idx), as a number of its own."""
-    whole = F.regexp_like("command", F.concat(F.lit(r"(?<!\d)"), F.col("pid").cast("string"), F.lit(r"(?!\d)")))
-    return pids.join(commands.select("sid", "idx", "command"), "sid").filter((F.col("born_idx") < F.col("idx")) & whole).select("sid", "pid", "idx")
+    numbers = F.array_distinct(F.regexp_extract_all("command", F.lit(r"(?<!\d)(\d{3,})(?!\d)"), 1))
+    named = commands.select("sid", "idx", F.explode(numbers).alias("_pid"))
+    met = pids.withColumn("_pid", F.col("pid").cast("string")).join(named, ["sid", "_pid"]).filter(F.col("born_idx") < F.col("idx"))
+    return met.select("sid", "pid", "idx")
+
+
+def provenance(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) of everything that actions touch: files by tools and by commands, hosts and processes.
+
+    Entities are (sid, key, version, producer_idx, born_idx, entity: file, host or pid). Edges are generatedBy, usedBy and,
+    for hosts, connectedBy, each with its confidence: certain from tools, likely from commands and their outputs, weak
+    where a path has a variable without a value. Hosts have version 0, processes version 1; a process is made by every
+    command whose output states it, and used by later ones that name it.
+    """
+    commands = written(_commands(actions))  # looked at several times
+    files, links = with_commands(touches(actions), all_touches(commands))
+    entity_of = lambda df, kind: df.withColumn("entity", F.lit(kind))
+    likely = lambda df, version, kind: df.select("sid", "idx", "key", F.lit(version).cast("long").alias("version"), F.lit(kind).alias("kind"), F.lit("likely").alias("confidence"))
+    reached = host_edges(commands)
+    machines = reached.select("sid", "key").distinct().select("sid", "key", F.lit(0).cast("long").alias("version"), F.lit(None).cast("int").alias("producer_idx"), F.lit(-1).alias("born_idx"))
+    all_entities, all_edges = entity_of(files, "file").unionByName(entity_of(machines, "host")), links.unionByName(likely(reached, 0, "connectedBy"))
+    if "response" not in actions.columns:
+        return all_entities, all_edges
+    stated = pid_statements(commands)
+    born = stated.groupBy("sid", "pid").agg(F.min("idx").alias("born_idx"))
+    processes = born.select("sid", F.col("pid").alias("key"), F.lit(1).cast("long").alias("version"), F.col("born_idx").alias("producer_idx"), "born_idx")
+    named = pid_mentions(born, commands).withColumnRenamed("pid", "key")
+    all_edges = all_edges.unionByName(likely(stated.withColumnRenamed("pid", "key"), 1, "generatedBy")).unionByName(likely(named, 1, "usedBy"))
+    return all_entities.unionByName(entity_of(processes, "pid")), all_edges
+
+
+def probes(actions: DataFrame) -> DataFrame:
+    """(sid, idx, action, pattern, path, root) of actions that search or list: what they look for and where.
+
+    They touch nothing, so they have no edges; a root that says no more than the path is left out.
+    """
+    own = {c: filled(c) if c in actions.columns else F.lit(None).cast("string") for c in ("pattern", "path", "root")}
+    own["root"] = F.when(~own["root"].eqNullSafe(own["path"]), own["root"])
+    found = actions.filter(F.col("action").isin(*PROBES)).select("sid", "idx", "action", *(c.alias(n) for n, c in own.items()))
+    return found.filter("pattern is not null or path is not null or root is not null")
+
+
+def probed_artifacts(probes: DataFrame, all_entities: DataFrame) -> DataFrame:
+    """(sid, idx, key): artifacts at or below the place where an action searches.
+
+    A key meets searches by each of the folders above it, so this is an equal join whose rows grow with the depth of paths
+    and not with all keys of a session.
+    """
+    where = F.regexp_replace(F.coalesce("path", "root"), "(?<=.)/+$", "")
+    keys = all_entities.select("sid", "key").distinct().filter(F.startswith("key", F.lit("/")))
+    parts = F.split("key", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n), "/")))
+    return probes.select("sid", "idx", where.alias("_at")).filter("_at is not null").join(keys.select("sid", "key", F.explode(above).alias("_at")), ["sid", "_at"]).select("sid", "idx", "key")

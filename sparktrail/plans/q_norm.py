@@ -193,7 +193,6 @@ def cache_stale_texts(spark, sf_dir):
 _SIDES_SQL = f"{A} SELECT sid, idx, tool AS hook_tool, tool AS official_tool, true AS same FROM actions"
 
 
-@query("norm_side_by_side_all", _SIDES_SQL)
 @query("norm_side_by_side", _SIDES_SQL)
 def norm_side_by_side(spark, sf_dir):
     """Every action of every session in both sources."""

@@ -383,6 +383,89 @@ def graph_unresolved(spark, sf_dir):
     return graph.unresolved_words(_with_output(_acts(spark, sf_dir)))
 
 
+def _errands(acts: DataFrame) -> DataFrame:
+    """Commands of six kinds: scopes of directories, a job in the background with its output, a signal, another machine,
+    a script by a variable that nothing sets, and a program that Python is fed."""
+    k = lambda n: (F.col("k") % n).cast("string")
+    text = F.element_at(
+        F.array(
+            F.concat(F.lit("(cd sub && cat a"), k(5), F.lit(".txt); cat b.txt > /w/o"), k(3), F.lit(".log")),
+            F.lit("nohup python3 /w/run.py > /w/r_$(date +%s).log 2>&1 & echo PID=$!"),
+            F.concat(F.lit("kill "), (F.col("k") % 50 + 1000).cast("string"), F.lit(" && tail -5 /w/o"), k(3), F.lit(".log")),
+            F.concat(F.lit("ssh me@box"), k(4), F.lit(" 'cat /w/b.txt'")),
+            F.concat(F.lit("bash ${TOOLS}/t"), k(3), F.lit(".sh")),
+            F.concat(F.lit("python3 - <<'EOF'\nwith open('in%d.csv' % 7) as f: pass\nopen('in"), k(4), F.lit(".csv')\nEOF\n")),
+        ),
+        (F.col("idx") % 6 + 1).cast("int"),
+    )
+    said = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("PID="), (F.col("k") + 1000).cast("string"), F.lit("\nLOG=/w/r_"), F.col("k"), F.lit(".log")).alias("stdout")).alias("Json"))).alias("items")).alias("Success")))
+    is_command = F.col("command").isNotNull()
+    return acts.withColumns({"command": F.when(is_command, text), "response": F.when(is_command & (F.col("idx") % 6 == 1), said), "root": F.when(is_command, "/w")})
+
+
+_ERRANDS = f"""{_G}, c AS (SELECT sid, idx, k, idx % 6 AS m FROM actions WHERE command IS NOT NULL),
+  w AS (SELECT sid, idx, '/w/o' || k % 3 || '.log' AS key FROM c WHERE m = 0 UNION ALL SELECT sid, idx, '/w/r_' || k || '.log' FROM c WHERE m = 1),
+  r AS (SELECT sid, idx, '/w/sub/a' || k % 5 || '.txt' AS key, 'likely' AS confidence FROM c WHERE m = 0 UNION ALL SELECT sid, idx, '/w/b.txt', 'likely' FROM c WHERE m = 0 UNION ALL SELECT sid, idx, '/w/run.py', 'likely' FROM c WHERE m = 1
+    UNION ALL SELECT sid, idx, '/w/o' || k % 3 || '.log', 'likely' FROM c WHERE m = 2 UNION ALL SELECT sid, idx, '$TOOLS/t' || k % 3 || '.sh', 'weak' FROM c WHERE m = 4 UNION ALL SELECT sid, idx, '/w/in' || k % 4 || '.csv', 'likely' FROM c WHERE m = 5),
+  stated AS (SELECT sid, idx, CAST(1000 + k AS VARCHAR) AS key FROM c WHERE m = 1), born AS (SELECT sid, key, min(idx) AS born FROM stated GROUP BY sid, key),
+  named AS (SELECT c.sid, c.idx, b.key FROM c JOIN born b ON b.sid = c.sid AND b.key = CAST(1000 + c.k % 50 AS VARCHAR) AND b.born < c.idx WHERE m = 2),
+  every AS (SELECT sid, idx, key, version, kind, 'certain' AS confidence FROM edges
+    UNION ALL SELECT sid, idx, key, row_number() OVER (PARTITION BY sid, key ORDER BY idx), 'generatedBy', 'likely' FROM w
+    UNION ALL SELECT r.sid, r.idx, r.key, count(w.idx), 'usedBy', r.confidence FROM r LEFT JOIN w ON w.sid = r.sid AND w.key = r.key AND w.idx < r.idx GROUP BY r.sid, r.idx, r.key, r.confidence
+    UNION ALL SELECT sid, idx, '/w/in7.csv', 0, 'usedBy', 'likely' FROM c WHERE m = 5
+    UNION ALL SELECT sid, idx, key, 1, 'generatedBy', 'likely' FROM stated UNION ALL SELECT sid, idx, key, 1, 'usedBy', 'likely' FROM named
+    UNION ALL SELECT sid, idx, 'ssh://me@box' || k % 4, 0, 'connectedBy', 'likely' FROM c WHERE m = 3)"""
+
+
+@query("graph_all_edges", f"{_ERRANDS} SELECT sid, idx, key, CAST(version AS BIGINT) AS version, kind, confidence FROM every")
+def graph_all_edges(spark, sf_dir):
+    """Files by tools, commands, outputs and unset variables, hosts and processes in one graph."""
+    return graph.provenance(_errands(_acts(spark, sf_dir)))[1]
+
+
+@query(
+    "graph_pids",
+    f"""{_ERRANDS} SELECT b.sid, b.key, CAST(b.born AS INTEGER) AS producer_idx, count(DISTINCT s.idx) AS stated, count(DISTINCT n.idx) AS named FROM born b JOIN stated s ON s.sid = b.sid AND s.key = b.key LEFT JOIN named n ON n.sid = b.sid AND n.key = b.key GROUP BY b.sid, b.key, b.born""",
+)
+def graph_pids(spark, sf_dir):
+    """Processes, how many outputs state each and how many later commands name it."""
+    ents, edges = graph.provenance(_errands(_acts(spark, sf_dir)))
+    uses = edges.groupBy("sid", "key").agg(F.count_if(F.col("kind") == "generatedBy").alias("stated"), F.count_if(F.col("kind") == "usedBy").alias("named"))
+    return ents.filter("entity = 'pid'").join(uses, ["sid", "key"]).select("sid", "key", "producer_idx", "stated", "named")
+
+
+@query("graph_hosts", f"{_ERRANDS} SELECT sid, 'ssh://me@box' || k % 4 AS key, count(*) AS n FROM c WHERE m = 3 GROUP BY sid, k % 4")
+def graph_hosts(spark, sf_dir):
+    """Machines that commands reach, and how often."""
+    ents, edges = graph.provenance(_errands(_acts(spark, sf_dir)))
+    uses = edges.filter("kind = 'connectedBy'").groupBy("sid", "key").agg(F.count("*").alias("n"))
+    return ents.filter("entity = 'host'").join(uses, ["sid", "key"]).select("sid", "key", "n")
+
+
+@query(
+    "graph_weak_paths",
+    f"""{_ERRANDS} SELECT c.sid, c.idx, '$TOOLS/t' || k % 3 || '.sh' AS path FROM c WHERE m = 4 AND NOT EXISTS (SELECT 1 FROM c x WHERE x.sid = c.sid AND x.m = 1 AND x.k = 7)""",
+)
+def graph_weak_paths(spark, sf_dir):
+    """Scripts by a variable, in the sessions in which no command sets it, before or after."""
+    acts = _errands(_acts(spark, sf_dir))
+    sets = acts.withColumn("command", F.when((F.col("idx") % 6 == 1) & (F.col("k") == 7), F.concat(F.lit("TOOLS=$(pwd); "), "command")).otherwise(F.col("command")))
+    return graph.weak_touches(sets).filter("not is_write").select("sid", "idx", "path")
+
+
+_SEARCHES = f"""{A}, t AS (SELECT sid, idx, idx % 4 = 3 AND action = 'read_file' AS looks, '/w/d' || k % 4 AS at, '/w/d' || k % 4 || '/f' || k || '.py' AS path, action FROM actions WHERE path IS NOT NULL)"""
+
+
+@query("graph_probed", f"{_SEARCHES}, keys AS (SELECT DISTINCT t.sid, t.path FROM t JOIN actions a USING (sid, idx) WHERE NOT looks AND a.error IS NULL) SELECT t.sid, t.idx, keys.path AS key FROM t JOIN keys ON keys.sid = t.sid AND starts_with(keys.path, t.at || '/') WHERE looks")
+def graph_probed(spark, sf_dir):
+    """Every fourth action that is a read searches a folder instead; the artifacts of its session below that folder."""
+    folder = F.concat(F.lit("/w/d"), F.col("k") % 4)
+    looks = (F.col("idx") % 4 == 3) & (F.col("action") == "read_file")
+    acts = _acts(spark, sf_dir).filter("path is not null").withColumn("action", F.when(looks, "search_content").otherwise(F.col("action")))
+    acts = acts.withColumn("path", F.when(F.col("action") == "search_content", folder).otherwise(F.concat(folder, F.lit("/f"), "k", F.lit(".py"))))
+    return graph.probed_artifacts(graph.probes(acts), graph.entities(graph.touches(acts)))
+
+
 @query(
     "graph_unlinked_mentions",
     f"""{_G} SELECT DISTINCT a.sid, a.idx, n.key FROM actions a JOIN (SELECT DISTINCT sid, key FROM ents) n USING (sid) WHERE a.command IS NOT NULL
@@ -415,7 +498,6 @@ _TREE_SQL = """WITH RECURSIVE s AS (SELECT DISTINCT user_id AS sid FROM events),
     SELECT root, sid, min(depth) AS depth FROM t GROUP BY root, sid"""
 
 
-@query("ev_run_tree_all", _TREE_SQL)
 @query("ev_run_tree", _TREE_SQL)
 def ev_run_tree(spark, sf_dir):
     """Every session as a root."""
@@ -462,7 +544,6 @@ def ev_retrieve_idf_topk(spark, sf_dir):
 _AROUND_SQL = f"{A} SELECT c.sid, c.idx AS centre, a.idx, a.action FROM actions c JOIN actions a ON a.sid = c.sid AND a.idx BETWEEN c.idx - 2 AND c.idx + 2 WHERE c.error IS NOT NULL"
 
 
-@query("ev_window_pm2_all", _AROUND_SQL)
 @query("ev_window_pm2", _AROUND_SQL)
 def ev_window_pm2(spark, sf_dir):
     """Every error as a centre."""
@@ -529,7 +610,6 @@ _QUOTES_SQL = f"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITI
 
 
 @query("goal_quote_filter", _QUOTES_SQL)
-@query("goal_quote_filter_all", _QUOTES_SQL)
 def goal_quote_filter(spark, sf_dir):
     """Every turn claims to hold its own opening and that of the turn before."""
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("at", F.concat_ws("/", "conv_id", "turn"))
@@ -698,7 +778,6 @@ _FLAGS_SQL = f"""{A}, f AS (SELECT sid * 1000000 + idx AS flag_id, 'Mistake' AS
     SELECT f.flag_id, f.tag, f.sid, f.idx AS centre, a.idx, a.action FROM f JOIN actions a ON a.sid = f.sid AND a.idx BETWEEN f.idx - 2 AND f.idx + 2"""
 
 
-@query("tune_flag_context_all", _FLAGS_SQL)
 @query("tune_flag_context", _FLAGS_SQL)
 def tune_flag_context(spark, sf_dir):
     """Every error flagged, half of them by a reference that is not found."""

@@ -152,3 +152,103 @@ def test_outputs_of_other_forms(spark):
 )
 def test_wrappers_loops_and_version_control(command, want):
     assert want <= set(commands.touched(command, "/w")) and {p for p, _ in commands.touched(command, "/w")} == {p for p, _ in want}
+
+
+@pytest.mark.parametrize(
+    ("command", "want"),
+    [
+        ("(cd sub && cat a.txt); cat b.txt", {("/w/sub/a.txt", "read"), ("/w/b.txt", "read")}),
+        ("cd sub | cat a.txt; cat b.txt", {("/w/a.txt", "read"), ("/w/b.txt", "read")}),
+        ("cd sub && cat a.txt && cat b.txt", {("/w/sub/a.txt", "read"), ("/w/sub/b.txt", "read")}),
+        ("cd /d; for i in 1 2; do cd x; cat a.txt; done; cat b.txt", {("/d/x/a.txt", "read"), ("/d/x/x/a.txt", "read"), ("/d/b.txt", "read")}),
+        ("if cd k; then cat a.txt; else cat b.txt; fi; cat c.txt", {("/w/k/a.txt", "read"), ("/w/k/b.txt", "read"), ("/w/c.txt", "read")}),
+        ("(cd a; (cd b; cat 1.txt); cat 2.txt) && cat 3.txt", {("/w/a/b/1.txt", "read"), ("/w/a/2.txt", "read"), ("/w/3.txt", "read")}),
+        ("cd a & cat b.txt", {("/w/b.txt", "read")}),
+        ("cd $UNKNOWN && cat a.txt; cat /b.txt", {("/b.txt", "read")}),
+        ("D=/d; cd $D && cat a.txt", {("/d/a.txt", "read")}),
+        ("gcc -O2 -o /w/a.out /w/b.c c.c", {("/w/a.out", "write"), ("/w/b.c", "read"), ("/w/c.c", "read")}),
+        ("sort --output=s.txt t.txt", {("/w/s.txt", "write"), ("/w/t.txt", "read")}),
+        ("python3 - <<'EOF'\nopen('x.csv')\nopen('/t/%s.txt' % 'y', 'w')\nEOF\ncat z.txt", {("/w/x.csv", "read"), ("/t/y.txt", "write"), ("/w/z.txt", "read")}),
+        ("python3 -c \"open('q.json')\"", {("/w/q.json", "read")}),
+        ("cat > a.py <<EOF\nopen('in.csv')\nEOF\npython3 a.py", {("/w/a.py", "write"), ("/w/in.csv", "read"), ("/w/a.py", "read")}),
+        ("cat > a.py <<EOF\nopen('in.csv')\nEOF\n", {("/w/a.py", "write")}),
+        ("bash <<EOF\ncat a.txt > b\nEOF", {("/w/a.txt", "read"), ("/w/b", "write")}),
+        ("bash -c 'cat p.txt'", {("/w/p.txt", "read")}),
+        ("cat <<A > one.txt; cat <<B > two.txt\n1 > no.txt\nA\n2\nB\n", {("/w/one.txt", "write"), ("/w/two.txt", "write")}),
+        ("cat a.txt >/dev/null 2>&1; echo x &> all.log", {("/w/a.txt", "read"), ("/w/all.log", "write")}),
+        ("ssh me@box cat /x.txt", set()),
+        ("grep a.txt b.log; grep -e a.txt c.log", {("/w/b.log", "read"), ("/w/c.log", "read")} | {("/w/a.txt", "read")}),
+        ("python -m py_compile m.py", {("/w/m.py", "read")}),
+    ],
+)
+def test_scopes_programs_and_outputs(command, want):
+    assert set(commands.touched(command, "/w")) == want
+
+
+def test_loops_are_written_out_up_to_a_length():
+    text = "".join(f"for v{i} in 1 2 3 4 5 6 7 8 9; do " for i in range(9)) + "cat /x/$v0.txt; " + "done; " * 9 + "cat /y.txt"
+    assert len(commands.unrolled(text)) <= commands.UNROLLED and ("/y.txt", "read") in commands.touched(text)
+
+
+def test_python_environment_and_format():
+    source = "import os\nopen(os.environ['D'] + '/a.txt')\nopen(os.getenv('E', '/e') + '/b.txt')\nopen('%s/%d' % (x, 1))\nopen('%s/c.txt' % os.environ.get('D'))"
+    assert commands.python_files(source, {"D": "/d"}) == [("/d/a.txt", "read"), ("/e/b.txt", "read"), ("/d/c.txt", "read")]
+
+
+_ACTION = "sid string, idx int, action string, path string, root string, pattern string, command string, response string, turn int, error string"
+
+
+def _acts(spark, *rows):
+    named = [c.split()[0] for c in _ACTION.split(", ")]
+    return spark.createDataFrame([tuple({"sid": "s", "action": "run_command", "turn": 1, **r}.get(n) for n in named) for r in rows], _ACTION)
+
+
+def test_provenance_of_everything(spark):
+    acts = _acts(
+        spark,
+        {"idx": 0, "command": "cat /w/later.txt; tail /w/log.txt"},
+        {"idx": 1, "action": "create_file", "path": "/w/later.txt"},
+        {"idx": 2, "command": "nohup python3 run.py > /w/out/r_$(date +%s).log & echo PID=$!", "root": "/w", "response": _told("PID=3304381\nLOG=/w/out/../out/r_1.log\n/w/out\n")},
+        {"idx": 3, "command": "ps -p 3304381; kill 33043812; cat /w/later.txt"},
+        {"idx": 4, "command": "ssh me@box; bash $TOOLS/x.sh; cat $OUT/y.log"},
+        {"idx": 5, "command": "OUT=$(date); ps -p 3304381", "response": _told("PID=3304381\n")},
+    )
+    ents, edges = graph.provenance(acts)
+    got = {(r.idx, r.key, r.version, r.kind, r.confidence) for r in edges.collect()}
+    assert got == {
+        (0, "/w/log.txt", 0, "usedBy", "likely"),
+        (1, "/w/later.txt", 1, "generatedBy", "certain"),
+        (2, "/w/run.py", 0, "usedBy", "likely"),
+        (2, "/w/out/r_1.log", 1, "generatedBy", "likely"),
+        (2, "3304381", 1, "generatedBy", "likely"),
+        (3, "3304381", 1, "usedBy", "likely"),
+        (3, "/w/later.txt", 1, "usedBy", "likely"),
+        (4, "ssh://me@box", 0, "connectedBy", "likely"),
+        (4, "$TOOLS/x.sh", 0, "usedBy", "weak"),
+        (5, "3304381", 1, "generatedBy", "likely"),
+        (5, "3304381", 1, "usedBy", "likely"),
+    }
+    assert {(r.key, r.entity) for r in ents.filter("entity <> 'file'").collect()} == {("ssh://me@box", "host"), ("3304381", "pid")}
+    assert ents.groupBy("sid", "key", "version").count().filter("count > 1").count() == 0
+
+
+def test_provenance_of_nothing(spark):
+    ents, edges = graph.provenance(_acts(spark, {"idx": 0, "command": None}))
+    assert ents.count() == 0 and edges.count() == 0
+
+
+def test_reads_of_a_key_are_not_joined_with_its_versions(spark):
+    acts = _acts(spark, {"idx": 0, "command": "cat /a.txt"})
+    plan = graph.provenance(acts)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "BETWEEN UNBOUNDED PRECEDING" in plan.upper() or "unboundedpreceding" in plan
+    rows = [{"idx": i, "command": "cat /a.log" if i % 3 else "echo x > /a.log"} for i in range(3000)]
+    edges = graph.provenance(_acts(spark, *rows))[1]
+    assert {(r.idx, r.version) for r in edges.filter("kind = 'usedBy'").collect()} == {(i, i // 3 + 1) for i in range(3000) if i % 3}
+
+
+def test_probes_meet_what_lies_below(spark):
+    acts = _acts(spark, {"idx": 0, "action": "read_file", "path": "/w/a/x.py"}, {"idx": 1, "action": "read_file", "path": "/w/ab/y.py"}, {"idx": 2, "action": "search_content", "path": "/w/a/", "root": "/w/a/", "pattern": "z"}, {"idx": 3, "action": "list_dir", "path": "/"}, {"idx": 4, "action": "search_files", "root": "/w/ab/y.py"}, {"idx": 5, "action": "code_search_symbols"})
+    found = graph.probes(acts)
+    assert {(r.idx, r.pattern, r.path, r.root) for r in found.collect()} == {(2, "z", "/w/a/", None), (3, None, "/", None), (4, None, None, "/w/ab/y.py")}
+    met = graph.probed_artifacts(found, graph.entities(graph.touches(acts)))
+    assert {(r.idx, r.key) for r in met.collect()} == {(2, "/w/a/x.py"), (3, "/w/a/x.py"), (3, "/w/ab/y.py"), (4, "/w/ab/y.py")}
