@@ -204,24 +204,37 @@ def coverage(official: DataFrame, hook: DataFrame, differences: DataFrame) -> Da
     return sizes.join(worst, "sid", "left").select("sid", level.alias("level"))
 
 
+#: Characters of a title that a run's prompt is compared with, and the width of the bins of time that runs and sessions meet in.
+HEAD, BIN_S = 40, 86_400
+
+
 def attribute_runs(runs: DataFrame, sessions: DataFrame, minutes: int = 5, hours: int = 6) -> DataFrame:
     """(sid, run, session): the official session that each run of a log is, if one can be told.
 
     ``runs`` has (sid, run, prompt, started_at, cwd), ``sessions`` (sid, title, cwd, created_at, modified_at). A session
-    fits if it has the run's directory, was created within the log's time (and some minutes), changed within some hours
-    of it, and its title begins the run's prompt. Runs take turns, each the nearest in time that is left, so this is
-    decided for each log in one piece, after a join on the directory and the time has left its few candidates.
+    fits if it has the run's directory (where the log has one), was created within the log's time (and some minutes),
+    changed within some hours of it, and the first characters of its title begin the run's prompt. Runs take turns, each
+    the nearest in time that is left (ties: the smaller id), which is decided for each log in one piece.
+
+    Runs and sessions meet by equal keys only: the beginning of a prompt at every length it can be compared at, and the
+    bin of time that the session was created in, which a log has one of for each day it lasts. Logs without a time meet
+    sessions by the beginning of the prompt alone.
     """
-    spans = runs.groupBy("sid").agg(F.min("started_at").alias("lo"), F.max("started_at").alias("hi"), F.max("cwd").alias("cwd"))
-    at = sessions.select(F.col("sid").alias("session"), "title", F.col("cwd").alias("own_cwd"), "created_at", "modified_at").filter(filled("title").isNotNull() & F.col("created_at").isNotNull())
+    spans = runs.groupBy("sid").agg(F.min("started_at").alias("lo"), F.max("started_at").alias("hi"), F.max("cwd").alias("log_cwd"))
+    head = F.left(F.regexp_replace("title", r"[.… ]+\z", ""), F.lit(HEAD))
+    bin_of = lambda t: F.floor(F.unix_seconds(t) / BIN_S)
     gap, wide = F.make_dt_interval(mins=F.lit(minutes)), F.make_dt_interval(hours=F.lit(hours))
-    near = (F.col("cwd").isNull() | (F.col("cwd") == F.col("own_cwd"))) & F.coalesce(F.col("created_at").between(F.col("lo") - gap, F.col("hi") + gap), F.lit(True)) & F.coalesce(F.col("modified_at").between(F.col("lo") - wide, F.col("hi") + wide), F.lit(True))
-    candidates = spans.join(at, near)
-    head = F.left(F.regexp_replace("title", r"[.… ]+$", ""), F.lit(40))
-    fits = runs.select("sid", "run", "prompt", "started_at").join(candidates.select("sid", "session", "created_at", head.alias("head")), "sid")
-    fits = fits.filter((F.col("head") != "") & F.startswith(blank("prompt"), F.col("head")))
+    at = sessions.select(F.col("sid").alias("session"), head.alias("head"), F.col("cwd").alias("own_cwd"), "created_at", "modified_at", bin_of("created_at").alias("bin")).filter("created_at is not null and head <> ''")
+
+    said = F.left(blank("prompt"), F.lit(HEAD))
+    heads = F.transform(F.sequence(F.lit(1), F.length(said)), lambda n: F.left(said, n))
+    asked = runs.join(spans, "sid").filter(F.length(said) > 0).select("sid", "run", "started_at", "lo", "hi", "log_cwd", F.explode(heads).alias("head"))
+    timed = asked.filter("lo is not null").withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo") - gap), bin_of(F.col("hi") + gap))))
+    fits = timed.join(at, ["head", "bin"]).unionByName(asked.filter("lo is null").join(at.drop("bin"), "head"), allowMissingColumns=True)
+    same = F.col("log_cwd").isNull() | (F.col("log_cwd") == F.col("own_cwd"))
+    in_time = lambda c, room: F.coalesce(F.col(c).between(F.col("lo") - room, F.col("hi") + room), F.lit(True))
     away = F.coalesce(F.abs(F.unix_micros("created_at") - F.unix_micros("started_at")), F.lit(0))
-    ranked = fits.select("sid", "run", "session", away.alias("away"))
+    ranked = fits.filter(same & in_time("created_at", gap) & in_time("modified_at", wide)).select("sid", "run", "session", away.alias("away"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()
@@ -237,6 +250,14 @@ def attribute_runs(runs: DataFrame, sessions: DataFrame, minutes: int = 5, hours
     return runs.select("sid", "run").join(chosen, ["sid", "run"], "left")
 
 
+def bag_differences(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, common, only_first, only_second): two tables as multisets, how often each row is in both and in one alone."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    # grouped once more instead of joined, so that null keys meet
+    both = count(first, "a").withColumn("b", F.lit(0)).unionByName(count(second, "b").withColumn("a", F.lit(0)))
+    n = both.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return n.select(*keys, F.least("a", "b").alias("common"), F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("only_first"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("only_second"))
+
 
 def side_by_side(hook: DataFrame, official: DataFrame) -> DataFrame:
     """(sid, idx, hook_tool, official_tool, same) of sessions in which both sources have as many actions."""

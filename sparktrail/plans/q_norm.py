@@ -48,12 +48,6 @@ def norm_paths(spark, sf_dir):
     return actions(spark, sf_dir).filter("path is not null").select("sid", "idx", resolved_path(odd, F.lit("/w")).alias("path"))
 
 
-@query("norm_first_prompt", "SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id")
-def norm_first_prompt(spark, sf_dir):
-    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'")
-    return said.groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
-
-
 @query(
     "norm_turn_counters",
     """SELECT conv_id, turn, greatest(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w, 1)::INTEGER AS prompt_no, greatest(sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER w, 1)::INTEGER AS run_no
@@ -66,17 +60,6 @@ def norm_turn_counters(spark, sf_dir):
     return out.select(F.col("sid").alias("conv_id"), F.col("line_no").alias("turn"), F.col("turn").alias("prompt_no"), F.col("run").alias("run_no"))
 
 
-@query(
-    "norm_result_backfill",
-    f"""{A}, r AS (SELECT sid, k, arg_max(error, idx) AS error, arg_max(idx, idx) AS at FROM actions WHERE action = 'run_command' GROUP BY sid, k)
-    SELECT a.sid, a.idx, r.error, r.at FROM actions a LEFT JOIN r ON r.sid = a.sid AND r.k = a.k WHERE a.action = 'read_file'""",
-)
-def norm_result_backfill(spark, sf_dir):
-    acts = actions(spark, sf_dir)
-    last = acts.filter("action = 'run_command'").groupBy("sid", "k").agg(F.max_by(F.when(F.col("error").isNotNull(), F.col("error")), F.when(F.col("error").isNotNull(), F.col("idx"))).alias("error"), F.max("idx").alias("at"))
-    return acts.filter("action = 'read_file'").select("sid", "idx", "k").join(last, ["sid", "k"], "left").select("sid", "idx", "error", "at")
-
-
 @query(
     "norm_orphan_backfill",
     f"""{A}, o AS (SELECT sid, idx, command, row_number() OVER (PARTITION BY sid, command ORDER BY idx) AS n FROM actions WHERE action = 'run_command' AND error IS NOT NULL),
@@ -171,6 +154,60 @@ def norm_pairing_exact(spark, sf_dir):
     return normalize.pair_calls(log)
 
 
+@query(
+    "norm_pairing_fallback",
+    f"""{A}, s AS (SELECT CAST(sid AS VARCHAR) AS sid, k, idx // 3 AS grp, idx % 3 AS place, idx % 3 = 0 AS first, 'tool' || (idx // 3) % 5 || '_' || idx // 3 AS tool, k % 5 AS how FROM actions),
+    c AS (SELECT sid, CAST(row_number() OVER (PARTITION BY sid ORDER BY grp, place) - 1 AS INTEGER) AS call, grp, place, grp * 100 + place AS line_no, tool, how FROM s)
+    SELECT sid, call, CAST(line_no AS INTEGER) AS line_no, CAST(CASE WHEN how < 3 THEN grp * 100 + 50 - place END AS INTEGER) AS end_no, how = 3 AS blocked FROM c""",
+)
+def norm_pairing_fallback(spark, sf_dir):
+    """Up to three calls of one tool start one after another and end in the opposite order: by their input, by another
+    input (so that the latest open call of the tool is meant), by a block, or not at all, which is told by what follows."""
+    acts = actions(spark, sf_dir)
+    group, place, how = F.floor(F.col("idx") / 3), F.col("idx") % 3, F.col("k") % 5
+    tool = F.concat(F.lit("tool"), group % 5, F.lit("_"), group)
+    # a call that stays open has a tool of its own, or the next end without its input would be taken for its own
+    tool = F.concat(tool, F.when(how == 4, F.concat(F.lit("_open"), place)).otherwise(""))
+    given = F.when(how == 1, F.lit('{"odd": 1}')).when(how == 2, F.lit(None).cast("string")).otherwise(F.to_json(F.struct(F.col("idx").alias("n"))))
+    begin = F.struct((group * 100 + place).alias("line_no"), F.lit("pre_tool_use").alias("event"), F.to_json(F.struct(F.col("idx").alias("n"))).alias("tool_input"))
+    end = F.struct((group * 100 + 50 - place).alias("line_no"), F.when(how == 3, "tool_blocked").otherwise("post_tool_use").alias("event"), given.alias("tool_input"))
+    log = acts.select(F.col("sid").cast("string").alias("sid"), tool.alias("tool"), F.inline(F.when(how == 4, F.array(begin)).otherwise(F.array(begin, end))))
+    return normalize.pair_calls(log.withColumn("line_no", F.col("line_no").cast("int")))
+
+
+_SAID = """said AS (SELECT conv_id, turn, left(text, 40) AS head, timestamp '2026-01-01' + to_days(CAST(conv_id AS INTEGER)) + to_minutes(CAST(10 * turn AS INTEGER)) AS at FROM conversations WHERE role = 'user' AND length(trim(left(text, 40), ' .…')) > 0)"""
+
+
+@query(
+    "norm_run_attribution",
+    f"""WITH {_SAID}, fits AS (SELECT r.conv_id, r.turn, s.turn AS of, abs(epoch_us(r.at) - epoch_us(s.at)) AS away FROM said r JOIN said s ON s.conv_id = r.conv_id AND starts_with(r.head, rtrim(s.head, '.… ')))
+    SELECT CAST(conv_id AS VARCHAR) AS sid, CAST(turn AS INTEGER) AS run, conv_id || '/' || turn || '/a' AS session FROM fits WHERE of = turn""",
+)
+def norm_run_attribution(spark, sf_dir):
+    """User turns as runs of logs, each with two sessions created a minute before and after it (the smaller id is taken),
+    and one of the same title in another directory; every other log has no directory."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user' and length(trim(BOTH ' .…' FROM left(text, 40))) > 0")
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2026-01-01 00:00:00").cast("timestamp")) + F.col("conv_id") * 86_400 + F.col("turn") * 600)
+    sid = F.col("conv_id").cast("string")
+    runs = said.select(sid.alias("sid"), F.col("turn").cast("int").alias("run"), F.col("text").alias("prompt"), at.alias("started_at"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("/w/"), sid)).alias("cwd"))
+    minute = F.expr("interval 1 minute")
+    three = F.array(*(F.struct(F.lit(n).alias("n"), t.alias("created_at"), F.lit(d).alias("of")) for n, t, d in (("a", at - minute, "/w/"), ("b", at + minute, "/w/"), ("0", at + F.expr("interval 30 days"), "/other/"))))
+    sessions = said.select("conv_id", "turn", "text", F.inline(three)).select(F.concat_ws("/", "conv_id", "turn", "n").alias("sid"), F.left("text", F.lit(40)).alias("title"), F.concat("of", "conv_id").alias("cwd"), "created_at", F.col("created_at").alias("modified_at"))
+    return normalize.attribute_runs(runs, sessions)
+
+
+@query(
+    "norm_bags",
+    f"""{A}, o AS (SELECT sid, tool, error, count(*) AS a FROM actions WHERE turn % 2 = 1 GROUP BY ALL), h AS (SELECT sid, tool, error, count(*) AS b FROM actions WHERE turn % 2 = 0 GROUP BY ALL)
+    SELECT coalesce(o.sid, h.sid) AS sid, coalesce(o.tool, h.tool) AS tool, coalesce(o.error, h.error) AS error, least(coalesce(a, 0), coalesce(b, 0)) AS common, greatest(coalesce(a, 0) - coalesce(b, 0), 0) AS only_first, greatest(coalesce(b, 0) - coalesce(a, 0), 0) AS only_second
+    FROM o FULL JOIN h ON o.sid = h.sid AND o.tool = h.tool AND o.error IS NOT DISTINCT FROM h.error""",
+)
+def norm_bags(spark, sf_dir):
+    """Odd and even turns of a session as bags of tools and errors."""
+    acts = actions(spark, sf_dir)
+    return normalize.bag_differences(acts.filter("turn % 2 = 1"), acts.filter("turn % 2 = 0"), ["sid", "tool", "error"])
+
+
 @query("norm_pairing")
 def norm_pairing(spark, sf_dir):
     return normalize.pair_calls(_log(spark, sf_dir))

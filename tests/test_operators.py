@@ -109,3 +109,28 @@ def test_validators(spark):
 def test_views(spark):
     sessions = spark.createDataFrame([("abc1",), ("abd2",)], "sid string")
     assert views.by_prefix(sessions, "abc").collect()[0].sid == "abc1" and views.by_prefix(sessions, "ab").count() == 0
+
+
+def test_runs_meet_sessions_without_products(spark):
+    from pyspark.sql import functions as F
+
+    from sparktrail.operators import normalize
+
+
+    runs = spark.createDataFrame([("a", 1, "fix the bug now", "10:00:00", "/w"), ("a", 2, "fix the bug now", "10:30:00", "/w"), ("a", 3, "", "10:40:00", "/w"), ("b", 1, "write docs", "23:58:00", None), ("c", 1, "no time known", None, None)], "sid string, run int, prompt string, t string, cwd string")
+    runs = runs.withColumn("started_at", F.try_to_timestamp(F.concat(F.lit("2026-01-01 "), "t"))).drop("t")
+    sessions = spark.createDataFrame(
+        [("s1", "fix the bug…", "/w", "2026-01-01 10:20:00"), ("s2", "fix the", "/w", "2026-01-01 10:20:00"), ("s3", "fix the bug now", "/other", "2026-01-01 10:00:00"), ("s4", "write", "/x", "2026-01-02 00:02:00"), ("s5", "write", "/x", "2026-01-02 00:04:00"), ("s6", "no time", "/x", "2020-01-01 00:00:00"), ("s7", "...", "/w", "2026-01-01 10:00:00"), ("s8", "no time", "/x", None)],
+        "sid string, title string, cwd string, c string",
+    ).select("sid", "title", "cwd", F.try_to_timestamp("c").alias("created_at"), F.try_to_timestamp("c").alias("modified_at"))
+    got = normalize.attribute_runs(runs, sessions)
+    assert {(r.sid, r.run, r.session) for r in got.collect()} == {("a", 1, "s1"), ("a", 2, "s2"), ("a", 3, None), ("b", 1, "s4"), ("c", 1, "s6")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_bags(spark):
+    from sparktrail.operators import normalize
+
+    one, two = (spark.createDataFrame([(x,) for x in rows], "t string") for rows in (["a", "a", "b", None], ["a", "c", None, None]))
+    assert {(r.t, r.common, r.only_first, r.only_second) for r in normalize.bag_differences(one, two, ["t"]).collect()} == {("a", 1, 1, 0), ("b", 0, 1, 0), ("c", 0, 0, 1), (None, 1, 0, 1)}
