@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.functions.vocabulary import SCORING
 from sparktrail.operators import efficiency, graph, rules, spans, stats, views
-from sparktrail.sources import hooks, normalized, official
+from sparktrail.sources import cache, hooks, normalized, official
 
 
 def load(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -59,9 +59,11 @@ def _efficiency(spark: SparkSession, acts: DataFrame, args: argparse.Namespace)
     segments = turns.groupBy("sid").agg(F.lit(1).alias("seg"), F.min("turn").alias("start"), F.max("turn").alias("stop"))
     own = acts.withColumn("seg", F.lit(1))
     rewrites, failures = efficiency.multi_writes(own), efficiency.failure_groups(own)
-    none = segments.select("sid", "seg", F.array().cast("array<int>").alias("members")).limit(0)
-    graded = efficiency.grades(segments, turns, none, rewrites, efficiency.stuck_turns(turns, segments), failures)
-    return efficiency.report(turns, segments, graded, rewrites, failures)
+    commands = own.filter("action = 'run_command'")
+    said = cache.texts(commands).filter(F.col("dim").isin("command", "purpose", "reasoning"))
+    repeated = efficiency.duplicate_text_clusters(commands, said, cache.encoded(said.select("dim", "sha1", "text").dropDuplicates(["dim", "sha1"])))
+    graded = efficiency.grades(segments, turns, repeated, rewrites, efficiency.stuck_turns(turns, segments), failures)
+    return efficiency.report(turns, segments, graded, rewrites, failures, repeated)
 
 
 WHAT = {

@@ -96,28 +96,40 @@ CHUNK = 1024
 _DIMS = ("command", "purpose", "reasoning")
 
 
+_WHY = ("", "command_strong", "purpose_strong", "reasoning_strong", "combined_pr", "combined_cp")
+
+
+def _votes(left: pd.DataFrame, right: pd.DataFrame, bars: dict) -> np.ndarray:
+    """The number of the reason (in _WHY) why each row of one side and each of the other count as duplicates; 0 for none."""
+    sims = {}
+    for dim in _DIMS:
+        sims[dim] = np.zeros((len(left), len(right)))
+        one, two = left[dim].notna().to_numpy(), right[dim].notna().to_numpy()
+        if one.any() and two.any():
+            x, y = (np.stack(side[dim][has].to_numpy()).astype(np.float64) for side, has in ((left, one), (right, two)))
+            x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
+            sims[dim][np.ix_(one, two)] = x @ y.T
+    c, p, r = (sims[d] for d in _DIMS)
+    both = bars["combined_min"]
+    ways = [c > bars["command_strong"], p > bars["purpose_strong"], r > bars["reasoning_strong"], (p > both) & (r > both), (c > both) & (p > both)]
+    return np.select(ways, range(1, 6))
+
+
+def _plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """Ids and reasons as objects: an empty column would be one of floats, which becomes no column of strings."""
+    return frame.astype({"sid": object, "reason": object})
+
+
 def _similar(bars: dict) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """Pairs of two chunks of a segment's commands with the reason why they count as duplicates; the vote in arrays."""
 
     def similar(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["left"]], rows[rows["right"]]
-        sims = {}
-        for dim in _DIMS:
-            sims[dim] = np.zeros((len(left), len(right)))
-            one, two = left[dim].notna().to_numpy(), right[dim].notna().to_numpy()
-            if one.any() and two.any():
-                x, y = (np.stack(side[dim][has].to_numpy()).astype(np.float64) for side, has in ((left, one), (right, two)))
-                x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
-                sims[dim][np.ix_(one, two)] = x @ y.T
-        c, p, r = (sims[d] for d in _DIMS)
-        both = bars["combined_min"]
-        ways = [c > bars["command_strong"], p > bars["purpose_strong"], r > bars["reasoning_strong"], (p > both) & (r > both), (c > both) & (p > both)]
-        why = np.select(ways, range(1, 6))
+        why = _votes(left, right, bars)
         first, second = left["idx"].to_numpy(), right["idx"].to_numpy()
         i, j = np.nonzero(why * (first[:, None] < second[None, :] if key[2] == key[3] else first[:, None] != second[None, :]))
         a, b = first[i], second[j]
-        names = np.array(["", "command_strong", "purpose_strong", "reasoning_strong", "combined_pr", "combined_cp"], object)
-        return pd.DataFrame({"sid": [key[0]] * len(i), "seg": [key[1]] * len(i), "idx1": np.minimum(a, b), "idx2": np.maximum(a, b), "reason": names[why[i, j]]})
+        return _plain(pd.DataFrame({"sid": [key[0]] * len(i), "seg": [key[1]] * len(i), "idx1": np.minimum(a, b), "idx2": np.maximum(a, b), "reason": np.array(_WHY, object)[why[i, j]]}))
 
     return similar
 
@@ -139,38 +151,109 @@ def duplicate_pairs(commands: DataFrame, vectors: DataFrame, sibling_pairs: Data
     return out if sibling_pairs is None else out.join(sibling_pairs, ["sid", "idx1", "idx2"], "left_anti").select(*schema.names)
 
 
-def duplicate_text_pairs(commands: DataFrame, texts: DataFrame, vectors: DataFrame, bars: dict = VOTE) -> DataFrame:
-    """As duplicate_pairs, from texts (sid, idx, dim, sha1) and a vector for each (dim, sha1): two texts are compared once, however many actions have them."""
-    dims = ("command", "purpose", "reasoning")
-    by_dim = texts.groupBy("sid", "idx").pivot("dim", list(dims)).agg(F.first("sha1"))
-    own = commands.select("sid", "seg", "idx").join(by_dim, ["sid", "idx"])
-    one, two = own.alias("x"), own.alias("y")
-    pairs = one.join(two, (F.col("x.sid") == F.col("y.sid")) & (F.col("x.seg") == F.col("y.seg")) & (F.col("x.idx") < F.col("y.idx")))
-    ends = lambda d: (F.least(f"x.{d}", f"y.{d}").alias(f"{d}_a"), F.greatest(f"x.{d}", f"y.{d}").alias(f"{d}_b"), (F.col(f"x.{d}").isNotNull() & F.col(f"y.{d}").isNotNull()).alias(f"{d}_both"))
-    pairs = pairs.select(F.col("x.sid").alias("sid"), F.col("x.seg").alias("seg"), F.col("x.idx").alias("idx1"), F.col("y.idx").alias("idx2"), *(c for d in dims for c in ends(d)))
-    out = pairs
-    for d in dims:
-        text = vectors.filter(F.col("dim") == d)
-        met = pairs.filter(f"{d}_both").select(f"{d}_a", f"{d}_b").distinct()
-        met = met.join(text.select(F.col("sha1").alias(f"{d}_a"), F.col("vector").alias("_u")), f"{d}_a").join(text.select(F.col("sha1").alias(f"{d}_b"), F.col("vector").alias("_v")), f"{d}_b")
-        alike = met.select(F.col(f"{d}_a").alias("_a"), F.col(f"{d}_b").alias("_b"), cosine("_u", "_v").alias(d))
-        out = out.join(alike, (F.col(f"{d}_a") == F.col("_a")) & (F.col(f"{d}_b") == F.col("_b")) & F.col(f"{d}_both"), "left").drop("_a", "_b")
-    return out.withColumn("reason", vote(F.col("command"), F.col("purpose"), F.col("reasoning"), bars)).filter("reason is not null").select("sid", "seg", "idx1", "idx2", "reason")
-
-
-def duplicate_clusters(pairs: DataFrame) -> DataFrame:
-    """(sid, seg, members, dominant_reason) of each group of duplicates; the reason seen first wins among equals."""
-    pairs = written(pairs)  # looked at several times
-    node = lambda c: F.struct("sid", "seg", F.col(c).alias("idx"))
-    groups = connected(pairs.select(node("idx1").alias("a"), node("idx2").alias("b")))
-    members = groups.groupBy("component").agg(F.array_sort(F.collect_list("id.idx")).alias("members"))
-    order = F.struct("idx1", "idx2")
-    counted = pairs.withColumn("id", node("idx1")).join(groups, "id").groupBy("component", "reason").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+def _grouped(bars: dict) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Links of two chunks of a segment's classes: for each class an edge to the first of its group, and for each class
+    and reason the pairs of members that count as duplicates, with the first of them."""
+
+    def grouped(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["left"]].sort_values("rep", ignore_index=True), rows[rows["right"]].sort_values("rep", ignore_index=True)
+        within = key[2] == key[3]
+        why = _votes(left, right, bars)
+        reps, others = left["rep"].to_numpy(), right["rep"].to_numpy()
+        one, two = left["n"].to_numpy(), right["n"].to_numpy()
+        if within:  # each pair once; members of one class with each other below
+            why = np.where(reps[:, None] < others[None, :], why, 0)
+        apart = left["apart"].map(lambda x: x is not None and len(x) > 0).to_numpy()
+        for i in np.flatnonzero(apart):
+            why[i, np.isin(others, left["apart"].iloc[i])] = 0
+        i, j = np.nonzero(why)
+        out = pd.DataFrame({"rep": reps[i], "to": others[j], "why": why[i, j], "n": one[i] * two[j]})
+        out["a"], out["b"] = np.minimum(out["rep"], out["to"]), np.maximum(out["rep"], out["to"])
+        counts = [out.sort_values(["a", "b"]).groupby(["rep", "why"], as_index=False).agg(n=("n", "sum"), a=("a", "first"), b=("b", "first"))]
+        if within:
+            own = np.diagonal(_votes(left, left, bars)) * (one > 1)
+            some = np.flatnonzero(own)
+            counts.append(pd.DataFrame({"rep": reps[some], "why": own[some], "n": one[some] * (one[some] - 1) // 2, "a": reps[some], "b": left["second"].to_numpy()[some].astype(np.int64)}))
+        counts = pd.concat(counts)
+        heads = _heads(out["rep"].to_numpy(), out["to"].to_numpy())
+        edges = pd.DataFrame({"rep": list(heads), "to": list(heads.values())}, dtype=np.int64)
+        both = pd.concat([counts.assign(to=counts["rep"]), edges.assign(why=0, n=0, a=0, b=0)])
+        told = {"sid": [key[0]] * len(both), "seg": [key[1]] * len(both)} | {c: both[c].to_numpy() for c in ("rep", "to")} | {"reason": np.array(_WHY, object)[both["why"].to_numpy(int)]} | {c: both[c].to_numpy() for c in ("n", "a", "b")}
+        return _plain(pd.DataFrame(told))
+
+    return grouped
+
+
+def _heads(one: np.ndarray, two: np.ndarray) -> dict[int, int]:
+    """For each vertex of some links the smallest one it can reach over them."""
+    names, at = np.unique(np.concatenate((one, two)), return_inverse=True)
+    x, y, head = at[: len(one)], at[len(one) :], np.arange(len(names))
+    while len(x):
+        before = head.copy()
+        np.minimum.at(head, x, head[y])
+        np.minimum.at(head, y, head[x])
+        head = head[head]
+        if (head == before).all():
+            break
+    return dict(zip(names.tolist(), names[head].tolist(), strict=True))
+
+
+def _clusters(classes: DataFrame, bars: dict, chunk: int) -> DataFrame:
+    """Clusters from classes of equal commands (sid, seg, rep, n, second, members, apart, a vector for each dimension)."""
+    classes = written(classes)
+    sizes = classes.groupBy("sid", "seg").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    own = classes.drop("members").join(sizes, ["sid", "seg"]).withColumn("me", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    tasks = own.select("sid", "seg", "rep", "n", "second", "apart", *_DIMS, F.least("me", "other").alias("ca"), F.greatest("me", "other").alias("cb"), (F.col("me") <= F.col("other")).alias("left"), (F.col("me") >= F.col("other")).alias("right"))
+    kinds = {f.name: f.dataType for f in classes.schema.fields}
+    schema = T.StructType([T.StructField("sid", kinds["sid"]), T.StructField("seg", kinds["seg"]), T.StructField("rep", T.LongType()), T.StructField("to", T.LongType()), T.StructField("reason", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n", "a", "b"))])
+    found = written(tasks.groupBy("sid", "seg", "ca", "cb").applyInPandas(_grouped(bars), schema))
+    node = lambda c: F.struct("sid", "seg", F.col(c).alias("rep"))
+    groups = connected(found.select(node("rep").alias("a"), node("to").alias("b")))
+    counted = found.filter("n > 0").withColumn("id", node("rep")).join(groups, "id").groupBy("component", "reason").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b")).alias("first"))
     top = Window.partitionBy("component").orderBy(F.col("n").desc(), "first")
     dominant = counted.withColumn("r", F.row_number().over(top)).filter("r = 1").select("component", F.col("reason").alias("dominant_reason"))
+    members = classes.select(node("rep").alias("id"), "members").join(groups, "id").groupBy("component").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
     return members.join(dominant, "component").select("component.sid", "component.seg", "members", "dominant_reason")
 
 
+def _classes(commands: DataFrame, key: list[Column], sibling_pairs: DataFrame | None) -> DataFrame:
+    """Commands (sid, seg, idx) with equal keys as one class; those with siblings are classes of their own."""
+    own = commands
+    if sibling_pairs is not None:
+        both = sibling_pairs.select("sid", F.col("idx1").alias("idx"), F.col("idx2").alias("of")).unionByName(sibling_pairs.select("sid", F.col("idx2").alias("idx"), F.col("idx1").alias("of")))
+        own = own.join(both.groupBy("sid", "idx").agg(F.collect_set(F.col("of").cast("long")).alias("apart")), ["sid", "idx"], "left")
+    else:
+        own = own.withColumn("apart", F.lit(None).cast("array<long>"))
+    own = own.withColumn("key", F.struct(*key, F.when(F.col("apart").isNotNull(), F.col("idx")).alias("alone")))
+    kept = [F.first(c).alias(c) for c in own.columns if c not in ("sid", "seg", "idx", "key", "apart")]
+    out = own.groupBy("sid", "seg", "key").agg(F.min("idx").cast("long").alias("rep"), F.count("*").alias("n"), F.array_sort(F.collect_list("idx")).alias("members"), F.first("apart").alias("apart"), *kept)
+    return out.withColumn("second", F.coalesce(F.get("members", F.lit(1)).cast("long"), F.col("rep"))).drop("key")
+
+
+def duplicate_clusters(commands: DataFrame, vectors: DataFrame, sibling_pairs: DataFrame | None = None, bars: dict = VOTE, chunk: int = CHUNK) -> DataFrame:
+    """(sid, seg, members, dominant_reason): groups of commands (sid, seg, idx) of a segment linked as duplicates by their
+    vectors (sid, idx, dim, vector). The reason of most pairs is dominant; among equals the one of the first pair.
+
+    Commands with equal vectors are one class, and two chunks of classes give one edge for each class and one count for
+    each class and reason, so a segment of equal commands takes time and room in proportion; pairs are never written.
+    """
+    by_dim = vectors.groupBy("sid", "idx").pivot("dim", list(_DIMS)).agg(F.first("vector"))
+    own = commands.select("sid", "seg", "idx").join(by_dim, ["sid", "idx"])
+    key = [F.xxhash64(F.lit(salt), F.col(d)).alias(f"{d}{salt}") for d in _DIMS for salt in (0, 1)]  # 128 bits a vector
+    return _clusters(_classes(own, key, sibling_pairs), bars, chunk)
+
+
+def duplicate_text_clusters(commands: DataFrame, texts: DataFrame, vectors: DataFrame, sibling_pairs: DataFrame | None = None, bars: dict = VOTE, chunk: int = CHUNK) -> DataFrame:
+    """As duplicate_clusters, from texts (sid, idx, dim, sha1) and a vector for each (dim, sha1): commands of equal texts
+    are one class before any vector is looked up."""
+    by_dim = texts.groupBy("sid", "idx").pivot("dim", list(_DIMS)).agg(F.first("sha1"))
+    classes = _classes(commands.select("sid", "seg", "idx").join(by_dim, ["sid", "idx"]), [F.col(d) for d in _DIMS], sibling_pairs)
+    for d in _DIMS:
+        of = vectors.filter(F.col("dim") == d).select(F.col("sha1").alias(d), F.col("vector").alias("_v"))
+        classes = classes.join(of, d, "left").drop(d).withColumnRenamed("_v", d)
+    return _clusters(classes, bars, chunk)
+
+
 def wasted_reads(actions: DataFrame, vectors: DataFrame | None = None, window: int = READ_WINDOW, least: int = READ_NAME, alike: float = READ_ALIKE) -> DataFrame:
     """(sid, seg, idx, path, max_sim) of reads whose file no later action of the next ``window`` names or resembles."""
     said = F.concat_ws(" ", blank("command"), blank("path"), blank("purpose"), blank("reasoning"))

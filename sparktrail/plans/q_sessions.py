@@ -129,7 +129,8 @@ def eff_sibling_anti(spark, sf_dir):
     SELECT seg, array_to_string(list_sort(list(DISTINCT id)), ',') AS members, 'command_strong' AS dominant_reason FROM (SELECT seg, id, min(r) AS c FROM reach GROUP BY seg, id) GROUP BY seg, c""",
 )
 def eff_clusters(spark, sf_dir):
-    return efficiency.duplicate_clusters(_pairs(spark, sf_dir)).select("seg", F.array_join("members", ",").alias("members"), "dominant_reason")
+    own = _vectors(spark, sf_dir)
+    return efficiency.duplicate_clusters(own, own.drop("seg"), bars=_ALIKE).select("seg", F.array_join("members", ",").alias("members"), "dominant_reason")
 
 
 @query(
@@ -184,15 +185,26 @@ def _clusters(acts: DataFrame) -> DataFrame:
     """Commands of a segment that do the same, by the hashed counts of their texts; the stand-in has no thoughts, so no siblings."""
     commands = acts.filter("action = 'run_command'")
     said = cache.texts(commands).filter(F.col("dim").isin("command", "purpose", "reasoning"))
-    return efficiency.duplicate_clusters(efficiency.duplicate_text_pairs(commands, said, cache.encoded(said.select("dim", "sha1", "text").dropDuplicates(["dim", "sha1"]))))
+    return efficiency.duplicate_text_clusters(commands, said, cache.encoded(said.select("dim", "sha1", "text").dropDuplicates(["dim", "sha1"])))
 
 
-@query("eff_grade_clusters")
+@query(
+    "eff_grade_clusters",
+    f"""{TURNS_SQL}, {_FAIL}, mw AS (SELECT sid, seg, path, count(*) AS n, min(turn) = max(turn) AS one FROM actions WHERE action = 'modify_file' GROUP BY sid, seg, path HAVING count(*) >= 2),
+    same AS (SELECT sid, seg, count(*) AS clusters FROM (SELECT sid, seg, k % 7 FROM actions WHERE action = 'run_command' GROUP BY sid, seg, k % 7 HAVING count(*) >= 3) GROUP BY sid, seg),
+    x AS (SELECT s.sid, s.seg, (SELECT max(t.credits / tt.total) FROM turns t JOIN (SELECT sid, sum(credits) AS total FROM turns GROUP BY sid) tt USING (sid) WHERE t.sid = s.sid AND t.turn BETWEEN s.start AND s.stop) AS share,
+      (SELECT count(*) FROM mw WHERE mw.sid = s.sid AND mw.seg = s.seg AND one AND n >= 3) AS thrash, (SELECT count(*) FROM mw WHERE mw.sid = s.sid AND mw.seg = s.seg AND n >= 5) AS heavy,
+      (SELECT count(*) FROM fails f WHERE f.sid = s.sid AND f.seg = s.seg) AS fails, (SELECT count(*) FROM turns t WHERE t.sid = s.sid AND t.turn BETWEEN s.start AND s.stop AND cycles > 12) AS stuck,
+      coalesce((SELECT clusters FROM same WHERE same.sid = s.sid AND same.seg = s.seg), 0) AS clusters FROM segments s)
+    SELECT sid, seg, clusters, CASE WHEN share >= 0.25 OR thrash >= 1 OR fails >= 1 OR heavy >= 2 THEN 'D' WHEN share >= 0.15 OR clusters >= 2 OR heavy >= 1 OR stuck >= 2 THEN 'C' WHEN share >= 0.10 OR clusters >= 1 OR stuck >= 1 THEN 'B' ELSE 'A' END AS grade FROM x""",
+)
 def eff_grade_clusters(spark, sf_dir):
-    """Grades with all their inputs; the SQL of eff_grade knows no duplicate work."""
+    """Grades with all their inputs; commands are alike where their numbers are equal modulo seven."""
     acts = _acts(spark, sf_dir)
-    turns, segments = _turns(acts), _segments(acts)
-    return efficiency.grades(segments, turns, _clusters(acts), efficiency.multi_writes(acts), efficiency.stuck_turns(turns, segments, 12), efficiency.failure_groups(acts)).select("sid", "seg", "clusters", "grade")
+    turns, segments, commands = _turns(acts), _segments(acts), acts.filter("action = 'run_command'")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: (i == F.col("k") % 7).cast("double"))
+    clusters = efficiency.duplicate_clusters(commands, commands.select("sid", "idx", F.lit("command").alias("dim"), vector.alias("vector")))
+    return efficiency.grades(segments, turns, clusters, efficiency.multi_writes(acts), efficiency.stuck_turns(turns, segments, 12), efficiency.failure_groups(acts)).select("sid", "seg", "clusters", "grade")
 
 
 @query("eff_report")

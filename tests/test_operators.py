@@ -2,9 +2,11 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sparktrail.operators import efficiency, evidence, goal, graph, links, spans, stats, validators, views
+from sparktrail.operators import efficiency, evidence, goal, graph, links, normalize, spans, stats, validators, views
 
 
 def test_duplicate_vote(spark):
@@ -112,10 +114,6 @@ def test_views(spark):
 
 
 def test_runs_meet_sessions_without_products(spark):
-    from pyspark.sql import functions as F
-
-    from sparktrail.operators import normalize
-
 
     runs = spark.createDataFrame([("a", 1, "fix the bug now", "10:00:00", "/w"), ("a", 2, "fix the bug now", "10:30:00", "/w"), ("a", 3, "", "10:40:00", "/w"), ("b", 1, "write docs", "23:58:00", None), ("c", 1, "no time known", None, None)], "sid string, run int, prompt string, t string, cwd string")
     runs = runs.withColumn("started_at", F.try_to_timestamp(F.concat(F.lit("2026-01-01 "), "t"))).drop("t")
@@ -130,7 +128,55 @@ def test_runs_meet_sessions_without_products(spark):
 
 
 def test_bags(spark):
-    from sparktrail.operators import normalize
-
     one, two = (spark.createDataFrame([(x,) for x in rows], "t string") for rows in (["a", "a", "b", None], ["a", "c", None, None]))
     assert {(r.t, r.common, r.only_first, r.only_second) for r in normalize.bag_differences(one, two, ["t"]).collect()} == {("a", 1, 1, 0), ("b", 0, 1, 0), ("c", 0, 0, 1), (None, 1, 0, 1)}
+
+
+def _plain_clusters(rows, vectors, apart, bars):
+    """Clusters by comparing all pairs: rows of (sid, seg, idx), vectors by (idx, dim)."""
+    def alike(i, j, dim):
+        x, y = vectors.get((i, dim)), vectors.get((j, dim))
+        return 0.0 if x is None or y is None or not np.any(x) or not np.any(y) else float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+
+    pairs, head = [], {i: i for _, _, i in rows}
+
+    def find(i):
+        return i if head[i] == i else find(head[i])
+
+    for s, g, i in rows:
+        for s2, g2, j in rows:
+            if (s, g) == (s2, g2) and i < j and (i, j) not in apart:
+                c, p, r = (alike(i, j, d) for d in ("command", "purpose", "reasoning"))
+                both = bars["combined_min"]
+                why = "command_strong" if c > bars["command_strong"] else "purpose_strong" if p > bars["purpose_strong"] else "reasoning_strong" if r > bars["reasoning_strong"] else "combined_pr" if p > both and r > both else "combined_cp" if c > both and p > both else None
+                if why:
+                    pairs.append((i, j, why))
+                    a, b = sorted((find(i), find(j)))
+                    head[b] = a
+    out = {}
+    for i, j, why in sorted(pairs):
+        out.setdefault(find(i), []).append(why)
+    groups = {h: sorted(i for i in head if find(i) == h) for h in out}
+    return sorted((groups[h], max(dict.fromkeys(whys), key=lambda w: (whys.count(w), -whys.index(w)))) for h, whys in out.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_clusters_equal_those_of_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(6, 4))
+    rows = [("s", int(i % 2), i) for i in range(80)]
+    vectors = {(i, d): (base[rng.integers(6)] + rng.choice([0, 0.05, 0.4]) * rng.normal(size=4)).round(2) for _, _, i in rows for d in ("command", "purpose", "reasoning") if rng.random() < 0.7}
+    apart = {tuple(sorted(map(int, rng.choice(80, 2, replace=False)))) for _ in range(60)}
+    vecs = spark.createDataFrame([("s", i, d, v.tolist()) for (i, d), v in vectors.items()], "sid string, idx int, dim string, vector array<double>")
+    commands = spark.createDataFrame([r for r in rows if any((r[2], d) in vectors for d in ("command", "purpose", "reasoning"))], "sid string, seg int, idx int")
+    pairs = spark.createDataFrame([("s", *p) for p in apart], "sid string, idx1 int, idx2 int")
+    got = efficiency.duplicate_clusters(commands, vecs, pairs, chunk=7).collect()
+    assert sorted((list(r.members), r.dominant_reason) for r in got) == _plain_clusters(rows, vectors, apart, efficiency.VOTE)
+
+
+def test_many_equal_commands_make_one_class(spark):
+    n = 30_000
+    commands = spark.range(n).select(F.lit("s").alias("sid"), F.lit(1).alias("seg"), F.col("id").cast("int").alias("idx"))
+    vectors = commands.select("sid", "idx", F.lit("command").alias("dim"), F.array(F.lit(1.0), (F.col("idx") % 3).cast("double")).alias("vector"))
+    got = efficiency.duplicate_clusters(commands, vectors, bars=efficiency.VOTE | {"command_strong": 0.99}).collect()
+    assert sorted(len(r.members) for r in got) == [n // 3] * 3
