@@ -174,6 +174,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def tables_since(n: int | None = None) -> int | list[str]:
+    """How many tables have been written to the shared folder; with such a number, the paths of those written since."""
+    return len(_written) if n is None else [path for _, path in _written[n:]]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
