@@ -33,6 +33,25 @@ def run_tree(sessions: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame
     return out.groupBy("root", "sid").agg(F.min("depth").alias("depth"))
 
 
+def tree_actions(actions: DataFrame, sessions: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """The actions of every root's tree in one order: (root, place from 0, depth, and the columns of ``actions``).
+
+    Sessions come level by level, those of a level in the order of their parents and then of their ids, each with its
+    actions in their order; a session that can be reached twice counts where it is met first. A session's place among the
+    others is told by the ids on its way from the root, so no tree is gathered to walk it.
+    """
+    links = sessions.filter("parent is not null").select(F.col("parent").alias("_p"), F.col("sid").alias("_c"))
+    level = roots.select(F.col("sid").alias("root"), "sid", F.array("sid").alias("way"))
+    met = level
+    for _ in range(depth):
+        level = level.join(links, F.col("sid") == F.col("_p")).select("root", F.col("_c").alias("sid"), F.concat("way", F.array("_c")).alias("way"))
+        met = met.unionByName(level)
+    first = met.groupBy("root", "sid").agg(F.min(F.struct(F.size("way").alias("n"), "way")).alias("w"))
+    both = first.join(actions, "sid")
+    place = F.row_number().over(Window.partitionBy("root").orderBy("w.n", "w.way", "idx")) - 1
+    return both.select("root", place.alias("place"), (F.col("w.n") - 1).alias("depth"), *actions.columns)
+
+
 def time_windows(tree: DataFrame, sessions: DataFrame) -> DataFrame:
     """(root, lower, upper): from the first creation to the last change in a tree."""
     return tree.join(sessions.select("sid", "created_at", "modified_at"), "sid").groupBy("root").agg(F.min("created_at").alias("lower"), F.max("modified_at").alias("upper"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrail.functions.text import basename, filled
+from sparktrail.functions.text import basename, blank, filled
 from sparktrail.functions.vocabulary import WRITES_EVIDENCE
 from sparktrail.operators.evidence import _anchor_frequencies, _found, _ranked, anchor_frequencies, words_only
 
@@ -93,9 +93,58 @@ def written_names(actions: DataFrame, n: int = 30) -> DataFrame:
     return few.select("sid", F.col("w.name").alias("names"))
 
 
-def uncited(findings: DataFrame, packs: DataFrame) -> DataFrame:
-    """Evidence (req_id, ref) that findings cite and their pack does not have: there must be none."""
-    return findings.select("req_id", F.explode("evidence_actions").alias("ref")).join(packs.select("req_id", "ref"), ["req_id", "ref"], "left_anti")
+#: Characters of a target, a purpose and a claim in a pack, and how many files, near actions and claims it lists.
+PACK = {"target": 150, "near": 110, "purpose": 120, "files": 6, "nearby": 8, "claims": 40}
+
+
+def evidence_lines(requirements: DataFrame, hits: DataFrame, by: list[str], files: DataFrame | None = None, nearby: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """(``by``, req, part, place, line, ref): what there is to go by for each requirement of a run, a line at a time.
+
+    ``requirements`` has (id, text, origin_turn, verifiable_by, status, strength, expect), ``hits`` (req_id, ord, kind: hard
+    or candidate, ref, action, target, purpose, before), ``files`` (req_id, ord, path, strength), ``nearby`` (req_id, ord,
+    ref, action, target), ``claims`` (id, kind, text). ``req`` orders requirements, ``part`` the kinds of their lines; claims
+    come last. A line that shows an action has its reference, so that it can be cited.
+    """
+    cut = lambda c, n: F.left(blank(c), F.lit(n))
+    none = F.lit(None).cast("string")
+    out = lambda df, req, part, place, line, ref=none: df.select(*by, req.cast("string").alias("req"), F.lit(part).alias("part"), place.cast("long").alias("place"), line.alias("line"), ref.alias("ref"))
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else blank(p.cast("string")) for p in parts))
+    c, zero = F.col, F.lit(0)
+    head = said("--- ", c("id"), " ", c("text"), "\n  (turn ", c("origin_turn"), ", ", c("verifiable_by"), ", ", c("status"), ", ", c("strength"), ")\n  expect: ", c("expect"))
+    lines = out(requirements, c("id"), 0, zero, head)
+    kind = F.when(c("kind") == "hard", F.when(c("before"), "    [hit before the request] ").otherwise("    [hit] ")).otherwise("    [candidate] ")
+    why = F.when(filled("purpose").isNotNull(), F.concat(F.lit("\n        purpose: "), cut("purpose", PACK["purpose"]))).otherwise("")
+    lines = lines.unionByName(out(hits.filter("kind = 'hard'"), c("req_id"), 1, c("ord"), F.concat(kind, said(c("ref"), " ", c("action"), " ", cut("target", PACK["target"])), why), c("ref")))
+    lines = lines.unionByName(out(hits.filter("kind <> 'hard'"), c("req_id"), 2, c("ord"), F.concat(kind, said(c("ref"), " ", c("action"), " ", cut("target", PACK["target"])), why), c("ref")))
+    few = lambda df, n: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "req_id").orderBy("ord"))).filter(c("_r") <= n)
+    if files is not None:
+        lines = lines.unionByName(out(few(files, PACK["files"]), c("req_id"), 3, c("ord"), said("    [file, ", c("strength"), "] ", c("path"))))
+    if nearby is not None:
+        lines = lines.unionByName(out(few(nearby, PACK["nearby"]), c("req_id"), 4, c("ord"), said("    [near] ", c("ref"), " ", c("action"), " ", cut("target", PACK["near"])), c("ref")))
+    if claims is not None:
+        first = claims.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(c("_r") <= PACK["claims"])
+        lines = lines.unionByName(out(first, none, 5, c("_r"), said("  claim ", c("id"), " [", c("kind"), "] ", cut("text", PACK["near"]))))
+    return lines
+
+
+def packs(lines: DataFrame, by: list[str], budget: int) -> tuple[DataFrame, DataFrame]:
+    """((``by``, text, shown, left_out), (``by``, req_id, ref)): one text for each run, and what may be cited from it.
+
+    Lines of ``evidence_lines`` are taken in their order as long as their lengths, line ends included, add up to at most
+    ``budget``; a running sum tells that, so the text that is gathered never exceeds it. Lines left out are counted.
+    """
+    order = Window.partitionBy(*by).orderBy(F.col("req").isNull(), "req", "part", "place", F.coalesce("ref", F.lit("")), "line")
+    sized = lines.withColumns({"_sum": F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(order)})
+    fits = F.col("_sum") <= budget
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(fits, F.struct("_n", "line")))), lambda x: x["line"]), "\n")
+    texts = sized.groupBy(*by).agg(text.alias("text"), F.count_if(fits).alias("shown"), F.count_if(~fits).alias("left_out"))
+    return texts, sized.filter(fits & F.col("ref").isNotNull()).select(*by, F.col("req").alias("req_id"), "ref").distinct()
+
+
+def uncited(findings: DataFrame, packs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence (req_id, ref, and the columns ``by`` of runs) that findings cite and their pack does not have."""
+    key = [*by, "req_id", "ref"]
+    return findings.select(*by, "req_id", F.explode("evidence_actions").alias("ref")).join(packs.select(*key), key, "left_anti")
 
 
 def aggregate(findings: DataFrame, requirements: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -518,6 +518,21 @@ def ev_run_tree(spark, sf_dir):
     return evidence.run_tree(sid.withColumn("parent", F.when((parent > 0) & (parent != F.col("sid")), parent)), sid)
 
 
+@query(
+    "ev_tree_actions",
+    f"""WITH RECURSIVE {A.strip().removeprefix("WITH")}, s AS (SELECT DISTINCT sid FROM actions), l AS (SELECT sid, sid // 3 AS parent FROM s WHERE sid // 3 > 0 AND sid // 3 <> sid),
+    t AS (SELECT sid AS root, sid, 0 AS depth, [sid] AS way FROM s UNION ALL SELECT t.root, l.sid, t.depth + 1, list_append(t.way, l.sid) FROM t JOIN l ON l.parent = t.sid WHERE t.depth < 3)
+    SELECT t.root, CAST(row_number() OVER (PARTITION BY t.root ORDER BY t.depth, t.way, a.idx) - 1 AS INTEGER) AS place, t.depth, a.sid, a.idx, a.action FROM t JOIN actions a ON a.sid = t.sid""",
+)
+def ev_tree_actions(spark, sf_dir):
+    """The actions of every session's tree in one order, level by level."""
+    acts = actions(spark, sf_dir).select("sid", "idx", "action")
+    sid = acts.select("sid").distinct()
+    parent = F.floor(F.col("sid") / 3).cast("long")
+    sessions = sid.withColumn("parent", F.when((parent > 0) & (parent != F.col("sid")), parent))
+    return evidence.tree_actions(acts, sessions, sid)
+
+
 #: Texts stand for actions, the words of six letters and more of a benchmark item for the anchors of a requirement.
 _ANCHORS_SQL = """a AS (SELECT item_id AS req_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS anchor FROM benchmark),
   pool AS (SELECT doc_id AS doc, doc_id AS idx, lower(text) AS text FROM documents)"""
@@ -649,6 +664,37 @@ def goal_candidates(spark, sf_dir):
     return goal.candidates(_anchors(spark, sf_dir), pool.filter(F.col("doc") % 2 == 0), pool, mode="count").select("req_id", "place", "doc", "in_scope", "before")
 
 
+_PACK_SQL = f"""{A}, r AS (SELECT sid, 'r' || lpad(CAST(seg AS VARCHAR), 4, '0') AS id, seg, min(turn) AS t FROM actions GROUP BY sid, seg),
+    l AS (SELECT sid, id AS req, 0 AS part, 0 AS place, '--- ' || id || ' do it' || chr(10) || '  (turn ' || t || ', action, active, strong)' || chr(10) || '  expect: done' AS line, NULL AS ref FROM r
+      UNION ALL SELECT sid, 'r' || lpad(CAST(seg AS VARCHAR), 4, '0'), CASE WHEN error IS NOT NULL THEN 1 ELSE 2 END, idx,
+        CASE WHEN error IS NULL THEN '    [candidate] ' WHEN k < 50 THEN '    [hit before the request] ' ELSE '    [hit] ' END || sid || '#' || idx || ' ' || action || ' ' || coalesce(command, path, '') || chr(10) || '        purpose: ' || purpose, sid || '#' || idx FROM actions WHERE action <> 'user_prompt'),
+    s AS (SELECT *, sum(length(line) + 1) OVER w AS total, row_number() OVER w AS n FROM l WINDOW w AS (PARTITION BY sid ORDER BY req, part, place, coalesce(ref, ''), line ROWS UNBOUNDED PRECEDING))"""
+
+
+def _pack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as requirements, their failed actions as hits of a hard check, the others as candidates."""
+    acts = _acts(spark, sf_dir)
+    name = F.concat(F.lit("r"), F.lpad(F.col("seg").cast("string"), 4, "0"))
+    asked = acts.groupBy("sid", "seg").agg(F.min("turn").alias("origin_turn")).select("sid", name.alias("id"), F.lit("do it").alias("text"), "origin_turn", F.lit("action").alias("verifiable_by"), F.lit("active").alias("status"), F.lit("strong").alias("strength"), F.lit("done").alias("expect"))
+    hits = acts.filter("action <> 'user_prompt'").select("sid", name.alias("req_id"), F.col("idx").alias("ord"), F.when(F.col("error").isNotNull(), "hard").otherwise("candidate").alias("kind"), F.concat_ws("#", "sid", "idx").alias("ref"), "action", F.coalesce("command", "path").alias("target"), "purpose", (F.col("k") < 50).alias("before"))
+    return goal.evidence_lines(asked, hits, ["sid"])
+
+
+@query("goal_packs", f"{_PACK_SQL} SELECT sid, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE total <= 2000) AS text, count(*) FILTER (WHERE total <= 2000) AS shown, count(*) FILTER (WHERE total > 2000) AS left_out FROM s GROUP BY sid")
+def goal_packs(spark, sf_dir):
+    """What there is to go by in each session, up to 2,000 characters."""
+    return goal.packs(_pack_lines(spark, sf_dir), ["sid"], 2000)[0]
+
+
+@query("goal_uncited", f"{_PACK_SQL}, cited AS (SELECT sid, 'r' || lpad(CAST(seg AS VARCHAR), 4, '0') AS req_id, sid || '#' || idx AS ref FROM actions WHERE k % 10 = 0) SELECT c.* FROM cited c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.sid = c.sid AND s.req = c.req_id AND s.ref = c.ref AND total <= 2000)")
+def goal_uncited(spark, sf_dir):
+    """Findings cite every tenth action; those that their session's pack does not show."""
+    acts = _acts(spark, sf_dir).filter("k % 10 = 0")
+    name = F.concat(F.lit("r"), F.lpad(F.col("seg").cast("string"), 4, "0"))
+    findings = acts.groupBy("sid", name.alias("req_id")).agg(F.collect_list(F.concat_ws("#", "sid", "idx")).alias("evidence_actions"))
+    return goal.uncited(findings, goal.packs(_pack_lines(spark, sf_dir), ["sid"], 2000)[1], ("sid",))
+
+
 @query(
     "goal_written_names",
     f"""{A}, w AS (SELECT sid, path, min(idx) AS f FROM actions WHERE action = 'modify_file' GROUP BY sid, path)
@@ -843,3 +889,35 @@ def val_claims(spark, sf_dir):
     quote = F.lag("text", 1, "!?").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = said.select("conv_id", F.col("turn").cast("string").alias("id"), "turn", F.when(F.col("turn") % 3 == 2, "odd").otherwise("did").alias("kind"), quote.alias("quote"))
     return validators.claims(rows, said.select("conv_id", "turn"), ["conv_id"]).select("conv_id", "turn", F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    "val_judgements",
+    f"""{A}, g AS (SELECT sid, seg, min(k) AS k FROM actions GROUP BY sid, seg)
+    SELECT sid, concat_ws(',', CASE WHEN gone THEN 'segments' END, CASE WHEN bad_grade THEN 'grades' END, CASE WHEN thin OR named THEN 'operations' END, CASE WHEN recs NOT BETWEEN 3 AND 8 THEN 'recommendations' END) AS problems
+    FROM (SELECT g.sid, bool_or(g.k % 5 = 0 AND NOT (g.seg = 2 AND g.k % 2 = 0)) AS bad_grade, bool_or(g.k % 7 = 0 AND NOT (g.seg = 2 AND g.k % 2 = 0)) AS thin, bool_or(g.k % 11 = 0 AND NOT (g.seg = 2 AND g.k % 2 = 0)) AS named, bool_or(g.seg = 2 AND g.k % 2 = 0) AS gone, max(g.seg) % 9 AS recs FROM g GROUP BY g.sid)
+    WHERE gone OR bad_grade OR thin OR named OR recs NOT BETWEEN 3 AND 8""",
+)
+def val_judgements(spark, sf_dir):
+    """Judgements of all sessions as documents: some leave a segment out, grade it by an unknown letter, tell too little of
+    an operation or name a segment by its number, or give too few recommendations."""
+    k = F.col("k")
+    segs = _acts(spark, sf_dir).groupBy("sid", "seg").agg(F.min("k").alias("k"))
+    op = F.concat(F.repeat(F.lit("words that tell of an operation "), F.when(k % 7 == 0, 1).otherwise(5)), F.lit("12 times, 34 lines"), F.when(k % 11 == 0, " in seg 2").otherwise(""))
+    one = F.struct("seg", F.when(k % 5 == 0, "E").otherwise("A").alias("grade"), F.lit("a reason").alias("reason"), F.array(op).alias("suspicious_ops"))
+    per = F.collect_list(F.when(~((F.col("seg") == 2) & (k % 2 == 0)), one))
+    recs = F.array_repeat(F.lit("do 1 thing"), (F.max("seg") % 9).cast("int"))
+    docs = segs.groupBy("sid").agg(F.parse_json(F.to_json(F.struct(F.lit("B").alias("global_grade"), F.lit("so").alias("global_reason"), per.alias("per_segment"), recs.alias("recommendations")))).alias("data"))
+    return validators.judgement_documents(docs, segs).select("sid", F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    "val_hard_checks",
+    f"""{A} SELECT sid, idx, CASE k % 6 WHEN 0 THEN 'hard_check' WHEN 1 THEN 'keys' WHEN 2 THEN 'values' WHEN 3 THEN 'artifact_glob' END AS problems FROM actions WHERE k % 6 < 4""",
+)
+def val_hard_checks(spark, sf_dir):
+    """A criterion for each action: no object, an unknown key, an empty value, braces in a glob, a good one, none."""
+    acts = _acts(spark, sf_dir)
+    texts = F.array(F.lit('"x"'), F.lit('{"shell": "x"}'), F.lit('{"read_path": []}'), F.lit('{"artifact_glob": ["a.py", "b.{c,d}"]}'), F.lit('{"read_path": "/w/a", "invoke_agent": ["x"]}'), F.lit(None).cast("string"))
+    rows = acts.select("sid", "idx", F.col("idx").alias("req_id"), F.parse_json(F.element_at(texts, (F.col("k") % 6 + 1).cast("int"))).alias("hard_check"))
+    return validators.hard_checks(rows, ["sid", "idx"]).select("sid", "idx", F.array_join("problems", ",").alias("problems"))

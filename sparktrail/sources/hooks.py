@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.functions.text import resolved_path
 from sparktrail.operators.normalize import ACTION_PARTS, canonical_tool, fan_out, pair_calls
+from sparktrail.sources.lines import numbered
 
 EVENT = "ts STRING, event STRING, session_id STRING, cwd STRING, agent_name STRING, prompt STRING, prompt_length INT, tool STRING, summary STRING, tool_input STRING, success BOOLEAN, response_size BIGINT, tool_response STRING, reason STRING, turn INT, response_length INT, response_preview STRING"
 
@@ -23,9 +24,7 @@ def list_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """(sid, line_no, event fields, bad): the events of all logs below a folder; ``bad`` marks lines that are not JSON."""
-    raw = spark.read.option("pathGlobFilter", "trace.jsonl").text(folder, wholetext=True, recursiveFileLookup=True)
-    split = raw.select(_sid(F.col("_metadata.file_path")).alias("sid"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line")).filter(F.trim("line") != "")
-    return parsed(split)
+    return parsed(numbered(spark, folder, "trace.jsonl", nested=True).filter(F.trim("line") != "").select(_sid(F.col("file")).alias("sid"), "line_no", "line"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Session records: ``<dir>/<sid>.json`` with a session's data and ``<dir>/<sid>.jsonl`` with its messages, in order.
 
-Files are read whole, since the order of lines carries the turns; a session is one file, so sessions spread over tasks.
+Session data is read whole, messages by line: a long file is read by several tasks, and lines keep their numbers.
 Everything that a record may lack is null; what cannot be parsed is left out and counted, never raised.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.functions.text import blank, filled
 from sparktrail.operators.normalize import ACTION_PARTS, canonical_tool, fan_out, text_of
+from sparktrail.sources.lines import numbered
 
 _META = """session_id STRING, cwd STRING, created_at STRING, updated_at STRING, title STRING, parent_session_id STRING, session_created_reason STRING,
 session_state STRUCT<agent_name: STRING, conversation_metadata: STRUCT<user_turn_metadatas: ARRAY<STRUCT<builtin_tool_uses: INT, total_request_count: INT, number_of_cycles: INT, end_reason: STRING, turn_duration: STRING,
@@ -27,12 +28,6 @@ def _files(spark: SparkSession, folder: str, ending: str) -> DataFrame:
     return raw.select(sid.alias("sid"), "value", F.col("_metadata.file_modification_time").alias("modified_at"))
 
 
-def lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(sid, line_no, line) of every line that is not blank."""
-    out = files.select("sid", *(keep or []), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
-    return out.filter(F.trim("line") != "")
-
-
 def read_sessions(spark: SparkSession, folder: str, cwd: str | None = None) -> DataFrame:
     """(sid, agent_name, cwd, created_at, updated_at, title, parent, reason, modified_at, turns): one row for each
     session that can be read, of one working directory if asked for."""
@@ -64,7 +59,8 @@ def turn_meta(sessions: DataFrame) -> DataFrame:
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """(sid, line_no, kind, data, turn): parsed lines with the running number of prompts; ``kind`` is null for bad lines."""
-    rec = lines(_files(spark, folder, ".jsonl")).withColumn("v", F.try_parse_json("line"))
+    sid = F.regexp_extract("file", r"([^/]*)\.jsonl$", 1)
+    rec = numbered(spark, folder, "*.jsonl").filter(F.trim("line") != "").select(sid.alias("sid"), "line_no", F.try_parse_json("line").alias("v"))
     kind = F.try_variant_get("v", "$.kind", "string")
     so_far = Window.partitionBy("sid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     out = rec.select("sid", "line_no", kind.alias("kind"), F.try_variant_get("v", "$.data", "variant").alias("data"))

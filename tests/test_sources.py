@@ -181,3 +181,24 @@ def test_command_line(spark, record, log, tmp_path):
             out = str(tmp_path / f"{what}-{source[0][2:]}")
             main([what, *source, "--out", out])
             assert spark.read.json(out).count() > 0, what
+
+
+def test_long_logs_are_read_in_splits(spark, tmp_path):
+    """One file in many splits, another in one: numbers are those of the lines, blank ones counted."""
+    from sparktrail.sources.lines import numbered
+
+    texts = {"long": [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(4000)], "short": ["a", "", "b"]}
+    for name, own in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "trace.jsonl").write_text("\n".join(own) + ("\n" if name == "long" else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = numbered(spark, str(tmp_path), "trace.jsonl", nested=True)
+        got = {(r.file.split("/")[-2], r.line_no): r.line for r in rows.collect()}
+        assert spark.read.text(f"{tmp_path}/long").rdd.getNumPartitions() > 5
+        events = hooks.read_events(spark, str(tmp_path)).groupBy("sid").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(name, i): line for name, own in texts.items() for i, line in enumerate(own)}
+    assert {r["sid"]: r["count"] for r in events} == {"long": sum(i % 7 > 0 for i in range(4000)), "short": 2}
