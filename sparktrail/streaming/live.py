@@ -1,24 +1,26 @@
 """Live hook logs: events as they are appended, calls paired as they end.
 
-A session's open calls are its state, kept by Spark across micro-batches and restored after a failure. The order of
-lines within a session is what pairing goes by, so the source must give it (``line_no``), and a batch is sorted by it.
+A session's open calls are its state, kept by Spark across micro-batches and restored after a failure: an entry for each
+call, so a micro-batch reads and writes only the calls that it starts or ends. The order of lines within a session is what
+pairing goes by, so the source must give it (``line_no``), and a batch is sorted by it.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sparktrail.operators.normalize import Pairing
+from sparktrail.operators.normalize import canonical_input
 from sparktrail.sources.hooks import parsed
 
 CALL = "sid string, call int, line_no long, end_no long, blocked boolean, turn int, run int, tool string, outcome string"
-_STATE = "waiting string, calls int, turn int, run int"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def follow(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -32,51 +34,116 @@ def follow(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame
     return parsed(raw.select(sid.alias("sid"), line_no.alias("line_no"), F.col("value").alias("line")))
 
 
+class _Cached:
+    """A map state, read and written once a key for each micro-batch."""
+
+    def __init__(self, state: Any):
+        self._state, self._own, self._changed = state, {}, set()
+
+    def get(self, key: tuple) -> tuple | None:
+        if key not in self._own:
+            self._own[key] = self._state.getValue(key)
+        return self._own[key]
+
+    def put(self, key: tuple, value: tuple | None) -> None:
+        self._own[key] = value
+        self._changed.add(key)
+
+    def flush(self) -> None:
+        for key in self._changed:
+            if self._own[key] is not None:
+                self._state.updateValue(key, self._own[key])
+            elif self._state.containsKey(key):
+                self._state.removeKey(key)
+        self._own, self._changed = {}, set()
+
+
+class CallPairing(StatefulProcessor):
+    """The open calls of a session. Those of one tool and input are a stack, and so are those of one tool: the state has
+    the top of each and, with each call, the one below it in both, so that starting or ending a call touches a few
+    entries, however many are open. A call that ended by way of one stack stays in the other until it comes to its top."""
+
+    def __init__(self, timeout_ms: int | None):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "calls int, turn int, run int")
+        self.calls_state = handle.getMapState("calls", "call int", "line_no long, turn int, run int, tool string, given string, below_same int, below_tool int, is_open boolean, stacks int")
+        self.tops_state = handle.getMapState("tops", "tool string, given string", "call int")
+
+    def _top(self, key: tuple, below: int) -> int | None:
+        """The last open call of a stack; ended ones above it leave."""
+        top = self.tops.get(key)
+        while top is not None:
+            call = self.calls.get((top[0],))
+            if call[7]:
+                return top[0]
+            self.calls.put((top[0],), (*call[:8], call[8] - 1) if call[8] > 1 else None)
+            top = None if call[below] < 0 else (call[below],)
+            self.tops.put(key, top)
+        return None
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        self.calls, self.tops = _Cached(self.calls_state), _Cached(self.tops_state)
+        n, turn, run = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("line_no").itertuples():
+            tool = r.tool or ""
+            if r.event == "agent_spawn":
+                run += 1
+            elif r.event == "user_prompt":
+                turn += 1
+            elif r.event == "pre_tool_use":
+                given = canonical_input(r.tool_input, True)
+                below = [self._top((tool, given), 5), self._top((tool, ""), 6)]
+                self.calls.put((n,), (int(r.line_no), max(turn, 1), max(run, 1), tool, given, *(-1 if b is None else b for b in below), True, 2))
+                self.tops.put((tool, given), (n,))
+                self.tops.put((tool, ""), (n,))
+                n += 1
+            elif r.event in ("post_tool_use", "tool_blocked"):
+                ended = r.event == "post_tool_use"
+                call = self._top((tool, canonical_input(r.tool_input, False)), 5) if ended else None
+                call = self._top((tool, ""), 6) if call is None else call
+                if call is not None:
+                    own = self.calls.get((call,))
+                    self.calls.put((call,), (*own[:7], False, own[8]))
+                    out.append((key[0], call, own[0], int(r.line_no), not ended, own[1], own[2], own[3], "ended" if ended else "blocked"))
+        self.calls.flush()
+        self.tops.flush()
+        self.counts.update((n, turn, run))
+        if self.timeout_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """The session has been silent: its open calls are orphans, and nothing is kept of it."""
+        left = sorted((k[0], v) for k, v in self.calls_state.iterator() if v[7])
+        for state in (self.calls_state, self.tops_state, self.counts):
+            state.clear()
+        yield self._frame([(key[0], call, own[0], None, False, own[1], own[2], own[3], "orphan") for call, own in left])
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")], dtype=object)
+        return frame.astype({"end_no": "Int64"})
+
+    def close(self) -> None:
+        """Spark closes the states."""
+
+
 def paired(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """(sid, call, line_no, end_no, blocked, turn, run, tool, outcome) of calls as they end.
 
     ``outcome`` is ``ended``, ``blocked`` or, for calls still open when a session has been silent for the timeout (if
-    one is given, which keeps a query running), ``orphan``. Appends only: a call is told once, when it is decided.
+    one is given, which keeps a query running), ``orphan``. Appends only: a call is told once, when it is decided. The
+    session's state store is set to the one on disk, which such state needs.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sid = key[0]
-        waiting, calls, turn, run = state.get if state.exists else ("[]", 0, 0, 0)
-        open_ = {w[0]: w for w in json.loads(waiting)}
-        out = []
-
-        def tell(call: int, end_no: int | None, outcome: str) -> None:
-            _, _, _, at, t, r, tool = open_.pop(call)
-            out.append((sid, call, at, end_no, outcome == "blocked", t, r, tool, outcome))
-
-        if state.hasTimedOut:
-            for call in sorted(open_):
-                tell(call, None, "orphan")
-            state.remove()
-        else:
-            pairing = Pairing([(w[0], w[1], w[2]) for w in open_.values()])
-            rows = pd.concat(list(batches)).sort_values("line_no")
-            for r in rows.itertuples():
-                if r.event == "agent_spawn":
-                    run += 1
-                elif r.event == "user_prompt":
-                    turn += 1
-                elif r.event == "pre_tool_use":
-                    pairing.start(calls, r.tool, r.tool_input)
-                    open_[calls] = (*pairing.waiting[-1], int(r.line_no), max(turn, 1), max(run, 1), r.tool)
-                    calls += 1
-                elif r.event in ("post_tool_use", "tool_blocked"):
-                    call = pairing.end(r.tool, r.tool_input, r.event == "post_tool_use")
-                    if call is not None:
-                        tell(call, int(r.line_no), "ended" if r.event == "post_tool_use" else "blocked")
-            state.update((json.dumps(list(open_.values())), calls, turn, run))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in CALL.split(", ")])
-        frame["end_no"] = frame["end_no"].astype("Int64")
-        yield frame
-
-    return events.select("sid", "line_no", "event", "tool", "tool_input").groupBy("sid").applyInPandasWithState(step, CALL, _STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    events.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    own = events.select("sid", "line_no", "event", "tool", "tool_input").groupBy("sid")
+    return own.transformWithStateInPandas(CallPairing(timeout_ms), CALL, "Append", "None" if timeout_ms is None else "ProcessingTime")
 
 
 def tool_rates(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
