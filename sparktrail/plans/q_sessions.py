@@ -783,7 +783,53 @@ def otel_root_envelope(spark, sf_dir):
     return spans.roots(spans.spans(_acts(spark, sf_dir))).select("sid", "span_id", "start_ns", "end_ns", "children")
 
 
-@query("otel_documents")
+def _attribute(key: str, value: str, kind: str = "string") -> str:
+    """SQL of an attribute as text; of no text where the value is null."""
+    shown = {"string": f"'{{\"stringValue\":\"' || {value} || '\"}}'", "int": f"'{{\"intValue\":\"' || {value} || '\"}}'", "bool": f"'{{\"boolValue\":' || {value} || '}}'"}[kind]
+    return f"'{{\"key\":\"{key}\",\"value\":' || {shown} || '}}'"
+
+
+def _json(*fields: tuple[str, str]) -> str:
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields) + " || '}'"
+
+
+def _quoted(value: str) -> str:
+    return f"'\"' || {value} || '\"'"
+
+
+_OF_ACTION = ", ".join(
+    [
+        _attribute("gen_ai.operation.name", "'execute_tool'"),
+        _attribute("gen_ai.tool.name", "tool"),
+        f"CASE WHEN tool IN ({', '.join(repr(t) for t in spans.TOOL_TYPES)}) THEN " + _attribute("gen_ai.tool.type", "CASE tool " + " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in spans.TOOL_TYPES.items()) + " END") + " END",
+        _attribute("error.type", "error"),
+        _attribute("agent.action", "action"),
+        _attribute("agent.raw_tool", "raw_tool"),
+        _attribute("agent.tool.purpose", "purpose"),
+        _attribute("agent.blocked", "false", "bool"),
+        _attribute("agent.completed", "completed", "bool"),
+        _attribute("agent.turn", "turn", "int"),
+        _attribute("agent.run", "1", "int"),
+        _attribute("agent.idx", "idx", "int"),
+    ]
+)
+_TRACE, _RUN_SPAN = "substring(sha256('trace:' || sid), 1, 32)", "substring(sha256('span:' || sid || ':run:1'), 1, 16)"
+_SPAN_SQL = _json(
+    ("traceId", _quoted(_TRACE)), ("spanId", _quoted("substring(sha256('span:' || sid || ':act:1:' || idx), 1, 16)")), ("parentSpanId", _quoted(_RUN_SPAN)), ("name", _quoted("'execute_tool ' || tool")), ("kind", "1"),
+    ("startTimeUnixNano", _quoted("epoch_us(ts) * 1000")), ("endTimeUnixNano", _quoted("epoch_us(ts) * 1000")), ("attributes", f"'[' || concat_ws(',', {_OF_ACTION}) || ']'"), ("status", _json(("code", "CASE WHEN error IS NOT NULL THEN 2 ELSE 1 END"))),
+)
+_ROOT_SQL = _json(
+    ("traceId", _quoted(_TRACE)), ("spanId", _quoted(_RUN_SPAN)), ("name", _quoted("'invoke_agent ' || left(CAST(sid AS VARCHAR), 8)")), ("kind", "1"), ("startTimeUnixNano", _quoted("min(epoch_us(ts)) * 1000")), ("endTimeUnixNano", _quoted("max(epoch_us(ts)) * 1000")),
+    ("attributes", f"'[' || {_attribute('gen_ai.operation.name', chr(39) + 'invoke_agent' + chr(39))} || ',' || {_attribute('gen_ai.conversation.id', 'sid')} || ']'"), ("status", _json(("code", "1"))),
+)
+_RESOURCE_SQL = _json(("attributes", f"'[' || {_attribute('service.name', chr(39) + 'agent' + chr(39))} || ',' || {_attribute('gen_ai.conversation.id', 'sid')} || ']'"))
+
+
+@query(
+    "otel_documents",
+    f"""{A}, s AS (SELECT sid, idx, {_SPAN_SQL} AS span FROM actions), r AS (SELECT sid, {_ROOT_SQL} AS root FROM actions GROUP BY sid), l AS (SELECT sid, string_agg(span, ',' ORDER BY idx) AS spans FROM s GROUP BY sid)
+    SELECT sid, '{{"resourceSpans":[{{"resource":' || {_RESOURCE_SQL} || ',"scopeSpans":[{{"scope":{{"name":"sparktrail"}},"spans":[' || root || ',' || spans || ']}}]}}]}}' AS document FROM l JOIN r USING (sid)""",
+)
 def otel_documents(spark, sf_dir):
     return spans.documents(spans.spans(_acts(spark, sf_dir)))
 
@@ -822,12 +868,20 @@ def viz_judge_view(spark, sf_dir):
     return views.judge_view(_acts(spark, sf_dir))
 
 
-@query("viz_gantt")
+@query(
+    "viz_gantt",
+    f"""{A}, b AS (SELECT sid, turn, 'turn ' || turn || ' :' || strftime(min(ts), '%Y-%m-%dT%H:%M:%S') || ', ' || strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS bar FROM actions GROUP BY sid, turn)
+    SELECT sid, 'gantt' || chr(10) || 'dateFormat YYYY-MM-DDTHH:mm:ss' || chr(10) || string_agg(bar, chr(10) ORDER BY turn) AS chart FROM b GROUP BY sid""",
+)
 def viz_gantt(spark, sf_dir):
     return views.gantt(_acts(spark, sf_dir))
 
 
-@query("viz_flow")
+@query(
+    "viz_flow",
+    f"""{_G}, l AS (SELECT sid, idx, key, version, CASE WHEN kind = 'generatedBy' THEN 'a' || idx || ' --> e' || substring(sha1(key || '@' || version), 1, 8) ELSE 'e' || substring(sha1(key || '@' || version), 1, 8) || ' --> a' || idx END AS line FROM edges)
+    SELECT sid, 'graph LR' || chr(10) || string_agg(line, chr(10) ORDER BY idx, key, version, line) AS graph FROM l GROUP BY sid""",
+)
 def viz_flow(spark, sf_dir):
     return views.flow(_graph(spark, sf_dir)[3])
 
