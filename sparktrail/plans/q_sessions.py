@@ -465,6 +465,43 @@ def graph_weak_paths(spark, sf_dir):
     return graph.weak_touches(sets).filter("not is_write").select("sid", "idx", "path")
 
 
+_FORMS_SQL = f"""{A}, c AS (SELECT sid, idx, k, idx % 5 AS m FROM actions WHERE command IS NOT NULL)
+    SELECT sid, idx, '/w/run' || k || '.py' AS path, false AS is_write FROM c WHERE m = 0 UNION ALL SELECT sid, idx, '/w/d' || k % 9 || '.md', true FROM c WHERE m = 1 UNION ALL SELECT sid, idx, '/w/e.md', false FROM c WHERE m = 1
+    UNION ALL SELECT sid, idx, '/w/s' || n || '_' || k % 9 || '.txt', false FROM c, (SELECT unnest([1, 2, 3]) AS n) WHERE m = 2 UNION ALL SELECT sid, idx, '/w/all.log', true FROM c WHERE m = 2
+    UNION ALL SELECT sid, idx, '/w/b' || k % 9 || '.c', false FROM c WHERE m = 3 UNION ALL SELECT sid, idx, '/w/b.out', true FROM c WHERE m = 3 UNION ALL SELECT sid, idx, '/w/go.sh', true FROM c WHERE m = 4"""
+
+
+@query("graph_command_forms", _FORMS_SQL)
+def graph_command_forms(spark, sf_dir):
+    """What commands touch that are wrapped, verbs of version control, loops, compilers, or change modes and delete."""
+    k = F.col("k") % 9
+    text = F.element_at(
+        F.array(
+            F.concat(F.lit("sudo nohup env A=b timeout 1.5s python3 -u run"), "k", F.lit(".py --fast &")),
+            F.concat(F.lit("git add d"), k, F.lit(".md && git diff --stat e.md; git push origin f.md")),
+            F.concat(F.lit("for n in 1 2 3; do cat s${n}_"), k, F.lit(".txt >> all.log; done")),
+            F.concat(F.lit("gcc -O2 -o b.out b"), k, F.lit(".c && ls x.txt")),
+            F.lit("chmod +x go.sh; rm -f old.txt; mkdir -p y.txt"),
+        ),
+        (F.col("idx") % 5 + 1).cast("int"),
+    )
+    acts = _acts(spark, sf_dir).withColumns({"command": F.when(F.col("command").isNotNull(), text), "root": F.lit("/w")})
+    return graph.command_touches(acts)
+
+
+@query(
+    "graph_variables",
+    f"""{A}, c AS (SELECT sid, idx, k, k % 11 = 0 AS forgets, k % 4 = 1 AS sets FROM actions WHERE command IS NOT NULL), v AS (SELECT *, CASE WHEN sets AND NOT forgets THEN '/w/v' || k % 3 || '.log' END AS value,
+      max(CASE WHEN sets OR forgets THEN idx END) OVER (PARTITION BY sid ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM c)
+    SELECT v.sid, v.idx, p.value AS path FROM v JOIN v p ON p.sid = v.sid AND p.idx = v.at WHERE NOT v.sets AND NOT v.forgets AND p.value IS NOT NULL""",
+)
+def graph_variables(spark, sf_dir):
+    """Commands that read a file by a variable which an earlier command of the session set, or set to what no text tells."""
+    text = F.when(F.col("k") % 11 == 0, "OUT=$(mktemp)").when(F.col("k") % 4 == 1, F.concat(F.lit("export OUT=/w/v"), F.col("k") % 3, F.lit(".log"))).otherwise("tail -5 \"$OUT\"")
+    acts = _acts(spark, sf_dir).withColumn("command", F.when(F.col("command").isNotNull(), text))
+    return graph.command_touches(acts).filter("not is_write").select("sid", "idx", "path")
+
+
 _SEARCHES = f"""{A}, t AS (SELECT sid, idx, idx % 4 = 3 AND action = 'read_file' AS looks, '/w/d' || k % 4 AS at, '/w/d' || k % 4 || '/f' || k || '.py' AS path, action FROM actions WHERE path IS NOT NULL)"""
 
 
