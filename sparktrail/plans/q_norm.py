@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparktrail.functions.shell import split_subcommands
@@ -137,6 +138,49 @@ def norm_official_results(spark, sf_dir):
     return official.actions(events).select("sid", "idx", "path", "error", "completed")
 
 
+def _records(spark, sf_dir):
+    """Conversations as session records: what users say are prompts, what assistants say are messages with a thought and a
+    call, and every second call of an assistant was turned away before it ran."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role in ('user', 'assistant')")
+    turn = F.col("turn").cast("string")
+    item = lambda kind, data: F.concat(F.lit(f'{{"kind": "{kind}", "data": '), data, F.lit("}"))
+    text = F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")  # the text alone, as JSON
+    call = F.concat(F.lit('{"name": "fs_read", "toolUseId": "'), turn, F.lit('", "input": {"operations": [{"path": "/a"}, {"path": "/b"}]}}'))
+    message = F.concat(F.lit('{"message_id": "m'), turn, F.lit('", "content": ['), item("thinking", F.concat(F.lit('{"text": "T'), turn, F.lit('"}'))), F.lit(", "), item("text", text), F.lit(", "), item("toolUse", call), F.lit("]}"))
+    asked = F.concat(F.lit('{"content": ['), item("text", text), F.lit("]}"))
+    away = F.concat(F.lit('{"results": {"'), turn, F.lit('": {"result": {"Error": "The tool arguments failed validation"}}}}'))
+    is_user, line = F.col("role") == "user", F.col("turn") * 2
+    rows = F.array(F.struct(line.alias("line_no"), F.when(is_user, "Prompt").otherwise("AssistantMessage").alias("kind"), F.when(is_user, asked).otherwise(message).alias("said")), F.when(~is_user & (F.col("turn") % 4 == 3), F.struct((line + 1).alias("line_no"), F.lit("ToolResults").alias("kind"), away.alias("said"))))
+    flat = said.select(F.col("conv_id").cast("string").alias("sid"), F.inline(F.array_compact(rows)))
+    so_far = Window.partitionBy("sid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return flat.select("sid", F.col("line_no").cast("int").alias("line_no"), "kind", F.parse_json("said").alias("data")).withColumn("turn", F.sum((F.col("kind") == "Prompt").cast("int")).over(so_far).cast("int"))
+
+
+@query(
+    "norm_official_turns",
+    """SELECT CAST(conv_id AS VARCHAR) AS sid, CAST(turn // 2 + 1 AS INTEGER) AS turn, string_agg(text, '' ORDER BY turn) AS assistant_text, string_agg('T' || turn, '' ORDER BY turn) AS thinking_text,
+    string_agg('fs_read', ',' ORDER BY turn) AS tools, coalesce(string_agg('fs_read', ',' ORDER BY turn) FILTER (WHERE turn % 4 = 3), '') AS rejected FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn // 2""",
+)
+def norm_official_turns(spark, sf_dir):
+    """What was said, thought, called and turned away in each turn, messages found by the turn that names their ids."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'assistant'")
+    turns = said.groupBy(F.col("conv_id").cast("string").alias("sid"), (F.floor(F.col("turn") / 2) + 1).cast("int").alias("turn")).agg(F.collect_list(F.concat(F.lit("m"), "turn")).alias("message_ids"))
+    out = official.texts_by_turn(_records(spark, sf_dir), turns)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("tools", "rejected")})
+
+
+@query(
+    "norm_thoughts",
+    """WITH c AS (SELECT conv_id, turn, role, greatest(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn), 1) AS t FROM conversations WHERE role IN ('user', 'assistant')),
+    a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM c WHERE role = 'assistant')
+    SELECT CAST(conv_id AS VARCHAR) AS sid, CAST(t AS INTEGER) AS turn, 'T' || turn AS text, (2 * n) || ',' || (2 * n + 1) AS actions FROM a""",
+)
+def norm_thoughts(spark, sf_dir):
+    """Thoughts and the actions that each led to: a call of two operations makes two."""
+    events = _records(spark, sf_dir)
+    return official.thinkings(events, official.actions(events)).select("sid", "turn", "text", F.array_join("action_idx", ",").alias("actions"))
+
+
 @query(
     "norm_pairing_exact",
     f"""{A}, s AS (SELECT CAST(sid AS VARCHAR) AS sid, idx, idx // 6 AS grp, 'tool' || k % 2 AS tool, k % 3 AS n, (idx // 6) * 12 + idx % 6 AS line_no, k % 7 > 0 AS ends FROM actions),
