@@ -1,6 +1,6 @@
 """``python -m sparktrail WHAT --official DIR | --hook DIR | --normalized FILE [--session SID] [--out DIR]``
 
-WHAT is stats, totals, actions, rules (with --rules FILE and --scoring FILE), efficiency, graph, fates, spans, replay,
+WHAT is stats, totals, actions, rules (with --rules FILE, or --rules DIR and --agent NAME, and --scoring FILE), efficiency, graph, fates, spans, replay,
 judge or timeline. Results are written as JSON to --out, or the first rows are shown.
 """
 
@@ -44,7 +44,7 @@ def _scoring(spark: SparkSession, path: str | None) -> dict:
 
 
 def _verdicts(spark: SparkSession, acts: DataFrame, args: argparse.Namespace) -> DataFrame:
-    config = normalized.read_config(spark, args.rules)
+    config = normalized.read_config(spark, args.rules) if args.agent is None else normalized.rules_of(spark, args.rules, args.agent)
     results = rules.evaluate(acts, config["checks"] if isinstance(config, dict) else config)
     told = rules.verdicts(results, _scoring(spark, args.scoring))
     return told.join(results.groupBy("sid").agg(F.collect_list(F.struct(*rules.RESULT.names)).alias("checks")), "sid").withColumn("health", F.round("health", 3))
@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None) -> DataFrame:
     source = parser.add_mutually_exclusive_group(required=True)
     for kind in ("official", "hook", "normalized"):
         source.add_argument(f"--{kind}")
-    for option in ("session", "rules", "scoring", "out"):
+    for option in ("session", "rules", "agent", "scoring", "out"):
         parser.add_argument(f"--{option}")
     args = parser.parse_args(argv)
     if args.what == "rules" and not args.rules:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sparktrail.functions.text import blank, dirname, filled, first_filled, glob_expression
 from sparktrail.functions.vocabulary import WRITES_EVIDENCE
-from sparktrail.operators.links import written
+from sparktrail.operators.links import small, written
 from sparktrail.operators.predicates import serialised
 
 # Actions that read, for hard checks.
@@ -181,11 +181,11 @@ def hard_hits(actions: DataFrame, criteria: DataFrame, agents: DataFrame | None
     read = criteria.filter("read_path is not null").select("req_id", "read_path")
     called = criteria.filter("invoke_agent is not null").select("req_id", "invoke_agent")
     # criteria are what callers state, a few for a run; only reads of a path and commands with an agent's flag meet them all
-    reads = actions.filter(F.col("action").isin(*READS) & filled("path").isNotNull()).join(F.broadcast(read), F.contains("path", F.col("read_path")))
+    reads = actions.filter(F.col("action").isin(*READS) & filled("path").isNotNull()).join(small(read), F.contains("path", F.col("read_path")))
     spawned = actions.filter("action = 'spawn_subagent'").join(called, F.col("pattern") == F.col("invoke_agent"))
     flags = r"(?i)(?:--agent|--target|--developer[_-]agent)[=\s]+['\"]?"
     flagged = actions.filter((F.col("action") == "run_command") & F.col("command").rlike(flags))
-    flagged = flagged.join(F.broadcast(called), F.regexp_like("command", F.concat(F.lit(flags + r"\Q"), F.col("invoke_agent"), F.lit(r"\E"))))
+    flagged = flagged.join(small(called), F.regexp_like("command", F.concat(F.lit(flags + r"\Q"), F.col("invoke_agent"), F.lit(r"\E"))))
     is_root = F.coalesce(F.col("is_root"), F.lit(True)) if "is_root" in actions.columns else F.lit(True)
     direct = F.struct(F.lit(3).alias("o"), F.lit("direct").alias("tier"))
     by_flag = F.when(is_root, F.struct(F.lit(2).alias("o"), F.lit("derived").alias("tier"))).otherwise(F.struct(F.lit(1).alias("o"), F.lit("cross_session").alias("tier")))

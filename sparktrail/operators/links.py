@@ -26,6 +26,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes up to which a table is broadcast, as counted from the text of its rows.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (what callers state), to be broadcast if its rows take at most ``BROADCAST_BYTES``; as it is otherwise, so
+    that Spark chooses a join that does not need it in one piece."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) for edges (a, b) of any ordered type: the smallest id that each vertex can reach.
 

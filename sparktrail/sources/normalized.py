@@ -44,3 +44,17 @@ def flags(spark: SparkSession, data: dict) -> DataFrame:
         step = f.get("step") or (f.get("context") or {}).get("flagged") or f
         rows.append((i, f.get("tag"), step.get("sid") or data.get("session"), step.get("ref") or f.get("ref"), step.get("idx", f.get("idx")), f.get("note")))
     return spark.createDataFrame(rows, "flag_id INT, tag STRING, sid STRING, ref STRING, idx INT, note STRING")
+
+
+def rule_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, target_agent) of the rule files ``*.checks.json`` of a folder; files that are no JSON have no agent."""
+    raw = spark.read.option("pathGlobFilter", "*.checks.json").text(folder, wholetext=True)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.try_variant_get(F.try_parse_json("value"), "$.target_agent", "string").alias("target_agent"))
+
+
+def rules_of(spark: SparkSession, folder: str, agent: str) -> Any:
+    """The rules of the one file that is meant for an agent; an error if there is none, or several."""
+    found = [r.path for r in rule_files(spark, folder).filter(F.col("target_agent") == agent).orderBy("path").collect()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} rule files for {agent}, one is needed: {', '.join(found) or 'none'}")
+    return read_config(spark, found[0])
