@@ -4,7 +4,9 @@ Vectors are quantised to integers, floor(``scale`` * x). Candidates are dealt by
 rows, queries into blocks of about ``QUERIES``, and each pair of blocks is one group of one task, so no task holds more
 than two blocks. Within a candidate block there is a sorted list for each dimension. A query reads all lists from their
 good ends (from the top where its component is positive, from the bottom where it is negative, not at all where it is
-0), one after another position, in rounds that grow (to the ends at once where one rules out too few). Of every candidate met so far it keeps the sum of what has been read
+0), one after another position, in rounds that grow. Where a round leaves more than half of the candidates in reach, as in
+random data of many dimensions, reading on would touch nearly every position of every list; then the lists are left, and
+the scores of the block's candidates are one matrix product, which is the sum that the lists would give. Of every candidate met so far it keeps the sum of what has been read
 of it and in which lists that was. Its lower bound adds the worst value of each list in which it has not been met, its
 upper bound the value at the reading depth, which also bounds the candidates that no list has shown. Reading stops when,
 besides the k of the best lower bounds, neither a candidate that was met nor one that was not can reach the k-th best
@@ -20,7 +22,7 @@ only compared to vectors of the same number of components. Integers of any size
 for sums in double precision are compared by Python's integers, a block of them at a time. A score beyond the range of a
 64-bit integer is ranked by its true value and returned as the nearest end of that range. Ties go to the smaller id.
 Rows with the query's own id are not its candidates. Repeated rows are repeated candidates and repeated queries give
-their result once. An empty table, or one without queries, gives an empty result. Other columns are not looked at.
+their result once; an id with several vectors asks once with each, and has a ranking for each. An empty table, or one without queries, gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -48,10 +50,10 @@ def finite(vector: str) -> Column:
 
 
 class Lists:
-    """The sorted lists of a block of integer vectors; ``read`` counts the positions that queries have read."""
+    """The sorted lists of a block of integer vectors; ``read`` counts the positions that queries have read, ``products``
+    the queries for which a product took over."""
 
-    #: The part of the lists that the first round reads; later ones read twice as deep as the one before. Where a round leaves
-    #: more than half of the candidates in reach, the lists are read to their ends at once.
+    #: The part of the lists that the first round reads; later ones read twice as deep as the one before.
     FIRST = (1 / 16,)
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
@@ -61,13 +63,14 @@ class Lists:
         self.order = np.concatenate((up[:, ::-1], up)).astype(np.int32)  # of each dimension the list from its top, then from its bottom
         dims = np.arange(vectors.shape[1])
         self.values = self.vectors[self.order, np.concatenate((dims, dims))[:, None]]
-        self.read = 0
+        self.read = self.products = 0
 
     def top(self, queries: np.ndarray, k: int, own: Sequence) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, scores) of the k candidates of highest score, best first, for each query, without those of its own id."""
         left = [self._read(query, k, one) for query, one in zip(queries, own, strict=True)]
-        # where lists were read to their ends, what has been read of a candidate is its score: those of all at once
+        # where many candidates are left, the scores of all queries at once
         ended = np.array([len(of) > max(k, len(self.ids) // 8) for of in left], bool)
+        self.products += int(ended.sum())
         whole = iter((self.vectors @ queries[ended].T).T)
         for query, of, end in zip(queries, left, ended, strict=True):
             scores = next(whole)[of] if end else self.vectors[of] @ query
@@ -87,9 +90,9 @@ class Lists:
         while depth < n and len(left) > k and len(used):
             until = next(rounds, 2 * depth if 2 * len(left) < n else n)
             until = min(n, max(until, depth + 1))
-            self.read += (until - depth) * len(used)
             if until == n:
                 break
+            self.read += (until - depth) * len(used)
             values = self.values[lists, depth:until] * weight[:, None]
             _add(lower, self.order[lists, depth:until], values - worst[:, None])
             depth = until
@@ -135,10 +138,10 @@ _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 def _searched(k: int, scale: float):
     def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         if len(asked) and len(there):
             queries, vectors = _quantised(asked["v"], scale), _quantised(there["v"], scale)
-            ids, own = there["id"].to_numpy(), asked["id"].to_numpy()
+            ids, own, numbers = there["id"].to_numpy(), asked["id"].to_numpy(), asked["row"].to_numpy()
             plain, easy = _small(vectors), _small(queries)
             whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
             parts = [(plain, easy, lambda x: x.astype(np.float64)), (~plain, easy, whole), (np.ones(len(ids), bool), ~easy, whole)]
@@ -146,14 +149,15 @@ def _searched(k: int, scale: float):
                 if not rows.any() or not asking.any():
                     continue
                 lists = Lists(ids[rows], exact(vectors[rows]))
-                for one, (found, scores) in zip(own[asking], lists.top(exact(queries[asking]), k, own[asking]), strict=True):
+                for one, number, (found, scores) in zip(own[asking], numbers[asking], lists.top(exact(queries[asking]), k, own[asking]), strict=True):
                     values = [int(s) for s in scores]
                     out[0].extend([one] * len(found))
                     out[1].extend(found.tolist())
                     out[2].extend(min(max(v, _LEAST), _MOST) for v in values)
                     # beyond the range, text that sorts like the number
                     out[3].extend(None if _LEAST < v < _MOST else str(10**700 + v) for v in values)
-        return pd.DataFrame({"query_id": out[0], "id": out[1], "score": out[2], "beyond": out[3]})
+                    out[4].extend([number] * len(found))
+        return pd.DataFrame({"query_id": out[0], "id": out[1], "score": out[2], "beyond": out[3], "row": out[4]})
 
     return search
 
@@ -170,11 +174,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     candidates = rows.withColumn("cb", own_block).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
     queries = rows.filter("query").dropDuplicates(["id", "v"]).withColumn("qb", own_query_block).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
-    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.LongType()), T.StructField("beyond", T.StringType())])
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.LongType()), T.StructField("beyond", T.StringType()), T.StructField("row", T.LongType())])
     key = ["dim", "cb", "qb"]
-    asked = queries.select(*key, "id", "v").toDF("q_dim", "q_cb", "q_qb", "id", "v").groupBy("q_dim", "q_cb", "q_qb")
+    asked = queries.select(*key, "id", "v", "row").toDF("q_dim", "q_cb", "q_qb", "id", "v", "row").groupBy("q_dim", "q_cb", "q_qb")
     found = asked.cogroup(candidates.select(*key, "id", "v").groupBy(*key)).applyInPandas(_searched(k, scale), schema)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "id")
+    order = Window.partitionBy("query_id", "row").orderBy(F.col("score").desc(), F.col("beyond").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

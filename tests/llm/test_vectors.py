@@ -72,6 +72,14 @@ def test_any_finite_vector_takes_part(spark):
         assert sorted(got[q]) == [(n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(best)]
 
 
+def test_an_id_with_several_vectors_asks_with_each(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(20, [1.0, 0.0], 0), (20, [0.0, 1.0], 0), (1, [2.0, 3.0], 0), (2, [5.0, 1.0], 0)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 20 == 0, k=2, scale=1.0).collect()
+    assert sorted(map(tuple, got)) == [(20, 1, 1, 3), (20, 1, 2, 5), (20, 2, 1, 2), (20, 2, 2, 1)]
+
+
 def test_lists_are_read_no_further_than_needed():
     rng = np.random.default_rng(5)
     skewed = np.floor(rng.exponential(size=(2000, 16)) ** 3 * 20)
@@ -82,6 +90,10 @@ def test_lists_are_read_no_further_than_needed():
         want = np.lexsort((np.arange(2000), -np.where(np.arange(2000) == q, -1, skewed @ skewed[q])))[:10]
         assert ids.tolist() == want.tolist() and scores.tolist() == (skewed[want] @ skewed[q]).tolist()
     assert lists.read < 0.3 * 20 * skewed.size
+    assert lists.products == 0
+    even = topk.Lists(np.arange(500), np.floor(64 * rng.normal(size=(500, 64))))
+    list(even.top(even.vectors[:5], 10, np.arange(5)))
+    assert even.products == 5 and even.read <= 5 * 500 * 64 / 16, "what a product takes over is not counted as read"
     flat = topk.Lists(np.arange(50), np.ones((50, 4)))
     assert next(flat.top(np.ones((1, 4)), 50, [-1]))[0].tolist() == list(range(50)) and flat.read == 0, "with no more candidates than k nothing is read"
 
