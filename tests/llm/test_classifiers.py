@@ -12,7 +12,7 @@ from sparktrail.llm import langid, pagetext, toxicity, zdict
 from sparktrail.llm.common import fold, table
 
 #: The smaller tables have some 30 toxic documents to learn from, half of them without a toxic word.
-SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/check_s"
+SF, MIDDLE, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1", "/root/testdata/check_s"
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +77,53 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score < 0.5 and r.predicted == 0 for r in got) and [r.told for r in got] == [1, 2, 3]
 
 
+@pytest.fixture(scope="module")
+def toxicity_model(spark):
+    return toxicity.fit(toxicity.learnable(table(spark, MIDDLE, "documents")), table(spark, MIDDLE, "labels"))
+
+
+def test_toxicity_of_all_held_out_rows(spark, toxicity_model):
+    """Half of the toxic labels of this table have no toxic word, so recall cannot be much over a half."""
+    labels = table(spark, MIDDLE, "labels").filter("toxic is not null").select("doc_id", "toxic")
+    held = table(spark, MIDDLE, "documents").filter(fold("doc_id", 3) == 1).join(labels, "doc_id")
+    rated = toxicity.rate(held.repartition(8), toxicity_model).select("toxic", "predicted").collect()
+    assert len(rated) == held.count() > 1000
+    assert np.mean([r.predicted for r in rated if not r.toxic]) < 0.03
+    assert np.mean([r.predicted for r in rated if r.toxic]) > 0.4
+
+
+def test_toxicity_equals_a_plain_recompression(spark, toxicity_model):
+    """Windows compressed one by one with fresh compressors, and the curve written out."""
+    import zstandard
+
+    m = toxicity_model
+    options = toxicity._SEARCH
+
+    def length(window, dictionary):
+        how = zstandard.ZstdCompressionParameters.from_level(m.level, dict_size=len(dictionary), source_size=m.window, write_content_size=False, write_checksum=False, write_dict_id=False, **options)
+        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=data, compression_params=how).compress(window + toxicity._MARKER))
+
+    def score(text):
+        cut = zdict.windows(zdict.plain(text or ""), m.window)
+        gain = [sum(length(w, ordinary) - length(w, toxic) for ordinary, toxic in m.pairs) / len(m.pairs) for w in cut]
+        top = sorted(gain, reverse=True) + [0.0] * 4
+        good = [max(g, 0) for g in gain]
+        found = [1.0, top[0], top[1], top[2] + top[3], np.log1p(sum(good)), sum(good) / len(gain), sum(min(g, 0) for g in gain) / len(gain), np.log(len(gain))]
+        found += [np.log1p(sum(g >= bar for g in gain)) for bar in (3, 4, 5, 6)] + [sum(g >= bar for g in gain) / len(gain) for bar in (3, 4, 5)]
+        z = sum((f - a) / b * w for f, a, b, w in zip(found, m.means, m.scales, m.weights, strict=True))
+        return 1 / (1 + np.exp(-z))
+
+    docs = table(spark, MIDDLE, "documents").filter("length(text) < 5000").limit(40).select("doc_id", "text")
+    docs = docs.unionAll(docs.limit(3)).unionAll(spark.createDataFrame([(10**7, None), (10**7 + 1, ""), (10**7 + 2, "\u4e2d\u6587 " * 300)], "doc_id long, text string"))
+    rows = toxicity.rate(docs, m).collect()
+    assert len(rows) == 46
+    for r in rows:
+        want = score(r.text)
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(want >= 0.7)
+    assert toxicity.rate(docs.limit(0), m).collect() == []
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.fit(toxicity.learnable(docs), table(spark, SF, "labels").limit(0))
     assert {r.predicted for r in toxicity.rate(docs.limit(5), model).collect()} == {0}
