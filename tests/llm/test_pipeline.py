@@ -63,7 +63,7 @@ def test_registry(sf_dir):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 11)) and set(QUERIES) <= set(names) and "pipeline" in names
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 14)) and set(QUERIES) <= set(names) and "pipeline" in names
     assert set(ORACLES) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(names)
 
 
@@ -72,7 +72,8 @@ def test_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "benchmark", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     rows = sorted(json.dumps(r) for r in result.fetchall())
