@@ -176,7 +176,7 @@ def variable_values(commands: DataFrame) -> DataFrame:
 
 def _commands(actions: DataFrame) -> DataFrame:
     """(sid, idx, command, cwd, response, env) of shell commands: where each starts, and the values of the variables it uses."""
-    if "env" in actions.columns:  # told before
+    if "action" not in actions.columns:  # such a table already
         return actions
     commands = actions.filter((F.col("action") == "run_command") & filled("command").isNotNull())
     start = [filled(c) for c in ("root", "cwd") if c in actions.columns]  # ``cwd`` is where a command ends up
