@@ -142,12 +142,26 @@ def in_turns(actions: DataFrame, all_edges: DataFrame, first: int, last: int, hi
     return (chosen.join(touching.select("sid", "idx").distinct(), ["sid", "idx"], "left_semi") if hide_isolated else chosen), touching
 
 
+#: Characters that a command and the name of an artifact must share before they are compared.
+_GRAM = 5
+
+
 def unlinked_mentions(actions: DataFrame, all_entities: DataFrame, all_edges: DataFrame) -> DataFrame:
-    """(sid, idx, key): commands that name an artifact (by its path or a base name of over 4 characters) without an edge."""
-    keys = all_entities.select("sid", "key").distinct().withColumn("_name", F.element_at(F.split("key", "/"), -1))
+    """(sid, idx, key): commands that name an artifact (by its path or a base name of over 4 characters) without an edge.
+
+    What names an artifact has the first characters of its base name (or the last of its path, where the base name is
+    short), so commands and keys of a session meet by those and only then are compared; keys shorter than that, by all.
+    """
+    name = F.element_at(F.split("key", "/"), -1)
+    keys = all_entities.select("sid", "key").distinct().withColumn("_name", name)
+    gram = F.when(F.length("_name") >= _GRAM, F.left("_name", F.lit(_GRAM))).when(F.length("key") >= _GRAM, F.right("key", F.lit(_GRAM)))
+    keys = keys.withColumn("_gram", gram)
     commands = actions.filter(filled("command").isNotNull()).select("sid", "idx", "command")
-    named = F.contains("command", "key") | ((F.length("_name") > 4) & F.contains("command", "_name"))
-    found = commands.join(keys, "sid").filter(named)
+    last = F.length("command") - _GRAM + 1
+    grams = F.array_distinct(F.transform(F.when(last >= 1, F.sequence(F.lit(1), last)), lambda i: F.substring(F.col("command"), i, F.lit(_GRAM))))
+    met = commands.select("sid", "idx", "command", F.explode(grams).alias("_gram")).join(keys.filter("_gram is not null"), ["sid", "_gram"])
+    met = met.select("sid", "idx", "command", "key", "_name").unionByName(commands.join(keys.filter("_gram is null"), "sid").select("sid", "idx", "command", "key", "_name"))
+    found = met.filter(F.contains("command", "key") | ((F.length("_name") > 4) & F.contains("command", "_name")))
     return found.join(all_edges.select("sid", "idx", "key").distinct(), ["sid", "idx", "key"], "left_anti").select("sid", "idx", "key")
 
 

@@ -252,3 +252,10 @@ def test_probes_meet_what_lies_below(spark):
     assert {(r.idx, r.pattern, r.path, r.root) for r in found.collect()} == {(2, "z", "/w/a/", None), (3, None, "/", None), (4, None, None, "/w/ab/y.py")}
     met = graph.probed_artifacts(found, graph.entities(graph.touches(acts)))
     assert {(r.idx, r.key) for r in met.collect()} == {(2, "/w/a/x.py"), (3, "/w/a/x.py"), (3, "/w/ab/y.py"), (4, "/w/ab/y.py")}
+
+
+def test_mentions_without_an_edge(spark):
+    acts = _acts(spark, *({"idx": i, "command": c} for i, c in enumerate(["echo '/w/deep/report.md'", "grep report.md", "x report.m", "vi /q.c", "ls q.c", "see /a", "cat"])))
+    ents = spark.createDataFrame([("s", k) for k in ("/w/deep/report.md", "/q.c", "/a", "/x/cat.py")], "sid string, key string")
+    edges = spark.createDataFrame([("s", 1, "/w/deep/report.md")], "sid string, idx int, key string")
+    assert {(r.idx, r.key) for r in graph.unlinked_mentions(acts, ents, edges).collect()} == {(0, "/w/deep/report.md"), (3, "/q.c"), (5, "/a")}
