@@ -188,8 +188,16 @@ def _clusters(acts: DataFrame) -> DataFrame:
     return efficiency.duplicate_text_clusters(commands, said, cache.encoded(said.select("dim", "sha1", "text").dropDuplicates(["dim", "sha1"])))
 
 
+@query("eff_grade_clusters")
+def eff_grade_clusters(spark, sf_dir):
+    """Grades with all their inputs, commands compared by their texts."""
+    acts = _acts(spark, sf_dir)
+    turns, segments = _turns(acts), _segments(acts)
+    return efficiency.grades(segments, turns, _clusters(acts), efficiency.multi_writes(acts), efficiency.stuck_turns(turns, segments, 12), efficiency.failure_groups(acts)).select("sid", "seg", "clusters", "grade")
+
+
 @query(
-    "eff_grade_clusters",
+    "eff_grade_alike",
     f"""{TURNS_SQL}, {_FAIL}, mw AS (SELECT sid, seg, path, count(*) AS n, min(turn) = max(turn) AS one FROM actions WHERE action = 'modify_file' GROUP BY sid, seg, path HAVING count(*) >= 2),
     same AS (SELECT sid, seg, count(*) AS clusters FROM (SELECT sid, seg, k % 7 FROM actions WHERE action = 'run_command' GROUP BY sid, seg, k % 7 HAVING count(*) >= 3) GROUP BY sid, seg),
     x AS (SELECT s.sid, s.seg, (SELECT max(t.credits / tt.total) FROM turns t JOIN (SELECT sid, sum(credits) AS total FROM turns GROUP BY sid) tt USING (sid) WHERE t.sid = s.sid AND t.turn BETWEEN s.start AND s.stop) AS share,
@@ -198,7 +206,7 @@ def _clusters(acts: DataFrame) -> DataFrame:
       coalesce((SELECT clusters FROM same WHERE same.sid = s.sid AND same.seg = s.seg), 0) AS clusters FROM segments s)
     SELECT sid, seg, clusters, CASE WHEN share >= 0.25 OR thrash >= 1 OR fails >= 1 OR heavy >= 2 THEN 'D' WHEN share >= 0.15 OR clusters >= 2 OR heavy >= 1 OR stuck >= 2 THEN 'C' WHEN share >= 0.10 OR clusters >= 1 OR stuck >= 1 THEN 'B' ELSE 'A' END AS grade FROM x""",
 )
-def eff_grade_clusters(spark, sf_dir):
+def eff_grade_alike(spark, sf_dir):
     """Grades with all their inputs; commands are alike where their numbers are equal modulo seven."""
     acts = _acts(spark, sf_dir)
     turns, segments, commands = _turns(acts), _segments(acts), acts.filter("action = 'run_command'")

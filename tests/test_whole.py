@@ -17,7 +17,7 @@ def test_quotes_of_all_conversations(spark, tmp_path):
     """Texts beyond ASCII count, and quotes that are not said fail."""
     rows = [(1, 0, "Où est « l’été » ?"), (1, 1, "Il est là."), (1, 2, "Il est là, dit-elle: où."), (2, 0, "日本語 テスト"), (2, 1, "日本語、テスト!"), (3, 0, "naïve"), (3, 1, "nave"), (4, 0, None), (4, 1, "x y")]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {tuple(r) for r in QUERIES["goal_quote_filter_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in QUERIES["goal_quote_filter"](spark, str(tmp_path)).collect()}
     texts = {(c, t): x for c, t, x in rows}
     claims = [(c, t, name, texts.get(at)) for c, t, _ in rows for name, at in (("own", (c, t)), ("before", (c, t - 1)))]
     claims = [x for x in claims if x[3] is not None]
@@ -28,7 +28,7 @@ def test_quotes_of_all_conversations(spark, tmp_path):
 
 def test_quotes_of_the_table(spark, sf_dir):
     said = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
-    got = {tuple(r) for r in QUERIES["goal_quote_filter_all"](spark, sf_dir).collect()}
+    got = {tuple(r) for r in QUERIES["goal_quote_filter"](spark, sf_dir).collect()}
     claims = [(c, t, name, said.get((c, at))) for c, t in said for name, at in (("own", t), ("before", max((u for d, u in said if d == c and u < t), default=None)))]
     claims = [x for x in claims if x[3] is not None]
     assert got == {x[:3] for x in claims if _words(x[3][:40]) in _words(said[x[:2]])}
@@ -39,7 +39,7 @@ def test_subsets_are_not_whole(spark, sf_dir):
     """All sessions are roots, all errors centres and flags, and all sessions stand side by side."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type").collect()
     sessions, errors = {r.user_id for r in events}, sum(r.event_type == "error" for r in events)
-    tree = {(r.root, r.sid): r.depth for r in QUERIES["ev_run_tree_all"](spark, sf_dir).collect()}
+    tree = {(r.root, r.sid): r.depth for r in QUERIES["ev_run_tree"](spark, sf_dir).collect()}
     want = {}
     for sid in sessions:
         at, depth = sid, 0
@@ -47,9 +47,9 @@ def test_subsets_are_not_whole(spark, sf_dir):
             want[at, sid] = depth
             at, depth = at // 3 or None, depth + 1
     assert tree == want
-    assert QUERIES["ev_window_pm2_all"](spark, sf_dir).select("sid", "centre").distinct().count() == errors
-    assert QUERIES["tune_flag_context_all"](spark, sf_dir).select("flag_id").distinct().count() == errors
-    assert QUERIES["norm_side_by_side_all"](spark, sf_dir).count() == len(events)
+    assert QUERIES["ev_window_pm2"](spark, sf_dir).select("sid", "centre").distinct().count() == errors
+    assert QUERIES["tune_flag_context"](spark, sf_dir).select("flag_id").distinct().count() == errors
+    assert QUERIES["norm_side_by_side"](spark, sf_dir).count() == len(events)
 
 
 def test_side_by_side_needs_both(spark):
