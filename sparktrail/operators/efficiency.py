@@ -7,13 +7,16 @@ vectors (sid, idx, dim, vector). Windows and groups are all by session, so one s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparktrail.functions.text import basename, blank, filled
 from sparktrail.functions.vocabulary import WRITES_EFFICIENCY
@@ -93,43 +96,130 @@ def siblings(thinkings: DataFrame) -> DataFrame:
 
 #: Commands of a segment that one side of a task holds.
 CHUNK = 1024
+#: Pairs that a task looks at before it gives out what it has found.
+CELLS = CHUNK * CHUNK
 _DIMS = ("command", "purpose", "reasoning")
 
 
 _WHY = ("", "command_strong", "purpose_strong", "reasoning_strong", "combined_pr", "combined_cp")
 
 
-def _votes(left: pd.DataFrame, right: pd.DataFrame, bars: dict) -> np.ndarray:
-    """The number of the reason (in _WHY) why each row of one side and each of the other count as duplicates; 0 for none."""
-    sims = {}
-    for dim in _DIMS:
-        sims[dim] = np.zeros((len(left), len(right)))
-        one, two = left[dim].notna().to_numpy(), right[dim].notna().to_numpy()
-        if one.any() and two.any():
-            x, y = (np.stack(side[dim][has].to_numpy()).astype(np.float64) for side, has in ((left, one), (right, two)))
-            x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1) for v in (x, y))
-            sims[dim][np.ix_(one, two)] = x @ y.T
-    c, p, r = (sims[d] for d in _DIMS)
-    both = bars["combined_min"]
-    ways = [c > bars["command_strong"], p > bars["purpose_strong"], r > bars["reasoning_strong"], (p > both) & (r > both), (c > both) & (p > both)]
-    return np.select(ways, range(1, 6))
+def _tiles(rows: DataFrame, by: str, tile: int) -> DataFrame:
+    """``rows`` (sid, seg, ...) dealt out to pairs of parts (ca, cb) of their segment, parts of about ``tile`` rows; ``left``
+    and ``right`` tell of which sides a row is, ``whole`` whether the segment is one part."""
+    sizes = rows.groupBy("sid", "seg").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    own = rows.join(sizes, ["sid", "seg"]).withColumn("me", F.pmod(F.xxhash64(by), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sides = {"ca": F.least("me", "other"), "cb": F.greatest("me", "other"), "left": F.col("me") <= F.col("other"), "right": F.col("me") >= F.col("other"), "whole": F.col("parts") == 1}
+    return own.withColumns(sides).drop("parts", "me", "other")
+
 
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole tasks (sid, seg, ca, cb), as they come in order, with where each task begins and the last one ends.
 
-def _plain(frame: pd.DataFrame) -> pd.DataFrame:
-    """Ids and reasons as objects: an empty column would be one of floats, which becomes no column of strings."""
-    return frame.astype({"sid": object, "reason": object})
+    Many small segments make one slab, so what is done once for a slab costs little for each; a task of ``CELLS`` pairs
+    and more is a slab of its own.
+    """
 
+    def cut(rows: pa.Table, at: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        first, cells = 0, 0
+        for i, n in enumerate(np.diff(at).tolist()):
+            if cells and cells + n * n > CELLS:
+                yield rows.slice(at[first], at[i] - at[first]), at[first : i + 1] - at[first]
+                first, cells = i, 0
+            cells += n * n
+        yield rows.slice(at[first], at[-1] - at[first]), at[first:] - at[first]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*held, batch])
+        other = np.zeros(max(rows.num_rows - 1, 0), bool)
+        for c in ("sid", "seg", "ca", "cb"):
+            other |= pc.not_equal(rows[c].slice(1), rows[c].slice(0, len(other))).to_numpy().astype(bool)
+        at = np.concatenate(([0], np.flatnonzero(other) + 1))
+        if len(at) > 1:
+            yield from cut(rows.slice(0, at[-1]).combine_chunks(), at)
+        held = rows.slice(at[-1]).to_batches()
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, np.array([0, rows.num_rows])
+
+
+def _units(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of length one (zeros for none), and how many components each has."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    out = np.zeros((len(sizes), sizes.max(initial=0)))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = pc.list_flatten(vectors).to_numpy()
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1), sizes
+
+
+def _votes(left: list[np.ndarray], right: list[np.ndarray], bars: dict) -> np.ndarray:
+    """The number of the reason (in _WHY) why each row of one side and each of the other count as duplicates; 0 for none."""
+    return _reasons(*(x @ y.T for x, y in zip(left, right, strict=True)), bars)
 
-def _similar(bars: dict) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Pairs of two chunks of a segment's commands with the reason why they count as duplicates; the vote in arrays."""
 
-    def similar(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["left"]], rows[rows["right"]]
-        why = _votes(left, right, bars)
-        first, second = left["idx"].to_numpy(), right["idx"].to_numpy()
-        i, j = np.nonzero(why * (first[:, None] < second[None, :] if key[2] == key[3] else first[:, None] != second[None, :]))
-        a, b = first[i], second[j]
-        return _plain(pd.DataFrame({"sid": [key[0]] * len(i), "seg": [key[1]] * len(i), "idx1": np.minimum(a, b), "idx2": np.maximum(a, b), "reason": np.array(_WHY, object)[why[i, j]]}))
+def _reasons(c: np.ndarray, p: np.ndarray, r: np.ndarray, bars: dict) -> np.ndarray:
+    both = bars["combined_min"]
+    ways = [c > bars["command_strong"], p > bars["purpose_strong"], r > bars["reasoning_strong"], (p > both) & (r > both), (c > both) & (p > both)]
+    return np.select(ways, [np.int8(n) for n in range(1, 6)], np.int8(0))
+
+
+def _links(rows: pa.Table, at: np.ndarray, number: np.ndarray, bars: dict, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, reasons): the pairs of each task of a slab that count as duplicates, product by product. Within a part
+    a pair begins with the smaller ``number``."""
+    units = [_units(rows[d]) for d in _DIMS]
+    for _, sizes in units:
+        for x, y in zip(at[:-1], at[1:], strict=True) if len(np.unique(sizes[sizes > 0])) > 1 else ():
+            if len(np.unique(own := sizes[x:y][sizes[x:y] > 0])) > 1:
+                raise ValueError(f"vectors of one segment have {own.min()} and {own.max()} components")
+    left, right = (rows[c].to_numpy().astype(bool) for c in ("left", "right"))
+    for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        one, two = x + np.flatnonzero(left[x:y]), x + np.flatnonzero(right[x:y])
+        within = bool(left[x] and right[x])
+        for i in range(0, len(one), chunk):
+            for j in range(0, len(two), chunk):
+                a, b = one[i : i + chunk], two[j : j + chunk]
+                why = _votes([u[a] for u, _ in units], [u[b] for u, _ in units], bars)
+                if within:
+                    why *= number[a][:, None] < number[b]
+                m, n = np.nonzero(why)
+                yield a[m], b[n], why[m, n]
+
+
+def _in_tasks(tasks: DataFrame, by: str, found: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """What ``found`` makes of the slabs of tasks, their rows in the order of ``by``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in _slabs(batches):
+            yield from found(rows, at)
+
+    key = ["sid", "seg", "ca", "cb"]
+    return tasks.repartition(*key).sortWithinPartitions(*key, by).mapInArrow(run, schema)
+
+
+def _table(schema: T.StructType, columns: list) -> pa.RecordBatch:
+    kinds = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c)).cast(f.type) for c, f in zip(columns, kinds, strict=True)], kinds.names)
+
+
+def _similar(bars: dict, chunk: int, schema: T.StructType) -> Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]:
+    """Pairs of a slab's commands with the reason why they count as duplicates."""
+
+    def similar(rows: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        idx = rows["idx"].to_numpy()
+
+        def told(some: list[tuple]) -> pa.RecordBatch:
+            i, j, why = (np.concatenate(part) for part in zip(*some, strict=True))
+            return _table(schema, [rows["sid"].take(pa.array(i)), rows["seg"].take(pa.array(i)), np.minimum(idx[i], idx[j]), np.maximum(idx[i], idx[j]), pa.array(_WHY).take(pa.array(why))])
+
+        some: list[tuple] = []
+        for links in _links(rows, at, idx, bars, chunk):
+            some.append(links)
+            if sum(len(i) for i, _, _ in some) >= CHUNK * 64:
+                yield told(some)
+                some = []
+        if some:
+            yield told(some)
 
     return similar
 
@@ -137,49 +227,46 @@ def _similar(bars: dict) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
 def duplicate_pairs(commands: DataFrame, vectors: DataFrame, sibling_pairs: DataFrame | None = None, bars: dict = VOTE, chunk: int = CHUNK) -> DataFrame:
     """(sid, seg, idx1, idx2, reason): pairs of commands of one segment that do the same.
 
-    ``commands`` has (sid, seg, idx). The vectors of a command are gathered once; then chunks of a segment meet as matrix
-    products, so that no task holds more than two of them, however long a segment is.
+    ``commands`` has (sid, seg, idx). The vectors of a command are gathered once; then parts of a segment meet, so that no
+    task holds more than two of them, however long a segment is, and are compared as matrix products.
     """
     by_dim = vectors.groupBy("sid", "idx").pivot("dim", list(_DIMS)).agg(F.first("vector"))
     own = commands.select("sid", "seg", "idx").join(by_dim, ["sid", "idx"])
-    sizes = commands.groupBy("sid", "seg").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    own = own.join(sizes, ["sid", "seg"]).withColumn("me", F.pmod(F.xxhash64("idx"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    tasks = own.select("sid", "seg", "idx", *_DIMS, F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"), (F.col("me") <= F.col("other")).alias("left"), (F.col("me") >= F.col("other")).alias("right"))
+    tasks = _tiles(own, "idx", chunk).select("sid", "seg", "ca", "cb", "idx", *_DIMS, "left", "right")
     kinds = {f.name: f.dataType for f in commands.schema.fields}
     schema = T.StructType([T.StructField(n, kinds[k]) for n, k in (("sid", "sid"), ("seg", "seg"), ("idx1", "idx"), ("idx2", "idx"))] + [T.StructField("reason", T.StringType())])
-    out = tasks.groupBy("sid", "seg", "a", "b").applyInPandas(_similar(bars), schema)
+    out = _in_tasks(tasks, "idx", _similar(bars, chunk, schema), schema)
     return out if sibling_pairs is None else out.join(sibling_pairs, ["sid", "idx1", "idx2"], "left_anti").select(*schema.names)
 
 
-def _grouped(bars: dict) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Links of two chunks of a segment's classes: for each class an edge to the first of its group, and for each class
-    and reason the pairs of members that count as duplicates, with the first of them."""
-
-    def grouped(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["left"]].sort_values("rep", ignore_index=True), rows[rows["right"]].sort_values("rep", ignore_index=True)
-        within = key[2] == key[3]
-        why = _votes(left, right, bars)
-        reps, others = left["rep"].to_numpy(), right["rep"].to_numpy()
-        one, two = left["n"].to_numpy(), right["n"].to_numpy()
-        if within:  # each pair once; members of one class with each other below
-            why = np.where(reps[:, None] < others[None, :], why, 0)
-        apart = left["apart"].map(lambda x: x is not None and len(x) > 0).to_numpy()
-        for i in np.flatnonzero(apart):
-            why[i, np.isin(others, left["apart"].iloc[i])] = 0
-        i, j = np.nonzero(why)
-        out = pd.DataFrame({"rep": reps[i], "to": others[j], "why": why[i, j], "n": one[i] * two[j]})
-        out["a"], out["b"] = np.minimum(out["rep"], out["to"]), np.maximum(out["rep"], out["to"])
-        counts = [out.sort_values(["a", "b"]).groupby(["rep", "why"], as_index=False).agg(n=("n", "sum"), a=("a", "first"), b=("b", "first"))]
-        if within:
-            own = np.diagonal(_votes(left, left, bars)) * (one > 1)
-            some = np.flatnonzero(own)
-            counts.append(pd.DataFrame({"rep": reps[some], "why": own[some], "n": one[some] * (one[some] - 1) // 2, "a": reps[some], "b": left["second"].to_numpy()[some].astype(np.int64)}))
+def _grouped(bars: dict, chunk: int, schema: T.StructType) -> Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]:
+    """Links of a slab's classes: for each class an edge to the first of its group, and for each class and reason the
+    pairs of members that count as duplicates, with the first of them."""
+
+    def grouped(rows: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rep, n, second, left, right = (rows[c].to_numpy() for c in ("rep", "n", "second", "left", "right"))
+        none = np.zeros(0, np.int64)
+        i, j, why = (np.concatenate(part) for part in zip((none, none, none), *_links(rows, at, rep, bars, chunk), strict=True))
+        alone = pc.list_parent_indices(rows["apart"]).to_numpy()
+        if len(alone):
+            kept = ~pd.MultiIndex.from_arrays([i, rep[j]]).isin(pd.MultiIndex.from_arrays([alone, pc.list_flatten(rows["apart"]).to_numpy()]))
+            i, j, why = i[kept], j[kept], why[kept]
+        both = pd.DataFrame({"row": i, "why": why, "n": n[i] * n[j], "a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+        counts = [both.sort_values(["a", "b"]).groupby(["row", "why"], as_index=False).agg(n=("n", "sum"), a=("a", "first"), b=("b", "first"))]
+        many = np.flatnonzero((n > 1) & left.astype(bool) & right.astype(bool))  # members of one class with each other
+        if len(many):
+            c, p, r = (np.einsum("ij,ij->i", u, u) for u, _ in (_units(rows[d].take(pa.array(many))) for d in _DIMS))
+            own = _reasons(c, p, r, bars)
+            many, own = many[own > 0], own[own > 0]
+            counts.append(pd.DataFrame({"row": many, "why": own, "n": n[many] * (n[many] - 1) // 2, "a": rep[many], "b": second[many]}))
         counts = pd.concat(counts)
-        heads = _heads(out["rep"].to_numpy(), out["to"].to_numpy())
-        edges = pd.DataFrame({"rep": list(heads), "to": list(heads.values())}, dtype=np.int64)
-        both = pd.concat([counts.assign(to=counts["rep"]), edges.assign(why=0, n=0, a=0, b=0)])
-        told = {"sid": [key[0]] * len(both), "seg": [key[1]] * len(both)} | {c: both[c].to_numpy() for c in ("rep", "to")} | {"reason": np.array(_WHY, object)[both["why"].to_numpy(int)]} | {c: both[c].to_numpy() for c in ("n", "a", "b")}
-        return _plain(pd.DataFrame(told))
+        heads = _heads(i, j)
+        edges = pd.DataFrame({"row": list(heads)}, dtype=np.int64)
+        out = pd.concat([counts, edges.assign(why=0, n=0, a=0, b=0)])
+        of = out["row"].to_numpy(np.int64)
+        to = np.array([heads.get(row, row) for row in of.tolist()], np.int64)
+        take = pa.array(of)
+        yield _table(schema, [rows["sid"].take(take), rows["seg"].take(take), rows["whole"].take(take), rep[of], rep[to], pa.array(_WHY).take(pa.array(out["why"].to_numpy(np.int64))), *(out[c].to_numpy(np.int64) for c in ("n", "a", "b"))])
 
     return grouped
 
@@ -201,15 +288,20 @@ def _heads(one: np.ndarray, two: np.ndarray) -> dict[int, int]:
 def _clusters(classes: DataFrame, bars: dict, chunk: int) -> DataFrame:
     """Clusters from classes of equal commands (sid, seg, rep, n, second, members, apart, a vector for each dimension)."""
     classes = written(classes)
-    sizes = classes.groupBy("sid", "seg").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    own = classes.drop("members").join(sizes, ["sid", "seg"]).withColumn("me", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    tasks = own.select("sid", "seg", "rep", "n", "second", "apart", *_DIMS, F.least("me", "other").alias("ca"), F.greatest("me", "other").alias("cb"), (F.col("me") <= F.col("other")).alias("left"), (F.col("me") >= F.col("other")).alias("right"))
+    tasks = _tiles(classes.drop("members"), "rep", chunk).select("sid", "seg", "ca", "cb", "rep", "n", "second", "apart", *_DIMS, "left", "right", "whole")
     kinds = {f.name: f.dataType for f in classes.schema.fields}
-    schema = T.StructType([T.StructField("sid", kinds["sid"]), T.StructField("seg", kinds["seg"]), T.StructField("rep", T.LongType()), T.StructField("to", T.LongType()), T.StructField("reason", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n", "a", "b"))])
-    found = written(tasks.groupBy("sid", "seg", "ca", "cb").applyInPandas(_grouped(bars), schema))
+    schema = T.StructType([T.StructField("sid", kinds["sid"]), T.StructField("seg", kinds["seg"]), T.StructField("whole", T.BooleanType()), T.StructField("rep", T.LongType()), T.StructField("to", T.LongType()), T.StructField("reason", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n", "a", "b"))])
+    found = written(_in_tasks(tasks, "rep", _grouped(bars, chunk, schema), schema))
     node = lambda c: F.struct("sid", "seg", F.col(c).alias("rep"))
-    groups = connected(found.select(node("rep").alias("a"), node("to").alias("b")))
-    counted = found.filter("n > 0").withColumn("id", node("rep")).join(groups, "id").groupBy("component", "reason").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b")).alias("first"))
+    # what one task has seen whole is final; only groups of segments in several parts are joined further
+    final = found.filter("whole").withColumns({"id": node("rep"), "component": node("to")})
+    parts = found.filter("not whole").withColumn("id", node("rep"))
+    linked = final.select("id", "component", "reason", "n", "a", "b")
+    if not parts.isEmpty():
+        further = connected(parts.select(F.col("id").alias("a"), node("to").alias("b")))
+        linked = linked.unionByName(parts.join(further, "id").select(*linked.columns))
+    groups = linked.select("id", "component").distinct()
+    counted = linked.filter("n > 0").groupBy("component", "reason").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b")).alias("first"))
     top = Window.partitionBy("component").orderBy(F.col("n").desc(), "first")
     dominant = counted.withColumn("r", F.row_number().over(top)).filter("r = 1").select("component", F.col("reason").alias("dominant_reason"))
     members = classes.select(node("rep").alias("id"), "members").join(groups, "id").groupBy("component").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,35 @@ def test_many_equal_commands_make_one_class(spark):
     vectors = commands.select("sid", "idx", F.lit("command").alias("dim"), F.array(F.lit(1.0), (F.col("idx") % 3).cast("double")).alias("vector"))
     got = efficiency.duplicate_clusters(commands, vectors, bars=efficiency.VOTE | {"command_strong": 0.99}).collect()
     assert sorted(len(r.members) for r in got) == [n // 3] * 3
+
+
+def test_many_small_segments_are_one_call():
+    """What Python does for each call is done once for thousands of segments; a task across batches stays in one piece."""
+    sizes = [1, 3, 2, 5] * 500
+    seg = np.repeat(np.arange(len(sizes)), sizes)
+    zero = np.zeros(len(seg), np.int64)
+    rows = pa.RecordBatch.from_pydict({"sid": zero, "seg": seg, "ca": zero, "cb": zero})
+    slabs = list(efficiency._slabs(rows.slice(at, 1000) for at in range(0, len(seg), 1000)))
+    assert len(slabs) == 7 and [n for _, at in slabs for n in np.diff(at)] == sizes
+    assert np.concatenate([t["seg"].to_numpy() for t, _ in slabs]).tolist() == seg.tolist()
+    wide = pa.RecordBatch.from_pydict({c: np.repeat(np.arange(4), 800) if c == "seg" else np.zeros(3200, np.int64) for c in rows.schema.names})
+    assert [at.tolist() for _, at in efficiency._slabs([wide])] == [[0, 800]] * 4
+
+
+def test_small_segments_group_as_alone(spark):
+    """Clusters of many segments in one slab, null vectors and parts without the other side included, by brute force."""
+    rng = np.random.default_rng(3)
+    data = [(s, g, i, rng.choice([-1.0, 0.0, 1.0], 4).tolist() if rng.random() < 0.9 else None) for s in range(6) for g in range(4) for i in range(g * 20, g * 20 + int(rng.integers(1, 16)))]
+    rows = spark.createDataFrame(data, "sid int, seg int, idx int, vector array<double>")
+    vectors = rows.select("sid", "idx", F.lit("command").alias("dim"), "vector")
+    want = set()
+    for key in {d[:2] for d in data}:
+        own, head = [(i, np.array(v)) for s, g, i, v in data if (s, g) == key and v is not None], {}
+        for i, x in own:
+            linked = {head[j] for j, y in own if j < i and x @ y > 0.9 * (x @ x * (y @ y)) ** 0.5 > 0}
+            head |= {j: min(linked) for j in head if head[j] in linked} | {i: min(linked, default=i)}
+        groups = {h: tuple(sorted(j for j in head if head[j] == h)) for h in head.values()}
+        want |= {(*key, members) for members in groups.values() if len(members) > 1}
+    for chunk in (3, 1024):
+        got = efficiency.duplicate_clusters(rows.select("sid", "seg", "idx"), vectors, chunk=chunk).collect()
+        assert {(r.sid, r.seg, tuple(r.members)) for r in got} == want and len(got) == len(want)
