@@ -174,13 +174,18 @@ def short_duration(ms: Column | str) -> Column:
 # ---- what commands touch ---------------------------------------------------------------------------------------
 
 
+def _assigning(commands: DataFrame) -> DataFrame:
+    """Those that may set a variable: what has no sign for it need not be read."""
+    return commands.filter(F.contains("command", F.lit("=")))
+
+
 def variable_values(commands: DataFrame) -> DataFrame:
     """(sid, idx, env): the variables that a command uses and their values, as commands before it have set them.
 
     A variable that was last set to what the text does not tell has no value, whatever it was before.
     """
-    sets = commands.select("sid", "idx", F.explode(variables_set(F.col("command"))).alias("v")).select("sid", "idx", "v.name", "v.value", F.lit(False).alias("use"))
-    uses = commands.select("sid", "idx", F.explode(variables_used(F.col("command"))).alias("name")).select("sid", "idx", "name", F.lit(None).cast("string").alias("value"), F.lit(True).alias("use"))
+    sets = _assigning(commands).select("sid", "idx", F.explode(variables_set(F.col("command"))).alias("v")).select("sid", "idx", "v.name", "v.value", F.lit(False).alias("use"))
+    uses = commands.filter(F.contains("command", F.lit("$"))).select("sid", "idx", F.explode(variables_used(F.col("command"))).alias("name")).select("sid", "idx", "name", F.lit(None).cast("string").alias("value"), F.lit(True).alias("use"))
     before = Window.partitionBy("sid", "name").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
     # only assignments count; their value may be null, which is what makes it forgotten
     last = F.max_by(F.struct("value"), F.when(~F.col("use"), F.col("idx"))).over(before)
@@ -192,11 +197,20 @@ def _commands(actions: DataFrame) -> DataFrame:
     """(sid, idx, command, cwd, response, env) of shell commands: where each starts, and the values of the variables it uses."""
     if "action" not in actions.columns:  # such a table already
         return actions
+    return _with_values(_own_commands(actions))
+
+
+def _own_commands(actions: DataFrame) -> DataFrame:
+    """(sid, idx, command, cwd, response) of shell commands."""
     commands = actions.filter((F.col("action") == "run_command") & filled("command").isNotNull())
     start = [filled(c) for c in ("root", "cwd") if c in actions.columns]  # ``cwd`` is where a command ends up
     response = F.col("response") if "response" in actions.columns else F.lit(None).cast("string")
-    own = commands.select("sid", "idx", "command", F.coalesce(*start, F.lit(None).cast("string")).alias("cwd"), response.alias("response"))
-    return own.join(variable_values(commands), ["sid", "idx"], "left").withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>")))
+    return commands.select("sid", "idx", "command", F.coalesce(*start, F.lit(None).cast("string")).alias("cwd"), response.alias("response"))
+
+
+def _with_values(commands: DataFrame) -> DataFrame:
+    """Commands with the values of the variables that each uses (``env``)."""
+    return commands.join(variable_values(commands), ["sid", "idx"], "left").withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>")))
 
 
 def command_touches(actions: DataFrame) -> DataFrame:
@@ -212,9 +226,9 @@ def weak_touches(actions: DataFrame) -> DataFrame:
     the same file. Words with a variable that is set somewhere are left out, before and after that.
     """
     commands = _commands(actions)
-    named = commands.select("sid", "idx", F.inline(paths_by_variables(F.col("command"), F.col("env"))))
+    named = commands.filter(F.contains("command", F.lit("$"))).select("sid", "idx", F.inline(paths_by_variables(F.col("command"), F.col("env"))))
     named = named.select("sid", "idx", "path", (F.col("direction") == "write").alias("is_write"), F.explode("names").alias("name"))
-    own = commands.select("sid", F.explode(variables_set(F.col("command"))).alias("v")).select("sid", F.col("v.name").alias("name")).distinct()
+    own = _assigning(commands).select("sid", F.explode(variables_set(F.col("command"))).alias("v")).select("sid", F.col("v.name").alias("name")).distinct()
     told = named.join(own.withColumn("own", F.lit(True)), ["sid", "name"], "left")
     return told.groupBy("sid", "idx", "path", "is_write").agg(F.max("own").alias("own")).filter("own is null").drop("own")
 
@@ -231,12 +245,19 @@ def all_touches(actions: DataFrame) -> DataFrame:
 
 def _open_words(actions: DataFrame) -> DataFrame:
     """(sid, idx, word, direction, head, ending) of what commands leave open, known variables put in."""
-    return _commands(actions).select("sid", "idx", F.inline(words_left_open(F.col("command"), F.col("env"))))
+    return _commands(actions).filter(F.col("command").rlike(r"[$*?`]")).select("sid", "idx", F.inline(words_left_open(F.col("command"), F.col("env"))))
+
+
+def _outputs(actions: DataFrame) -> DataFrame:
+    """(sid, idx, said): what commands put out, read from their records unless a table has it already."""
+    if "_said" in actions.columns:
+        return actions.filter(F.trim("_said") != "").select("sid", "idx", F.col("_said").alias("said"))
+    return actions.filter(filled("response").isNotNull()).select("sid", "idx", said_by_tool(F.col("response")).alias("said"))
 
 
 def _paths_of_outputs(actions: DataFrame) -> DataFrame:
     """(sid, idx, path): the files (by their ending) that the outputs of commands state, in normal form."""
-    said = actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(paths_said(said_by_tool(F.col("response")))).alias("path"))
+    said = _outputs(actions).select("sid", "idx", F.explode(paths_said(F.col("said"))).alias("path"))
     return said.filter(F.col("path").rlike(rf"(?i)\.(?:{'|'.join(ENDINGS)})$")).select("sid", "idx", normal_path("path").alias("path")).distinct()
 
 
@@ -261,7 +282,7 @@ def unresolved_words(actions: DataFrame) -> DataFrame:
 
 def pid_statements(actions: DataFrame) -> DataFrame:
     """(sid, idx, pid): outputs that state the id of a process."""
-    return actions.filter(filled("response").isNotNull()).select("sid", "idx", F.explode(pids_said(said_by_tool(F.col("response")))).alias("pid"))
+    return _outputs(actions).select("sid", "idx", F.explode(pids_said(F.col("said"))).alias("pid"))
 
 
 def pids(actions: DataFrame) -> DataFrame:
@@ -323,8 +344,10 @@ def provenance(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     where a path has a variable without a value. Hosts have version 0, processes version 1; a process is made by every
     command whose output states it, and used by later ones that name it.
     """
-    commands = written(_commands(actions))  # looked at several times
-    files, links = with_commands(touches(actions), all_touches(commands))
+    # what is looked at several times is written: sessions put in order, commands read and records parsed once
+    own = written(_own_commands(actions).withColumn("_said", said_by_tool(F.col("response"))).drop("response"))
+    commands = written(_with_values(own).withColumn("response", F.col("_said")))
+    files, links = with_commands(written(touches(actions)), written(all_touches(commands)))
     entity_of = lambda df, kind: df.withColumn("entity", F.lit(kind))
     likely = lambda df, version, kind: df.select("sid", "idx", "key", F.lit(version).cast("long").alias("version"), F.lit(kind).alias("kind"), F.lit("likely").alias("confidence"))
     reached = host_edges(commands)

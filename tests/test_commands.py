@@ -1,6 +1,8 @@
 """What commands touch, set and reach."""
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparktrail.functions import commands
 from sparktrail.functions.shell import subcommands
@@ -259,3 +261,24 @@ def test_mentions_without_an_edge(spark):
     ents = spark.createDataFrame([("s", k) for k in ("/w/deep/report.md", "/q.c", "/a", "/x/cat.py")], "sid string, key string")
     edges = spark.createDataFrame([("s", 1, "/w/deep/report.md")], "sid string, idx int, key string")
     assert {(r.idx, r.key) for r in graph.unlinked_mentions(acts, ents, edges).collect()} == {(0, "/w/deep/report.md"), (3, "/q.c"), (5, "/a")}
+
+
+def test_equal_commands_of_a_batch_are_read_once():
+    """What Python makes of a command depends on it, its directory and its variables alone."""
+    seen = []
+
+    def read(command, env):
+        seen.append(command)
+        return [command, len(env)]
+
+    envs = [[("A", "1")], {"A": "1"}, [], [("A", "1")]]
+    got = commands._once(read, pd.Series(["x", "x", "x", "y"]), pd.Series(envs, dtype=object))
+    assert got.tolist() == [["x", 1], ["x", 1], ["x", 0], ["y", 1]] and seen == ["x", "x", "y"]
+
+
+def test_a_record_is_parsed_once(spark):
+    """Its parsed form is named once in the plan; records of other forms, and empty ones, are as they are."""
+    rows = [('{"Success": {"items": [{"Json": {"stdout": "a", "stderr": ""}}, {"Text": "b"}]}}',), ('{"Error": {"items": [{"Json": {"stderr": "c"}}]}}',), ('{"Success": {"items": []}}',), ("plain",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "response string").select(commands.said_by_tool(F.col("response")).alias("said"))
+    assert [r.said for r in df.collect()] == ["a\nb", "c", '{"Success": {"items": []}}', "plain", "", ""]
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
