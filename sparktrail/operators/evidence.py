@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,8 +83,20 @@ def turn_ranges(actions: DataFrame) -> DataFrame:
     return actions.groupBy("sid", "turn").agg(F.count("*").alias("actions"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
-#: Anchors that one pass over the texts looks for.
-PASS_ANCHORS = 200_000
+#: Anchors that one pass over the texts looks for, finds that it gives out at a time, and texts that it is given at a time.
+PASS_ANCHORS, PASS_FOUND, PASS_TEXTS = 200_000, 1 << 16, 512
+
+
+@contextlib.contextmanager
+def _few_texts(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most PASS_TEXTS rows for what is run inside; afterwards the session is as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), PASS_TEXTS) if int(before) > 0 else PASS_TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _holding(pool: DataFrame, anchors: list[str]) -> DataFrame:
@@ -94,17 +107,26 @@ def _holding(pool: DataFrame, anchors: list[str]) -> DataFrame:
         import ahocorasick
 
         finder = ahocorasick.Automaton()
-        for anchor in anchors:
-            finder.add_word(anchor, anchor)
+        names = pa.array(anchors, pa.string())
+        for nth, anchor in enumerate(anchors):
+            finder.add_word(anchor, nth)
         finder.make_automaton()
         for batch in batches:
+
+            def told(rows: list[int], held: list[int], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                take = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), names.take(pa.array(held, pa.int64()))], kind.names)
+
             rows, held = [], []
             for i, text in enumerate(batch.column(2)):
-                own = {anchor for _, anchor in finder.iter(text.as_py() or "")}
+                own = {nth for _, nth in finder.iter(text.as_py() or "")}
                 rows += [i] * len(own)
                 held += own
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(held, pa.string())], kind.names)
+                if len(rows) >= PASS_FOUND:
+                    yield told(rows, held)
+                    rows, held = [], []
+            if rows:
+                yield told(rows, held)
 
     return pool.select("doc", "idx", "text").mapInArrow(find, kind)
 
@@ -123,7 +145,8 @@ def _found(pool: DataFrame, anchors: DataFrame, key: str) -> tuple[DataFrame, Da
     held = parts[0]
     for part in parts[1:]:
         held = held.unionByName(part)
-    return written(held.withColumnRenamed("anchor", "_low")), own
+    with _few_texts(pool.sparkSession):
+        return written(held.withColumnRenamed("anchor", "_low")), own
 
 
 def _frequencies(held: DataFrame) -> DataFrame:

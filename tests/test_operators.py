@@ -213,3 +213,17 @@ def test_small_segments_group_as_alone(spark):
     for chunk in (3, 1024):
         got = efficiency.duplicate_clusters(rows.select("sid", "seg", "idx"), vectors, chunk=chunk).collect()
         assert {(r.sid, r.seg, tuple(r.members)) for r in got} == want and len(got) == len(want)
+
+
+def test_retrieval_gives_out_its_finds_bit_by_bit(spark, monkeypatch):
+    """Texts come a few at a time and what they hold goes on in parts, with the same result; the session stays as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    words = [f"anchor{i:03d}" for i in range(40)]
+    pool = spark.createDataFrame([(i, i, " ".join(words[: i % 41])) for i in range(200)], "doc int, idx int, text string").coalesce(1)
+    anchors = spark.createDataFrame([(1, w) for w in words], "req_id int, anchor string")
+    want, before, seen = {w: sum(i % 41 > n for i in range(200)) for n, w in enumerate(words)}, spark.conf.get(name), []
+    write = evidence.written
+    monkeypatch.setattr(evidence, "written", lambda df: seen.append(int(spark.conf.get(name))) or write(df))
+    monkeypatch.setattr(evidence, "PASS_FOUND", 7)
+    assert {r.anchor: r.df for r in evidence.anchor_frequencies(pool, anchors).collect()} == want
+    assert seen[-1] <= evidence.PASS_TEXTS <= 512 and spark.conf.get(name) == before
