@@ -94,8 +94,9 @@ def siblings(thinkings: DataFrame) -> DataFrame:
     return some.select("sid", F.col("a").alias("idx1"), F.explode("action_idx").alias("idx2")).filter("idx1 < idx2").distinct()
 
 
-#: Commands of a segment that one side of a task holds.
-CHUNK = 1024
+#: Commands of a segment that one side of a matrix product holds, and that one side of a task holds where pairs are asked
+#: for: a command goes to as many tasks as its segment has such sides.
+CHUNK, TILE = 1024, 2048
 #: Pairs that a task looks at before it gives out what it has found.
 CELLS = CHUNK * CHUNK
 _DIMS = ("command", "purpose", "reasoning")
@@ -228,11 +229,11 @@ def duplicate_pairs(commands: DataFrame, vectors: DataFrame, sibling_pairs: Data
     """(sid, seg, idx1, idx2, reason): pairs of commands of one segment that do the same.
 
     ``commands`` has (sid, seg, idx). The vectors of a command are gathered once; then parts of a segment meet, so that no
-    task holds more than two of them, however long a segment is, and are compared as matrix products.
+    task holds more than two of them, however long a segment is, and are compared as matrix products of ``chunk`` rows.
     """
     by_dim = vectors.groupBy("sid", "idx").pivot("dim", list(_DIMS)).agg(F.first("vector"))
     own = commands.select("sid", "seg", "idx").join(by_dim, ["sid", "idx"])
-    tasks = _tiles(own, "idx", chunk).select("sid", "seg", "ca", "cb", "idx", *_DIMS, "left", "right")
+    tasks = _tiles(own, "idx", max(chunk, TILE)).select("sid", "seg", "ca", "cb", "idx", *_DIMS, "left", "right")
     kinds = {f.name: f.dataType for f in commands.schema.fields}
     schema = T.StructType([T.StructField(n, kinds[k]) for n, k in (("sid", "sid"), ("seg", "seg"), ("idx1", "idx"), ("idx2", "idx"))] + [T.StructField("reason", T.StringType())])
     out = _in_tasks(tasks, "idx", _similar(bars, chunk, schema), schema)

@@ -227,3 +227,18 @@ def test_retrieval_gives_out_its_finds_bit_by_bit(spark, monkeypatch):
     monkeypatch.setattr(evidence, "PASS_FOUND", 7)
     assert {r.anchor: r.df for r in evidence.anchor_frequencies(pool, anchors).collect()} == want
     assert seen[-1] <= evidence.PASS_TEXTS <= 512 and spark.conf.get(name) == before
+
+
+def test_small_products_do_not_multiply_what_is_shuffled(spark, monkeypatch):
+    """Products of five rows, and of parts of a segment, give the same pairs; a row is dealt out once for a part."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([("s", 1, i, rng.normal(size=3).tolist()) for i in range(120)], "sid string, seg int, idx int, vector array<double>")
+    vectors = rows.select("sid", "idx", F.lit("command").alias("dim"), "vector")
+    dealt = []
+    tiles = efficiency._tiles
+    monkeypatch.setattr(efficiency, "_tiles", lambda *a: dealt.append(tiles(*a)) or dealt[-1])
+    found = lambda chunk: sorted(tuple(r) for r in efficiency.duplicate_pairs(rows.select("sid", "seg", "idx"), vectors, chunk=chunk).collect())
+    few, many = found(5), found(4096)
+    monkeypatch.setattr(efficiency, "TILE", 30)
+    assert few == many == found(5) and few and all(r[2] < r[3] for r in few)
+    assert [d.count() for d in dealt] == [120, 120, 480]
